@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .lines import LINES_SQL, drop_lines
 from .matroska import media_digests
+from .neardup import near_duplicates
 from .pii import find_pii
 from .quality import quality, quality_sql
 from .tokens import token_digests
@@ -51,6 +52,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
