@@ -13,6 +13,7 @@ from .matroska import media_digests
 from .neardup import near_duplicates
 from .pii import find_pii
 from .quality import quality, quality_sql
+from .substrings import REPEATS_SQL, remove_repeats
 from .tokens import token_digests
 from .toxicity import toxicity
 
@@ -44,6 +45,11 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), END_ID)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -61,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINES_SQL, "op7_quality_rules": quality_sql()}
+    return {"op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql()}
