@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -44,6 +46,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps between tasks; functions that travel by value don't share their modules' globals."""
+    return sys.modules.setdefault("_markwise_worker_state", types.ModuleType("_markwise_worker_state")).__dict__
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: one aggregation over one column, from which partition counts follow."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"])

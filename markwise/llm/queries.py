@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .lines import LINES_SQL, drop_lines
 from .matroska import media_digests
+from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
 from .pii import find_pii
 from .quality import quality, quality_sql
+from .sentencepiece import decode, encode, piece_digests
 from .substrings import REPEATS_SQL, remove_repeats
 from .tokens import token_digests
 from .toxicity import toxicity
@@ -20,6 +22,8 @@ from .toxicity import toxicity
 #: The vocabulary file and end id of op5.
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
+#: The model of op10.
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +36,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -62,9 +70,15 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids (as little-endian 32-bit integers) and of the decoded text, of each whole text."""
+    path = vocabulary(PIECE_BPE)
+    return piece_digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql()}
+    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql()}
