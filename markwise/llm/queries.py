@@ -50,7 +50,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), END_ID)
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), END_ID, folds=True)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, utf8
+from .common import pieces, stored, utf8, worker_state
 
 MAGIC = b"MWTOKENS1"
 #: Bound of the sample that the dictionary is trained on, and of the dictionary.
@@ -35,40 +35,73 @@ SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 FILE_BYTES = 1 << 20
 LEVEL = 3
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, from task to task.
+REMEMBERED = 500_000
+
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizers file whose pieces never span ASCII white space.
 
     Such a text's ids are those of its words, one after the other, so each distinct word goes through the library once.
+    Where `folds`, the file lower-cases and cuts between letters or digits and marks, so a word's ids are those of its
+    lower-case stem and of the marks behind it.
     """
 
-    def __init__(self, path: str, end_id: int) -> None:
+    def __init__(self, path: str, end_id: int, folds: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.folds = folds
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """Stem and marks; the whole word where it can't be cut (an apostrophe, or a character that may join the marks)."""
+        if not self.folds or b"<|" in word:
+            return word, b""
+        word = word.lower()
+        stem = word.rstrip(_MARKS)
+        if not stem or stem[-1] >= 128 and not stem.decode()[-1].isalpha() or stem[-1] < 128 and not stem[-1:].isalnum():
+            return word, b""
+        return stem, word[len(stem) :]
+
+    def learn(self, words: set[bytes]) -> None:
+        cut = {w: self.parts(w) for w in words}
+        new = list({x for both in cut.values() for x in both if x}.difference(self.stems))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.stems[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, (stem, marks) in cut.items():
+            self.known[w] = self.stems[stem] + (self.stems[marks] if marks else b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The serialised ids of each text, with the end id."""
         split = [x.split() for x in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        words = set().union(*split)
+        if len(self.known) > REMEMBERED:  # what this run needs stays
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        if len(self.stems) > REMEMBERED:
+            own = {x for w in words for x in self.parts(w)}
+            self.stems = {x: self.stems[x] for x in own if x in self.stems}
+        self.learn(words.difference(self.known))
         ids = self.known.__getitem__
         return [b"".join(map(ids, words)) + self.end for words in split]
 
 
+def word_encoder(path: str, end_id: int, folds: bool) -> WordEncoder:
+    """The worker's encoder, with what it remembers."""
+    kept = worker_state().setdefault("encoders", {})
+    if (path, end_id, folds) not in kept:
+        kept[path, end_id, folds] = WordEncoder(path, end_id, folds)
+    return kept[path, end_id, folds]
+
+
 def train_dictionary(samples: list[bytes]) -> bytes:
     """Empty where the samples are too few or too alike to train on."""
     try:
@@ -150,7 +183,7 @@ class TokenTable:
         return self.files.select("part", "before", "file").mapInArrow(run, schema)
 
 
-def write_tokens(df: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> TokenTable:
+def write_tokens(df: DataFrame, path: str, end_id: int, folds: bool = False, text: str = "text", key: str = "doc_id") -> TokenTable:
     """Encodes every text with the tokenizers file at path (the same on each executor) and writes the token files."""
     rows = df.select(df[key].cast("long").alias("_key"), F.col(text).alias("_text"))
     sample, size = [], 0
@@ -158,11 +191,14 @@ def write_tokens(df: DataFrame, path: str, end_id: int, text: str = "text", key:
         if size + len(r["_text"]) <= SAMPLE_BYTES:
             sample.append(r["_text"].encode())
             size += len(sample[-1])
-    dictionary = train_dictionary(WordEncoder(path, end_id).encode(sample))
+    dictionary = train_dictionary(WordEncoder(path, end_id, folds).encode(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_as_dictionary(dictionary))
+        encoder = word_encoder(path, end_id, folds)
+        shared = _as_dictionary(dictionary)
+        if shared:
+            shared.precompute_compress(LEVEL)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         digest, width, part = hashlib.sha256(dictionary).digest(), encoder.dtype.itemsize, TaskContext.get().partitionId()
         before = 0
         keys: list[int | None] = []
@@ -190,6 +226,6 @@ def write_tokens(df: DataFrame, path: str, end_id: int, text: str = "text", key:
     return TokenTable(stored(ordered.mapInArrow(run, "part int, before long, n_tokens long, file binary"), "token-files", **{"parquet.block.size": str(16 << 20)}), dictionary, key)
 
 
-def token_digests(df: DataFrame, path: str, end_id: int) -> DataFrame:
+def token_digests(df: DataFrame, path: str, end_id: int, folds: bool = False) -> DataFrame:
     crc = lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),)
-    return write_tokens(df, path, end_id).read(crc, ("ids_crc32",), ("long",), (pa.int64(),))
+    return write_tokens(df, path, end_id, folds).read(crc, ("ids_crc32",), ("long",), (pa.int64(),))
