@@ -3,9 +3,9 @@
 Equal shingle sets collapse into a class first, so copies cost nothing further. Classes get MinHash coordinates. Each of
 TREES independent trees branches the classes by one coordinate, its token of least hash, and nodes with more than
 LEAF members by the next, DEPTH times at most. Nodes of LEAF members or fewer are compared exhaustively by sketches; a
-larger node at full depth, whose members share DEPTH minwise tokens, is compared with its first member. Candidates are
-confirmed on full shingle sets, in two rounds: first those with a node's first member, then those that join different
-components. A pair of similarity s meets in a tree with probability s^depth, so TREES trees miss one of 0.85 at full
+larger node at full depth, whose members share DEPTH minwise tokens, is compared with its first member, and those that
+are not in that one's component with all others, in blocks. Candidates are confirmed on full shingle sets, in two rounds:
+first those with a node's first member, then those that join different components. A pair of similarity s meets in a tree with probability s^depth, so TREES trees miss one of 0.85 at full
 depth with probability (1 - 0.85^4)^16 < 1e-5. Links and components stay distributed.
 
 Defined results: a null or empty text has no set (n_shingles 0), links with nothing and is its own component; a text of
@@ -28,6 +28,7 @@ from .common import mix64, pieces, stored, utf8, window_hashes, word_hashes
 TREES = 16
 DEPTH = 4
 LEAF = 32
+BLOCK = 512
 SKETCH = 64
 #: A pair of similarity t agrees in fewer than SKETCH * t - SLACK sketch bytes about once in 30,000 pairs.
 SLACK = 11.4
@@ -97,7 +98,7 @@ def signatures(df: DataFrame, text: str, key: str, k: int) -> DataFrame:
 
 
 def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, fp) of nodes to compare exhaustively, and (first, fp) of those left at full depth."""
+    """(node, fp) of nodes to compare exhaustively, and (node, n, first, fp) of those left at full depth."""
     paths = classes.select("fp", "coords", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     now = paths.select("fp", F.xxhash64("tree", F.get("coords", F.col("tree") * DEPTH)).alias("node"), F.slice("coords", F.col("tree") * DEPTH + 1, DEPTH).alias("path"))
     leaves, full = None, None
@@ -110,11 +111,11 @@ def tree_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         large = here.where(F.col("n") > LEAF)
         if depth == DEPTH:
-            full = large.where(F.col("fp") != F.col("first")).select("first", "fp")
+            full = stored(large.select("node", "n", "first", "fp"), "near-full")
         else:
             now = stored(large.select("fp", F.xxhash64("node", F.get("path", F.lit(depth))).alias("node"), "path"), "near-nodes")
     if full is None:
-        full = classes.sparkSession.createDataFrame([], "first binary, fp binary")
+        full = classes.sparkSession.createDataFrame([], "node long, n long, first binary, fp binary")
     return leaves, full
 
 
@@ -150,6 +151,39 @@ def leaf_pairs(leaves: DataFrame, classes: DataFrame, least: float) -> DataFrame
     return found.groupBy("a", "b").agg(F.min("round").alias("round"))
 
 
+def apart(full: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b): members of full-depth nodes that are not in the first member's component, with members of other components.
+
+    Those few are a stated set of queries; a node's members meet them in blocks of about BLOCK, so a node of any size is
+    spread over tasks. Sizes and sketches must allow the similarity.
+    """
+    agree = int(SKETCH * least - SLACK)
+    own = labels.select(F.col("node").alias("fp"), "root")
+    first = labels.select(F.col("node").alias("first"), F.col("root").alias("root_first"))
+    members = full.join(own, "fp", "left").join(first, "first", "left").withColumns({"root": F.coalesce("root", "fp"), "root_first": F.coalesce("root_first", "first"), "blocks": F.ceil(F.col("n") / BLOCK)})
+    members = stored(members.select("node", "fp", "root", "blocks", (F.col("root") != F.col("root_first")).alias("apart")), "near-members")
+    nodes = members.where("apart").select("node").distinct()
+    known = members.join(nodes, "node", "left_semi").join(classes.select("fp", "n_shingles", "sketch"), "fp")
+    blocked = known.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    asked = known.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple[bytes, bytes]] = []
+        if queries.num_rows and rows.num_rows:
+            q, r = ([bytes(x) for x in t["fp"].to_pylist()] for t in (queries, rows))
+            sketch = [np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH) for t in (queries, rows)]
+            sizes = [t["n_shingles"].to_numpy().astype(float) for t in (queries, rows)]
+            roots = rows["root"].to_pylist()
+            for i, root in enumerate(queries["root"].to_pylist()):
+                fit = ((sketch[1] == sketch[0][i]).sum(1) >= agree) & (np.minimum(sizes[1], sizes[0][i]) >= least * np.maximum(sizes[1], sizes[0][i]) - 1e-9)
+                out += [(q[i], r[j]) for j in np.flatnonzero(fit) if roots[j] != root]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in ("node", "block", "fp", "root", "n_shingles", "sketch")])
+    asked, blocked = anew(asked), anew(blocked)
+    return asked.groupBy("node", "block").cogroup(blocked.groupBy("node", "block")).applyInArrow(meet, "a binary, b binary")
+
+
 def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], ["a", "b", "round"])
 
@@ -201,7 +235,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", k: i
     own = stored(signatures(df, text, key, k), "near-signatures")
     classes = stored(own.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch")), "near-classes")
     leaves, full = tree_nodes(classes)
-    found = leaf_pairs(leaves, classes, percent / 100).unionByName(full.select(F.col("first").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("round")).distinct())
+    found = leaf_pairs(leaves, classes, percent / 100).unionByName(full.where(F.col("fp") != F.col("first")).select(F.col("first").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("round")).distinct())
     pairs = stored(found, "near-pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "key"), "fp"), "near-wanted")
     sets = stored(full_sets(df, text, key, k, wanted).dropDuplicates(["fp"]), "near-sets")
@@ -210,6 +244,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", k: i
     at = lambda side: labels.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = pairs.where("round = 2").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.where(F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    if not full.isEmpty():
+        rest = rest.union(apart(full, classes, labels, percent / 100)).distinct()
     more = stored(confirmed(rest, sets, percent), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
