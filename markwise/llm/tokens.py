@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ DICTIONARY_BYTES = 64 << 10
 FILE_BYTES = 1 << 20
 LEVEL = 3
 #: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -45,20 +47,26 @@ class WordEncoder:
     """Ids of whole texts from a tokenizers file whose pieces never span ASCII white space.
 
     Such a text's ids are those of its words, one after the other, so each distinct word goes through the library once.
-    Where `folds`, the file lower-cases and cuts between letters or digits and marks, so a word's ids are those of its
-    lower-case stem and of the marks behind it.
+    Where `folds`, the file is a byte-level BPE that lower-cases and cuts between letters or digits and marks: a word's ids
+    are those of its lower-case stem and of the marks behind it, and a stem of small Latin letters, which normalising and
+    cutting leave as it is, goes straight to the library's BPE model.
     """
 
     def __init__(self, path: str, end_id: int, folds: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.folds = folds
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.kind).itemsize
+        self.end = array(self.kind, [end_id]).tobytes()
         self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c == c.lower() and unicodedata.is_normalized("NFC", c)] if folds else []
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self.spelled = frozenset(letters)
 
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
         """Stem and marks; the whole word where it can't be cut (an apostrophe, or a character that may join the marks)."""
@@ -71,27 +79,40 @@ class WordEncoder:
         return stem, word[len(stem) :]
 
     def learn(self, words: set[bytes]) -> None:
-        cut = {w: self.parts(w) for w in words}
-        new = list({x for both in cut.values() for x in both if x}.difference(self.stems))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        known, rest, cut = self.known, set(), []
+        for w in words:
+            stem, marks = (w, b"") if self.folds and w.isalpha() and w.islower() else self.parts(w)
+            if marks and marks not in known:
+                rest.add(marks)
+            if stem not in known:
+                s = stem.decode()
+                if self.spelled.issuperset(s):
+                    known[stem] = array(self.kind, [t.id for t in self.model.tokenize(s if s.isascii() else s.translate(self.letters))]).tobytes()
+                else:
+                    rest.add(stem)
+            if stem != w:
+                cut.append((w, stem, marks))
+        own = list(rest)
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.stems[w] = np.array(e.ids, self.dtype).tobytes()
-        for w, (stem, marks) in cut.items():
-            self.known[w] = self.stems[stem] + (self.stems[marks] if marks else b"")
+                known[w] = array(self.kind, e.ids).tobytes()
+        for w, stem, marks in cut:
+            known[w] = known[stem] + known[marks] if marks else known[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The serialised ids of each text, with the end id."""
+        if len(self.known) > REMEMBERED:  # words of this run that are known stay
+            self.known = {w: self.known[w] for w in set().union(*(x.split() for x in texts)) if w in self.known}
         split = [x.split() for x in texts]
-        words = set().union(*split)
-        if len(self.known) > REMEMBERED:  # what this run needs stays
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        if len(self.stems) > REMEMBERED:
-            own = {x for w in words for x in self.parts(w)}
-            self.stems = {x: self.stems[x] for x in own if x in self.stems}
-        self.learn(words.difference(self.known))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) + self.end for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
+            self.learn(new)
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids[:] = [self.known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return [b"".join(ids) + self.end for ids in found]
 
 
 def word_encoder(path: str, end_id: int, folds: bool) -> WordEncoder:
@@ -199,7 +220,7 @@ def write_tokens(df: DataFrame, path: str, end_id: int, folds: bool = False, tex
         if shared:
             shared.precompute_compress(LEVEL)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        digest, width, part = hashlib.sha256(dictionary).digest(), encoder.dtype.itemsize, TaskContext.get().partitionId()
+        digest, width, part = hashlib.sha256(dictionary).digest(), encoder.width, TaskContext.get().partitionId()
         before = 0
         keys: list[int | None] = []
         ids: list[bytes] = []
