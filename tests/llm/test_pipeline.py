@@ -1,6 +1,7 @@
 """The stages' order and effects, on a small table."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from markwise.llm.common import table
@@ -8,6 +9,12 @@ from markwise.llm.common import table
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """With enough labels to learn from."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     docs, out = table(spark, sf, "documents"), []
@@ -37,3 +44,33 @@ def test_each_stage(stages, spark, sf):
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[-1][2].count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+ROWS = [(0, None, None, None, None), (None, "a b c", "en", "s", 5), (2, "", "en", None, 0), (3, "x" * 2000, "en", "s", None), (3, "x" * 2000, "en", "s", None), (5, "word " * 3000, None, "t", 1), (6, "A\nb\nA", "en", "s", 5)]
+CLASHING = ("score", "_score", "n_lines", "n_dropped", "copy", "n_copies", "mix_key", "chunk", "key", "node", "fp", "root", "piece_ids", "removed", "n_words", "kept", "component_id")
+
+
+def odd(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_odd_rows_and_empty_tables(spark, sf, name, stage):
+    """Nulls in any column, empty and long texts, repeated rows; no row is lost but by the stage's own decision."""
+    docs = odd(spark)
+    got = stage(spark, docs, sf)
+    assert set(COLUMNS) <= set(got.columns)
+    n = got.count()
+    assert n == (len(ROWS) if name in ("line_dedup", "sentencepiece", "toxicity", "near_dedup") else n)
+    assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_clashing_columns(spark, sf, name, stage):
+    docs = odd(spark).select("*", *[F.lit("mine").alias(c) for c in CLASHING])
+    got = stage(spark, docs, sf)
+    got.collect()
+    assert set(COLUMNS) <= set(got.columns) and "lang" in got.columns
+    kept = [c for c in CLASHING if c in got.columns and dict(got.dtypes)[c] == "string"]
+    assert {"root", "node", "fp", "key", "chunk"} <= set(kept)
+    assert all(r[c] == "mine" for r in got.select(*kept).collect() for c in kept)
