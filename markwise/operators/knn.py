@@ -150,3 +150,14 @@ def nearest_by_cells(queries: DataFrame, database: DataFrame, k: int, model, pro
     b = database.select(F.col("global_idx").cast("long"), F.col("d").cast("array<double>").alias("d")).mapInPandas(place(1), "global_idx long, d array<double>, cell long")
     pairs = q.withColumnRenamed("d", "_q").join(b, "cell").select("qid", "global_idx", squared_l2("_q", "d").alias("d2"))
     return pairs.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy("d2", "global_idx"))).where(F.col("rank") <= k)
+
+
+def near_by_projections(queries: DataFrame, database: DataFrame, most: float, bucket: float = 1.0, tables: int = 4, seed: int = 1) -> DataFrame:
+    """Approximate: (qid, global_idx, distance) of pairs that share a bucket of random projections and are at most `most` apart."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    vector = lambda df, key: df.select(key, array_to_vector(F.transform("d", lambda x: x.cast("double"))).alias("v"))
+    q, b = vector(queries, "qid"), vector(database, "global_idx")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
+    return model.approxSimilarityJoin(q, b, most, "distance").select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.global_idx").alias("global_idx"), "distance")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markwise.functions import geometry, names, vectors
-from markwise.operators import features, knn, matching, orient, progress, results, ruler, verify
+from markwise.operators import features, images, knn, matching, orient, progress, results, ruler, verify
 from markwise.operators import pixels as px
 
 from . import surrogates as s
@@ -104,6 +104,12 @@ r AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS second FROM n
 m AS (SELECT query_id, match_id, query_idx, local_idx AS train_idx, distance FROM r WHERE r = 1 AND distance < second * 0.75::DOUBLE) """
 
 
+@query()
+def lsh_join(spark, sf):
+    """Second sightings joined to the database by random projections, at most 0.5 apart."""
+    return rounded(knn.near_by_projections(s.resight(spark, sf), s.descriptors(spark, sf), 0.5), "distance")
+
+
 @query(_RATIO + "SELECT query_id, match_id, query_idx, train_idx, round(distance, 6) AS distance FROM m")
 def ratio_test_matches(spark, sf):
     return rounded(matching.ratio_matches(s.resight(spark, sf), s.descriptors(spark, sf)), "distance")
@@ -363,6 +369,25 @@ def gray_levels(spark, sf):
     return rounded(s.pixels(spark, sf).select("image_id", "x", "y", geometry.gray(v * 2, v, F.lit(255) - v).alias("gray"), geometry.darkness(v).alias("darkness")), "gray", "darkness")
 
 
+@query()
+def largest_component(spark, sf):
+    return images.largest_components(s.pixels(spark, sf).where("(x + y) % 3 = 0"))
+
+
+@query(WITH("pixels") + "SELECT image_id, x, y, round(48 + (x - 48) * cos(radians(30)) + (y - 30) * sin(radians(30)), 6) AS rx, round(30 - (x - 48) * sin(radians(30)) + (y - 30) * cos(radians(30)), 6) AS ry FROM pixels")
+def rotate_points(spark, sf):
+    """Pixels turned by 30 degrees around a center."""
+    at = (F.col("x"), F.col("y"), F.lit(48), F.lit(30), F.lit(30.0))
+    return rounded(s.pixels(spark, sf).select("image_id", "x", "y", geometry.rotate_x(*at).alias("rx"), geometry.rotate_y(*at).alias("ry")), "rx", "ry")
+
+
+@query(WITH("pixels") + ", m AS (SELECT image_id, count(*) AS area, (max(x) - min(x) + max(y) - min(y)) * 2 AS around FROM pixels GROUP BY image_id) SELECT image_id, round(4 * pi() * area / (around * around), 6) AS circularity FROM m")
+def box_circularity(spark, sf):
+    m = px.moments(s.pixels(spark, sf))
+    around = (F.col("x_max") - F.col("x_min") + F.col("y_max") - F.col("y_min")) * 2
+    return rounded(m.select("image_id", geometry.circularity(F.col("area"), around).alias("circularity")), "circularity")
+
+
 @query(WITH("pixels") + "SELECT image_id, round(quantile_cont(v, 0.15), 6) AS dark FROM pixels GROUP BY image_id")
 def dark_threshold(spark, sf):
     return rounded(s.pixels(spark, sf).groupBy("image_id").agg(F.percentile("v", 0.15).alias("dark")), "dark")
