@@ -4,7 +4,7 @@ toxicity        documents that score 0.5 or more go
 line_dedup      lines whose key is in ten documents or more go
 near_dedup      of each component of near duplicates (five words, 0.8) the smallest doc_id stays
 mixing          sources are replicated to equal weights and shuffled
-sentencepiece   the last stage: documents with piece ids and the text decoded from them
+sentencepiece   the last stage: documents with piece ids, and whether they decode to the text
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from markwise.llm.lines import drop_lines
 from markwise.llm.mixing import mix
 from markwise.llm.neardup import near_duplicates
 from markwise.llm.queries import PIECE_BPE, vocabulary
-from markwise.llm.sentencepiece import decode, encode
+from markwise.llm.sentencepiece import encode
 from markwise.llm.toxicity import train, with_scores
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,9 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, piece_ids, and whether they decode to the text."""
-    path = vocabulary(PIECE_BPE)
-    decoded = decode(encode(docs, path), path, text="_decoded")
-    return decoded.withColumn("round_trip", F.col("_decoded") == F.coalesce("text", F.lit(""))).drop("_decoded")
+    return encode(docs, vocabulary(PIECE_BPE), check="round_trip")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]

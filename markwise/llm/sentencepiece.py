@@ -15,6 +15,7 @@ rows don't matter; an empty table gives an empty result. Extra columns pass thro
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .common import pieces, utf8
 
 SPACE = "▁"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 LONG = 256
 #: What a character without a piece costs below the worst piece.
 UNKNOWN = 10.0
@@ -95,22 +96,29 @@ def best_path(word: str, vocabulary: tuple[dict[str, tuple[int, float]], list[in
 
 def lattice(words: DataFrame, table: DataFrame, longest: int, unknown: float, byte_ids: list[int]) -> DataFrame:
     """(word, ids) of distinct words. No exchange, if words are partitioned by word."""
-    size = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - s + 1)), lambda n: F.struct((s - 1).alias("start"), (s + n - 1).alias("end"), F.substr("word", s, n).alias("piece")))))
-    exploded = words.select("word", F.explode(spans).alias("e")).select("word", "e.start", "e.end", "e.piece")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    reach = F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.length("word"))))
+    exploded = starts.select("word", "start", reach.alias("end")).withColumn("piece", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
     edges = exploded.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
     edge = F.struct("end", "start", F.coalesce("id", -F.col("start") - 1).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
-    nothing = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    path = "struct<end: int, score: double, ids: array<int>>"
+    nothing = F.struct(F.array().cast(f"array<{path}>").alias("done"), F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).alias("last"))
 
-    def grow(state, end):
-        into = F.filter("edges", lambda x: x["end"] == end)
-        reached = F.transform(into, lambda x: F.struct((F.get(state, x["start"])["score"] + x["score"]).alias("score"), (-x["start"]).alias("tie"), x["id"].alias("id")))
-        best = F.transform(F.array(F.array_max(reached)), lambda b: F.struct(b["score"].alias("score"), F.concat(F.get(state, -b["tie"])["ids"], F.array(b["id"])).alias("ids")))
-        return F.concat(state, best)
+    def step(state, edge):
+        """Edges come by end, then start. done: the best paths to each earlier place; last: the best so far to this one."""
+        same = edge["end"] == state["last"]["end"]
+        done = F.when(same, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"])))
 
-    path = F.element_at(F.aggregate(F.sequence(F.lit(1), size), nothing, grow), -1)["ids"]
-    found = grouped.select("word", path.alias("ids"))
+        def extend(known):
+            start = F.get(known, edge["start"])
+            score = start["score"] + edge["score"]
+            better = F.struct(edge["end"].alias("end"), score.alias("score"), F.concat(start["ids"], F.array(edge["id"])).alias("ids"))
+            return F.struct(known.alias("done"), F.when(same & (score <= state["last"]["score"]), state["last"]).otherwise(better).alias("last"))
+
+        return F.get(F.transform(F.array(done), extend), F.lit(0))
+
+    found = grouped.select("word", F.aggregate("edges", nothing, step, lambda state: state["last"]["ids"]).alias("ids"))
 
     def as_bytes(place):
         code = F.hex(F.encode(F.substr("word", -place, F.lit(1)), "UTF-8"))
@@ -120,14 +128,17 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, unknown: float, by
     return found.select("word", F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
-    """df and the piece ids of each whole text."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None) -> DataFrame:
+    """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text."""
     spark = df.sparkSession
     v = Vocabulary(path)
     shared = spark.sparkContext.broadcast((v.pieces, v.byte_ids, v.longest, v.unknown))
     cut = v.cut
-    names = [c for c in df.columns if c != ids]
+    names = [c for c in df.columns if c not in (ids, check)]
     schema = T.StructType([df.schema[c] for c in names]).add(ids, T.ArrayType(T.IntegerType()))
+    spelled = spark.sparkContext.broadcast(piece_bytes(v)) if check else None
+    if check:
+        schema = schema.add(check, T.BooleanType())
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
@@ -159,22 +170,31 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids")
         data = [b"".join(map(get, words)) for words in split]
         offsets = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
         values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(data))])
-        return pa.table([*(rows[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*names, ids])
+        out = pa.table([*(rows[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*names, ids])
+        if check:
+            spell = spelled.value.__getitem__
+            same = [b"".join(map(spell, np.frombuffer(x, "<i4").tolist()))[1:] == t for x, t in zip(data, utf8(rows[text].combine_chunks()), strict=True)]
+            out = out.append_column(check, pa.array(same, pa.bool_()))
+        return out
 
     chunks = df.select(*names).mapInArrow(chunked, "chunk long, rows binary")
     words = chunks.groupBy("chunk").applyInArrow(distinct, "chunk long, word string").repartition("word")
-    found = lattice(words.select("word").distinct(), v.table(spark), v.longest, v.unknown, v.byte_ids)
+    found = lattice(words.groupBy("word").agg(F.max("chunk").alias("_")).select("word", F.col("_").isNotNull().alias("_")).where("_").select("word"), v.table(spark), v.longest, v.unknown, v.byte_ids)
     answers = words.join(found, "word").select("chunk", "word", "ids")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 
 
+def piece_bytes(v: Vocabulary) -> list[bytes]:
+    """The bytes that each id stands for."""
+    out = [x.replace(SPACE, " ").encode() if x in v.pieces else b"" for x in v.texts]
+    for b, i in enumerate(v.byte_ids):
+        out[i] = bytes([b])
+    return out
+
+
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """df and the text of each row's ids; ids that give no valid UTF-8 decode with replacement characters, null to null."""
-    v = Vocabulary(path)
-    pieces_of = [x.replace(SPACE, " ").encode() if x in v.pieces else b"" for x in v.texts]
-    for b, i in enumerate(v.byte_ids):
-        pieces_of[i] = bytes([b])
-    shared = df.sparkSession.sparkContext.broadcast(pieces_of)
+    shared = df.sparkSession.sparkContext.broadcast(piece_bytes(Vocabulary(path)))
     names = [c for c in df.columns if c != text]
     schema = T.StructType([df.schema[c] for c in names]).add(text, T.StringType())
 
@@ -188,13 +208,19 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
     return df.mapInArrow(run, schema)
 
 
-def piece_digests(df: DataFrame, key: str = "doc_id", ids: str = "piece_ids", text: str = "text", decoded: str = "decoded") -> DataFrame:
+def piece_digests(df: DataFrame, path: str, key: str = "doc_id", ids: str = "piece_ids", text: str = "text") -> DataFrame:
     """key, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256 and round_trip."""
+    shared = df.sparkSession.sparkContext.broadcast(piece_bytes(Vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.__getitem__
         for batch in batches:
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1)], pa.int64()), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)], [key, "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    own = df.select(key, ids, F.sha2(decoded, 256).alias("_sha"), (F.col(decoded) == F.coalesce(F.col(text), F.lit(""))).alias("_same"))
-    return own.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+            rows = []
+            for x, t in zip(batch.column(1), utf8(batch.column(2)), strict=True):
+                own = x.values.to_numpy(zero_copy_only=False)
+                back = b"".join(map(get, own.tolist()))[1:]
+                rows.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), hashlib.sha256(back).hexdigest(), back == t))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [key, "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    return df.select(key, ids, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
