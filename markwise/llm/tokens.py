@@ -37,12 +37,35 @@ SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 FILE_BYTES = 1 << 20
 LEVEL = 3
-#: Words whose ids a worker remembers, from task to task.
-REMEMBERED = 700_000
+#: Words of a generation that a worker remembers, from task to task; there are two.
+REMEMBERED = 500_000
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class Memo(dict):
+    """Ids of words. A word that is only in the older generation comes over when asked for; unknown ones are noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
+        self.wanted: set[bytes] = set()
+        self.misses = 0
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        ids = self.old.get(word)
+        if ids is None:
+            self.wanted.add(word)
+            self.misses += 1
+        else:
+            self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizers file whose pieces never span ASCII white space.
 
@@ -62,7 +85,7 @@ class WordEncoder:
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
         self.end = array(self.kind, [end_id]).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memo()
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c == c.lower() and unicodedata.is_normalized("NFC", c)] if folds else []
         self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
@@ -80,11 +103,12 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         known, rest, cut = self.known, set(), []
+        new = lambda x: x not in known and (x not in known.old or known.__missing__(x) is None)
         for w in words:
             stem, marks = (w, b"") if self.folds and w.isalpha() and w.islower() else self.parts(w)
-            if marks and marks not in known:
+            if marks and new(marks):
                 rest.add(marks)
-            if stem not in known:
+            if new(stem):
                 s = stem.decode()
                 if self.spelled.issuperset(s):
                     known[stem] = array(self.kind, [t.id for t in self.model.tokenize(s if s.isascii() else s.translate(self.letters))]).tobytes()
@@ -102,16 +126,20 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The serialised ids of each text, with the end id."""
-        if len(self.known) > REMEMBERED:  # words of this run that are known stay
-            self.known = {w: self.known[w] for w in set().union(*(x.split() for x in texts)) if w in self.known}
-        split = [x.split() for x in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
-        if new:
-            self.learn(new)
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids[:] = [self.known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.age()
+        split, found, again = [x.split() for x in texts], [], []
+        for i, words in enumerate(split):
+            before = known.misses
+            found.append(list(map(known.__getitem__, words)))
+            if known.misses > before:
+                again.append(i)
+        if again:
+            wanted, known.wanted = known.wanted, set()
+            self.learn(wanted)
+            for i in again:
+                found[i] = [known[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
         return [b"".join(ids) + self.end for ids in found]
 
 
