@@ -29,6 +29,8 @@ BUCKETS = 1 << 20
 TERMS = 6_000
 FACTORS = 8
 EPOCHS = 30
+#: Text that is hashed at a time: each word makes up to six terms, so a worker holds about 40 times as many bytes.
+PIECE_BYTES = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_Z = 3.0
 DECAY = 1e-2
@@ -167,7 +169,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "_text", PIECE_BYTES):
                 rows, buckets = _distinct(*term_buckets(utf8(part.column(2))), BUCKETS)
                 cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["_key", "_y", "_terms"])
@@ -189,7 +191,7 @@ def with_scores(df: DataFrame, fm: FactorizationMachine, text: str = "text", sco
         model = FactorizationMachine(*shared.value)
         places = model.places()
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, PIECE_BYTES):
                 column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
                 rows, buckets = term_buckets(utf8(column(text)))
                 at = places[buckets]
