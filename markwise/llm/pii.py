@@ -93,7 +93,8 @@ _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
 _AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}", re.IGNORECASE)
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.IGNORECASE)
 _AT_WORD = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.IGNORECASE)
-_SUSPECT = re.compile(rf"[\[({{<][\x20]?(?:at|@|dot|\.)[\x20]?[\])}}>]|\x20dot\x20|\b(?:{_NAME})\b[\x20,.-]{{1,3}}(?:{_NAME}|[0-9])\b", re.IGNORECASE)
+#: Whatever a transducer rewrites holds a match of this: a disguised at or dot, or a spelled digit next to another digit.
+_SUSPECT = re.compile(rf"[\[({{<][\x20]?(?:at|@|dot|\.)[\x20]?[\])}}>]|\x20dot\x20|{_AT_WORD.pattern}|\b(?:{_NAME})[\x20,.-]{{1,3}}(?:(?:{_NAME})\b|[0-9])|[0-9][\x20,.-]{{1,3}}(?:{_NAME})\b", re.IGNORECASE)
 
 
 class Normal:

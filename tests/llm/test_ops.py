@@ -310,6 +310,21 @@ def test_disguises(text, found):
     assert found in [text[s:e] for _, s, e in every]
 
 
+@pytest.mark.parametrize("text,found", [("mail jo at site.org now", "jo at site.org"), ("mail john.doe at example.com now", "john.doe at example.com"), ("call +one 23 four 56 seven 89 zero 12 three now", "+one 23 four 56 seven 89 zero 12 three"), ("call +4 11 five 22 six 33 seven 44 now", "+4 11 five 22 six 33 seven 44")])
+def test_a_single_disguise_is_enough(text, found):
+    base, every = pii.all_spans(text)
+    assert base == [] and [text[s:e] for _, s, e in every] == [found]
+
+
+def test_gate_lets_through_what_is_rewritten():
+    r = random.Random(7)
+    parts = [" at ", "(at)", "[ @ ]", " dot ", "<.>", "site.org", "jo", "a", "one", "Seven", "oh", "4", "55", " ", " ", ", ", "-", ".", "+", "plus "]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        found = [p.search(text) for p in (pii._DOT, pii._AT, pii._AT_WORD)] + [m for m in pii._SPELLED_RUN.finditer(text) if pii._SPELLED_ONE.search(m[0])]
+        assert not any(found) or pii._SUSPECT.search(text), text
+
+
 def test_clean_text_has_no_spans():
     assert pii.all_spans("He was at home. One two three. The dot [at] most; см. там же 5 of 7") [1] == []
 
