@@ -86,7 +86,9 @@ _GLYPH = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + "]")
 # Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAME = "|".join(SPELLED)
-_SPELLED_RUN = re.compile(rf"\b(?:{_NAME}|[0-9])(?:[\x20,.-]{{1,3}}(?:{_NAME}|[0-9]+)\b){{6,}}", re.IGNORECASE)
+#: Digits in a row, in figures or spelled. The shortest identifier, an IP, has MIN_DIGITS; the detectors judge the rest.
+_SPELLED_RUN = re.compile(rf"\b(?:{_NAME}|[0-9]+)(?:[\x20,.-]{{1,3}}(?:{_NAME}|[0-9]+)\b)+", re.IGNORECASE)
+MIN_DIGITS = 4
 _SPELLED_ONE = re.compile(rf"\b(?:{_NAME})\b", re.IGNORECASE)
 _PLUS = re.compile(r"\bplus[\x20]+(?=[0-9])", re.IGNORECASE)
 _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
@@ -151,6 +153,12 @@ class Normal:
         self.text = "".join(parts)
 
 
+def _spelled(run: str) -> bool:
+    """Whether some digit of the run is spelled, and the run has enough digits for an identifier."""
+    n = len(_SPELLED_ONE.findall(run))
+    return n > 0 and n + len(_digits(run)) >= MIN_DIGITS
+
+
 def normalise(text: str) -> Normal | None:
     """The rewritten text, or None if nothing in it looks disguised."""
     glyphs = not text.isascii() and _GLYPH.search(text)
@@ -160,7 +168,7 @@ def normalise(text: str) -> Normal | None:
     out.rewrite(_DOT, lambda m: ".")
     out.rewrite(_AT, lambda m: "@")
     out.rewrite(_AT_WORD, lambda m: "@")
-    if runs := [m.span() for m in _SPELLED_RUN.finditer(out.text)]:
+    if runs := [m.span() for m in _SPELLED_RUN.finditer(out.text) if _spelled(m[0])]:
         out.rewrite(_SPELLED_ONE, lambda m: SPELLED[m[0].lower()], runs)
         out.rewrite(_PLUS, lambda m: "+")
     return out if out.text != text else None

@@ -316,6 +316,16 @@ def test_a_single_disguise_is_enough(text, found):
     assert base == [] and [text[s:e] for _, s, e in every] == [found]
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    ("card 4111 1111 1111 one one one one now", "card", "4111 1111 1111 one one one one"), ("card four one 11 1111 1111 1111 now", "card", "four one 11 1111 1111 1111"),
+    ("call +1 415 five five five 0199 now", "phone", "+1 415 five five five 0199"), ("call plus 1 415 555 019 nine now", "phone", "plus 1 415 555 019 nine"),
+    ("call +1 (415) five five five 0199 now", "phone", "+1 (415) five five five 0199"), ("ip 10.zero.zero.one now", "ip", "10.zero.zero.one"),
+])
+def test_partly_spelled(text, kind, found):
+    _, every = pii.all_spans(text)
+    assert found in [text[s:e] for k, s, e in every if k == kind]
+
+
 def test_gate_lets_through_what_is_rewritten():
     r = random.Random(7)
     parts = [" at ", "(at)", "[ @ ]", " dot ", "<.>", "site.org", "jo", "a", "one", "Seven", "oh", "4", "55", " ", " ", ", ", "-", ".", "+", "plus "]
