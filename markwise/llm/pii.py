@@ -175,7 +175,7 @@ def normalise(text: str) -> Normal | None:
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: those and what only the normalised text shows, where no base span of the kind is."""
+    """Base spans, and all spans: those and what only the normalised text shows, unless one base span of the kind covers it."""
     base = base_spans(text)
     normal = normalise(text)
     if normal is None:
@@ -185,7 +185,8 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
         own = [(s, e) for kind, s, e in base if kind == k]
         for a, b in DETECTORS[k](normal.text):
             s, e = normal.span(a)[0], normal.span(b - 1)[1]
-            if not any(s < y and x < e for x, y in own) and text[s:e] != normal.text[a:b]:
+            i = bisect_right(own, (s, len(text))) - 1  # base spans of a kind don't overlap: only the last one that begins by s can cover it
+            if not (i >= 0 and own[i][1] >= e) and text[s:e] != normal.text[a:b]:
                 added.append((k, s, e))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

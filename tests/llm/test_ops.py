@@ -326,6 +326,20 @@ def test_partly_spelled(text, kind, found):
     assert found in [text[s:e] for k, s, e in every if k == kind]
 
 
+@pytest.mark.parametrize("text,own,longer", [
+    ("mail john [dot] smith@example.com now", "smith@example.com", "john [dot] smith@example.com"), ("mail jo@sub.site [dot] org now", "jo@sub.site", "jo@sub.site [dot] org"),
+    ("call +1 (415) 555-019 nine now", "+1 (415) 555-019", "+1 (415) 555-019 nine"),
+])
+def test_a_longer_span_stands_beside_the_base_span(text, own, longer):
+    base, every = pii.all_spans(text)
+    assert [text[s:e] for _, s, e in base] == [own] and sorted(text[s:e] for _, s, e in every) == sorted([own, longer])
+
+
+def test_a_covered_span_is_not_added():
+    base, every = pii.all_spans("mail one.two.three.four@example.com, jo (at) site.org")
+    assert [x for x in every if x[0] == "email" and x not in base] == [("email", 37, 53)]
+
+
 def test_gate_lets_through_what_is_rewritten():
     r = random.Random(7)
     parts = [" at ", "(at)", "[ @ ]", " dot ", "<.>", "site.org", "jo", "a", "one", "Seven", "oh", "4", "55", " ", " ", ", ", "-", ".", "+", "plus "]
