@@ -2,7 +2,7 @@
 
 toxicity        documents that score 0.5 or more go
 line_dedup      lines whose key is in ten documents or more go
-near_dedup      of each component of near duplicates (five words, 0.8) the smallest doc_id stays
+near_dedup      of each component of near duplicates (five words, 0.8) the one row of smallest (doc_id, text, other columns) stays
 mixing          sources are replicated to equal weights and shuffled
 sentencepiece   the last stage: documents with piece ids, and whether they decode to the text
 """
@@ -36,9 +36,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat a doc_id stay or go together."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Rows are judged one by one, whatever doc_ids they repeat; a null doc_id is larger than any other, a text without words stays.
+
+    Until a doc_id repeats inside a component, rows are known by a 64-bit hash of doc_id and text: two of n rows share one
+    with probability n^2 / 2^65.
+    """
+    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    verdict = near_duplicates(own.select("_row", "text"), key="_row").where("n_shingles > 0")
+    verdict = stored(verdict.select("_row", F.col("component_id").alias("_component")).distinct(), "near-verdict")
+    ids = own.select("_row", "doc_id").join(verdict, "_row").groupBy("_component", "doc_id").agg(F.count("*").alias("n"), F.min("_row").alias("_row"))
+    least = ids.groupBy("_component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n", "_row")).alias("least")).select("_component", "least.doc_id", "least.n", "least._row")
+    least = stored(least, "near-least")
+    gone = verdict.join(least.where("n = 1"), "_row", "left_anti").select("_row")
+    alone = own.join(gone, "_row", "left_anti").select(*docs.columns)
+    tied = verdict.join(least.where("n > 1").select("_component", F.col("doc_id").alias("_least")), "_component")
+    order = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    rows = own.join(tied, "_row").where(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("_component").agg(F.min(F.struct(*order)).alias("_first"))
+    return alone.unionByName(rows.select(*[F.col("_first").getField(c).alias(c) for c in docs.columns]))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

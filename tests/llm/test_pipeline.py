@@ -74,3 +74,23 @@ def test_clashing_columns(spark, sf, name, stage):
     kept = [c for c in CLASHING if c in got.columns and dict(got.dtypes)[c] == "string"]
     assert {"root", "node", "fp", "key", "chunk"} <= set(kept)
     assert all(r[c] == "mine" for r in got.select(*kept).collect() for c in kept)
+
+
+def test_near_dedup_judges_rows(spark, sf):
+    """One row of each component stays, also where doc_ids repeat or are null; texts without words all stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "r", 1), (1, b, "en", "s", 1), (2, b + " more", "en", "s", 1), (2, c, "en", "s", 1), (None, a + " more", "en", "s", 1), (None, "null " * 9, "en", "s", 1), (None, "null " * 9, "en", "r", 1), (4, b + " and", "en", "s", 1), (4, a + " and", "en", "s", 1), (7, None, "en", "s", 1), (7, "", "en", "s", 1), (7, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, odd(spark).schema)
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, sf).collect()), key=repr)
+    assert got == sorted([(1, a, "en", "r", 1), (1, b, "en", "s", 1), (2, c, "en", "s", 1), (None, "null " * 9, "en", "r", 1), (7, None, "en", "s", 1), (7, "", "en", "s", 1), (7, "", "en", "s", 1)], key=repr)
+
+
+def test_near_dedup_with_a_repeated_key(spark, sf):
+    """A key of all rows leaves as many documents as keys of their own."""
+    docs = table(spark, sf, "documents").select(*COLUMNS).limit(300).cache()
+    texts = lambda d: sorted(r.text or "" for r in d.collect())
+    kept = corpus_pipeline.near_dedup(spark, docs, sf)
+    n = kept.count()
+    assert n < docs.count()
+    for key in ("7", "null"):
+        assert len(texts(corpus_pipeline.near_dedup(spark, docs.withColumn("doc_id", F.expr(f"cast({key} as long)")), sf))) == n
