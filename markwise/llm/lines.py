@@ -1,4 +1,5 @@
-"""Line dedup: two Bloom filters for once-seen and twice-seen line hashes; only suspected repeats shuffle for exact counts.
+"""Line dedup: two Bloom filters for once-seen and twice-seen line hashes; only suspected repeats shuffle for exact counts
+while the filters can be broadcast (BROADCAST_BYTES); beyond, the digests of all lines shuffle, and the filter is asked after.
 
 Both filters are cut into shards of a fixed size; the number of shards follows the number of lines, so a shard's load, and
 a merging task's memory, stay the same at any size. Map tasks send the bit positions they set, sorted and packed. A bit
