@@ -30,7 +30,7 @@ DEPTH = 4
 LEAF = 32
 BLOCK = 512
 SKETCH = 64
-#: A pair of similarity t agrees in fewer than SKETCH * t - SLACK sketch bytes about once in 30,000 pairs.
+#: A pair of similarity t agrees in fewer than SKETCH * t - SLACK sketch bytes about once in 10,000 pairs at 0.85, and in 8,000 at 0.8.
 SLACK = 11.4
 #: Up to so many keys are broadcast to pick their texts; beyond, texts and keys are joined.
 BROADCAST_KEYS = 1_000_000
