@@ -155,6 +155,24 @@ def _flush(run: list[bytes], first: int, counts: np.ndarray, out: list[np.ndarra
         counts[first + 1 : first + 1 + len(run)] += np.diff(np.searchsorted(starts, edges), prepend=0)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, in ascending order of place; spans of more than a megabyte get 0."""
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(ends, starts[a] + _SLICE, side="right"))
+        if b <= a:
+            a += 1
+            continue
+        low, high = int(starts[a]), int(ends[b - 1])
+        up, down = powers(_BYTE_BASE | 1, high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[data[low:high]] * up[:-1], out=total[1:])
+        out[a:b] = mix64((total[ends[a:b] - low] - total[starts[a:b] - low]) * down[starts[a:b] - low])
+        a = b
+    return out
+
+
 def window_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every k consecutive words inside one text, and the index of each window's first word."""
     n = len(words) - k + 1

@@ -1,44 +1,59 @@
 """SentencePiece encoding and decoding with a given model, as a relational lattice.
 
-A text is cut into words where no piece of the vocabulary can span; equal words are segmented once. Words explode into
-their substrings of at most the longest piece's length, an equi-join with the piece table (fixed by the vocabulary, so
-broadcast) leaves the edges of the lattice, edges are grouped by word, and a higher-order aggregate folds them into the
-best path: the largest sum of piece scores, ties to the longest last piece. Characters without a piece become byte pieces.
-
-Texts travel in compressed chunks of about CHUNK_BYTES; a chunk asks for its distinct words, and gets their ids back in a
-cogroup. Words of more than LONG characters are segmented in the chunk's task, by the same rule, in memory of their length.
-
-The text model is the identity: a leading space is put before a text, and spaces become U+2581. Decoding gives back every
-text that holds no U+2581 itself. A null text is an empty one, without ids. Rows are independent, so ties and repeated
-rows don't matter; an empty table gives an empty result. Extra columns pass through; one named like the ids is overwritten.
+A text is cut into words where no piece of the vocabulary can span: between two bytes that follow each other inside no
+piece. Equal words are segmented once. Words explode into their substrings of at most the longest piece's length, an
+equi-join with the piece table (fixed by the vocabulary, so broadcast) leaves the edges of the lattice, edges are grouped
+by word, and a higher-order aggregate folds them into the best path: the least sum of costs, ties to the longest last
+piece. A cost is a negative log-probability in units of 2^-16. Characters without a piece become byte pieces.
+
+Texts travel in compressed blobs, about CHUNK_BYTES to a chunk; a chunk asks for its distinct words, and gets their ids back
+in a cogroup. There words are known by a 64-bit hash: two of a chunk's n words share one with probability n^2 / 2^65, and
+round_trip shows it. A word of more than LONG bytes, and one that a chunk made anew after a loss hadn't asked for, is segmented in
+the chunk's task by best_path(), the same rule in memory of the word's length.
+
+The given model was made by merges, so its scores are ranks; the lattice takes Zipf log-probabilities of them. Its paths
+are best ones, but about a third of the distinct words get other ids than merging gives (measured in the tests).
+
+The text model is the identity: a leading space is put before a text, and pieces write spaces as U+2581. Decoding gives back
+every text that holds no U+2581 itself; there that is a space. A null text is an empty one, without ids. Rows are
+independent, so ties and repeated rows don't matter; a very long text makes a blob of its own; an empty table gives an empty
+result. Extra columns pass through, whatever their names; one named like the ids or the check is overwritten.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, utf8
+from .common import pieces, span_hashes, utf8
 
 SPACE = "▁"
-CHUNK_BYTES = 4 << 20
-LONG = 256
-#: What a character without a piece costs below the worst piece.
+CHUNK_BYTES = 16 << 20
+BLOB_BYTES = 4 << 20
+LONG = 2048
+#: What a character without a piece costs above the worst piece, and the unit of costs.
 UNKNOWN = 10.0
+UNIT = 1 << 16
+
+#: An edge or a path's last edge as one long: end (edges only), cost, LENGTHS - length, id + 1 (0: no piece). Longs compare
+#: as (end, cost, longest last piece), and adding an edge's long to a path's cost gives the longer path.
+_END, _COST, _LENGTH = 49, 27, 21
+_LENGTHS = 63
+#: Bits of the filter that keeps most substrings without a piece out of the join.
+_FILTER = 1 << 20
 
 
 class Vocabulary:
-    """Normal pieces with ids and scores, byte pieces' ids, and the places where words end.
+    """Normal pieces (spaces as spaces) with ids and costs, byte pieces' ids, and the pairs of bytes that no piece holds.
 
     merges: the model was made by merges (BPE), so its scores are ranks; their log-probabilities are taken by Zipf's law.
     Otherwise its scores are log-probabilities themselves.
@@ -55,34 +70,63 @@ class Vocabulary:
         if merges:  # normalised Zipf probabilities of the ranks, of which such a model's scores are the negatives
             total = math.fsum(1 / n for n in range(1, len(plain) + 1))
             scores = {i: -math.log((1 - s) * total) for i, s in scores.items()}
-        self.pieces = {self.texts[i]: (i, scores[i]) for i in plain}
+        self.pieces = {self.texts[i].replace(SPACE, " "): (i, round(-scores[i] * UNIT)) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.pieces))
-        self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
-        if any(SPACE in p.lstrip(SPACE) for p in self.pieces) or any("\n" in p for p in self.pieces):
-            raise ValueError("pieces that span words are not supported")
-        inside = {b for p in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
-        closing = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in inside)
-        #: Letters end a word before a mark that follows letters in no piece; so do line ends, and spaces begin one.
-        self.cut = (rf"{SPACE}*[^\W\d_]+(?=[{closing}])|" if closing else "") + rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+        self.unknown = max(c for _, c in self.pieces.values()) + round(UNKNOWN * UNIT)
+        if self.longest > _LENGTHS or min(c for _, c in self.pieces.values()) < 0 or self.unknown >> (_END - _COST) or len(self.texts) >= 1 << _LENGTH:
+            raise ValueError("pieces of more than 63 characters, scores above 0 or below -54, and more than two million pieces are not supported")
+        spelled = [p.encode() for p in self.pieces]
+        apart = np.ones((256, 256), bool)
+        for p in spelled:
+            apart[list(p[:-1]), list(p[1:])] = False
+        apart[:, 0x80:0xC0] = False  # inside a character
+        #: apart[a << 8 | b]: a word ends between the bytes a and b.
+        self.apart = apart.ravel()
+        back = {i: p for p, (i, _) in self.pieces.items()}
+        #: The bytes that each id stands for.
+        self.spelled = [back.get(i, "").encode() for i in ids]
+        for b, i in enumerate(self.byte_ids):
+            self.spelled[i] = bytes([b])
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, i, s) for p, (i, s) in self.pieces.items()], "piece string, id int, score double")
+        rows = [(p, c << _COST | (_LENGTHS - len(p)) << _LENGTH | i + 1) for p, (i, c) in self.pieces.items()]
+        return spark.createDataFrame(rows, "piece string, edge long").select("piece", "edge", F.xxhash64("piece").alias("hash"))
+
+
+def words_of(texts: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, each after its leading space; where words start, with the end; each text's first word, with the end."""
+    lengths = np.array([len(x) + 1 if x else 0 for x in texts], np.int64)
+    data = np.frombuffer(b"".join([b" " + x.replace(SPACE.encode(), b" ") for x in texts if x]), np.uint8)
+    if len(data) != lengths.sum():  # some text holds U+2581
+        lengths = np.array([len(x.replace(SPACE.encode(), b" ")) + 1 if x else 0 for x in texts], np.int64)
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    first = np.zeros(len(data) + 1, bool)
+    first[1:-1] = apart[data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]]
+    first[edges] = True
+    starts = np.flatnonzero(first)
+    return data, starts, np.searchsorted(starts, edges)
 
 
-def normal(text: bytes) -> str:
-    return SPACE + text.decode().replace(" ", SPACE) if text else ""
+def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs flat[b : b + n], one after the other."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def best_path(word: str, vocabulary: tuple[dict[str, tuple[int, float]], list[int], int, float]) -> list[int]:
+def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    length = np.array([len(x) for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length
+
+
+def best_path(word: str, known: dict[str, tuple[int, int]], byte_ids: list[int], longest: int, unknown: int) -> list[int]:
     """The best path of one word, in memory of its length."""
-    known, byte_ids, longest, unknown = vocabulary
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
     for end in range(1, len(word) + 1):
-        top: tuple[float, int, int] | None = None
+        top: tuple[int, int, int] | None = None
         for start in range(max(0, end - longest), end):
             found = known.get(word[start:end]) or ((-1, unknown) if start == end - 1 else None)
-            if found and (top is None or best[start][0] + found[1] > top[0]):
+            if found and (top is None or best[start][0] + found[1] < top[0]):
                 top = (best[start][0] + found[1], start, found[0])
         best.append(top)
     out: list[int] = []
@@ -94,33 +138,62 @@ def best_path(word: str, vocabulary: tuple[dict[str, tuple[int, float]], list[in
     return out[::-1]
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int, unknown: float, byte_ids: list[int]) -> DataFrame:
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, _END).cast("int")
+
+
+def _length(edge: Column) -> Column:
+    return _LENGTHS - F.shiftright(edge, _LENGTH).bitwiseAND(F.lit(_LENGTHS)).cast("int")
+
+
+def _possible(table: DataFrame) -> Column:
+    """Whether a hash has its bit in the table's bitmap, a constant of the plan."""
+    bits = [0] * (_FILTER >> 6)
+    for r in table.select(F.pmod("hash", F.lit(_FILTER)).alias("at")).collect():  # one row per piece of the vocabulary
+        bits[r["at"] >> 6] |= 1 << (r["at"] & 63)
+    bitmap = F.split(F.lit(",".join(str(b - (1 << 64) if b >> 63 else b) for b in bits)), ",").cast("array<long>")
+    at = F.pmod("hash", F.lit(_FILTER))
+    return F.call_function("shiftright", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def lattice(words: DataFrame, table: DataFrame, longest: int, unknown: int, byte_ids: list[int]) -> DataFrame:
     """(word, ids) of distinct words. No exchange, if words are partitioned by word."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    reach = F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.length("word"))))
-    exploded = starts.select("word", "start", reach.alias("end")).withColumn("piece", F.substr("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    edges = exploded.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    edge = F.struct("end", "start", F.coalesce("id", -F.col("start") - 1).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    path = "struct<end: int, score: double, ids: array<int>>"
-    nothing = F.struct(F.array().cast(f"array<{path}>").alias("done"), F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).alias("last"))
-
-    def step(state, edge):
-        """Edges come by end, then start. done: the best paths to each earlier place; last: the best so far to this one."""
-        same = edge["end"] == state["last"]["end"]
+    ends = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
+    starts = ends.select("word", "end", F.explode(F.sequence(F.greatest(F.lit(1), F.col("end") - (longest - 1)), F.col("end"))).alias("start"))
+    exploded = starts.select("word", "end", (F.col("start") == F.col("end")).alias("single"), F.substr("word", F.col("start"), F.col("end") - F.col("start") + 1).alias("part"))
+    hashed = exploded.withColumn("hash", F.xxhash64("part")).where(F.col("single") | _possible(table))
+    piece = F.broadcast(table.select(F.col("hash").alias("_hash"), "piece", "edge"))
+    edges = hashed.join(piece, (F.col("hash") == F.col("_hash")) & (F.col("part") == F.col("piece")), "left").where(F.col("edge").isNotNull() | F.col("single"))
+    nameless = unknown << _COST | (_LENGTHS - 1) << _LENGTH
+    edges = edges.select("word", F.shiftleft(F.col("end").cast("long"), _END).bitwiseOR(F.coalesce("edge", F.lit(nameless))).alias("edge"))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    start = F.struct(F.array().cast("array<long>").alias("done"), F.lit(0).cast("long").alias("last"))
+
+    def step(state: Column, edge: Column) -> Column:
+        """done: the best paths to each earlier place; last: the best so far to this one."""
+        here = F.size(state["done"])
+        same, begin = _end(edge) == here, _end(edge) - _length(edge)
+        before = F.when(begin == here, state["last"]).otherwise(F.get(state["done"], begin))
+        path = before.bitwiseAND(F.lit(-(1 << _COST))) + edge.bitwiseAND(F.lit((1 << _END) - 1))
         done = F.when(same, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"])))
+        return F.struct(done.alias("done"), F.when(same, F.least(state["last"], path)).otherwise(path).alias("last"))
+
+    def back(state: Column) -> Column:
+        """From the end along the last edges. A character without a piece is minus its place."""
+        n = F.size(state["done"])
+        nothing = F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids"))
 
-        def extend(known):
-            start = F.get(known, edge["start"])
-            score = start["score"] + edge["score"]
-            better = F.struct(edge["end"].alias("end"), score.alias("score"), F.concat(start["ids"], F.array(edge["id"])).alias("ids"))
-            return F.struct(known.alias("done"), F.when(same & (score <= state["last"]["score"]), state["last"]).otherwise(better).alias("last"))
+        def hop(path: Column, place: Column) -> Column:
+            edge = F.when(place == n, state["last"]).otherwise(F.get(state["done"], place))
+            own = (edge.bitwiseAND(F.lit((1 << _LENGTH) - 1)) - 1).cast("int")
+            longer = F.struct((place - _length(edge)).alias("at"), F.concat(F.array(F.when(own < 0, -place).otherwise(own)), path["ids"]).alias("ids"))
+            return F.when(path["at"] == place, longer).otherwise(path)
 
-        return F.get(F.transform(F.array(done), extend), F.lit(0))
+        return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), nothing, hop, lambda path: path["ids"])
 
-    found = grouped.select("word", F.aggregate("edges", nothing, step, lambda state: state["last"]["ids"]).alias("ids"))
+    found = grouped.select("word", F.aggregate("edges", start, step, back).alias("ids"))
 
-    def as_bytes(place):
+    def as_bytes(place: Column) -> Column:
         code = F.hex(F.encode(F.substr("word", -place, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.get(F.lit(byte_ids), F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("int")))
 
@@ -128,81 +201,126 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, unknown: float, by
     return found.select("word", F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
 
 
+def _strings(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(gather(data, begin, length)))])
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None) -> DataFrame:
     """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text."""
     spark = df.sparkSession
     v = Vocabulary(path)
-    shared = spark.sparkContext.broadcast((v.pieces, v.byte_ids, v.longest, v.unknown))
-    cut = v.cut
+    shared = spark.sparkContext.broadcast((v.apart, v.pieces, v.byte_ids, v.longest, v.unknown, v.spelled))
     names = [c for c in df.columns if c not in (ids, check)]
     schema = T.StructType([df.schema[c] for c in names]).add(ids, T.ArrayType(T.IntegerType()))
-    spelled = spark.sparkContext.broadcast(piece_bytes(v)) if check else None
     if check:
         schema = schema.add(check, T.BooleanType())
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in pieces(batch, text, CHUNK_BYTES):
+            for part in pieces(batch, text, BLOB_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
                     to.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
-                n += 1
+                size += part.nbytes
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+                if size >= CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
 
-    def texts(table: pa.Table) -> tuple[pa.Table, list[list[str]]]:
-        rows = pa.ipc.open_stream(table["rows"][0].as_buffer()).read_all()
-        find = re.compile(cut).findall
-        return rows, [find(normal(x)) for x in utf8(rows[text].combine_chunks())]
+    def blobs(table: pa.Table) -> Iterator[pa.Table]:
+        for x in table["rows"]:
+            yield pa.ipc.open_stream(x.as_buffer()).read_all()
 
     def distinct(table: pa.Table) -> pa.Table:
-        words = sorted(w for w in set().union(*texts(table)[1]) if len(w) <= LONG)
-        return pa.table({"chunk": pa.array([table["chunk"][0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.string())})
+        hashes, words = [], []
+        for rows in blobs(table):
+            data, starts, _ = words_of(utf8(rows[text].combine_chunks()), shared.value[0])
+            found, at = np.unique(span_hashes(data, starts[:-1], starts[1:]), return_index=True)
+            length = np.diff(starts)[at]
+            short = length <= LONG
+            hashes.append(found[short])
+            words.append(_strings(data, starts[at[short]], length[short]))
+        _, at = np.unique(np.concatenate(hashes), return_index=True)
+        own = pa.concat_arrays(words).take(pa.array(at))
+        return pa.table({"chunk": pa.array(np.full(len(own), table["chunk"][0].as_py())), "word": own})
 
     def apply(table: pa.Table, answer: pa.Table) -> pa.Table:
-        rows, split = texts(table)
-        found = answer["ids"].combine_chunks()
-        flat, ends = found.flatten().to_numpy().astype("<i4").tobytes(), (found.offsets.to_numpy() - found.offsets[0].as_py()) * 4 if len(found) else []
-        known = {w: flat[a:b] for w, a, b in zip(answer["word"].to_pylist(), ends[:-1], ends[1:], strict=True)}
-        for w in {w for words in split for w in words if len(w) > LONG}:
-            known[w] = np.array(best_path(w, shared.value), "<i4").tobytes()
-        get = known.__getitem__
-        data = [b"".join(map(get, words)) for words in split]
-        offsets = np.cumsum([0, *(len(x) // 4 for x in data)]).astype(np.int32)
-        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(data))])
-        out = pa.table([*(rows[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*names, ids])
-        if check:
-            spell = spelled.value.__getitem__
-            same = [b"".join(map(spell, np.frombuffer(x, "<i4").tolist()))[1:] == t for x, t in zip(data, utf8(rows[text].combine_chunks()), strict=True)]
-            out = out.append_column(check, pa.array(same, pa.bool_()))
-        return out
+        apart, *given, spelled = shared.value
+        said, word = answer["ids"].combine_chunks(), answer["word"].combine_chunks()
+        flat = np.zeros(0, np.int32)
+        offsets, places = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        if len(answer):
+            flat, offsets = said.values.to_numpy(), said.offsets.to_numpy().astype(np.int64)
+            places = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1].astype(np.int64)
+        known = span_hashes(np.frombuffer(word.buffers()[2] or b"", np.uint8) if len(answer) else flat.view(np.uint8), places[:-1], places[1:])
+        order = np.argsort(known)
+        known, begins, lengths = known[order], offsets[:-1][order], np.diff(offsets)[order]
+        own: dict[bytes, int] = {}
+        spell = runs(spelled)
+
+        def coded(rows: pa.Table) -> pa.Table:
+            nonlocal flat, begins, lengths
+            texts = utf8(rows[text].combine_chunks())
+            data, starts, first = words_of(texts, apart)
+            hashes, size = span_hashes(data, starts[:-1], starts[1:]), np.diff(starts)
+            at = np.searchsorted(known, hashes)
+            at[at == len(known)] = 0
+            strange = size > LONG if len(known) else np.ones(len(hashes), bool)
+            if len(known):
+                strange |= known[at] != hashes
+            for j in np.flatnonzero(strange):
+                w = data[starts[j] : starts[j + 1]].tobytes()
+                if w not in own:
+                    path = best_path(w.decode(), *given)
+                    own[w] = len(begins)
+                    begins, lengths = np.append(begins, len(flat)), np.append(lengths, len(path))
+                    flat = np.append(flat, np.array(path, np.int32))
+                at[j] = own[w]
+            values = gather(flat, begins[at], lengths[at])
+            offsets = np.concatenate([[0], np.cumsum(lengths[at])])[first]
+            column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+            out = pa.table([*(rows[c] for c in names), column], names=[*names, ids])
+            if check:
+                same = [x == t for x, t in zip(decoded(values, offsets, spell), texts, strict=True)]
+                out = out.append_column(check, pa.array(same, pa.bool_()))
+            return out
+
+        return pa.concat_tables([coded(rows) for rows in blobs(table)])
 
     chunks = df.select(*names).mapInArrow(chunked, "chunk long, rows binary")
     words = chunks.groupBy("chunk").applyInArrow(distinct, "chunk long, word string").repartition("word")
-    found = lattice(words.groupBy("word").agg(F.max("chunk").alias("_")).select("word", F.col("_").isNotNull().alias("_")).where("_").select("word"), v.table(spark), v.longest, v.unknown, v.byte_ids)
+    found = lattice(words.groupBy("word").agg(F.max("chunk").alias("_")).where(F.col("_").isNotNull()).select("word"), v.table(spark), v.longest, v.unknown, v.byte_ids)
     answers = words.join(found, "word").select("chunk", "word", "ids")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def piece_bytes(v: Vocabulary) -> list[bytes]:
-    """The bytes that each id stands for."""
-    out = [x.replace(SPACE, " ").encode() if x in v.pieces else b"" for x in v.texts]
-    for b, i in enumerate(v.byte_ids):
-        out[i] = bytes([b])
-    return out
+def decoded(ids: np.ndarray, offsets: np.ndarray, spell: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """The text of each run of ids, without the leading space."""
+    flat, begin, length = spell
+    back = gather(flat, begin[ids], length[ids]).tobytes()
+    edges = np.concatenate([[0], np.cumsum(length[ids])])[offsets].tolist()
+    return [back[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and where each row's start, with the end; a null is an empty list."""
+    length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
 
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """df and the text of each row's ids; ids that give no valid UTF-8 decode with replacement characters, null to null."""
-    shared = df.sparkSession.sparkContext.broadcast(piece_bytes(Vocabulary(path)))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
     names = [c for c in df.columns if c != text]
     schema = T.StructType([df.schema[c] for c in names]).add(text, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        spell = runs(shared.value)
         for batch in batches:
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            out = [None if x.as_py() is None else b"".join(map(get, x.values.to_pylist()))[1:].decode(errors="replace") for x in column(ids)]
+            own = column(ids)
+            out = [x.decode(errors="replace") if ok else None for x, ok in zip(decoded(*_lists(own), spell), own.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*map(column, names), pa.array(out, pa.string())], [*names, text])
 
     return df.mapInArrow(run, schema)
@@ -210,17 +328,19 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
 
 def piece_digests(df: DataFrame, path: str, key: str = "doc_id", ids: str = "piece_ids", text: str = "text") -> DataFrame:
     """key, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256 and round_trip."""
-    shared = df.sparkSession.sparkContext.broadcast(piece_bytes(Vocabulary(path)))
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.__getitem__
+        spell = runs(shared.value)
         for batch in batches:
-            rows = []
-            for x, t in zip(batch.column(1), utf8(batch.column(2)), strict=True):
-                own = x.values.to_numpy(zero_copy_only=False)
-                back = b"".join(map(get, own.tolist()))[1:]
-                rows.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), hashlib.sha256(back).hexdigest(), back == t))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [key, "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    return df.select(key, ids, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+            for part in pieces(batch, "_text", BLOB_BYTES):
+                values, offsets = _lists(part.column(1))
+                coded, cuts = values.astype("<u4").tobytes(), (offsets * 4).tolist()
+                back = decoded(values, offsets, spell)
+                out = [
+                    pa.array(np.diff(offsets)), pa.array([zlib.crc32(coded[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, utf8(part.column(2)), strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *out], [key, "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    return df.select(key, ids, F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

@@ -436,37 +436,74 @@ def test_chains_end_in_one_component(spark):
 # SentencePiece
 
 
-def test_lattice_paths(spark):
+def cut(v, text):
+    data, starts, _ = sentencepiece.words_of([text.encode()], v.apart)
+    return [bytes(data[a:b]).decode() for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def test_lattice_paths(spark, monkeypatch):
+    """Ids are each word's best path, also of words that go the task's own way; decoding gives the text."""
     path = vocabulary(PIECE_BPE)
     v = sentencepiece.Vocabulary(path)
     given = (v.pieces, v.byte_ids, v.longest, v.unknown)
     texts = ODD + ["  two  spaces\n\nnaïve, 漢字! 🙂 end...", "y" * 600 + " z", "a,b;c|d-e 'tis x_y"] + [" ".join(words(30, i)) for i in range(10)]
-    got = by_id(sentencepiece.decode(sentencepiece.encode(docs(spark, texts), path), path))
-    for i, t in enumerate(texts):
-        split = re.findall(v.cut, sentencepiece.normal((t or "").encode()))
-        assert "".join(split) == sentencepiece.normal((t or "").encode())
-        assert list(got[i].piece_ids) == [p for w in split for p in sentencepiece.best_path(w, given)]
-        assert got[i].decoded == (t or "")
+    for long in (sentencepiece.LONG, 4):
+        monkeypatch.setattr(sentencepiece, "LONG", long)
+        got = by_id(sentencepiece.decode(sentencepiece.encode(docs(spark, texts), path, check="same"), path))
+        for i, t in enumerate(texts):
+            split = cut(v, t or "")
+            assert "".join(split) == (" " + t if t else "")
+            assert list(got[i].piece_ids) == [p for w in split for p in sentencepiece.best_path(w, *given)]
+            assert got[i].decoded == (t or "") and got[i].same
+
+
+def test_space_pieces_in_the_text(spark):
+    """U+2581 in a text is coded as a space, so such a text doesn't come back, and says so."""
+    path = vocabulary(PIECE_BPE)
+    got = by_id(sentencepiece.decode(sentencepiece.encode(docs(spark, ["a▁b", "▁", "c d"]), path, check="same"), path))
+    assert [got[i].decoded for i in range(3)] == ["a b", " ", "c d"]
+    assert [got[i].same for i in range(3)] == [False, False, True]
 
 
-def test_best_path_is_best():
-    """No segmentation scores higher, over all of them; and words' paths together score as much as a text's."""
+def test_several_blobs_and_chunks(spark, monkeypatch):
     path = vocabulary(PIECE_BPE)
-    v = sentencepiece.Vocabulary(path)
+    texts = [" ".join(words(200, i)) for i in range(60)] + [None, ""]
+    whole = by_id(sentencepiece.encode(docs(spark, texts), path))
+    monkeypatch.setattr(sentencepiece, "BLOB_BYTES", 2000)
+    monkeypatch.setattr(sentencepiece, "CHUNK_BYTES", 9000)
+    assert by_id(sentencepiece.encode(docs(spark, texts), path)) == whole
+
+
+def test_best_path_is_best():
+    """No segmentation costs less, over all of them; and words' paths together cost as much as a text's."""
+    v = sentencepiece.Vocabulary(vocabulary(PIECE_BPE))
     given = (v.pieces, v.byte_ids, v.longest, v.unknown)
-    score = {i: s for i, s in v.pieces.values()}
+    cost = {i: c for i, c in v.pieces.values()}
 
     def every(w):
         if not w:
-            yield 0.0
+            yield 0
         for n in range(1, len(w) + 1):
             if w[:n] in v.pieces:
                 for rest in every(w[n:]):
                     yield v.pieces[w[:n]][1] + rest
 
-    for w in ("▁theory", "▁unhappiness", "▁reading", "▁a", "ing"):
-        assert abs(sum(score[i] for i in sentencepiece.best_path(w, given)) - max(every(w))) < 1e-9
-    text = sentencepiece.normal(b"the quick, brown fox. it's 12 o'clock (now)\nand then")
-    parts = [i for w in re.findall(v.cut, text) for i in sentencepiece.best_path(w, given)]
-    total = lambda ids: sum(score.get(i, v.unknown) for i in ids)
-    assert abs(total(parts) - total(sentencepiece.best_path(text, given))) < 1e-6
+    for w in (" theory", " unhappiness", " reading", " a", "ing"):
+        assert sum(cost[i] for i in sentencepiece.best_path(w, *given)) == min(every(w))
+    text = "the quick, brown fox. it's 12 o'clock (now)\nand then 漢字 naïve"
+    parts = [i for w in cut(v, text) for i in sentencepiece.best_path(w, *given)]
+    total = lambda ids: sum(cost.get(i, v.unknown / 3) for i in ids)
+    assert len(cut(v, text)) > 15 and abs(total(parts) - total(sentencepiece.best_path(" " + text, *given))) < 1e-6
+
+
+def test_share_of_words_that_merging_codes_otherwise(sf):
+    """The documented third: the given model's own ids against the lattice's, over the words of the small table."""
+    import pyarrow.parquet as pq
+    import sentencepiece as library
+
+    path = vocabulary(PIECE_BPE)
+    v, model = sentencepiece.Vocabulary(path), library.SentencePieceProcessor(model_file=path)
+    given = (v.pieces, v.byte_ids, v.longest, v.unknown)
+    found = sorted({w for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist() for w in (t or "").split()})
+    other = sum(model.encode(w) != sentencepiece.best_path(" " + w, *given) for w in found)
+    assert 0.25 < other / len(found) < 0.45
