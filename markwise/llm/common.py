@@ -19,7 +19,7 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1B54A32D192ED03
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="markwise-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -46,6 +48,16 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of an Arrow batch on its way to a Python worker; Spark's own bound is 64 MB.
+ARROW_BYTES = "4m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends small batches from now on: what a task holds on both sides of the pipe follows them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def worker_state() -> dict:
     """What a Python worker keeps between tasks; functions that travel by value don't share their modules' globals."""
     return sys.modules.setdefault("_markwise_worker_state", types.ModuleType("_markwise_worker_state")).__dict__
@@ -109,7 +121,7 @@ _LOWER[65:91] += 32
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit Rabin-Karp hashes of all words, and the first word's index of each text (with the total at the end).
 
-    The words of one text follow those of the one before. Bytes are hashed in slices of about a megabyte
+    The words of one text follow those of the one before. Bytes are hashed in slices of about _SLICE
     cut at white space, so memory follows the slice, not the text.
     """
     out: list[np.ndarray] = []
@@ -156,7 +168,7 @@ def _flush(run: list[bytes], first: int, counts: np.ndarray, out: list[np.ndarra
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, in ascending order of place; spans of more than a megabyte get 0."""
+    """64-bit hashes of spans of bytes, in ascending order of place; spans of more than _SLICE bytes get 0."""
     out = np.zeros(len(starts), np.uint64)
     a = 0
     while a < len(starts):

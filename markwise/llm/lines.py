@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, stored, utf8
+from .common import mix64, pieces, small_batches, stored, utf8
 
 SHARD_BITS = 1 << 20
 BITS_PER_LINE = 16
@@ -177,7 +177,7 @@ def drop_lines(
 
     keep_first: the first of them, by key and then place, stays.
     """
-    lines = df.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
+    lines = small_batches(df).agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(lines) * BITS_PER_LINE // SHARD_BITS))
     filters = stored(twice_seen(df, text, shards), "lines-twice")
     size = filters.agg(F.sum(F.octet_length("twice"))).first()[0] or 0

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, utf8
+from .common import pieces, small_batches, utf8
 
 # Element ids of the Matroska format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -251,7 +251,7 @@ def packet_table(df: DataFrame, content: str = "content", key: str = "doc_id") -
                 keys = pa.array([batch.column(0)[at].as_py()] * len(rows), batch.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(9)), pa.array([p.keyframe for p in m.packets], pa.bool_())], [key, *names, "keyframe"])
 
-    return df.select(key, content).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, keyframe boolean")
+    return small_batches(df).select(key, content).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, keyframe boolean")
 
 
 def padded(text: bytes) -> bytes:
@@ -292,4 +292,4 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 rows = list(map(row, utf8(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [key, *names])
 
-    return df.select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return small_batches(df).select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, stored, utf8, window_hashes, word_hashes
+from .common import mix64, pieces, small_batches, stored, utf8, window_hashes, word_hashes
 
 TREES = 16
 DEPTH = 4
@@ -232,7 +232,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id (the smallest key of the component) and kept (it is that key) of each row."""
-    own = stored(signatures(df, text, key, k), "near-signatures")
+    own = stored(signatures(small_batches(df), text, key, k), "near-signatures")
     classes = stored(own.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch")), "near-classes")
     leaves, full = tree_nodes(classes)
     found = leaf_pairs(leaves, classes, percent / 100).unionByName(full.where(F.col("fp") != F.col("first")).select(F.col("first").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("round")).distinct())

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import pieces, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -212,4 +212,4 @@ def find_pii(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                         to.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in rows[:5]), *(pa.array(x, pa.string()) for x in rows[5:])], [key, "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
 
-    return df.select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return small_batches(df).select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")

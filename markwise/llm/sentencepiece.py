@@ -26,6 +26,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, span_hashes, utf8
+from .common import pieces, small_batches, span_hashes, utf8
 
 SPACE = "▁"
-CHUNK_BYTES = 16 << 20
-BLOB_BYTES = 4 << 20
+CHUNK_BYTES = 64 << 20
+BLOB_BYTES = 1 << 20
 LONG = 2048
+#: Words of a batch.
+ASKED = 100_000
 #: What a character without a piece costs above the worst piece, and the unit of costs.
 UNKNOWN = 10.0
 UNIT = 1 << 16
@@ -111,7 +114,11 @@ def words_of(texts: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndar
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs flat[b : b + n], one after the other."""
     ends = np.cumsum(length)
-    return flat[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - (ends - length)).astype(kind), length)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +215,7 @@ def _strings(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Arra
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None) -> DataFrame:
     """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text."""
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     v = Vocabulary(path)
     shared = spark.sparkContext.broadcast((v.apart, v.pieces, v.byte_ids, v.longest, v.unknown, v.spelled))
     names = [c for c in df.columns if c not in (ids, check)]
@@ -216,83 +223,113 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
     if check:
         schema = schema.add(check, T.BooleanType())
 
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """The task's rows, blob by blob, with the numbers of their chunks."""
         chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for part in pieces(batch, text, BLOB_BYTES):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
-                    to.write_batch(part)
+                yield chunk, part
                 size += part.nbytes
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
                 if size >= CHUNK_BYTES:
                     chunk, size = chunk + 1, 0
 
-    def blobs(table: pa.Table) -> Iterator[pa.Table]:
-        for x in table["rows"]:
-            yield pa.ipc.open_stream(x.as_buffer()).read_all()
-
-    def distinct(table: pa.Table) -> pa.Table:
-        hashes, words = [], []
-        for rows in blobs(table):
-            data, starts, _ = words_of(utf8(rows[text].combine_chunks()), shared.value[0])
-            found, at = np.unique(span_hashes(data, starts[:-1], starts[1:]), return_index=True)
-            length = np.diff(starts)[at]
-            short = length <= LONG
-            hashes.append(found[short])
-            words.append(_strings(data, starts[at[short]], length[short]))
-        _, at = np.unique(np.concatenate(hashes), return_index=True)
-        own = pa.concat_arrays(words).take(pa.array(at))
-        return pa.table({"chunk": pa.array(np.full(len(own), table["chunk"][0].as_py())), "word": own})
-
-    def apply(table: pa.Table, answer: pa.Table) -> pa.Table:
-        apart, *given, spelled = shared.value
-        said, word = answer["ids"].combine_chunks(), answer["word"].combine_chunks()
-        flat = np.zeros(0, np.int32)
-        offsets, places = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        if len(answer):
-            flat, offsets = said.values.to_numpy(), said.offsets.to_numpy().astype(np.int64)
-            places = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1].astype(np.int64)
-        known = span_hashes(np.frombuffer(word.buffers()[2] or b"", np.uint8) if len(answer) else flat.view(np.uint8), places[:-1], places[1:])
-        order = np.argsort(known)
-        known, begins, lengths = known[order], offsets[:-1][order], np.diff(offsets)[order]
-        own: dict[bytes, int] = {}
-        spell = runs(spelled)
-
-        def coded(rows: pa.Table) -> pa.Table:
-            nonlocal flat, begins, lengths
-            texts = utf8(rows[text].combine_chunks())
-            data, starts, first = words_of(texts, apart)
-            hashes, size = span_hashes(data, starts[:-1], starts[1:]), np.diff(starts)
-            at = np.searchsorted(known, hashes)
-            at[at == len(known)] = 0
-            strange = size > LONG if len(known) else np.ones(len(hashes), bool)
-            if len(known):
-                strange |= known[at] != hashes
-            for j in np.flatnonzero(strange):
-                w = data[starts[j] : starts[j + 1]].tobytes()
-                if w not in own:
-                    path = best_path(w.decode(), *given)
-                    own[w] = len(begins)
-                    begins, lengths = np.append(begins, len(flat)), np.append(lengths, len(path))
-                    flat = np.append(flat, np.array(path, np.int32))
-                at[j] = own[w]
-            values = gather(flat, begins[at], lengths[at])
-            offsets = np.concatenate([[0], np.cumsum(lengths[at])])[first]
-            column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
-            out = pa.table([*(rows[c] for c in names), column], names=[*names, ids])
-            if check:
-                same = [x == t for x, t in zip(decoded(values, offsets, spell), texts, strict=True)]
-                out = out.append_column(check, pa.array(same, pa.bool_()))
-            return out
-
-        return pa.concat_tables([coded(rows) for rows in blobs(table)])
-
-    chunks = df.select(*names).mapInArrow(chunked, "chunk long, rows binary")
-    words = chunks.groupBy("chunk").applyInArrow(distinct, "chunk long, word string").repartition("word")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, word): each chunk's distinct words."""
+        for chunk, own in groupby(chunks(batches), key=lambda x: x[0]):
+            hashes, words = np.zeros(0, np.uint64), pa.array([], pa.string())
+            for _, rows in own:
+                data, starts, _ = words_of(utf8(rows.column(rows.schema.get_field_index(text))), shared.value[0])
+                length = np.diff(starts)
+                found, at = np.unique(span_hashes(data, starts[:-1], starts[1:]), return_index=True)
+                new = (length[at] <= LONG) & ~np.isin(found, hashes, assume_unique=True)
+                hashes = np.concatenate([hashes, found[new]])
+                words = pa.concat_arrays([words, _strings(data, starts[at[new]], length[at[new]])])
+            for at in range(0, len(words), ASKED):
+                part = words.slice(at, ASKED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), part], ["chunk", "word"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, word, ids, rows): a chunk's compressed blobs."""
+        for chunk, part in chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
+                to.write_batch(part)
+            none = [pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *none, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "word", "ids", "rows"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk, its answers before its blobs."""
+        now, heard, known = None, [], None
+        for batch in batches:
+            chunk, word, said, rows = (batch.column(i) for i in range(4))
+            numbers = chunk.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if numbers[a] != now:
+                    now, heard, known = numbers[a], [], None
+                first = a + rows.slice(a, b - a).null_count
+                if first > a:
+                    heard.append((word.slice(a, first - a), said.slice(a, first - a)))
+                for i in range(first, b):
+                    known = known or Known(heard, *shared.value[1:])
+                    yield from coded(pa.ipc.open_stream(rows[i].as_buffer()).read_all(), known)
+
+    def coded(rows: pa.Table, known: Known) -> Iterator[pa.RecordBatch]:
+        texts = utf8(rows[text].combine_chunks())
+        values, offsets = known.code(*words_of(texts, shared.value[0]))
+        column = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+        out = pa.table([*(rows[c] for c in names), column], names=[*names, ids])
+        if check:
+            same = [x == t for x, t in zip(decoded(values, offsets, known.spell), texts, strict=True)]
+            out = out.append_column(check, pa.array(same, pa.bool_()))
+        yield from out.combine_chunks().to_batches()
+
+    source = df.select(*names)
+    words = source.mapInArrow(ask, "chunk long, word string").repartition("word")
     found = lattice(words.groupBy("word").agg(F.max("chunk").alias("_")).where(F.col("_").isNotNull()).select("word"), v.table(spark), v.longest, v.unknown, v.byte_ids)
-    answers = words.join(found, "word").select("chunk", "word", "ids")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+    answers = words.join(found, "word").select("chunk", "word", "ids", F.lit(None).cast("binary").alias("rows"))
+    met = source.mapInArrow(send, "chunk long, word string, ids array<int>, rows binary").union(answers).repartition("chunk")
+    return met.sortWithinPartitions("chunk", F.col("rows").isNotNull()).mapInArrow(answer, schema)
+
+
+class Known:
+    """What a chunk knows of its words: the answers it got, and best_path() for what it didn't ask for."""
+
+    def __init__(self, heard: list[tuple[pa.Array, pa.Array]], *given) -> None:
+        *self.given, spelled = given
+        self.spell = runs(spelled)
+        self.own: dict[bytes, int] = {}
+        hashes, ids, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for word, said in heard:
+            edges = np.frombuffer(word.buffers()[1], np.int32)[word.offset : word.offset + len(word) + 1].astype(np.int64)
+            hashes.append(span_hashes(np.frombuffer(word.buffers()[2], np.uint8), edges[:-1], edges[1:]))
+            ids.append(said.flatten().to_numpy())
+            lengths.append(said.value_lengths().to_numpy().astype(np.int64))
+        self.flat, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        hashes = np.concatenate(hashes)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def code(self, data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's start, with the end."""
+        hashes, size = span_hashes(data, starts[:-1], starts[1:]), np.diff(starts)
+        at = np.zeros(len(hashes), np.int64)
+        strange = np.ones(len(hashes), bool)
+        if len(self.hashes):
+            near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            at, strange = self.order[near], (self.hashes[near] != hashes) | (size > LONG)
+        for j in np.flatnonzero(strange):
+            w = data[starts[j] : starts[j + 1]].tobytes()
+            if w not in self.own:
+                path = np.array(best_path(w.decode(), *self.given), np.int32)
+                self.own[w] = len(self.begins)
+                self.begins, self.lengths = np.append(self.begins, len(self.flat)), np.append(self.lengths, len(path))
+                self.flat = np.append(self.flat, path)
+            at[j] = self.own[w]
+        return gather(self.flat, self.begins[at], self.lengths[at]), np.concatenate([[0], np.cumsum(self.lengths[at])])[first]
 
 
 def decoded(ids: np.ndarray, offsets: np.ndarray, spell: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
@@ -311,7 +348,7 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """df and the text of each row's ids; ids that give no valid UTF-8 decode with replacement characters, null to null."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
     names = [c for c in df.columns if c != text]
     schema = T.StructType([df.schema[c] for c in names]).add(text, T.StringType())
 
@@ -328,7 +365,7 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
 
 def piece_digests(df: DataFrame, path: str, key: str = "doc_id", ids: str = "piece_ids", text: str = "text") -> DataFrame:
     """key, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256 and round_trip."""
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = runs(shared.value)

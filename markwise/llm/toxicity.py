@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE_BASE, _BYTE_CODE, _LOWER, mix64, pieces, powers, utf8
+from .common import _BYTE_BASE, _BYTE_CODE, _LOWER, mix64, pieces, powers, small_batches, utf8
 
 #: Bound of the labelled sample.
 SAMPLE_ROWS = 12_000
@@ -174,7 +174,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["_key", "_y", "_terms"])
 
-    own = df.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_k") == F.col("_key"))  # SAMPLE_ROWS keys at most
+    own = small_batches(df).select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_k") == F.col("_key"))  # SAMPLE_ROWS keys at most
     found = own.select(F.col("_key").cast("long").alias("_key"), "_y", "_text").mapInArrow(run, "_key long, _y int, _terms binary").toArrow().sort_by([("_key", "ascending"), ("_terms", "ascending")])
     terms = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in found["_terms"]]
     rows = np.repeat(np.arange(len(terms)), [len(x) for x in terms]) if terms else np.zeros(0, np.int64)
@@ -183,7 +183,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def with_scores(df: DataFrame, fm: FactorizationMachine, text: str = "text", score: str = "score") -> DataFrame:
     """df and the score of each row's whole text."""
-    shared = df.sparkSession.sparkContext.broadcast((fm.kept, fm.bias, fm.linear, fm.factors))  # TERMS x (FACTORS + 2) numbers
+    shared = small_batches(df).sparkSession.sparkContext.broadcast((fm.kept, fm.bias, fm.linear, fm.factors))  # TERMS x (FACTORS + 2) numbers
     names = [c for c in df.columns if c != score]
     schema = T.StructType([df.schema[c] for c in names]).add(score, T.DoubleType())
 
