@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pieces, small_batches, stored, utf8
+from .common import fresh, integer_key, mix64, pieces, small_batches, stored, utf8
 
 SHARD_BITS = 1 << 20
 BITS_PER_LINE = 16
@@ -148,7 +148,7 @@ def suspects(df: DataFrame, text: str, key: str, filters: DataFrame, shards: int
                 t = t.sort_by([("doc", "ascending"), ("line", "ascending")]).group_by("digest", use_threads=False).aggregate([([], "count_all"), ("doc", "first"), ("line", "first")])
                 yield from t.rename_columns(["digest", "n_docs", "first_doc", "first_line"]).combine_chunks().to_batches()
 
-    counted = df.select(df[key].cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(run, _COUNTED)
+    counted = df.select(integer_key(df, key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, _COUNTED)
     if broadcast:
         return counted
 
@@ -177,6 +177,7 @@ def drop_lines(
 
     keep_first: the first of them, by key and then place, stays.
     """
+    integer_key(df, key)
     lines = small_batches(df).agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(lines) * BITS_PER_LINE // SHARD_BITS))
     filters = stored(twice_seen(df, text, shards), "lines-twice")

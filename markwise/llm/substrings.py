@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_bytes, utf8, window_hashes, word_hashes
+from .common import integer_key, small_batches, text_bytes, utf8, window_hashes, word_hashes
 
 CHUNK_BYTES = 8 << 20
 
@@ -70,6 +70,7 @@ def remove_repeats(
     df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 20, chunk_bytes: int = CHUNK_BYTES, n_words: str = "n_words", n_removed: str = "n_removed", removed: str = "removed"
 ) -> DataFrame:
     """df with the kept words of each text, joined by one space, and with n_words, n_removed and the removed word intervals."""
+    integer_key(df, key)
     chunks = max(1, -(-text_bytes(small_batches(df), text) // chunk_bytes))
     edges = _edges(chunks)
     names = [c for c in df.columns if c not in (n_words, n_removed, removed)]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, stored, utf8, worker_state
+from .common import integer_key, pieces, small_batches, stored, utf8, worker_state
 
 MAGIC = b"MWTOKENS1"
 #: Bound of the sample that the dictionary is trained on, and of the dictionary.
@@ -234,7 +234,7 @@ class TokenTable:
 
 def write_tokens(df: DataFrame, path: str, end_id: int, folds: bool = False, text: str = "text", key: str = "doc_id") -> TokenTable:
     """Encodes every text with the tokenizers file at path (the same on each executor) and writes the token files."""
-    rows = small_batches(df).select(df[key].cast("long").alias("_key"), F.col(text).alias("_text"))
+    rows = small_batches(df).select(integer_key(df, key).alias("_key"), F.col(text).alias("_text"))
     sample, size = [], 0
     for r in rows.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE_DOCS).where(F.octet_length("_text") <= SAMPLE_BYTES // 8).toLocalIterator():
         if size + len(r["_text"]) <= SAMPLE_BYTES:

@@ -16,6 +16,7 @@ from markwise.llm import lines, matroska, mixing, neardup, pii, quality, sentenc
 from markwise.llm.queries import END_ID, PIECE_BPE, WORD_BPE, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -421,6 +422,62 @@ def test_near_duplicates_hot_node(spark):
     assert {r.component_id for r in got.values()} == {0}
 
 
+def components_by_shingles(texts, percent):
+    """Links of 5-word shingle sets over all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both * 100 >= percent * (len(a) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_passage_in_many(spark, monkeypatch):
+    """Nodes at full depth whose members share a passage but aren't near duplicates, with families among them."""
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    passage = words(150, 1, 5000)
+    texts = [" ".join(passage + x.split()) for s in range(40) for x in family(3, 100 + s, 60)]
+    got = by_id(neardup.near_duplicates(docs(spark, texts)))
+    want = components_by_shingles(texts, 80)
+    assert 20 < len(set(want)) < len(texts) and [got[i].component_id for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.5])
+def test_recall_of_candidates(similarity):
+    """Trees and sketches miss a pair at the threshold as seldom as they say."""
+    assert (1 - similarity**neardup.DEPTH) ** neardup.trees_for(similarity) <= neardup.MISS
+    r = np.random.default_rng(5)
+    agree = (r.random((200_000, neardup.SKETCH)) < similarity).sum(1)
+    assert (agree < neardup.least_agreeing(similarity)).mean() <= 5e-5
+
+
+def test_near_duplicates_on_documents(spark, sf):
+    """All pairs of the small table's documents, by hand."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = by_id(neardup.near_duplicates(d))
+    want = components_by_shingles([(t or "").translate(LOWER) for _, t in rows], 80)
+    full = [i for i, (_, t) in enumerate(rows) if len((t or "").split()) >= 5]
+    assert [got[rows[i][0]].component_id for i in full] == [rows[want[i]][0] for i in full] and len(set(want)) < len(rows)
+
+
+def test_string_keys_are_refused(spark):
+    d = docs(spark, ["a b"]).selectExpr("cast(doc_id as string) AS doc_id", "text")
+    for call in (neardup.near_duplicates, lines.drop_lines, substrings.remove_repeats, lambda x: tokens.write_tokens(x, vocabulary(WORD_BPE), END_ID)):
+        with pytest.raises(ValueError, match="integer"):
+            call(d)
+
+
 def test_near_duplicates_joined_texts(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_KEYS", -1)
     texts = family(6, 3)
