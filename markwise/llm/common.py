@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +113,28 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 8 << 20) -> It
         start = stop
 
 
+def chunks_of(batches: Iterator[pa.RecordBatch], text: str, blob_bytes: int, chunk_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A task's rows in blobs, with the numbers of the chunks that the blobs make up."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for part in pieces(batch, text, blob_bytes):
+            yield chunk, part
+            size += part.nbytes
+            if size >= chunk_bytes:
+                chunk, size = chunk + 1, 0
+
+
+def blob(part: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
+        to.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def unblob(data: pa.Buffer | bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -212,6 +235,35 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, where their words start and end, and each text's first word, with the total."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_IS_SPACE[data].view(np.int8), prepend=np.int8(1)))
+    starts, ends = edge[0::2], edge[1::2]
+    return data, starts, ends, np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))])
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, one place of each, and each place's number among them."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs flat[b : b + n], one after the other."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - (ends - length)).astype(kind), length)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
+
+
 def window_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every k consecutive words inside one text, and the index of each window's first word."""
     n = len(words) - k + 1

@@ -30,12 +30,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, small_batches, span_hashes, utf8
+from .common import blob, chunks_of, distinct, gather, pieces, small_batches, span_hashes, unblob, utf8
 
 SPACE = "▁"
 CHUNK_BYTES = 64 << 20
@@ -111,16 +110,6 @@ def words_of(texts: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndar
     return data, starts, np.searchsorted(starts, edges)
 
 
-def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The runs flat[b : b + n], one after the other."""
-    ends = np.cumsum(length)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-    at = np.repeat((begin - (ends - length)).astype(kind), length)
-    at += np.arange(total, dtype=kind)
-    return flat[at]
-
-
 def runs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.array([len(x) for x in parts], np.int64)
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length
@@ -223,24 +212,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
     if check:
         schema = schema.add(check, T.BooleanType())
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-        """The task's rows, blob by blob, with the numbers of their chunks."""
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for part in pieces(batch, text, BLOB_BYTES):
-                yield chunk, part
-                size += part.nbytes
-                if size >= CHUNK_BYTES:
-                    chunk, size = chunk + 1, 0
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(chunk, word): each chunk's distinct words."""
-        for chunk, own in groupby(chunks(batches), key=lambda x: x[0]):
+        for chunk, own in groupby(chunks_of(batches, text, BLOB_BYTES, CHUNK_BYTES), key=lambda x: x[0]):
             hashes, words = np.zeros(0, np.uint64), pa.array([], pa.string())
             for _, rows in own:
                 data, starts, _ = words_of(utf8(rows.column(rows.schema.get_field_index(text))), shared.value[0])
                 length = np.diff(starts)
-                found, at = np.unique(span_hashes(data, starts[:-1], starts[1:]), return_index=True)
+                found, at, _ = distinct(span_hashes(data, starts[:-1], starts[1:]))
                 new = (length[at] <= LONG) & ~np.isin(found, hashes, assume_unique=True)
                 hashes = np.concatenate([hashes, found[new]])
                 words = pa.concat_arrays([words, _strings(data, starts[at[new]], length[at[new]])])
@@ -250,12 +229,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(chunk, word, ids, rows): a chunk's compressed blobs."""
-        for chunk, part in chunks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
-                to.write_batch(part)
+        for chunk, part in chunks_of(batches, text, BLOB_BYTES, CHUNK_BYTES):
             none = [pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *none, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "word", "ids", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *none, pa.array([blob(part)], pa.binary())], ["chunk", "word", "ids", "rows"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by chunk, its answers before its blobs."""
@@ -274,7 +250,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
                     heard.append((word.slice(a, first - a), said.slice(a, first - a)))
                 for i in range(first, b):
                     known = known or Known(heard, *shared.value[1:])
-                    yield from coded(pa.ipc.open_stream(rows[i].as_buffer()).read_all(), known)
+                    yield from coded(unblob(rows[i].as_buffer()), known)
 
     def coded(rows: pa.Table, known: Known) -> Iterator[pa.RecordBatch]:
         texts = utf8(rows[text].combine_chunks())
