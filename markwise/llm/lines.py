@@ -1,19 +1,25 @@
-"""Line dedup: two Bloom filters for once-seen and twice-seen line hashes; only suspected repeats shuffle for exact counts
-while the filters can be broadcast (BROADCAST_BYTES); beyond, the digests of all lines shuffle, and the filter is asked after.
+"""Line dedup: two Bloom filters for once-seen and twice-seen line hashes; only suspected repeats shuffle for exact counts.
 
 Both filters are cut into shards of a fixed size; the number of shards follows the number of lines, so a shard's load, and
 a merging task's memory, stay the same at any size. Map tasks send the bit positions they set, sorted and packed. A bit
 that was hit once goes to the first filter, one hit again, in the same or another task, also to the second. A line whose
 bits are not all in the second filter is in one document only.
 
+The second filter is broadcast up to BROADCAST_BYTES. Beyond, chunks of rows send their distinct 64-bit hashes, sorted and packed, to
+the filter's shards, and get back those that pass; the chunk's rows, in compressed blobs, meet these answers. A chunk whose
+rows aren't those that asked (made anew after a loss, in another order) counts all its lines. Either way the digests of
+suspected repeats alone go on to the exact counts. Keys found in many documents are broadcast, or joined, by the same bound.
+
 A line's key is the line stripped of white space, A-Z lower-cased. Every row counts as a document, also a repeated one.
-A null or empty text is one empty line; empty keys are never dropped. An empty table gives an empty result. Extra columns
-stay; the text is replaced, and columns named like the two counts are overwritten.
+A null or empty text is one empty line; empty keys are never dropped. Ties of the first place don't occur but in repeated rows, which
+then all keep their line. A very long text is held whole, and cut into lines, in one task. An empty table gives an empty result.
+Extra columns stay, whatever their names; the text is replaced, and columns named like the two counts are overwritten. Keys are integers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, integer_key, mix64, pieces, small_batches, stored, utf8
+from .common import blob, chunks_of, discard, fresh, integer_key, mix64, pieces, small_batches, stored, unblob, utf8
 
 SHARD_BITS = 1 << 20
 BITS_PER_LINE = 16
@@ -31,6 +37,10 @@ BITS_PER_LINE = 16
 BROADCAST_BYTES = 32 << 20
 #: Line hashes that a map task holds before it sends their positions.
 FLUSH = 2 << 20
+#: Text bytes of a chunk that asks the filter, and of the blobs it travels in; shards that answer in one task.
+CHUNK_BYTES = 16 << 20
+BLOB_BYTES = 1 << 20
+TOGETHER = 16
 
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -122,51 +132,104 @@ _COUNTED = "digest binary, n_docs long, first_doc long, first_line long"
 
 
 def suspects(df: DataFrame, text: str, key: str, filters: DataFrame, shards: int, broadcast: bool) -> DataFrame:
-    """(digest, n_docs, first_doc, first_line) of the keys that pass the twice-seen filter, summed by batch."""
-    known = {r["shard"]: r["twice"] for r in filters.collect()} if broadcast else None
-    shared = df.sparkSession.sparkContext.broadcast(known) if broadcast else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {s: _bitmap(x) for s, x in shared.value.items()} if shared else {}
-        for batch in batches:
-            for part in pieces(batch, "_text"):
-                ids, rows, lines = part.column(0).to_pylist(), [], []
-                found: list[bytes] = []
-                for i, x in zip(ids, utf8(part.column(1)), strict=True):
-                    first = {k: at for at, k in reversed(list(enumerate(line_keys(x)))) if k}
-                    found += first
-                    rows += [i] * len(first)
-                    lines += first.values()
-                if not found:
-                    continue
-                d = digests(found)
-                keep = np.flatnonzero(_seen(maps, d[:, 0], shards)) if shared else np.arange(len(d))
-                if not len(keep):
-                    continue
-                own = np.ascontiguousarray(d[keep]).view("V16").ravel()
-                t = pa.table({"digest": pa.array([x.tobytes() for x in own], pa.binary()), "doc": pa.array([rows[k] for k in keep], pa.int64()), "line": pa.array([lines[k] for k in keep], pa.int64())})
-                t = t.sort_by([("doc", "ascending"), ("line", "ascending")]).group_by("digest", use_threads=False).aggregate([([], "count_all"), ("doc", "first"), ("line", "first")])
-                yield from t.rename_columns(["digest", "n_docs", "first_doc", "first_line"]).combine_chunks().to_batches()
-
-    counted = df.select(integer_key(df, key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, _COUNTED)
+    """(digest, n_docs, first_doc, first_line) of the keys that pass the twice-seen filter, summed by batch. broadcast: the filter is; else it is asked."""
+    rows = df.select(integer_key(df, key).alias("key"), F.col(text).alias("text"))
     if broadcast:
-        return counted
-
-    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.array([np.frombuffer(x[:8], np.uint64)[0] for x in batch.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bit_places(h, shards)[0].astype(np.int32))], [*batch.schema.names, "shard"])
-
-    def confirm(rows: pa.Table, filt: pa.Table) -> pa.Table:
-        rows = rows.select(["digest", "n_docs", "first_doc", "first_line"])
-        if not rows.num_rows or not filt.num_rows:
-            return rows.slice(0, 0)
-        h = np.array([np.frombuffer(x[:8], np.uint64)[0] for x in rows["digest"].to_pylist()], np.uint64)
-        return rows.filter(pa.array(_seen({filt["shard"][0].as_py(): _bitmap(filt["twice"][0].as_py())}, h, shards)))
-
-    summed = counted.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("first_doc", "first_line")).alias("f")).select("digest", "n_docs", "f.first_doc", "f.first_line")
-    placed = summed.mapInArrow(shard_of, _COUNTED + ", shard int")
-    return placed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(confirm, _COUNTED)
+        shared = df.sparkSession.sparkContext.broadcast({r["shard"]: r["twice"] for r in filters.collect()})  # drop_lines() has checked the size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            maps = {s: _bitmap(x) for s, x in shared.value.items()}
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    yield from _counted(part, lambda h: _seen(maps, h, shards))
+
+        return rows.mapInArrow(run, _COUNTED)
+
+    asked = "chunk long, bucket int, hashes binary, rows binary"
+    names = ["chunk", "bucket", "hashes", "rows"]
+
+    def message(chunk: int, parts: list[tuple[int, bytes | None]], blobs: list[bytes] | None = None) -> pa.RecordBatch:
+        n = len(parts)
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary()), pa.array(blobs or [None] * n, pa.binary())], names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's hashes by bucket of shards, and a check of all of them, in a bucket below 0 that has no shards."""
+        for chunk, own in groupby(chunks_of(batches, "text", BLOB_BYTES, CHUNK_BYTES), key=lambda x: x[0]):
+            hashes = np.zeros(0, np.uint64)
+            for _, part in own:
+                hashes = np.union1d(hashes, _line_hashes(part.column(1)))
+            bucket = bit_places(hashes, shards)[0] // TOGETHER
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            yield message(chunk, [(-1 - chunk % 1024, _check(hashes)), *((int(bucket[p[0]]), hashes[p].tobytes()) for p in np.split(order, cuts) if len(p))])
+
+    def judge(questions: pa.Table, shard: pa.Table) -> pa.Table:
+        maps = {s: _bitmap(x) for s, x in zip(shard["shard"].to_pylist(), shard["twice"].to_pylist(), strict=True)}
+        out = []
+        for bucket, x in zip(questions["bucket"].to_pylist(), questions["hashes"].to_pylist(), strict=True):
+            h = np.frombuffer(x, np.uint64)
+            out.append(x if bucket < 0 else h[_seen(maps, h, shards)].tobytes())
+        return questions.set_column(2, "hashes", pa.array(out, pa.binary()))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, part in chunks_of(batches, "text", BLOB_BYTES, CHUNK_BYTES):
+            yield message(chunk, [(0, None)], [blob(part)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk. A chunk's blobs stay compressed until its answers are there."""
+        each = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in groupby(each, key=lambda r: r[0]):
+            check, passed, blobs = b"", [np.zeros(0, np.uint64)], []
+            for _, bucket, x, packed in own:
+                if packed is not None:
+                    blobs.append(packed)
+                elif bucket < 0:
+                    check = x
+                else:
+                    passed.append(np.frombuffer(x, np.uint64))
+            hashes = np.zeros(0, np.uint64)
+            for x in blobs:
+                hashes = np.union1d(hashes, _line_hashes(unblob(x)["text"].combine_chunks()))
+            known = np.sort(np.concatenate(passed)) if _check(hashes) == check else hashes
+            for x in blobs:
+                for part in unblob(x).combine_chunks().to_batches():
+                    yield from _counted(part, lambda h: np.isin(h, known))  # noqa: B023
+
+    questions = rows.mapInArrow(ask, asked)
+    shard = filters.select((F.col("shard") / TOGETHER).cast("int").alias("bucket"), "shard", "twice")
+    answers = questions.groupBy("bucket").cogroup(shard.groupBy("bucket")).applyInArrow(judge, asked)
+    return rows.mapInArrow(send, asked).union(answers).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(count, _COUNTED)
+
+
+def _line_hashes(texts: pa.Array) -> np.ndarray:
+    """Distinct 64-bit hashes of the keys that aren't empty."""
+    keys = {k for x in utf8(texts) for k in line_keys(x) if k}
+    return np.unique(digests(list(keys))[:, 0])
+
+
+def _check(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _counted(part: pa.RecordBatch, seen: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The (key, text) rows' keys whose hashes were seen, counted."""
+    rows, lines = [], []
+    found: list[bytes] = []
+    for i, x in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+        first = {k: at for at, k in reversed(list(enumerate(line_keys(x)))) if k}
+        found += first
+        rows += [i] * len(first)
+        lines += first.values()
+    if not found:
+        return
+    d = digests(found)
+    keep = np.flatnonzero(seen(d[:, 0]))
+    if not len(keep):
+        return
+    own = np.ascontiguousarray(d[keep]).view("V16").ravel()
+    t = pa.table({"digest": pa.array([x.tobytes() for x in own], pa.binary()), "doc": pa.array([rows[k] for k in keep], pa.int64()), "line": pa.array([lines[k] for k in keep], pa.int64())})
+    t = t.sort_by([("doc", "ascending"), ("line", "ascending")]).group_by("digest", use_threads=False).aggregate([([], "count_all"), ("doc", "first"), ("line", "first")])
+    yield from t.rename_columns(["digest", "n_docs", "first_doc", "first_line"]).combine_chunks().to_batches()
 
 
 def drop_lines(
@@ -186,6 +249,7 @@ def drop_lines(
     found = suspects(df, text, key, filters, shards, small)
     exact = found.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.min(F.struct("first_doc", "first_line")).alias("first"))
     frequent = stored(exact.where(F.col("n_docs") >= least_docs).select("digest", "first.first_doc", "first.first_line"), "lines-frequent")
+    discard(filters)
     if frequent.count() * 64 <= broadcast_bytes:
         return _drop_broadcast(df, text, key, frequent, keep_first, n_lines, n_dropped)
     return _drop_joined(df, text, key, frequent, keep_first, n_lines, n_dropped)
@@ -229,28 +293,30 @@ def _drop_broadcast(df: DataFrame, text: str, key: str, frequent: DataFrame, kee
 
 
 def _drop_joined(df: DataFrame, text: str, key: str, frequent: DataFrame, keep_first: bool, n_lines: str, n_dropped: str) -> DataFrame:
-    """The way for any number of frequent keys: lines meet them in a join, and return to their rows by key and text hash."""
+    """The way for any number of frequent keys: lines meet them in a join, and return to their rows by a 128-bit hash of key and text."""
     names, schema = _result(df, text, n_lines, n_dropped)
-    marked = df.withColumn("_row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
+    row, cut = fresh(df, "_row", "_cut")
+    marked = df.withColumn(row, F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "text"):
                 rows = [(r, i, at, xxhash.xxh3_128_digest(k)) for r, i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True) for at, k in enumerate(line_keys(x)) if k]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in rows], pa.int64()) for c in range(3)), pa.array([x[3] for x in rows], pa.binary())], ["_row", "_doc", "_line", "digest"])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], ["row", "doc", "line", "digest"])
 
-    lines = marked.select("_row", marked[key].cast("long").alias("_doc"), F.col(text).alias("_text")).mapInArrow(explode, "_row long, _doc long, _line long, digest binary")
-    hits = lines.join(frequent, "digest")
+    own = marked.select(F.col(row).alias("row"), integer_key(marked, key).alias("doc"), F.col(text).alias("text"))
+    hits = own.mapInArrow(explode, "row string, doc long, line long, digest binary").join(frequent, "digest")
     if keep_first:
-        hits = hits.where(~(F.col("_doc").eqNullSafe(F.col("first_doc")) & (F.col("_line") == F.col("first_line"))))
-    cuts = hits.groupBy("_row").agg(F.collect_set("_line").alias("_cut"))
+        hits = hits.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
+    cuts = hits.groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(cut))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
-                yield _rewritten(part, text, names, [x or [] for x in _column(part, "_cut").to_pylist()], n_lines, n_dropped)
+                yield _rewritten(part, text, names, [x or [] for x in _column(part, cut).to_pylist()], n_lines, n_dropped)
 
-    return marked.join(cuts, "_row", "left").drop("_row").mapInArrow(run, schema)
+    return marked.join(cuts, row, "left").mapInArrow(run, schema)
 
 
 #: DuckDB's SQL for drop_lines over documents, with digests of the kept text.

@@ -192,6 +192,37 @@ def test_lines_many_shards(spark):
     assert all(got[i].text == "\n".join(x for x in t.split("\n") if seen[x] < 10) for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("size", [1 << 25, 0])
+def test_only_suspected_repeats_shuffle(spark, monkeypatch, size):
+    """Rows sent for exact counts, whether the filter is broadcast or asked: the repeated lines and the filter's few errors."""
+    monkeypatch.setattr(lines, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lines, "SHARD_BITS", 1 << 12)
+    texts = ["\n".join([f"once {i} {j}" for j in range(40)] + [f"twice {i // 2}", "everywhere"]) for i in range(200)]
+    d = docs(spark, texts)
+    shards = -(-200 * 42 * lines.BITS_PER_LINE // lines.SHARD_BITS)
+    filters = lines.twice_seen(d, "text", shards).cache()
+    found = lines.suspects(d, "text", "doc_id", filters, shards, size > 0).groupBy("digest").sum("n_docs").collect()
+    counts = Counter(r[1] for r in found)
+    assert counts[200] == 1 and counts[2] == 100 and set(counts) == {1, 2, 200} and counts[1] < 0.05 * 8000
+
+
+def test_chunks_in_another_order_count_all(spark, monkeypatch):
+    """Where a chunk's rows aren't those that asked, all its lines are counted."""
+    texts = [f"common\nmine {i}" for i in range(12)]
+    monkeypatch.setattr(lines, "_check", lambda hashes: random.randbytes(16))
+    assert {r.n_dropped for r in lines.drop_lines(docs(spark, texts), broadcast_bytes=0).collect()} == {1}
+
+
+def test_lines_with_clashing_columns(spark):
+    d = docs(spark, [f"common\nmine {i}" for i in range(12)])
+    extra = ("_cut", "_row", "_key", "_text", "_doc", "digest", "chunk", "rows", "n_lines", "first")
+    for n in extra:
+        d = d.withColumn(n, d.doc_id + 1)
+    for size in (1 << 25, 0):
+        for r in lines.drop_lines(d, broadcast_bytes=size).collect():
+            assert r.text == f"mine {r.doc_id}" and r.n_lines == 2 and all(r[n] == r.doc_id + 1 for n in extra if n != "n_lines")
+
+
 # Tokens
 
 
@@ -201,7 +232,7 @@ def test_tokens_are_the_library_s(spark):
     path = vocabulary(WORD_BPE)
     t = Tokenizer.from_file(path)
     texts = ODD + ["It's <|endoftext|> HERE <|STARTOFTEXT|>!", "é.é, É, don't. 12,5% ...end’. x…, ä'll", "Σ. ΑΣ, ΑΣ"] + [" ".join(words(50, i)) + ", W1. W2!" for i in range(60)]
-    table = tokens.write_tokens(docs(spark, texts), path, END_ID, folds=True)
+    table = tokens.write_tokens(docs(spark, texts), path, END_ID)
     got = by_id(table.read())
     start = 0
     for i, x in enumerate(texts):
@@ -213,10 +244,34 @@ def test_tokens_are_the_library_s(spark):
 
 
 def test_encoder_forgets_what_it_must(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 20)
-    e = tokens.WordEncoder(vocabulary(WORD_BPE), END_ID, True)
-    texts = [" ".join(words(30, i)).encode() for i in range(20)]
-    assert [e.encode([x])[0] for x in texts] == tokens.WordEncoder(vocabulary(WORD_BPE), END_ID, False).encode(texts)
+    from tokenizers import Tokenizer
+
+    path = vocabulary(WORD_BPE)
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "STEMS", 10)
+    e, t = tokens.WordEncoder(path, END_ID), Tokenizer.from_file(path)
+    texts = [" ".join(words(30, i)) for i in range(20)]
+    assert e.by_words and [np.frombuffer(e.encode([x.encode()])[0], "<u2").tolist() for x in texts] == [t.encode(x, add_special_tokens=False).ids + [END_ID] for x in texts]
+    assert len(e.memo.hashes) < 60
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    e, t = tokens.WordEncoder(path, 5), Tokenizer.from_file(path)
+    texts = ["two  spaces\nand a line", "", "x"]
+    assert not e.by_words and [np.frombuffer(x, "<u2").tolist() for x in e.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids + [5] for x in texts]
+
+
+def test_files_of_several_partitions(spark, monkeypatch):
+    """Rows of one key, and of none, are dealt over partitions; starts follow each other."""
+    monkeypatch.setattr(tokens, "PARTITION_BYTES", 500)
+    texts = [" ".join(words(30, i)) for i in range(40)]
+    table = tokens.write_tokens(docs(spark, texts, [None] * 15 + [7] * 15 + list(range(10, 20))), vocabulary(WORD_BPE), END_ID)
+    rows = sorted(table.read().collect(), key=lambda r: r.start)
+    assert table.files.select("part").distinct().count() > 5
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist() and [r.doc_id for r in rows] == [None] * 15 + [7] * 15 + list(range(10, 20))
 
 
 def test_null_keys_come_first(spark):
