@@ -4,7 +4,8 @@ mux() stores a payload losslessly as 8-bit PCM in a Matroska file; demux() parse
 clusters, lacing and cues into a packet table with timestamps, tracks and byte ranges.
 
 Nulls: a null text counts as an empty one (64 zero bytes of payload); a null file gives no packets, a damaged one raises.
-Rows are independent, so ties and repeated rows don't matter; an empty table gives an empty result.
+Rows are independent, so ties and repeated rows don't matter; an empty table gives an empty result. A very long text is one file,
+held whole in one task. Extra columns, whatever their names, don't matter and don't come back.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1
-SAMPLING, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
+SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xB5, 0x9F, 0x6264, 0x23E383
+SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+BLOCK_DURATION = 0x9B
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+#: A cluster of unknown size ends where one of these begins.
+_ABOVE_BLOCKS = frozenset((EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS))
 
 RATE = 8000
 FRAME = 1024
@@ -111,6 +116,7 @@ class Packet:
     block: int
     lacing: int
     keyframe: bool
+    duration_ns: int
 
 
 @dataclass
@@ -141,18 +147,33 @@ def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int | None, int
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, start of the element, start and end of its body); an unknown size reaches to the parent's end."""
+    """(id, start of the element, start and end of its body).
+
+    An unknown size reaches to the parent's end; in a cluster, to the next element that can't be in a cluster.
+    """
     while at < end:
         start = at
         kind, at = read_vint(data, at, keep=True)
         size, at = read_vint(data, at)
-        stop = end if size is None else at + size
+        stop = at + size if size is not None else _cluster_end(data, at, end) if kind == CLUSTER else end
         if stop > end:
             raise ValueError(f"element {kind:#x} at byte {start} is longer than its parent")
         yield kind, start, at, stop
         at = stop
 
 
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    while at < end:
+        kind, body = read_vint(data, at, keep=True)
+        if kind in _ABOVE_BLOCKS:
+            return at
+        size, body = read_vint(data, body)
+        if size is None:
+            raise ValueError(f"element {kind:#x} at byte {at} of a cluster is of unknown size")
+        at = body + size
+    return end
+
+
 def _laced_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
     if not lacing:
         return [end - at], at
@@ -210,30 +231,45 @@ def demux(data: bytes) -> Media:
 
 def _track(data: bytes, p: int, q: int, out: Media, number, real) -> None:
     own = {k: (u, v) for k, _, u, v in elements(data, p, q)}
-    entry = {"type": number(*own[TRACK_TYPE]), "codec": data[slice(*own[CODEC_ID])].decode(), "rate": 0.0, "channels": 1, "bits": 0}
+    entry = {"type": number(*own[TRACK_TYPE]), "codec": data[slice(*own[CODEC_ID])].decode(), "rate": 0.0, "channels": 1, "bits": 0, "frame_ns": number(*own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0}
     if AUDIO in own:
         audio = {k: (u, v) for k, _, u, v in elements(data, *own[AUDIO])}
         entry |= {"rate": real(*audio[SAMPLING]), "channels": number(*audio[CHANNELS]), "bits": number(*audio[BIT_DEPTH])}
     out.tracks[number(*own[TRACK_NUMBER])] = entry
 
 
+def _lasts(track: dict | None, size: int) -> int:
+    """Nanoseconds of a frame: the track's default, or what its samples last; 0 where neither is known."""
+    if track is None:
+        return 0
+    if track["frame_ns"]:
+        return track["frame_ns"]
+    rate = track["rate"] * track["channels"] * track["bits"]
+    return round(size * 8_000_000_000 / rate) if rate and track["codec"].startswith("A_PCM") else 0
+
+
 def _cluster(data: bytes, x: int, y: int, out: Media, number) -> None:
     base, block = 0, 0
     for k, _, p, q in elements(data, x, y):
         if k == CLUSTER_TIMESTAMP:
             base = number(p, q)
+        whole = None
         if k == BLOCK_GROUP:
-            p, q = next((u, v) for kk, _, u, v in elements(data, p, q) if kk == BLOCK)
+            inside = {kk: (u, v) for kk, _, u, v in elements(data, p, q)}
+            if BLOCK_DURATION in inside:
+                whole = number(*inside[BLOCK_DURATION]) * out.tick_ns
+            p, q = inside[BLOCK]
         if k in (SIMPLE_BLOCK, BLOCK_GROUP):
             track, at = read_vint(data, p)
             offset, flags = struct.unpack_from(">hB", data, at)
             lacing = flags >> 1 & 3
             sizes, at = _laced_sizes(data, at + 3, q, lacing)
-            time = base + offset
+            passed = 0
             for size in sizes:
-                out.packets.append(Packet(track, time, at, size, len(out.clusters) - 1, block, lacing, bool(flags & 0x80) or k == BLOCK_GROUP))
+                lasts = _lasts(out.tracks.get(track), size) if whole is None else whole // len(sizes)
+                out.packets.append(Packet(track, base + offset + passed // out.tick_ns, at, size, len(out.clusters) - 1, block, lacing, bool(flags & 0x80) or k == BLOCK_GROUP, lasts))
                 at += size
-                time += size  # one byte, one sample, one tick
+                passed += lasts
             block += 1
 
 
@@ -247,7 +283,7 @@ def packet_table(df: DataFrame, content: str = "content", key: str = "doc_id") -
                 if (data := batch.column(1)[at].as_py()) is None:
                     continue
                 m = demux(data)
-                rows = [(i, p.track, p.timestamp * m.tick_ns, p.size * m.tick_ns, p.start, p.size, p.cluster, p.block, p.lacing) for i, p in enumerate(m.packets)]
+                rows = [(i, p.track, p.timestamp * m.tick_ns, p.duration_ns, p.start, p.size, p.cluster, p.block, p.lacing) for i, p in enumerate(m.packets)]
                 keys = pa.array([batch.column(0)[at].as_py()] * len(rows), batch.schema.field(0).type)
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(9)), pa.array([p.keyframe for p in m.packets], pa.bool_())], [key, *names, "keyframe"])
 
@@ -280,7 +316,8 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         stored = mux(padded(data))
         media = demux(stored)
         back = b"".join(stored[p.start : p.start + p.size] for p in media.packets)
-        if any(c not in media.clusters for _, _, c in media.cues):
+        clusters = set(media.clusters)
+        if any(c not in clusters for _, _, c in media.cues):
             raise ValueError("a cue points at no cluster")
         return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, back)
 
@@ -293,3 +330,11 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [key, *names])
 
     return small_batches(df).select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+
+
+#: DuckDB's SQL for the payload's columns that it can express.
+PAYLOAD_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, raw || repeat('\\x00'::BLOB, CASE WHEN octet_length(raw) = 0 THEN 64 ELSE (64 - octet_length(raw) % 64) % 64 END) AS payload FROM t)
+SELECT doc_id, n::BIGINT AS n_bytes, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256 FROM p
+"""

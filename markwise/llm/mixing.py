@@ -4,11 +4,13 @@ A source's mean repetition rate is budget * weight / rows, weights summing to 1
 row draws a uniform number from a hash of seed and key and inverts the Poisson distribution with that mean; it is
 exploded by the count, and all copies are shuffled globally by a hash of seed, key and copy. Without a weights table every
 source weighs the same; without a budget the mix has as many rows as the input, in the mean. Rates above PART are drawn as
-a sum of equal parts, so no term underflows.
+a sum of equal parts, so no term underflows, and no array holds more than one part's copies. Copies are numbered from 0; where a
+rate is drawn in parts, each number is one copy's own, but some are left out.
 
 A null source is a source of its own. Rows of a null key draw by their text; repeated rows draw alike, and ties in the
 shuffle go by key and copy. An empty table gives an empty result. Sources that weigh nothing, or that the table of weights
-doesn't name, give no rows. Extra columns pass through; ones named like the results are overwritten.
+doesn't name, give no rows. Very long texts travel whole in their rows. Extra columns pass through, whatever their names; ones named
+like the results are overwritten.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SEED = "mix-1"
 PART = 500.0
 #: Up to so many sources are broadcast; beyond, rows and sources are joined over SALTS shares of each source.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
+#: Rows of more parts have their copies made by part, in several tasks.
+SPREAD = 16
 
 
 def uniform(*parts: Column) -> Column:
@@ -53,18 +59,25 @@ def rates(df: DataFrame, source: str, weights: DataFrame | None, budget: float |
 def mix(df: DataFrame, weights: DataFrame | None = None, budget: float | None = None, source: str = "source", key: str = "doc_id", text: str = "text", seed: str = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The mix: df's columns, copy (from 0), n_copies, and mix_key, by which the rows are ordered."""
     names = [c for c in df.columns if c not in ("copy", "n_copies", "mix_key")]
-    table = rates(df, source, weights, budget)
-    own = df.select(*names, F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).alias("_id"))
-    if table.count() <= broadcast_sources:
-        joined = own.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")))
+    own_id, from_, parts, cdf, share, salt, counts, part, n, i = fresh(df, "_id", "_source", "_parts", "_cdf", "_share", "_salt", "_counts", "_part", "_n", "_i")
+    table = rates(df, source, weights, budget).toDF(from_, parts, cdf)
+    known = table.agg(F.count("*").alias("sources"), F.coalesce(F.max(parts), F.lit(1)).alias("parts")).first()
+    own = df.select(*names, F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).alias(own_id))
+    if known["sources"] <= broadcast_sources:
+        joined = own.join(F.broadcast(table), F.col(source).eqNullSafe(F.col(from_)))
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("_share", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_share") == F.col("_salt")))
-    draw = lambda j: uniform(F.lit(seed), F.col("_id"), j.cast("string"))
-    count = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.aggregate("_cdf", F.struct(draw(j).alias("u"), F.lit(0).alias("k")), lambda a, c: F.struct(a["u"].alias("u"), (a["k"] + (c <= a["u"]).cast("int")).alias("k")), lambda a: a["k"])), F.lit(0), lambda a, n: a + n)
-    drawn = joined.select(*names, "_id", count.cast("long").alias("n_copies")).where(F.col("n_copies") > 0)
-    copies = drawn.select(*names, "_id", "n_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("copy"))
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("_id"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn(share, F.pmod(F.xxhash64(own_id), F.lit(SALTS)).cast("int")).join(salted, F.col(source).eqNullSafe(F.col(from_)) & (F.col(share) == F.col(salt)))
+    draw = lambda j: uniform(F.lit(seed), F.col(own_id), j.cast("string"))
+    inverted = lambda j: F.aggregate(cdf, F.struct(draw(j).alias("u"), F.lit(0).alias("k")), lambda a, c: F.struct(a["u"].alias("u"), (a["k"] + (c <= a["u"]).cast("int")).alias("k")), lambda a: a["k"])
+    drawn = joined.select(*names, own_id, parts, F.transform(F.sequence(F.lit(0), F.col(parts) - 1), inverted).alias(counts))
+    drawn = drawn.withColumn("n_copies", F.aggregate(counts, F.lit(0).cast("long"), lambda a, k: a + k)).where(F.col("n_copies") > 0)
+    dealt = drawn.select(*names, own_id, parts, "n_copies", F.posexplode(counts).alias(part, n)).where(F.col(n) > 0)
+    if known["parts"] > SPREAD:  # the copies of one row are made in several tasks
+        dealt = dealt.repartition(F.xxhash64(own_id, part))
+    copies = dealt.select(*names, own_id, parts, part, "n_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)).alias(i))
+    copies = copies.select(*names, own_id, (F.col(i) * F.col(parts) + F.col(part)).alias("copy"), "n_copies")
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col(own_id), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
     return copies.select(*names, "copy", "n_copies", place.alias("mix_key")).orderBy("mix_key", key, "copy")
 
 

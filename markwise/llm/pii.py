@@ -4,7 +4,8 @@ Transducers normalise homoglyphs, spelled digits and at/dot disguises. Each keep
 the source characters it stands for; identifiers found in the normalised text map back to source spans.
 
 Nulls: a null text counts as an empty one, without spans. Rows are judged one by one, so ties and repeated rows don't
-matter; an empty table gives an empty result. Very long texts: every detector is linear in the text.
+matter; an empty table gives an empty result. Very long texts: every detector is linear in the text. Extra columns, whatever
+their names, don't matter and don't come back.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _digits(text: str) -> str:
 
 
 def ips(text: str) -> Iterator[Span]:
-    return (m.span() for m in _IP.finditer(text) if all(len(x) < 20 and int(x) <= 255 or not x.strip("0") for x in m[0].split(".")))
+    return (m.span() for m in _IP.finditer(text) if all(int(x.lstrip("0")[:4] or "0") <= 255 for x in m[0].split(".")))
 
 
 def cards(text: str) -> Iterator[Span]:
@@ -213,3 +214,20 @@ def find_pii(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in rows[:5]), *(pa.array(x, pa.string()) for x in rows[5:])], [key, "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
 
     return small_batches(df).select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
+
+
+#: DuckDB's SQL for the counts of base spans.
+PII_COUNTS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id,
+        len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+        regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+        list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS card,
+        list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda c: regexp_replace(c, '[^0-9]', '', 'g')) AS phone FROM t)
+SELECT doc_id, n_email::BIGINT AS n_email,
+  len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CASE WHEN len(ltrim(p, '0')) <= 3 THEN ('0' || ltrim(p, '0'))::INT ELSE 999 END)) <= 255))::BIGINT AS n_ip,
+  len(list_filter(card, lambda d: len(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(d)), lambda i:
+    CASE WHEN i % 2 = 0 THEN d[len(d) - i]::INT ELSE d[len(d) - i]::INT * 2 - CASE WHEN d[len(d) - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda d: len(d) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM m
+"""

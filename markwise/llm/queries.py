@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .lines import LINES_SQL, drop_lines
-from .matroska import media_digests
+from .matroska import PAYLOAD_SQL, media_digests
 from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
-from .pii import find_pii
+from .pii import PII_COUNTS_SQL, find_pii
 from .quality import quality, quality_sql
 from .sentencepiece import encode, piece_digests
 from .substrings import REPEATS_SQL, remove_repeats
@@ -76,9 +76,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
 
 
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"media_payload": media_payload, "pii_counts": pii_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql()}
+    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "pii_counts": PII_COUNTS_SQL}

@@ -6,14 +6,17 @@ them over all chunks and answers one bit per hash, in the order sent: an earlier
 the order inside itself, turns the bits into words to remove. A hash that is in every document is one entry per chunk.
 Hashes have 64 bits: two different windows among n share one with probability n^2 / 2^65 (4e-4 at 10^8 windows).
 
-Order is by key, null first, then by text, so rows that repeat a key or a text follow each other. A null or empty text,
+Order is by key, then by a hash of the text and the text, so rows of one key are dealt over as many chunks as they fill; a null key
+counts as the smallest long. Equal rows stay together. A null or empty text,
 and one of fewer words than a window, loses nothing; a null text comes back as an empty one. A very long text makes its
-chunk longer. An empty table gives an empty result. Extra columns pass through; ones named like the results are overwritten.
+chunk longer. An empty table gives an empty result. Extra columns pass through, whatever
+their names; ones named like the results are overwritten. Keys are integers.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,9 @@ from .common import integer_key, small_batches, text_bytes, utf8, window_hashes,
 CHUNK_BYTES = 8 << 20
 
 
-def range_number(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most the key, found in two steps of about sqrt(len(bounds)) comparisons."""
+def chunk_number(key: Column, hash_: Column, bounds: list[int]) -> Column:
+    """A chunk for each (key, hash), in that order: after how many of the sorted bounds the key comes, found in two steps of
+    about sqrt(len(bounds)) comparisons. A bound that occurs m times is a key with m chunks' rows; the hash deals those over its chunks."""
     if not bounds:
         return F.lit(0)
     step = math.isqrt(len(bounds)) + 1
@@ -35,20 +39,26 @@ def range_number(key: Column, bounds: list[int]) -> Column:
     below = lambda values: F.size(F.filter(values, lambda b: b <= key))
     first = below(F.lit([p[0] for p in parts]))
     inner = F.get(F.array(*[F.lit(p) for p in parts]), first - 1)
-    return F.when(key.isNull() | (first == 0), F.lit(0)).otherwise((first - 1) * step + below(inner))
+    last = F.when(first == 0, F.lit(0)).otherwise((first - 1) * step + below(inner))
+    hot = {b: n for b, n in Counter(bounds).items() if n > 1}
+    if not hot:
+        return last
+    times = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), key), F.lit(1))
+    turn = F.floor((F.shiftrightunsigned(hash_, 32) / F.lit(float(1 << 32))) * times).cast("int")
+    return F.when(times > 1, last - times + 1 + turn).otherwise(last)
 
 
-def key_ranges(df: DataFrame, key: str, n: int) -> list[int]:
-    """n - 1 approximate quantiles of the key."""
+def key_bounds(df: DataFrame, key: Column, n: int) -> list[int]:
+    """n - 1 approximate quantiles of the key; a key of several chunks' rows occurs several times."""
     if n < 2:
         return []
-    found = df.agg(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
-    return sorted(set(found or []))
+    found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
+    return sorted(found or [])
 
 
 def _ordered(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
-    keys, texts = table["_key"].to_pylist(), utf8(table["_text"].combine_chunks())
-    order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, texts[i]))
+    keys, hashes, texts = table["_key"].to_pylist(), table["_hash"].to_pylist(), utf8(table["_text"].combine_chunks())
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], hashes[i], texts[i]))
     return table.take(pa.array(order, pa.int64())), [texts[i] for i in order]
 
 
@@ -74,7 +84,11 @@ def remove_repeats(
     chunks = max(1, -(-text_bytes(small_batches(df), text) // chunk_bytes))
     edges = _edges(chunks)
     names = [c for c in df.columns if c not in (n_words, n_removed, removed)]
-    marked = df.select(range_number(F.col(key).cast("long"), key_ranges(df, key, chunks)).alias("_chunk"), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), *[c for c in names if c not in (text,)])
+    rest = [c for c in names if c != text]
+    place = F.coalesce(integer_key(df, key), F.lit(-(1 << 63)))
+    hash_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    # helping columns come first, and by place: whatever names the others have, they travel as c0, c1, ...
+    marked = df.select(chunk_number(place, hash_.bitwiseXOR(F.lit(-(1 << 63))), key_bounds(df, place, chunks)).cast("int").alias("_chunk"), place.alias("_key"), hash_.alias("_hash"), F.col(text).alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     spans = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()))
     schema = T.StructType([T.StructField(text, T.StringType()) if c == text else df.schema[c] for c in names]).add(n_words, T.LongType()).add(n_removed, T.LongType()).add(removed, spans)
 
@@ -83,7 +97,7 @@ def remove_repeats(
         return (*window_hashes(words, offsets, window), offsets)
 
     def send(table: pa.Table) -> pa.Table:
-        _, texts = _ordered(table.select(["_key", "_text"]))
+        _, texts = _ordered(table.select(["_key", "_hash", "_text"]))
         sent = np.unique(windows(texts)[0])
         parts = np.split(sent, np.searchsorted(sent, edges[1:]))
         full = [i for i, p in enumerate(parts) if len(p)]
@@ -127,7 +141,7 @@ def remove_repeats(
                 cut.append([])
             kept.append(b" ".join(words))
         new = pa.array(kept, pa.binary()).cast(pa.string())
-        return pa.table([new if c == text else table[c] for c in names] + [pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=[*names, n_words, n_removed, removed])
+        return pa.table([new if c == text else table[f"c{rest.index(c)}"] for c in names] + [pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=[*names, n_words, n_removed, removed])
 
     sent = marked.groupBy("_chunk").applyInArrow(send, "_chunk int, bucket int, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(judge, "_chunk int, bucket int, n long, bits binary")

@@ -3,10 +3,11 @@
 score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct terms of a text; the pairwise part learns that two
 terms together say more than each alone. Terms are the text's words and their first bytes (PREFIXES) (A-Z lower-cased, cut at
 ASCII characters other than letters and digits), hashed to 2^20 buckets. The machine is trained on at most SAMPLE_ROWS
-labelled rows, those of the smallest hashed keys; from their terms, those that tell the classes apart best are kept.
+labelled rows, those of the smallest hashed keys, with at most SAMPLE_BYTES of terms; from their terms, those that tell the classes apart best are kept.
 
 Nulls: a null text has no terms, as an empty one has; its score is the machine's for no terms. Labels that are null, or
-of keys without a document, are left out; a key labelled more than once has its highest label. Without rows of both
+of keys without a document, are left out; a key labelled more than once has its highest label, and of a key with several
+documents the least text is learnt from. Very long texts are cut into blocks while they are hashed. Without rows of both
 classes every score is the share of label 1 (0.0 without any row). Rows are scored one by one, so repeated rows get equal
 scores. Extra columns pass through; columns named like the results are overwritten.
 """
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE_BASE, _BYTE_CODE, _LOWER, mix64, pieces, powers, small_batches, utf8
+from .common import _BYTE_BASE, _BYTE_CODE, _LOWER, discard, mix64, pieces, powers, small_batches, stored, utf8
 
-#: Bound of the labelled sample.
+#: Bounds of the labelled sample: keys, and bytes of their distinct terms (4 a term).
 SAMPLE_ROWS = 12_000
+SAMPLE_BYTES = 256 << 20
 BUCKETS = 1 << 20
 TERMS = 6_000
 FACTORS = 8
@@ -175,7 +177,13 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([buckets[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["_key", "_y", "_terms"])
 
     own = small_batches(df).select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_k") == F.col("_key"))  # SAMPLE_ROWS keys at most
-    found = own.select(F.col("_key").cast("long").alias("_key"), "_y", "_text").mapInArrow(run, "_key long, _y int, _terms binary").toArrow().sort_by([("_key", "ascending"), ("_terms", "ascending")])
+    whole = own.groupBy("_key").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text"))  # one row of a key that repeats
+    table = stored(whole.select(F.xxhash64("_key").alias("_key"), "_y", "_text").mapInArrow(run, "_key long, _y int, _terms binary"), "toxicity-terms")
+    sizes = table.select("_key", F.octet_length("_terms").alias("n")).orderBy("_key").toArrow()  # a row of SAMPLE_ROWS at most, each 12 bytes
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy().astype(np.int64)), SAMPLE_BYTES, side="right"))
+    chosen = table if fits == len(sizes) else table.where(F.col("_key") < sizes["_key"][fits].as_py())
+    found = chosen.toArrow().sort_by([("_key", "ascending"), ("_terms", "ascending")])
+    discard(table)
     terms = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in found["_terms"]]
     rows = np.repeat(np.arange(len(terms)), [len(x) for x in terms]) if terms else np.zeros(0, np.int64)
     return fit(rows, np.concatenate(terms) if terms else rows, np.array([int(y > 0) for y in found["_y"].to_pylist()], np.float64))

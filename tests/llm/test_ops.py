@@ -10,9 +10,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from markwise.llm import lines, matroska, mixing, neardup, pii, quality, sentencepiece, substrings, tokens, toxicity
+from markwise.llm import queries as library
 from markwise.llm.queries import END_ID, PIECE_BPE, WORD_BPE, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -37,7 +39,7 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("op")])
+@pytest.mark.parametrize("name", list(library.oracle_sql()))
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
@@ -75,6 +77,27 @@ def test_toxicity_learns_pairs(spark):
     assert np.mean([got[i].predicted == rows[i][2] for i in held]) > 0.95
 
 
+def test_scores_are_explicit_pair_sums():
+    """Bias, linear weights and each pair's product of factors, one by one."""
+    r = np.random.default_rng(3)
+    kept = np.sort(r.choice(toxicity.BUCKETS, 50, replace=False))
+    fm = toxicity.FactorizationMachine(kept, 0.3, r.normal(size=50), r.normal(size=(50, toxicity.FACTORS)))
+    texts = [sorted(r.choice(50, n, replace=False).tolist()) for n in (0, 1, 2, 7, 20)]
+    rows = np.array([i for i, x in enumerate(texts) for _ in x])
+    got = fm.score(rows, np.array([t for x in texts for t in x]), len(texts))
+    for i, x in enumerate(texts):
+        z = 0.3 + sum(fm.linear[t] for t in x) + sum(float(fm.factors[a] @ fm.factors[b]) for k, a in enumerate(x) for b in x[:k])
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    d = docs(spark, [" ".join(words(50, i)) for i in range(60)] * 2, [*range(60)] * 2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert len(toxicity.train(d, labels).kept) >= 0
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 0)
+    assert len(toxicity.train(d, labels).kept) == 0
+
+
 def test_toxicity_on_odd_rows(spark):
     d = docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -116,6 +139,27 @@ def test_poisson_counts(spark):
     assert abs(mixing.mix(one, budget=1200.0).count() - 1200) < 200
 
 
+def test_copies_of_a_hot_row(spark):
+    """A rate of many parts: the copies come in parts, each with a number of its own."""
+    d = docs(spark, ["t", "u"], sources=["a", "b"])
+    rows = mixing.mix(d, budget=40_000.0).collect()
+    per = Counter(r.text for r in rows)
+    assert all(abs(n - 20_000) < 1000 for n in per.values()) and {(r.text, r.n_copies) for r in rows} == set(per.items())
+    assert len({(r.text, r.copy) for r in rows}) == len(rows)
+
+
+def test_mixing_with_clashing_columns(spark):
+    d = docs(spark, [f"t{i}" for i in range(50)], sources=["a"] * 30 + ["b"] * 20)
+    extra = ("_id", "_source", "_parts", "_cdf", "_n", "_share", "copy", "_weight")
+    more = d
+    for n in extra:
+        more = more.withColumn(n, F.lit("x"))
+    for size in (10, 0):
+        plain, wide = ([(r.doc_id, r.copy, r.mix_key) for r in mixing.mix(x, broadcast_sources=size).collect()] for x in (d, more))
+        assert plain == wide
+    assert {r._id for r in mixing.mix(more).collect()} == {"x"}
+
+
 def test_mixing_odd_rows(spark):
     d = docs(spark, ["a", None, "a", "b"], [1, None, 1, None])
     rows = mixing.mix(d, budget=40.0).collect()
@@ -153,6 +197,34 @@ def test_each_lacing_is_read(lacing):
     assert [data[p.start : p.start + p.size] for p in m.packets] == frames and {p.lacing for p in m.packets} == {lacing} and m.packets[0].timestamp == 7
 
 
+def test_clusters_of_unknown_size():
+    """As live streams write them: a cluster ends where the next one, or another element of the segment, begins."""
+    unknown = b"\x01\xff\xff\xff\xff\xff\xff\xff"
+    cluster = lambda t, x: matroska._id(matroska.CLUSTER) + unknown + matroska._uint(matroska.CLUSTER_TIMESTAMP, t) + matroska._element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80" + x)
+    data = matroska._id(matroska.SEGMENT) + unknown + cluster(0, b"ab") + cluster(9, b"cde") + matroska._element(matroska.TAGS, b"") + cluster(20, b"f")
+    m = matroska.demux(data)
+    assert [(data[p.start : p.start + p.size], p.timestamp, p.cluster) for p in m.packets] == [(b"ab", 0, 0), (b"cde", 9, 1), (b"f", 20, 2)]
+
+
+def test_durations():
+    """A track's default, a block's own, and what samples of another width last."""
+    frames = [b"abcd", b"efgh"]
+    flags, head = matroska._lace(frames, True)
+    block = b"\x81\x00\x00" + bytes([flags]) + head + b"".join(frames)
+    audio = matroska._element(matroska.AUDIO, matroska._element(matroska.SAMPLING, matroska.struct.pack(">d", 1000.0)) + matroska._uint(matroska.CHANNELS, 2) + matroska._uint(matroska.BIT_DEPTH, 16))
+
+    def read(track, more=b""):
+        entry = matroska._uint(matroska.TRACK_NUMBER, 1) + matroska._uint(matroska.TRACK_TYPE, 2) + matroska._element(matroska.CODEC_ID, b"A_PCM/INT/LIT") + track
+        group = matroska._element(matroska.BLOCK_GROUP, matroska._element(matroska.BLOCK, block) + more)
+        body = matroska._element(matroska.TRACKS, matroska._element(matroska.TRACK_ENTRY, entry)) + matroska._element(matroska.CLUSTER, matroska._uint(matroska.CLUSTER_TIMESTAMP, 5) + group)
+        return [(p.timestamp, p.duration_ns) for p in matroska.demux(matroska._element(matroska.SEGMENT, body)).packets]
+
+    assert read(audio) == [(5, 1_000_000), (6, 1_000_000)]
+    assert read(audio + matroska._uint(matroska.DEFAULT_DURATION, 20_000_000)) == [(5, 20_000_000), (25, 20_000_000)]
+    assert read(b"", matroska._uint(matroska.BLOCK_DURATION, 60)) == [(5, 30_000_000), (35, 30_000_000)]
+    assert read(b"") == [(5, 0), (5, 0)]
+
+
 def test_damaged_matroska():
     with pytest.raises(ValueError):
         matroska.demux(matroska.mux(bytes(64))[:-3])
@@ -313,6 +385,32 @@ def test_substrings_repeated_and_null_keys(spark):
     assert got == [("7", 25), ("7", 25), ("None", 0)]
 
 
+@pytest.mark.parametrize("hot", [None, 50])
+def test_substrings_hot_key(spark, hot):
+    """Half of the rows have one key, or none: they fill several chunks, and each passage stays once."""
+    passages = [" ".join(words(25, 100 + i, 5000)) for i in range(20)]
+    texts = [passages[i % 20] for i in range(80)]
+    d = docs(spark, texts, [hot] * 40 + list(range(40, 80)))
+    chunks = 20 if hot is None else 30
+    rows = substrings.remove_repeats(d, chunk_bytes=-(-sum(map(len, texts)) // chunks)).collect()
+    assert sum(r.n_words - r.n_removed for r in rows) == 20 * 25
+    place = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    bounds = substrings.key_bounds(d, place, chunks)
+    numbers = d.select("doc_id", substrings.chunk_number(place, F.xxhash64("text"), bounds).alias("c"))
+    assert numbers.where(F.col("doc_id").eqNullSafe(F.lit(hot))).select("c").distinct().count() > 3
+    assert numbers.groupBy(place.alias("k")).agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < 0").count() == 0
+
+
+def test_substrings_with_clashing_columns(spark):
+    p = " ".join(words(25, 4))
+    d = docs(spark, [p, "x " + p])
+    extra = ("_key", "_text", "_chunk", "_hash", "c0", "bucket", "n_words")
+    for n in extra:
+        d = d.withColumn(n, F.col("doc_id") * 10)
+    got = by_id(substrings.remove_repeats(d))
+    assert (got[0].text, got[1].text, got[1].n_words, got[1]._key, got[1].c0) == (p, "x", 26, 10, 10)
+
+
 # Quality
 
 
@@ -391,6 +489,11 @@ def test_a_longer_span_stands_beside_the_base_span(text, own, longer):
     assert [text[s:e] for _, s, e in base] == [own] and sorted(text[s:e] for _, s, e in every) == sorted([own, longer])
 
 
+@pytest.mark.parametrize("text,is_ip", [("00000000000000000001.1.1.1", True), ("0.0.0.0", True), ("1.2.3.00000000000000000000256", False), ("0000000255.1.2.3", True), ("256.1.1.1", False), ("9" * 5000 + ".1.1.1", False)])
+def test_leading_zeros(text, is_ip):
+    assert [k for k, _, _ in pii.base_spans(text) if k == "ip"] == ["ip"] * is_ip
+
+
 def test_a_covered_span_is_not_added():
     base, every = pii.all_spans("mail one.two.three.four@example.com, jo (at) site.org")
     assert [x for x in every if x[0] == "email" and x not in base] == [("email", 37, 53)]

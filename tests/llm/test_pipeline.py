@@ -47,7 +47,7 @@ def test_run(spark, sf, stages):
 
 
 ROWS = [(0, None, None, None, None), (None, "a b c", "en", "s", 5), (2, "", "en", None, 0), (3, "x" * 2000, "en", "s", None), (3, "x" * 2000, "en", "s", None), (5, "word " * 3000, None, "t", 1), (6, "A\nb\nA", "en", "s", 5)]
-CLASHING = ("score", "_score", "n_lines", "n_dropped", "copy", "n_copies", "mix_key", "chunk", "key", "node", "fp", "root", "piece_ids", "removed", "n_words", "kept", "component_id")
+CLASHING = ("score", "_score", "n_lines", "n_dropped", "copy", "n_copies", "mix_key", "chunk", "key", "node", "fp", "root", "piece_ids", "removed", "n_words", "kept", "component_id", "_row", "_component", "_least", "_id", "_source", "_parts", "_key", "_text", "_cut", "_n_lines", "first")
 
 
 def odd(spark):
