@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from markwise.llm.common import stored, table
+from markwise.llm.common import fresh, stored, table
 from markwise.llm.lines import drop_lines
 from markwise.llm.mixing import mix
 from markwise.llm.neardup import near_duplicates
@@ -26,13 +26,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of sf_dir; a null text scores like an empty one."""
     machine = train(docs, table(spark, sf_dir, "labels"))
-    return with_scores(docs, machine, score="_score").where(F.col("_score") < 0.5).select(*docs.columns)
+    (score,) = fresh(docs, "_score")
+    return with_scores(docs, machine, score=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text; a document that loses all lines stays with an empty text."""
-    kept = drop_lines(docs, n_lines="_n_lines", n_dropped="_n_dropped")
-    return kept.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_lines, n_dropped = fresh(docs, "_n_lines", "_n_dropped")
+    kept = drop_lines(docs, n_lines=n_lines, n_dropped=n_dropped)
+    n_chars = F.when(F.col(n_dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +44,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Until a doc_id repeats inside a component, rows are known by a 64-bit hash of doc_id and text: two of n rows share one
     with probability n^2 / 2^65.
     """
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    verdict = near_duplicates(own.select("_row", "text"), key="_row").where("n_shingles > 0")
-    verdict = stored(verdict.select("_row", F.col("component_id").alias("_component")).distinct(), "near-verdict")
-    ids = own.select("_row", "doc_id").join(verdict, "_row").groupBy("_component", "doc_id").agg(F.count("*").alias("n"), F.min("_row").alias("_row"))
-    least = ids.groupBy("_component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n", "_row")).alias("least")).select("_component", "least.doc_id", "least.n", "least._row")
-    least = stored(least, "near-least")
-    gone = verdict.join(least.where("n = 1"), "_row", "left_anti").select("_row")
-    alone = own.join(gone, "_row", "left_anti").select(*docs.columns)
-    tied = verdict.join(least.where("n > 1").select("_component", F.col("doc_id").alias("_least")), "_component")
+    row, component, smallest = fresh(docs, "_row", "_component", "_least")
+    own = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(own.select(row, "text"), key=row).where("n_shingles > 0")
+    verdict = stored(found.select(row, F.col("component_id").alias(component)).distinct(), "near-verdict")
+    ids = own.select(row, "doc_id").join(verdict, row).groupBy(component, "doc_id").agg(F.count("*").alias("n"), F.min(row).alias(row))
+    least = ids.groupBy(component).agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "n", row)).alias("least"))
+    least = stored(least.select(component, F.col("least.doc_id").alias(smallest), "least.n", F.col("least")[row].alias(row)), "near-least")
+    gone = verdict.join(least.where("n = 1"), row, "left_anti").select(row)
+    alone = own.join(gone, row, "left_anti").select(*docs.columns)
+    tied = verdict.join(least.where("n > 1").select(component, smallest), component)
     order = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
-    rows = own.join(tied, "_row").where(F.col("doc_id").eqNullSafe(F.col("_least"))).groupBy("_component").agg(F.min(F.struct(*order)).alias("_first"))
-    return alone.unionByName(rows.select(*[F.col("_first").getField(c).alias(c) for c in docs.columns]))
+    same = own.join(tied, row).where(F.col("doc_id").eqNullSafe(F.col(smallest)))
+    rows = same.groupBy(component).agg(F.min(F.struct(*order)).alias("first")).select("first")
+    return alone.unionByName(rows.select(*[F.col("first").getField(c).alias(c) for c in docs.columns]))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +69,13 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return encode(docs, vocabulary(PIECE_BPE), check="round_trip")
 
 
-STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
 
 #: A learnt score is beyond SQL.
 ORACLE_SQL = None
