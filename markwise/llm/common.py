@@ -126,7 +126,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch], text: str, blob_bytes: int, chu
 
 def blob(part: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as to:
         to.write_batch(part)
     return sink.getvalue().to_pybytes()
 

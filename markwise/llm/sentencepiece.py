@@ -223,6 +223,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
                 new = (length[at] <= LONG) & ~np.isin(found, hashes, assume_unique=True)
                 hashes = np.concatenate([hashes, found[new]])
                 words = pa.concat_arrays([words, _strings(data, starts[at[new]], length[at[new]])])
+            words = words.sort()  # neighbours with common beginnings take less room in the shuffle
             for at in range(0, len(words), ASKED):
                 part = words.slice(at, ASKED)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), part], ["chunk", "word"])

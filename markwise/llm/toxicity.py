@@ -115,8 +115,11 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seed: int = 7
     none = np.zeros(0, np.int64)
     if not 0 < share < 1:
         return FactorizationMachine(none, 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    ones = np.bincount(buckets, labels[rows], BUCKETS)
-    every = np.bincount(buckets, minlength=BUCKETS)
+    ones, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    runs = [slice(at, at + _BLOCK) for at in range(0, len(rows), _BLOCK)]  # the sample is large against the driver's memory
+    for r in runs:
+        every += np.bincount(buckets[r], minlength=BUCKETS)
+        ones += np.bincount(buckets[r][labels[rows[r]] > 0], minlength=BUCKETS)
     n1, n0 = labels.sum(), (1 - labels).sum()
     p1, p0 = (ones + 0.5) / (n1 + 1), (every - ones + 0.5) / (n0 + 1)
     z = np.abs(np.log(p1) - np.log(p0)) / np.sqrt(1 / (ones + 0.5) + 1 / (every - ones + 0.5))
@@ -126,8 +129,9 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seed: int = 7
     fm = FactorizationMachine(kept, float(np.log(share / (1 - share))), np.zeros(len(kept)), np.zeros((len(kept), FACTORS)))
     if not len(kept):
         return fm
-    place = fm.places()[buckets]
-    rows, place = rows[place >= 0], place[place >= 0]
+    places = fm.places()
+    found = [(rows[r][own >= 0], own[own >= 0]) for r in runs for own in (places[buckets[r]],)]
+    rows, place = (np.concatenate(x) for x in zip(*found, strict=True))
     ends = np.searchsorted(rows, np.arange(len(labels) + 1))
     rng = np.random.default_rng(seed)
     fm.factors = rng.normal(0, 0.01, (len(kept), FACTORS))
@@ -184,9 +188,13 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = table if fits == len(sizes) else table.where(F.col("_key") < sizes["_key"][fits].as_py())
     found = chosen.toArrow().sort_by([("_key", "ascending"), ("_terms", "ascending")])
     discard(table)
-    terms = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in found["_terms"]]
-    rows = np.repeat(np.arange(len(terms)), [len(x) for x in terms]) if terms else np.zeros(0, np.int64)
-    return fit(rows, np.concatenate(terms) if terms else rows, np.array([int(y > 0) for y in found["_y"].to_pylist()], np.float64))
+    labels, terms = np.array([int(y > 0) for y in found["_y"].to_pylist()], np.float64), found["_terms"].combine_chunks()
+    del found
+    if not len(labels):
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), labels)
+    ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1] // 4
+    flat = np.frombuffer(terms.buffers()[2], "<i4")[ends[0] : ends[-1]]
+    return fit(np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(ends)), flat, labels)
 
 
 def with_scores(df: DataFrame, fm: FactorizationMachine, text: str = "text", score: str = "score") -> DataFrame:
