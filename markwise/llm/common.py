@@ -77,7 +77,7 @@ def integer_key(df: DataFrame, key: str) -> Column:
 
 
 #: Most bytes of an Arrow batch on its way to a Python worker; Spark's own bound is 64 MB.
-ARROW_BYTES = "4m"
+ARROW_BYTES = "2m"
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
 from .pii import PII_COUNTS_SQL, find_pii
 from .quality import quality, quality_sql
-from .sentencepiece import encode, piece_digests
+from .sentencepiece import piece_digests
 from .substrings import REPEATS_SQL, remove_repeats
 from .tokens import token_digests
 from .toxicity import toxicity
@@ -73,7 +73,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids (as little-endian 32-bit integers) and of the decoded text, of each whole text."""
     path = vocabulary(PIECE_BPE)
-    return piece_digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return piece_digests(table(spark, sf_dir, "documents"), path)
 
 
 def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:

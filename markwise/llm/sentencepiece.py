@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -202,8 +202,11 @@ def _strings(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(gather(data, begin, length)))])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None) -> DataFrame:
-    """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None, finish: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
+    """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text.
+
+    finish: what a task makes of its coded rows, some at a time, and the schema of that.
+    """
     spark = small_batches(df).sparkSession
     v = Vocabulary(path)
     shared = spark.sparkContext.broadcast((v.apart, v.pieces, v.byte_ids, v.longest, v.unknown, v.spelled))
@@ -261,14 +264,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids",
         if check:
             same = [x == t for x, t in zip(decoded(values, offsets, known.spell), texts, strict=True)]
             out = out.append_column(check, pa.array(same, pa.bool_()))
-        yield from out.combine_chunks().to_batches()
+        yield from (finish[0](out) if finish else out).combine_chunks().to_batches()
 
     source = df.select(*names)
     words = source.mapInArrow(ask, "chunk long, word string").repartition("word")
     found = lattice(words.groupBy("word").agg(F.max("chunk").alias("_")).where(F.col("_").isNotNull()).select("word"), v.table(spark), v.longest, v.unknown, v.byte_ids)
     answers = words.join(found, "word").select("chunk", "word", "ids", F.lit(None).cast("binary").alias("rows"))
     met = source.mapInArrow(send, "chunk long, word string, ids array<int>, rows binary").union(answers).repartition("chunk")
-    return met.sortWithinPartitions("chunk", F.col("rows").isNotNull()).mapInArrow(answer, schema)
+    return met.sortWithinPartitions("chunk", F.col("rows").isNotNull()).mapInArrow(answer, finish[1] if finish else schema)
 
 
 class Known:
@@ -340,21 +343,20 @@ def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decode
     return df.mapInArrow(run, schema)
 
 
-def piece_digests(df: DataFrame, path: str, key: str = "doc_id", ids: str = "piece_ids", text: str = "text") -> DataFrame:
-    """key, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256 and round_trip."""
-    shared = small_batches(df).sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
+def piece_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_pieces, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256 and round_trip of df's texts, encoded."""
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
+    names = [key, "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"]
+    schema = T.StructType([df.schema[key]]).add(names[1], T.LongType()).add(names[2], T.LongType()).add(names[3], T.StringType()).add(names[4], T.BooleanType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = runs(shared.value)
-        for batch in batches:
-            for part in pieces(batch, "_text", BLOB_BYTES):
-                values, offsets = _lists(part.column(1))
-                coded, cuts = values.astype("<u4").tobytes(), (offsets * 4).tolist()
-                back = decoded(values, offsets, spell)
-                out = [
-                    pa.array(np.diff(offsets)), pa.array([zlib.crc32(coded[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([x == t for x, t in zip(back, utf8(part.column(2)), strict=True)]),
-                ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *out], [key, "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    return df.select(key, ids, F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    def digests(table: pa.Table) -> pa.Table:
+        values, offsets = _lists(table["piece_ids"].combine_chunks())
+        coded, cuts = values.astype("<u4").tobytes(), (offsets * 4).tolist()
+        back = decoded(values, offsets, runs(shared.value))
+        out = [
+            pa.array(np.diff(offsets)), pa.array([zlib.crc32(coded[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()), pa.array([x == t for x, t in zip(back, utf8(table[text].combine_chunks()), strict=True)], pa.bool_()),
+        ]
+        return pa.table([table[key], *out], names=names)
+
+    return encode(df.select(key, text), path, text, "piece_ids", finish=(digests, schema))

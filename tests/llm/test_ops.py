@@ -689,6 +689,16 @@ def test_several_blobs_and_chunks(spark, monkeypatch):
     assert by_id(sentencepiece.encode(docs(spark, texts), path)) == whole
 
 
+def test_piece_digests(spark):
+    path = vocabulary(PIECE_BPE)
+    texts = ODD + ["a▁b"]
+    ids, got = by_id(sentencepiece.encode(docs(spark, texts), path)), by_id(sentencepiece.piece_digests(docs(spark, texts), path))
+    for i, t in enumerate(texts):
+        own = ids[i].piece_ids
+        assert (got[i].n_pieces, got[i].ids_crc32, got[i].round_trip) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()), i < len(ODD))
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest()
+
+
 def test_best_path_is_best():
     """No segmentation costs less, over all of them; and words' paths together cost as much as a text's."""
     v = sentencepiece.Vocabulary(vocabulary(PIECE_BPE))
