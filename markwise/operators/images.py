@@ -18,6 +18,9 @@ from markwise.kernels import shapes, signals
 from markwise.kernels.sift import detect
 
 METHODS = ("sift", "rootsift")
+# Mean and deviation of the channels that embedding models were trained with.
+MEAN = (0.485, 0.456, 0.406)
+DEVIATION = (0.229, 0.224, 0.225)
 FEATURES = "image_id string, local_idx int, x float, y float, size float, angle float, response float, octave int, d array<float>, error string"
 METRICS = "image_id string, pixels_per_mm double, fish_length_px double, fish_length_mm double, x_min int, y_min int, x_max int, y_max int, length_method string, ruler_detected boolean, extraction_error string"
 
@@ -61,8 +64,21 @@ def segment(images: DataFrame, segmenter: type, prompts: list[str], confidence:
     return images.mapInPandas(run, "image_id string, prompt string, height int, width int, area long, mask binary")
 
 
+def model_input(image: np.ndarray, size: int = 224) -> np.ndarray:
+    """(3, size, size) as embedding models take it: resized bilinearly, channel by channel less the mean, over the deviation."""
+    rgb = np.repeat(image[:, :, None], 3, 2) if image.ndim == 2 else image[:, :, :3]
+    x = rgb.astype(np.float32) / 255
+    for axis in (0, 1):
+        n = x.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(int), max(0, n - 2))
+        part = (at - low).astype(np.float32).reshape([-1 if a == axis else 1 for a in range(3)])
+        x = np.take(x, low, axis) * (1 - part) + np.take(x, np.minimum(low + 1, n - 1), axis) * part
+    return ((x - np.array(MEAN, np.float32)) / np.array(DEVIATION, np.float32)).transpose(2, 0, 1)
+
+
 def embed(images: DataFrame, embedder: type) -> DataFrame:
-    """(image_id, model, embedding, error); embedder() is made in the worker and has name and embed(image)."""
+    """(image_id, model, embedding, error); embedder() is made in the worker and has name and embed(model_input)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder()
@@ -70,7 +86,7 @@ def embed(images: DataFrame, embedder: type) -> DataFrame:
             rows = []
             for r in part.itertuples():
                 try:
-                    rows.append((r.image_id, model.name, np.asarray(model.embed(array(r.height, r.width, r.n_channels, r.data)), np.float32).ravel().tolist(), None))
+                    rows.append((r.image_id, model.name, np.asarray(model.embed(model_input(array(r.height, r.width, r.n_channels, r.data))), np.float32).ravel().tolist(), None))
                 except Exception as e:
                     rows.append((r.image_id, model.name, [], str(e)))
             yield pd.DataFrame(rows, columns=["image_id", "model", "embedding", "error"])
@@ -80,7 +96,8 @@ def embed(images: DataFrame, embedder: type) -> DataFrame:
 
 def mask_pixels(masks: DataFrame) -> DataFrame:
     """The relational view of masks: one row per pixel that is set."""
-    places = F.explode(F.filter(F.sequence(F.lit(0), F.length("mask") - 1), lambda i: F.substr("mask", i + 1, F.lit(1)) != F.lit(b"\x00")))
+    every = F.when(F.length("mask") > 0, F.sequence(F.lit(0), F.length("mask") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.explode(F.filter(every, lambda i: F.substr("mask", i + 1, F.lit(1)) != F.lit(b"\x00")))
     return masks.select("image_id", "prompt", "width", places.alias("i")).select("image_id", "prompt", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"))
 
 
@@ -110,8 +127,11 @@ def cached_features(images: DataFrame, cached: DataFrame | None, force: bool = F
     if cached is None or force:
         return extract_features(images, **options)
     own = images.select("image_id").distinct()
-    todo = images.join(cached.select("image_id").distinct(), "image_id", "left_anti")
-    return cached.join(own, "image_id", "left_semi").unionByName(extract_features(todo, **options))
+    return cached.join(own, "image_id", "left_semi").unionByName(extract_features(uncached(images, cached), **options))
+
+
+def uncached(images: DataFrame, cached: DataFrame) -> DataFrame:
+    return images.join(cached.select("image_id").distinct(), "image_id", "left_anti")
 
 
 def largest_components(pixels: DataFrame) -> DataFrame:
@@ -176,14 +196,59 @@ def measure(images: DataFrame, masks: DataFrame, method: str = "major_axis", fis
 STANDARD = "image_id string, height int, width int, n_channels int, data binary, mask binary, angle double, curvature_mse double, straight boolean, head_method string, head_right boolean, head_confidence double, rotated_180 boolean, dorsal_method string, dorsal_up boolean, dorsal_confidence double, flipped boolean, valid boolean, score double, error string"
 
 
-def _head(m: np.ndarray, eye: np.ndarray | None) -> tuple[str, bool, float]:
-    ys, xs = np.nonzero(m)
-    width = max(1, int(m.any(0).sum()))
+def _head(m: np.ndarray, eye: np.ndarray | None, gray: np.ndarray) -> tuple[str, bool, float]:
+    """By the eye's mask; without one by the votes of the picture and the shape."""
     if eye is not None and eye.sum() > 10:
-        d = np.nonzero(eye)[1].mean() - xs.mean()
-        return "eye_mask", bool(d > 0), min(1.0, 2 * abs(d) / width)
-    d = xs.mean() - (xs.min() + xs.max()) / 2
-    return "mass", bool(d > 0), min(0.7, 1.5 * abs(d) / width)
+        d = np.nonzero(eye)[1].mean() - np.nonzero(m)[1].mean()
+        return "eye_mask", bool(d > 0), min(1.0, 2 * abs(d) / max(1, int(m.any(0).sum())))
+    left, sure = head_votes(m, votes_of(gray, m))
+    return "image_votes", not left, sure
+
+
+def _profile(m: np.ndarray, axis: int) -> np.ndarray:
+    wide = m.sum(axis).astype(float)
+    at = np.flatnonzero(wide)
+    return wide[at[0] : at[-1] + 1] if len(at) else wide
+
+
+def _ballot(votes: list[tuple[bool | None, int]]) -> tuple[bool, float]:
+    """Whether yes has more weight than no, and by what share of all."""
+    yes, no = (sum(w for on, w in votes if on is side) for side in (True, False))
+    return yes > no, abs(yes - no) / max(1, yes + no)
+
+
+def head_votes(m: np.ndarray, v: dict, flare: float = 1.2) -> tuple[bool, float]:
+    """Head is left, and a confidence: orient.head_from_shape for one mask and votes_of() it."""
+    p, xs = _profile(m, 0), np.nonzero(m)[1]
+    half, k = len(p) // 2, max(1, len(p) // 10)
+    mean = lambda x: float(x.mean()) if len(x) else 0.0
+    left, right = mean(p[:k]) > mean(p[k : 2 * k]) * flare, mean(p[::-1][:k]) > mean(p[::-1][k : 2 * k]) * flare
+    eye, tail = v["eye_confidence"], v["tail_confidence"]
+    votes = [(v["eye_left"], int(eye * 5) + 3), (bool(xs.mean() < (xs.min() + xs.max()) / 2), 1), (mean(p[:half]) > mean(p[half:]), 1), (right if left != right else None, 2), (v["head_left_by_tail"], int(tail * 2) + 2)]
+    head, margin = _ballot(votes)
+    sure = eye * 0.5 + tail * 0.3 + margin * 0.2 if eye > 0 else tail * 0.6 + margin * 0.4 if tail > 0.5 else margin
+    sure = min(1.0, sure * 1.2) if left != right else sure
+    return head, min(1.0, sure * 1.15) if tail > 0.7 else sure
+
+
+def back_votes(m: np.ndarray, v: dict) -> tuple[bool, float]:
+    """The back is up, and a confidence: orient.dorsal_from_shape for one mask and votes_of() it."""
+    p = _profile(m, 1)
+    if len(p) <= 1:
+        return True, 0.5
+    half, columns = len(p) // 2, np.flatnonzero(m.any(0))
+    a, b = (float(x.std()) if len(x) else 0.0 for x in (p[:half], p[half:]))
+    top, bottom = m.argmax(0)[columns].astype(float), m.shape[0] - 1 - m[::-1].argmax(0)[columns].astype(float)
+    bend = [sign * float(e[-1] - e[-2] - e[1] + e[0]) / (len(e) - 2) if len(e) > 2 else 0.0 for sign, e in ((-1, top), (1, bottom))]
+    eye, fin = v["eye_confidence"], v["fin_confidence"]
+    votes = [(v["eye_top"], int(eye * 5) + 4), (v["fin_top"], int(fin * 5) + 3), (a > b, 2), (int(p.argmax()) < half, 1), (bend[0] < bend[1], 1), (bool(top.std() > bottom.std()), 1)]
+    up, margin = _ballot(votes)
+    unlike = abs(a - b) / (max(a, b) + 1e-6)
+    steady = min(1.0, unlike) if unlike > 0.3 else 0.5
+    sure = eye * 0.5 + fin * 0.25 + steady * 0.15 + margin * 0.1 if eye > 0 else fin * 0.5 + steady * 0.3 + margin * 0.2 if fin > 0 else steady * 0.6 + margin * 0.4
+    sure = min(1.0, sure * 1.3) if unlike > 0.5 else sure
+    sure = min(1.0, sure * 1.2) if eye > 0.8 else sure
+    return a > b if unlike > 0.3 else up, sure
 
 
 def _dorsal(m: np.ndarray, eye: np.ndarray | None, fin: np.ndarray | None, gray: np.ndarray) -> tuple[str, bool, float]:
@@ -197,12 +262,15 @@ def _dorsal(m: np.ndarray, eye: np.ndarray | None, fin: np.ndarray | None, gray:
     if fin is not None and fin.sum() > 10:
         d = np.nonzero(fin)[0].mean() - ys.mean()
         return "fin_mask", bool(d < 0), min(1.0, 2 * abs(d) / max(1, int(m.any(1).sum())))
-    band = int(np.ptp(ys) * 0.25)
-    if np.ptp(ys):
-        upper, lower = ys <= ys.min() + band, ys >= ys.max() - band
-        a, b = gray[ys[upper], xs[upper]].mean(), gray[ys[lower], xs[lower]].mean()
-        return "intensity", bool(a < b), min(0.7, abs(a - b) / 50)
-    return "default", True, 0.5
+    up, sure = back_votes(m, votes_of(gray, m))
+    return "image_votes", up, sure
+
+
+def _tilt(body: np.ndarray) -> float:
+    """Degrees of the main axis, from the second moments."""
+    ys, xs = np.nonzero(body)
+    mxx, myy, mxy = xs.var(), ys.var(), ((xs - xs.mean()) * (ys - ys.mean())).mean()
+    return float(np.degrees(0.5 * np.arctan2(2 * mxy, mxx - myy)) % 180) if myy else 0.0
 
 
 def standardize_one(image: np.ndarray, body: np.ndarray, eye: np.ndarray | None = None, fin: np.ndarray | None = None, margin: float = 0.1, background: float = 0.0, fill: bool = True) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -211,16 +279,15 @@ def standardize_one(image: np.ndarray, body: np.ndarray, eye: np.ndarray | None
     ys, xs = np.nonzero(body)
     if not len(xs):
         return image, body, {"valid": False, "score": 0.0, "error": "empty mask"}
-    mxx, myy, mxy = xs.var(), ys.var(), ((xs - xs.mean()) * (ys - ys.mean())).mean()
     line = np.nonzero(shapes.skeleton(body))
     mse = 0.0
     if len(line[0]) >= 3:
         vx, vy, c = line[1].var(), line[0].var(), np.cov(line[1], line[0], bias=True)[0, 1]
         mse = float(vy - (c * c / vx if vx else 0.0))
-    angle = float(np.degrees(0.5 * np.arctan2(2 * mxy, mxx - myy)) % 180) if myy else 0.0
+    angle = _tilt(body)
     turn = lambda m: shapes.rotate(m.astype(np.uint8), angle, 0, smooth=False).astype(bool) if m is not None else None
     image, body, eye, fin = shapes.rotate(image, angle, background), turn(body), turn(eye), turn(fin)
-    head, right, head_sure = _head(body, eye)
+    head, right, head_sure = _head(body, eye, to_gray(image))
     if not right:
         image, body, eye, fin = (None if x is None else np.rot90(x, 2) for x in (image, body, eye, fin))
     back, up, back_sure = _dorsal(body, eye, fin, to_gray(image))
@@ -267,3 +334,117 @@ def standardize(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("w
             yield pd.DataFrame(rows, columns=names)
 
     return j.mapInPandas(run, STANDARD)
+
+
+VOTES = "image_id string, eye_left boolean, eye_top boolean, eye_confidence double, fin_top boolean, fin_confidence double, head_left_by_tail boolean, tail_confidence double"
+
+
+def votes_of(gray: np.ndarray, body: np.ndarray) -> dict:
+    """What the picture of a level animal says: eyes in the head's part and their half, the fin's half, and the forked end.
+
+    Eyes count with a confidence over 0.3. Unknown votes are None, with confidence 0.
+    """
+    out = {"eye_left": None, "eye_top": None, "eye_confidence": 0.0, "fin_top": None, "fin_confidence": 0.0}
+    ys, xs = np.nonzero(body)
+    found, sure = signals.eyes(gray, body)
+    if len(xs) and found and sure > 0.3:
+        left = sum(x < xs.min() + 0.3 * (xs.max() - xs.min()) for x, _ in found)
+        out |= {"eye_left": bool(left > len(found) / 2), "eye_top": bool(np.mean([y for _, y in found]) < (ys.min() + ys.max()) / 2), "eye_confidence": sure}
+    place, sure = signals.dorsal_fin(body)
+    if place is not None:
+        out |= {"fin_top": bool(place[1] < ys.mean()), "fin_confidence": sure}
+    out["head_left_by_tail"], out["tail_confidence"] = shapes.tail_shape(body)
+    return out
+
+
+def image_votes(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("whole fish", "fish")) -> DataFrame:
+    """votes_of() each image and its body mask, for orient.head_from_shape and orient.dorsal_from_shape; none where either is missing."""
+    order = F.array_position(F.lit(list(fish)), F.col("prompt"))
+    body = masks.where(F.col("prompt").isin(list(fish))).groupBy("image_id").agg(F.min_by("mask", order).alias("body"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in VOTES.split(", ")]
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                gray = to_gray(array(r.height, r.width, r.n_channels, r.data))
+                rows.append({"image_id": r.image_id} | votes_of(gray, shapes.largest_component(np.frombuffer(r.body, np.uint8).reshape(r.height, r.width) > 0)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return images.join(body, "image_id").mapInPandas(run, VOTES)
+
+
+def levelled(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("whole fish", "fish")) -> DataFrame:
+    """images turned so that the animal lies level, with its mask; images without one are left out."""
+    order = F.array_position(F.lit(list(fish)), F.col("prompt"))
+    body = masks.where(F.col("prompt").isin(list(fish)) & (F.col("area") > 0)).groupBy("image_id").agg(F.min_by("mask", order).alias("body"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                m = shapes.largest_component(np.frombuffer(r.body, np.uint8).reshape(r.height, r.width) > 0)
+                angle = _tilt(m)
+                x = np.ascontiguousarray(shapes.rotate(array(r.height, r.width, r.n_channels, r.data), angle, 0.0))
+                m = shapes.rotate(m.astype(np.uint8), angle, 0, smooth=False).astype(np.uint8)
+                rows.append((r.image_id, x.shape[0], x.shape[1], r.n_channels, x.astype(np.uint8).tobytes(), m.tobytes()))
+            yield pd.DataFrame(rows, columns=["image_id", "height", "width", "n_channels", "data", "mask"])
+
+    return images.join(body, "image_id").mapInPandas(run, "image_id string, height int, width int, n_channels int, data binary, mask binary")
+
+
+def heads(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("whole fish", "fish")) -> DataFrame:
+    """(image_id, head_left, confidence) by the picture and the mask's shape, for images whose eye has no mask."""
+    from . import orient
+
+    level = levelled(images, masks, fish)
+    own = level.select("image_id", F.lit(fish[0]).alias("prompt"), "height", "width", "mask")
+    votes = image_votes(level.drop("mask"), own, fish)
+    return orient.head_from_shape(mask_pixels(own), votes.select("image_id", "eye_left", "eye_confidence"), votes.select("image_id", "head_left_by_tail", "tail_confidence"))
+
+
+def overlays(images: DataFrame, masks: DataFrame, color: tuple[int, int, int] = (0, 255, 0), share: float = 0.3) -> DataFrame:
+    """images (RGB) with the set pixels of each mask blended with the color: (image_id, prompt, height, width, n_channels, data)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                x = array(r.height, r.width, r.n_channels, r.data)
+                x = np.repeat(x[:, :, None], 3, 2) if x.ndim == 2 else x.copy()
+                m = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > 0
+                x[m] = np.rint(x[m] * (1 - share) + np.array(color) * share).astype(np.uint8)
+                rows.append((r.image_id, r.prompt, r.height, r.width, 3, x.tobytes()))
+            yield pd.DataFrame(rows, columns=["image_id", "prompt", "height", "width", "n_channels", "data"])
+
+    return images.join(masks.select("image_id", "prompt", "mask"), "image_id").mapInPandas(run, "image_id string, prompt string, height int, width int, n_channels int, data binary")
+
+
+def ruler_ticks(images: DataFrame, masks: DataFrame, ruler: str = "ruler") -> DataFrame:
+    """(image_id, tick, x, pixels_per_mm): the ticks found on each image's ruler, for figures; x in the image."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                m = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > 0
+                ys, xs = np.nonzero(m)
+                if len(xs):
+                    gray = to_gray(array(r.height, r.width, r.n_channels, r.data))[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+                    found, spacing = signals.ruler_ticks(gray)
+                    rows += [(r.image_id, i, int(x) + int(xs.min()), float(spacing)) for i, x in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["image_id", "tick", "x", "pixels_per_mm"])
+
+    j = images.join(masks.where(F.col("prompt") == ruler).select("image_id", "mask"), "image_id")
+    return j.mapInPandas(run, "image_id string, tick int, x int, pixels_per_mm double")
+
+
+def scaled_points(points: DataFrame, factor: float) -> DataFrame:
+    """Key points of an image drawn at another size: places and sizes times the factor."""
+    return points.withColumns({c: F.col(c) * factor for c in ("x", "y", "size")})
+
+
+def check_panels(panels: dict[str, object], wanted: set[str]) -> None:
+    """ValueError unless a figure's panels are the wanted ones."""
+    if set(panels) != wanted:
+        raise ValueError(f"panels missing: {sorted(wanted - set(panels))}, unknown: {sorted(set(panels) - wanted)}")

@@ -2,8 +2,9 @@
 
 nearest() is exact. A database of at most BROADCAST_BYTES goes to every executor and blocks of queries meet it in matrix
 products; a larger one is cut into blocks, each query block meets each database block in one task, and the partial top k
-are merged by query. Candidates from the matrix product are measured again in double precision and ranked by
-(distance, global index). The SQL form, a join on true, is for reference and tests.
+are merged by query. All candidates that the matrix product puts within its error of the last one are measured again and
+ranked by (distance, global index), so copies and the layout of blocks don't change the rows. The SQL form, a join on true,
+is for reference and tests.
 """
 
 from __future__ import annotations
@@ -20,27 +21,80 @@ from markwise.functions.vectors import squared_l2
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 65_536
-SLACK = 9
+#: Numbers of a block of distances, and pairs that are measured again at a time.
+CELLS = 1 << 22
+PAIRS = 1 << 16
 SCHEMA = "qid long, global_idx long, d2 double"
 
 
-def _top(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, squared distance) of the k nearest of d for each row of q, in order."""
+def _exact(q: np.ndarray, d: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (q[i], d[j]), some at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        own = slice(at, at + PAIRS)
+        out[own] = ((q[i[own]] - d[j[own]]) ** 2).sum(1)
+    return out
+
+
+def _rough(part: np.ndarray, d: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by a matrix product, and by how much each row of them may be wrong."""
+    own = (part * part).sum(1)
+    return own[:, None] + square - 2 * part @ d.T, 1e-9 * (1 + own + square.max(initial=0.0))
+
+
+def _first(rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k first of each row by (distance, id), in that order."""
+    order = np.lexsort((ids, dist, rows))
+    ranked = rows[order]
+    start = np.searchsorted(ranked, ranked, side="left")
+    return order[np.arange(len(order)) - start < k]
+
+
+def _top(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, squared distance) of the k nearest of d for each row of q, in order; ties go to the smaller id.
+
+    All that the matrix product puts within its error of the k-th are measured again, so equal vectors don't matter.
+    """
     k = min(k, len(d))
-    keep = min(k + SLACK, len(d))
     square = (d * d).sum(1)
-    rows, found, dist = [], [], []
+    step = max(1, min(512, CELLS // max(1, len(d))))
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0))]
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        rough, wrong = _rough(part, d, square)
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        i, j = np.nonzero(rough <= (kth + 2 * wrong)[:, None])
+        dist = _exact(part, d, i, j)
+        keep = _first(i, dist, ids[j], k)
+        out.append((i[keep] + at, ids[j[keep]], dist[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _top_by_label(q: np.ndarray, d: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _top(), with the k nearest of each label."""
+    order = np.argsort(labels, kind="stable")
+    d, ids, labels = d[order], ids[order], labels[order]
+    cuts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]])) if len(labels) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(cuts)), np.diff([*cuts, len(labels)]))
+    square = (d * d).sum(1)
+    step = max(1, min(512, CELLS // max(1, len(d))))
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0))]
     for at in range(0, len(q), step):
         part = q[at : at + step]
-        rough = square - 2 * part @ d.T
-        near = np.argpartition(rough, keep - 1, axis=1)[:, :keep] if keep < len(d) else np.tile(np.arange(len(d)), (len(part), 1))
-        exact = ((part[:, None, :] - d[near]) ** 2).sum(2)
-        own = ids[near]
-        order = np.lexsort((own, exact), axis=1)[:, :k]
-        rows.append(np.repeat(np.arange(at, at + len(part)), k))
-        found.append(np.take_along_axis(own, order, 1).ravel())
-        dist.append(np.take_along_axis(exact, order, 1).ravel())
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
+        rough, wrong = _rough(part, d, square)
+        limit = np.full((len(part), len(cuts)), -np.inf)
+        left, short = rough.copy(), np.full((len(part), len(cuts)), k)
+        for _ in range(k):  # from one value to the next larger one, until k are counted
+            least = np.minimum.reduceat(left, cuts, axis=1)
+            limit = np.where(short > 0, least, limit)
+            same = left <= least[:, group]
+            short = short - np.add.reduceat(same, cuts, axis=1)
+            left[same] = np.inf
+        i, j = np.nonzero(rough <= (limit + 2 * wrong[:, None])[:, group])
+        dist = _exact(part, d, i, j)
+        keep = _first(i * len(cuts) + group[j], dist, ids[j], k)
+        out.append((i[keep] + at, ids[j[keep]], dist[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -53,19 +107,20 @@ def nearest_sql(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy("d2", "global_idx"))).where(F.col("rank") <= k)
 
 
-def _met(queries: DataFrame, database: DataFrame, pair, broadcast_bytes: int, block_rows: int) -> DataFrame | None:
-    """pair(left, right) over all queries and blocks of the database; None for an empty database.
+def _met(queries: DataFrame, database: DataFrame, pair, broadcast_bytes: int, block_rows: int, label: str | None = None) -> DataFrame | None:
+    """pair(left, d, ids[, labels]) over all queries and blocks of the database; None for an empty database.
 
-    pair gets frames (qid, d) and (global_idx, d) and returns a frame of SCHEMA. One block, if the database is at most
+    pair gets a frame (qid, d) and a block's arrays and returns a frame of SCHEMA. One block, if the database is at most
     broadcast_bytes; else every block of queries meets every block of the database in a task of its own.
     """
+    more = [label] if label else []
+    arrays = lambda t: (_matrix(t["d"]), t["global_idx"].to_numpy(np.int64), *(t[c].to_numpy() for c in more))
     size = database.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("d")), F.lit(0)).alias("dim")).first()
-    queries, database = queries.select(F.col("qid").cast("long"), "d"), database.select(F.col("global_idx").cast("long"), "d")
+    queries, database = queries.select(F.col("qid").cast("long"), "d"), database.select(F.col("global_idx").cast("long"), "d", *more)
     if not size["n"]:
         return None
     if size["n"] * size["dim"] * 8 <= broadcast_bytes:
-        table = database.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((_matrix(table["d"]), table["global_idx"].to_numpy(np.int64)))
+        shared = queries.sparkSession.sparkContext.broadcast(arrays(database.toPandas()))
 
         def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -81,7 +136,7 @@ def _met(queries: DataFrame, database: DataFrame, pair, broadcast_bytes: int, bl
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "global_idx": [], "d2": []}).astype({"qid": "int64", "global_idx": "int64", "d2": "float64"})
-        return pair(left, _matrix(right["d"]), right["global_idx"].to_numpy(np.int64))
+        return pair(left, *arrays(right))
 
     return q.groupBy("qb", "db").cogroup(b.groupBy("qb", "db")).applyInPandas(block, SCHEMA)
 
@@ -99,17 +154,33 @@ def nearest(queries: DataFrame, database: DataFrame, k: int, broadcast_bytes: in
     return found.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy("d2", "global_idx"))).where(F.col("rank") <= k)
 
 
+def nearest_by_label(queries: DataFrame, database: DataFrame, k: int, label: str, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(qid, label, global_idx, d2, rank) of the k nearest of each label for each of queries(qid, d); database(global_idx, d, label)."""
+
+    def pair(left: pd.DataFrame, d: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        r, i, x = _top_by_label(_matrix(left["d"]), d, ids, labels, k)
+        return pd.DataFrame({"qid": left["qid"].to_numpy()[r], "global_idx": i, "d2": x})
+
+    found = _met(queries, database, pair, broadcast_bytes, block_rows, label)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], SCHEMA)
+    named = found.join(database.select(F.col("global_idx").cast("long"), label), "global_idx")
+    own = W.Window.partitionBy("qid", label).orderBy("d2", "global_idx")
+    return named.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("qid", label, "global_idx", "d2", "rank")
+
+
 def within(queries: DataFrame, database: DataFrame, most: float, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(qid, global_idx, d2) of all pairs at a squared distance of at most `most`."""
 
-    def pair(left: pd.DataFrame, d: np.ndarray, ids: np.ndarray, step: int = 512) -> pd.DataFrame:
+    def pair(left: pd.DataFrame, d: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
         q, rows, found, dist = _matrix(left["d"]), [], [], []
         square = (d * d).sum(1)
+        step = max(1, min(512, CELLS // max(1, len(d))))
         for at in range(0, len(q), step):
             part = q[at : at + step]
-            rough = (part * part).sum(1)[:, None] + square - 2 * part @ d.T
-            i, j = np.nonzero(rough <= most + 1e-6 * (1 + most))
-            exact = ((part[i] - d[j]) ** 2).sum(1)
+            rough, wrong = _rough(part, d, square)
+            i, j = np.nonzero(rough <= most + 2 * wrong[:, None])
+            exact = _exact(part, d, i, j)
             keep = exact <= most
             rows.append(i[keep] + at)
             found.append(ids[j[keep]])
@@ -134,6 +205,8 @@ def cells(database: DataFrame, n: int | None = None, sample: int = 1_500_000, se
 def nearest_by_cells(queries: DataFrame, database: DataFrame, k: int, model, probes: int = 4) -> DataFrame:
     """Approximate: each query looks in its `probes` nearest cells, an equi-join on the cell."""
     centers = np.stack(model.clusterCenters())
+    if centers.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"{len(centers)} cells are more than a broadcast of {BROADCAST_BYTES} bytes holds: fit fewer")
     shared = queries.sparkSession.sparkContext.broadcast(centers)  # 4 sqrt(N) vectors
 
     def place(most: int):

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from markwise.functions.vectors import squared_l2
-
-from .knn import nearest
+from .knn import nearest, nearest_by_label
 
 
 def check_descriptors(descriptors: DataFrame, dim: int | None = None) -> int:
@@ -69,16 +67,17 @@ def ranked(candidates: DataFrame, counts: DataFrame, min_inliers: int = 10) -> D
     return top_candidates(j.drop("rank"), 1 << 30, "score")
 
 
-def ratio_matches(queries: DataFrame, database: DataFrame, ratio: float = 0.75) -> DataFrame:
+def ratio_matches(queries: DataFrame, database: DataFrame, ratio: float = 0.75, **blocks) -> DataFrame:
     """Lowe's test in every pair of different images: (query_id, match_id, query_idx, train_idx, distance).
 
-    Pairs share a two-way join on true, so this is the quadratic alternative to the one-vs-many search.
+    The two nearest of each image come from the blocked search, so no table of all pairs of descriptors is made. Its two rows per
+    query descriptor and image are still quadratic in the images: the alternative to the one-vs-many search.
     """
-    pairs = queries.select("query_id", "qid", "query_idx", F.col("d").alias("_q")).join(database.select(F.col("image_id").alias("match_id"), "global_idx", "local_idx", F.col("d").alias("_d")), F.col("query_id") != F.col("match_id"))
-    own = W.Window.partitionBy("qid", "match_id").orderBy("distance", "global_idx")
-    near = pairs.select("query_id", "qid", "query_idx", "match_id", "global_idx", "local_idx", F.sqrt(squared_l2("_q", "_d")).alias("distance"))
-    near = near.withColumn("r", F.row_number().over(own)).withColumn("second", F.lead("distance").over(own)).where("r <= 2")
-    return near.where((F.col("r") == 1) & (F.col("distance") < F.col("second") * ratio)).select("query_id", "match_id", "query_idx", F.col("local_idx").alias("train_idx"), "distance")
+    near = nearest_by_label(queries.select("qid", "d"), database.select("global_idx", "image_id", "d"), 2, "image_id", **blocks)
+    best = near.groupBy("qid", F.col("image_id").alias("match_id")).agg(F.min_by("global_idx", "rank").alias("global_idx"), F.min("d2").alias("d2"), F.max("d2").alias("second"), F.count("*").alias("n"))
+    best = best.withColumn("distance", F.sqrt("d2")).where((F.col("n") == 2) & (F.col("distance") < F.sqrt("second") * ratio))
+    named = best.join(queries.select("qid", "query_id", "query_idx"), "qid").where(F.col("query_id") != F.col("match_id"))
+    return named.join(database.select("global_idx", F.col("local_idx").alias("train_idx")), "global_idx").select("query_id", "match_id", "query_idx", "train_idx", "distance")
 
 
 def offsets(descriptors: DataFrame) -> DataFrame:

@@ -52,3 +52,9 @@ def pair(matches: DataFrame, a: str, b: str) -> DataFrame:
 def pair_text(matches: DataFrame) -> DataFrame:
     """A line of text per match, as a caption of the pair's figure."""
     return matches.withColumn("caption", F.format_string("%s vs %s: score %.4f, %d of %d inliers (%.1f%%)", "query_id", "match_id", "score", "inliers", "total_matches", F.col("inlier_ratio") * 100))
+
+
+def first_matches(matches: DataFrame, n: int = 5) -> DataFrame:
+    """The best match of each of the first n queries, by name, for a run's report."""
+    best = matches.groupBy("query_id").agg(F.max_by(F.struct("match_id", "score"), F.struct("score", F.col("match_id"))).alias("b"))
+    return best.select("query_id", "b.match_id", "b.score").orderBy("query_id").limit(n)

@@ -22,8 +22,9 @@ def gaussian_smooth(signal: DataFrame, sigma: float = 2.0) -> DataFrame:
     ends = signal.groupBy("series").agg(F.min("t").alias("t0"), F.count("*").alias("n"))
     j = signal.join(ends, "series").withColumn("i", F.col("t") - F.col("t0"))
     placed = j.select("series", "t0", "n", "i", "v", F.explode(taps).alias("tap"))
-    # A mirrored place k of a series of n has period 2n: k and 2n - 1 - k hold the same value.
-    want = placed.select("series", "t0", "n", "v", "tap.w", F.explode(F.array(F.col("i") - F.col("tap.o"), -1 - F.col("i") - F.col("tap.o"), 2 * F.col("n") - 1 - F.col("i") - F.col("tap.o"))).alias("k"))
+    # Mirrored places have period 2n, and k and 2n - 1 - k hold the same value, however short the series is.
+    period = 2 * F.col("n")
+    want = placed.select("series", "t0", "n", "v", "tap.w", F.explode(F.array(F.pmod(F.col("i") - F.col("tap.o"), period), F.pmod(-1 - F.col("i") - F.col("tap.o"), period))).alias("k"))
     return want.where("k >= 0 and k < n").groupBy("series", (F.col("t0") + F.col("k")).alias("t")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
@@ -73,6 +74,16 @@ def scale_histogram(metrics: DataFrame, value: str = "ppm", bins: int = 30) -> D
     return j.groupBy(F.when(F.col("_b") > F.col("_a"), place).otherwise(F.lit(1)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def scale_box(metrics: DataFrame, value: str = "ppm") -> DataFrame:
+    """One row of the positive scales' box plot: quartiles, whiskers (the last values within 1.5 quartile distances) and count of fliers."""
+    v = metrics.where(F.col(value) > 0).select(F.col(value).alias("v"))
+    box = v.agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q3"))
+    reach = (F.col("q3") - F.col("q1")) * 1.5
+    inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
+    ends = v.crossJoin(F.broadcast(box)).agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.count_if(~inside).alias("fliers"))
+    return box.crossJoin(F.broadcast(ends)).where("median is not null")
+
+
 def error_class(metrics: DataFrame) -> DataFrame:
     """extraction_error of (ruler_pixels, same_shape, roi_pixels, ppm): the first that holds, else null."""
     return metrics.withColumn("extraction_error", F.when(F.col("ruler_pixels") == 0, "no_ruler_detected").when(~F.col("same_shape"), "dimension_mismatch").when(F.col("roi_pixels") == 0, "roi_extraction_failed").when(F.col("ppm") == 0, "no_ticks_detected"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markwise.kernels.ransac import SAMPLE, apply, ransac
+from markwise.kernels.ransac import SAMPLE, ransac
 
 
 def verify(matches: DataFrame, model: str = "affine", threshold: float = 5.0, confidence: float = 0.99, max_iterations: int = 2000) -> DataFrame:
@@ -36,7 +36,3 @@ def inliers_given(matches: DataFrame, transform: list[float], threshold: float =
     dx, dy = F.col("qx") * a + F.col("qy") * b + c - F.col("tx"), F.col("qx") * d + F.col("qy") * e + f - F.col("ty")
     near = (dx * dx + dy * dy <= threshold * threshold).cast("long")
     return matches.groupBy("query_id", "match_id").agg(F.sum(near).alias("inliers"), F.count("*").alias("total_matches"))
-
-
-def moved(points: np.ndarray, transform: list[float]) -> np.ndarray:
-    return apply(np.asarray(transform, float).reshape(-1, 3), points)

@@ -13,6 +13,7 @@ from markwise.sources.settings import Matching
 def _sides(features: DataFrame, wanted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Queries and database with global indices; features: (image_id, local_idx, x, y, d)."""
     valid = features.where(F.col("local_idx").isNotNull())
+    m.check_descriptors(valid)
     table = m.offsets(valid)
     database = valid.join(table.select("image_id", "offset"), "image_id").withColumn("global_idx", F.col("offset") + F.col("local_idx")).drop("offset")
     own = database if wanted is None else database.join(wanted.select("image_id").distinct(), "image_id", "left_semi")

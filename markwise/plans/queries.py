@@ -43,7 +43,7 @@ def _resight_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SELF = WITH("descriptors", "self_near", "votes", "scores")
-_AGAIN = WITH("descriptors", "resight", "resight_near", "votes", "scores")
+_AGAIN = WITH("descriptors", "resight", "resight_near", "votes", "scores", "verified")
 
 
 # One-vs-many matching
@@ -66,8 +66,8 @@ def lnbnn_correspondences(spark, sf):
 
 @query(_AGAIN + """, c AS (SELECT query_id, count(*) AS n_query FROM resight GROUP BY 1),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lnbnn_score DESC, match_id) AS r FROM scores)
-SELECT query_id, match_id, round(lnbnn_score / n_query + n_matches, 6) AS score, round(lnbnn_score, 6) AS lnbnn_score, n_matches AS inliers, n_matches AS total_matches,
-row_number() OVER (PARTITION BY query_id ORDER BY lnbnn_score / n_query + n_matches DESC, match_id) AS rank FROM t JOIN c USING (query_id) WHERE r <= 20 AND n_matches >= 10""")
+SELECT query_id, match_id, round(lnbnn_score / n_query + inliers, 6) AS score, round(lnbnn_score, 6) AS lnbnn_score, inliers, total_matches,
+row_number() OVER (PARTITION BY query_id ORDER BY lnbnn_score / n_query + inliers DESC, match_id) AS rank FROM t JOIN c USING (query_id) JOIN verified USING (query_id, match_id) WHERE r <= 20 AND inliers >= 10""")
 def hotspotter_ranked(spark, sf):
     """The flagship: neighbours, votes, candidates, geometric verification, ranking."""
     voted = _resight_votes(spark, sf)
@@ -92,6 +92,30 @@ def knn_blocks(spark, sf):
     return rounded(knn.nearest(s.as_queries(d), d, 11, broadcast_bytes=0, block_rows=512), "d2")
 
 
+_COPIES = WITH("descriptors") + f""", k AS (SELECT p.global_idx AS qid, p.d FROM descriptors p WHERE global_idx % 10 = 0),
+t AS (SELECT x.global_idx, s.d FROM descriptors x JOIN descriptors s ON s.global_idx = x.global_idx % 20)
+SELECT qid, global_idx, round(d2, 6) AS d2, rank FROM (SELECT q.qid, p.global_idx, {s._L2} AS d2, row_number() OVER (PARTITION BY q.qid ORDER BY {s._L2}, p.global_idx) AS rank FROM k q CROSS JOIN t p) WHERE rank <= 7"""
+
+
+def _copies(spark, sf):
+    """Queries, and a database in which every vector is one of twenty."""
+    d = s.descriptors(spark, sf)
+    few = d.where("global_idx < 20").select(F.col("global_idx").alias("_s"), F.col("d").alias("_d"))
+    return s.as_queries(d.where("global_idx % 10 = 0")), d.withColumn("_s", F.col("global_idx") % 20).join(few, "_s").select("global_idx", "image_id", "local_idx", F.col("_d").alias("d"))
+
+
+@query(_COPIES)
+def knn_copies(spark, sf):
+    q, d = _copies(spark, sf)
+    return rounded(knn.nearest(q, d, 7), "d2")
+
+
+@query(_COPIES)
+def knn_copies_blocks(spark, sf):
+    q, d = _copies(spark, sf)
+    return rounded(knn.nearest(q, d, 7, broadcast_bytes=0, block_rows=100), "d2")
+
+
 @query()
 def ivf_knn(spark, sf):
     d = s.descriptors(spark, sf)
@@ -176,13 +200,13 @@ def query_by_prefix(spark, sf):
     return features.by_prefix(s.names(spark, sf), "CSDD00001")
 
 
-@query(_AGAIN + "SELECT query_id, image_id AS match_id, count(*) AS inliers, count(*) AS total_matches FROM votes GROUP BY ALL")
+@query(_AGAIN + "SELECT query_id, match_id, inliers, total_matches FROM verified")
 def ransac_verify(spark, sf):
     voted = _resight_votes(spark, sf).select("query_id", F.col("image_id").alias("match_id"), "query_idx", "train_idx")
     return verify.verify(matching.with_points(voted, s.query_points(spark, sf), s.database_points(spark, sf))).drop("transform")
 
 
-@query(_AGAIN + "SELECT query_id, image_id AS match_id, count(*) AS inliers, count(*) AS total_matches FROM votes GROUP BY ALL")
+@query(_AGAIN + "SELECT query_id, match_id, inliers, total_matches FROM verified")
 def inliers_given_affine(spark, sf):
     voted = _resight_votes(spark, sf).select("query_id", F.col("image_id").alias("match_id"), "query_idx", "train_idx")
     swapped = matching.with_points(voted, s.query_points(spark, sf), s.database_points(spark, sf)).selectExpr("query_id", "match_id", "tx AS qx", "ty AS qy", "qx AS tx", "qy AS ty")
@@ -308,12 +332,29 @@ def dorsal_orientation_mask(spark, sf):
     return rounded(orient.dorsal_from_masks(p, p.where("y < 5 and image_id % 2 = 0"), p.where("y > 55 and image_id % 3 = 0")), "confidence")
 
 
-@query()
+_SHAPE_X = WITH("pixels", "columns") + f""", h AS (SELECT image_id, avg(n) FILTER (rn <= len // 2) AS a, avg(n) FILTER (rn > len // 2) AS b, avg(n) FILTER (rn <= {_K}) AS lt, avg(n) FILTER (rn > {_K} AND rn <= 2 * {_K}) AS ln_,
+avg(n) FILTER (len - rn + 1 <= {_K}) AS rt, avg(n) FILTER (len - rn + 1 > {_K} AND len - rn + 1 <= 2 * {_K}) AS rn_ FROM dense GROUP BY image_id),
+m AS (SELECT image_id, avg(x) < (min(x) + max(x)) / 2.0 AS mass FROM pixels GROUP BY image_id),
+f AS (SELECT image_id, mass, a > b AS wide, lt > ln_ * 1.2::DOUBLE AS lf, rt > rn_ * 1.2::DOUBLE AS rf FROM h JOIN m USING (image_id)),
+v AS (SELECT *, mass::INT + wide::INT + 2 * (rf AND NOT lf)::INT AS l, (NOT mass)::INT + (NOT wide)::INT + 2 * (lf AND NOT rf)::INT AS r FROM f)
+SELECT image_id, l > r AS head_left, round(least(1.0, abs(l - r) / greatest(l + r, 1)::DOUBLE * CASE WHEN lf <> rf THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END), 6) + 0.0::DOUBLE AS confidence FROM v"""
+
+
+@query(_SHAPE_X)
 def head_direction_shape(spark, sf):
     return rounded(orient.head_from_shape(s.pixels(spark, sf)), "confidence")
 
 
-@query()
+_SHAPE_Y = WITH("pixels", "rows", "edges") + """, h AS (SELECT image_id, coalesce(stddev_pop(n) FILTER (rn <= len // 2), 0) AS a, coalesce(stddev_pop(n) FILTER (rn > len // 2), 0) AS b, max(len) AS len, arg_min(rn, row(-n, rn)) AS widest FROM tall GROUP BY image_id),
+d AS (SELECT *, top - lag(top) OVER w AS dt, bottom - lag(bottom) OVER w AS db FROM edges WINDOW w AS (PARTITION BY image_id ORDER BY x)),
+e AS (SELECT *, dt - lag(dt) OVER w AS ddt, db - lag(db) OVER w AS ddb FROM d WINDOW w AS (PARTITION BY image_id ORDER BY x)),
+c AS (SELECT image_id, coalesce(-avg(ddt), 0) AS ct, coalesce(avg(ddb), 0) AS cb, stddev_pop(top) AS rt, stddev_pop(bottom) AS rb FROM e GROUP BY image_id),
+v AS (SELECT *, 2 * (a > b)::INT + (widest - 1 < len // 2)::INT + (ct < cb)::INT + (rt > rb)::INT AS u, abs(a - b) / (greatest(a, b) + 1e-6::DOUBLE) AS x FROM h JOIN c USING (image_id)),
+w AS (SELECT *, (CASE WHEN x > 0.3 THEN least(1.0::DOUBLE, x) ELSE 0.5::DOUBLE END) * 0.6::DOUBLE + abs(u - (5 - u)) / 5::DOUBLE * 0.4::DOUBLE AS sure FROM v)
+SELECT image_id, CASE WHEN len <= 1 THEN true WHEN x > 0.3 THEN a > b ELSE u > 5 - u END AS dorsal_up, round(CASE WHEN len <= 1 THEN 0.5::DOUBLE WHEN x > 0.5 THEN least(1.0::DOUBLE, sure * 1.3::DOUBLE) ELSE sure END, 6) + 0.0::DOUBLE AS confidence FROM w"""
+
+
+@query(_SHAPE_Y)
 def dorsal_orientation_shape(spark, sf):
     return rounded(orient.dorsal_from_shape(s.pixels(spark, sf)), "confidence")
 
@@ -396,13 +437,37 @@ def dark_threshold(spark, sf):
 # Scale
 
 
-@query(WITH("signal") + """, e AS (SELECT series, count(*) AS n FROM signal GROUP BY series), o AS (SELECT unnest(range(-8, 9)) AS o), w AS (SELECT o, exp(-0.5 * (o / 2.0) * (o / 2.0)) / (SELECT sum(exp(-0.5 * (o / 2.0) * (o / 2.0))) FROM o) AS w FROM o),
-p AS (SELECT s.series, s.t, n, w, (s.t - 1 + o + 8 * 2 * n) % (2 * n) AS m FROM signal s JOIN e USING (series) CROSS JOIN w)
-SELECT p.series, p.t, round(sum(w * g.v), 6) + 0.0::DOUBLE AS v FROM p JOIN signal g ON g.series = p.series AND g.t = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END + 1 GROUP BY ALL""")
+_SMOOTH = """, e AS (SELECT series, count(*) AS n FROM {0} GROUP BY series), o AS (SELECT unnest(range(-8, 9)) AS o), w AS (SELECT o, exp(-0.5 * (o / 2.0) * (o / 2.0)) / (SELECT sum(exp(-0.5 * (o / 2.0) * (o / 2.0))) FROM o) AS w FROM o),
+p AS (SELECT s.series, s.t, n, w, (s.t - 1 + o + 8 * 2 * n) % (2 * n) AS m FROM {0} s JOIN e USING (series) CROSS JOIN w)
+SELECT p.series, p.t, round(sum(w * g.v), 6) + 0.0::DOUBLE AS v FROM p JOIN {0} g ON g.series = p.series AND g.t = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END + 1 GROUP BY ALL"""
+
+
+@query(WITH("signal") + _SMOOTH.format("signal"))
 def gaussian_smooth(spark, sf):
     return rounded(ruler.gaussian_smooth(s.signal(spark, sf)), "v")
 
 
+@query(WITH("signal", "short") + _SMOOTH.format("short"))
+def gaussian_smooth_short(spark, sf):
+    """Series shorter than the kernel, whose mirror images repeat."""
+    return rounded(ruler.gaussian_smooth(s.short(spark, sf)), "v")
+
+
+@query(WITH("metrics") + """, b AS (SELECT quantile_cont(ppm, 0.25) AS q1, quantile_cont(ppm, 0.5) AS median, quantile_cont(ppm, 0.75) AS q3 FROM metrics WHERE ppm > 0),
+i AS (SELECT ppm, ppm BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5 AS inside FROM metrics, b WHERE ppm > 0)
+SELECT round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high, fliers FROM b, (SELECT min(ppm) FILTER (inside) AS low, max(ppm) FILTER (inside) AS high, count(*) FILTER (NOT inside) AS fliers FROM i)""")
+def scale_box(spark, sf):
+    return rounded(ruler.scale_box(s.metrics(spark, sf)), "q1", "median", "q3", "low", "high")
+
+
+@query(WITH("descriptors", "self_near", "votes", "scores", "matches") + "SELECT query_id, match_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id DESC) AS r FROM matches) WHERE r = 1 ORDER BY query_id LIMIT 5")
+def first_matches(spark, sf):
+    """The first five queries' best match."""
+    scored = matching.scores(_self_votes(spark, sf))
+    side = lambda c, x: F.concat(c, F.lit(f"{x}_standardized")).alias(c)
+    return rounded(results.first_matches(scored.select(side("query_id", "L"), side("match_id", "R"), (F.col("lnbnn_score") + F.col("n_matches")).alias("score"))), "score")
+
+
 @query(WITH("signal") + ", m AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b, quantile_cont(v, 0.5) OVER (PARTITION BY series) AS q FROM signal WINDOW w AS (PARTITION BY series ORDER BY t)) SELECT series, t, v FROM m WHERE v > a AND v > b AND v >= q")
 def local_maxima(spark, sf):
     return ruler.local_maxima(s.signal(spark, sf))

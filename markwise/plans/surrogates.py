@@ -13,6 +13,8 @@ from markwise.functions.vectors import blend
 
 #: The map that moves database points to query points, as rows of a 2 x 3 matrix.
 AFFINE = [0.9, -0.2, 12.0, 0.2, 0.9, -7.0]
+#: Which query points are elsewhere, in SQL.
+OUTLIER = "{0} % 10 = 3"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +47,12 @@ def database_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where AFFINE moves the database's points, but for every tenth, which is 60 or more off: OUTLIER says which."""
     p = database_points(spark, sf_dir)
     a, b, c, d, e, f = AFFINE
-    return p.select(F.regexp_replace("image_id", "img", "q").alias("image_id"), "local_idx", (F.col("x") * a + F.col("y") * b + c).alias("x"), (F.col("x") * d + F.col("y") * e + f).alias("y"))
+    off = F.when(F.expr(OUTLIER.format("global_idx")), F.lit(60) + F.col("global_idx") * 31 % 89).otherwise(F.lit(0))
+    turn = F.when(F.col("global_idx") * 7 % 4 < 2, F.lit(1)).otherwise(F.lit(-1))
+    return p.select(F.regexp_replace("image_id", "img", "q").alias("image_id"), "local_idx", (F.col("x") * a + F.col("y") * b + c + off).alias("x"), (F.col("x") * d + F.col("y") * e + f + off * turn).alias("y"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +64,11 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.row_number().over(own).cast("long").alias("t"), F.col("value").alias("v"))
 
 
+def short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of 1 to 12 values."""
+    return signal(spark, sf_dir).where("t <= 1 + series % 12")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of ticks: running sums of the signal's values."""
     own = W.Window.partitionBy("series").orderBy("t").rowsBetween(W.Window.unboundedPreceding, 0)
@@ -93,6 +103,8 @@ SQL = {
     "eye": "eye AS (SELECT * FROM pixels WHERE y < 5)",
     "fin": "fin AS (SELECT * FROM pixels WHERE y > 55 AND image_id % 3 = 0)",
     "signal": "signal AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS v FROM events)",
+    "short": "short AS (SELECT * FROM signal WHERE t <= 1 + series % 12)",
+    "verified": f"verified AS (SELECT query_id, image_id AS match_id, count(*) AS total_matches, count(*) FILTER (NOT {OUTLIER.format('qid')}) AS inliers FROM votes GROUP BY ALL)",
     "ticks": "ticks AS (SELECT series, sum(floor(abs(v)) + 1) OVER (PARTITION BY series ORDER BY t)::BIGINT AS t FROM signal)",
     "metrics": "metrics AS (SELECT o_orderkey AS image_id, CASE WHEN o_orderstatus = 'P' THEN 0.0::DOUBLE ELSE (o_totalprice / 10000) * (o_totalprice / 10000) END AS ppm, o_custkey AS length_px FROM orders)",
     "stats": "stats AS (SELECT avg(ppm) AS mean, quantile_cont(ppm, 0.5) AS median, stddev_pop(ppm) AS std, min(ppm) AS min, max(ppm) AS max, count(*) AS count FROM metrics WHERE ppm > 0)",

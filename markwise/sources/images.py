@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +48,33 @@ def read(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPG,png}") ->
     return j.select("origin", "height", "width", "nChannels", "data", F.col("_head").alias("head")).mapInPandas(run, IMAGE)
 
 
-def read_masks(spark: SparkSession, folder: str) -> DataFrame:
+#: Prompts of the method, as masks are named after them.
+PROMPTS = ("whole fish", "fish", "fish eye", "dorsal fin", "ruler")
+
+
+def unreadable(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPG,png}") -> DataFrame:
+    """(image_id, path, error) of the files that read() leaves out."""
+    files = spark.read.format("image").option("pathGlobFilter", pattern).load(folder).select("image.origin", "image.height")
+    return files.where("height <= 0").select(_stem("origin").alias("image_id"), F.col("origin").alias("path"), F.lit("not an image").alias("error"))
+
+
+def mask_name(name: str, prompts: tuple[str, ...] = PROMPTS) -> tuple[str, str]:
+    """Image and prompt of {image}_{prompt}_mask: the longest known prompt at the end, else what stands behind the last _."""
+    name = name.removesuffix("_mask")
+    for p in sorted(prompts, key=len, reverse=True):
+        if name.endswith("_" + p.replace(" ", "_")):
+            return name[: -len(p) - 1], p
+    image, _, prompt = name.rpartition("_")
+    return (image, prompt) if image else (name, "")
+
+
+def mask_names(name: Column, prompts: tuple[str, ...] = PROMPTS) -> tuple[Column, Column]:
+    """mask_name() as columns: image, and prompt with _ for spaces; both empty for other names."""
+    known = "|".join(re.escape(p.replace(" ", "_")) for p in sorted(prompts, key=len, reverse=True))
+    return tuple(F.regexp_extract(name, f"^(.+?)_({known})_mask$", i) for i in (1, 2))
+
+
+def read_masks(spark: SparkSession, folder: str, prompts: tuple[str, ...] = PROMPTS) -> DataFrame:
     """masks from files {image}_{prompt}_mask.png; any value above 0 is set. Spaces of a prompt are written as _."""
     own = read(spark, folder, "*_mask.png")
 
@@ -56,8 +84,7 @@ def read_masks(spark: SparkSession, folder: str) -> DataFrame:
             for r in part.itertuples():
                 m = array(r.height, r.width, r.n_channels, r.data)
                 m = (m if m.ndim == 2 else m.max(2)) > 0
-                image, prompt = r.image_id.removesuffix("_mask").split("_", 1)
-                rows.append((image, prompt.replace("_", " "), r.height, r.width, int(m.sum()), m.astype(np.uint8).tobytes()))
+                rows.append((*mask_name(r.image_id, prompts), r.height, r.width, int(m.sum()), m.astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["image_id", "prompt", "height", "width", "area", "mask"])
 
     return own.mapInPandas(run, "image_id string, prompt string, height int, width int, area long, mask binary")
@@ -74,8 +101,26 @@ def png_files(images: DataFrame) -> DataFrame:
 
 
 def export(files: DataFrame, folder: str, suffix: str = ".png") -> int:
-    """Writes (image_id, content) as single files, through Hadoop's file system, so any store will do. For modest numbers."""
+    """Writes (image_id, content) as single files and counts them.
+
+    Tasks write to a folder of a file system that all executors have mounted, each file under another name first, so a task
+    that runs twice does no harm. Into any other store the driver writes, through Hadoop, for modest numbers.
+    """
     spark = files.sparkSession
+    if re.match(r"(file:)?/", folder):
+        place = re.sub(r"^file:/+", "/", folder)
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            os.makedirs(place, exist_ok=True)
+            for part in parts:
+                for name, content in zip(part["image_id"], part["content"], strict=True):
+                    own = f"{place}/.{uuid.uuid4().hex}"
+                    with open(own, "wb") as out:
+                        out.write(content)
+                    os.replace(own, f"{place}/{name}{suffix}")
+                yield pd.DataFrame({"n": [len(part)]})
+
+        return files.select("image_id", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     jvm, n = spark._jvm, 0
     target = jvm.org.apache.hadoop.fs.Path(folder)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -85,3 +130,18 @@ def export(files: DataFrame, folder: str, suffix: str = ".png") -> int:
         out.close()
         n += 1
     return n
+
+
+def mask_files(masks: DataFrame) -> DataFrame:
+    """(image_id, content) of masks as PNG files, named {image}_{prompt}_mask."""
+    named = masks.select(F.concat_ws("_", "image_id", F.replace("prompt", F.lit(" "), F.lit("_")), F.lit("mask")).alias("image_id"), "height", "width", F.lit(1).alias("n_channels"), "mask")
+    scaled = F.unhex(F.regexp_replace(F.hex("mask"), "01", "FF"))
+    return png_files(named.select("image_id", "height", "width", "n_channels", scaled.alias("data")))
+
+
+def names(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(name) of the files in a folder, without their ending; none if there is no folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "name string")
+    return scan(spark, folder, pattern).select(F.col("image_id").alias("name"))

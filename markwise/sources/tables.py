@@ -35,9 +35,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def replace_json(df: DataFrame, path: str) -> None:
+    """Writes beside the path, which df may read, and then takes its place."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.new")
+    df.write.mode("overwrite").json(new.toString())
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
 def read_metrics(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """(image_id, metrics.*) by file stem; whole: one list per file. Of repeated images the last counts."""
-    rows = spark.read.schema(METRICS).json(path, multiLine=whole).withColumn("_at", F.monotonically_increasing_id())
+    """(image_id, metrics.*) by file stem; whole: one list per file. Of repeated images the last counts, files in order of their names."""
+    rows = spark.read.schema(METRICS).json(path, multiLine=whole).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     named = rows.withColumn("image_id", F.regexp_extract("image", r"([^/]+?)(\.[^./]*)?$", 1))
     return latest(named, "image_id", "_at").select("image_id", "metrics.*")
 

@@ -238,3 +238,201 @@ def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text("matching: {k: 7, unknown: 1}")
     assert settings.matching(settings.load(str(tmp_path / "c.yaml"))).k == 7
     assert settings.resolve("a/b", "/base/") == "/base/a/b" and settings.resolve("/a", "/base") == "/a"
+
+
+PICTURE = "image_id string, height int, width int, n_channels int, data binary"
+MASK = "image_id string, prompt string, height int, width int, area long, mask binary"
+
+
+def as_mask(i, p, m):
+    return (i, p, m.shape[0], m.shape[1], int(m.sum()), m.astype(np.uint8).tobytes())
+
+
+def animal(right=True, h=120, w=480):
+    """A scene with a ruler of 20 px, an animal with an eye, and its masks."""
+    picture, rule = np.full((h, w), 220, np.uint8), np.zeros((h, w), bool)
+    rule[4:44, 20:460] = True
+    for x in range(30, 450, 20):
+        picture[6:42, x : x + 3] = 20
+    fish, eye = ellipse(h, w, 200, 85, 90, 22), ellipse(h, w, 260 if right else 140, 78, 4, 4)
+    rng = np.random.default_rng(1)
+    picture[fish] = 130
+    for cx, cy in zip(rng.uniform(130, 270, 16), rng.uniform(72, 98, 16), strict=True):
+        picture[ellipse(h, w, cx, cy, 3, 3) & fish] = 230
+    picture[eye] = 15
+    return picture, {"ruler": rule, "whole fish": fish, "fish eye": eye}
+
+
+def test_names_of_masks(spark):
+    names = {"IMG_1234_whole_fish_mask": ("IMG_1234", "whole fish"), "a_fish_eye_mask": ("a", "fish eye"), "a_b_fish_mask": ("a_b", "fish"), "x_ruler_mask": ("x", "ruler"), "a_tail_mask": ("a", "tail"), "plain_mask": ("plain", "")}
+    assert {n: images.mask_name(n) for n in names} == names
+    columns = images.mask_names(images.F.col("n"))
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[c.alias(a) for c, a in zip(columns, ("i", "p"), strict=True)]).collect()
+    assert {r.n: (r.i, r.p.replace("_", " ")) for r in got} == {n: x if x[1] in images.PROMPTS else ("", "") for n, x in names.items()}
+
+
+def test_masks_without_pixels(spark):
+    masks = spark.createDataFrame([("a", "fish", 0, 0, 0, b""), as_mask("b", "fish", np.zeros((2, 3), bool)), as_mask("c", "fish", np.eye(3, dtype=bool))], MASK)
+    assert sorted((r.image_id, r.x, r.y) for r in im.mask_pixels(masks).collect()) == [("c", i, i) for i in range(3)]
+
+
+def test_outline_and_tips():
+    m = np.zeros((9, 12), bool)
+    m[2:7, 3:10] = True
+    assert shapes.outline(m).tolist() == [[3, 2], [3, 6], [9, 6], [9, 2]]
+    assert shapes.outline(np.zeros((3, 3), bool)).shape == (0, 2) and len(shapes.outline(np.eye(1, dtype=bool))) == 1
+    sharp, angle, sure = shapes.tip_angle(np.array([[0, 0], [4, 1], [8, 2], [4, 3], [0, 4]]))
+    assert sharp and 0 < angle < 60 and abs(sure - (1 - angle / 60)) < 1e-9
+    square = np.array([[0, 0], [0, 9], [9, 9], [9, 0]])
+    assert abs(shapes.mean_turn(square) - np.pi / 2) < 1e-9 and shapes.tip_angle(square) == (False, 180.0, 0.0)
+    assert shapes.tail_shape(np.zeros((5, 5), bool)) == (None, 0.0)
+    side, sure = shapes.tail_shape(ellipse(80, 200, 100, 40, 80, 25))
+    assert side in (True, False) and 0 <= sure <= 1
+
+
+def test_votes_of_the_picture(spark):
+    """A dark, round spot in the left part: the head is left and the back is up; the votes reach the shape's decision."""
+    h, w = 100, 220
+    body, eye = ellipse(h, w, 110, 50, 90, 30), ellipse(h, w, 45, 42, 10, 10)
+    body |= ellipse(h, w, 120, 18, 12, 9)
+    gray = np.random.default_rng(0).normal(160, 12, (h, w)).astype(np.uint8)
+    gray[eye] = 10
+    votes = im.votes_of(gray, body)
+    assert votes["eye_left"] and votes["eye_top"] and votes["eye_confidence"] > 0.3
+    assert votes["fin_top"] and votes["fin_confidence"] > 0
+    blank = im.votes_of(gray, np.zeros((h, w), bool))
+    assert blank["eye_left"] is None and blank["fin_top"] is None and blank["eye_confidence"] == 0
+    pictures = spark.createDataFrame([("a", h, w, 1, gray.tobytes()), ("b", h, w, 1, gray.tobytes())], PICTURE)
+    masks = spark.createDataFrame([as_mask("a", "fish", body)], MASK)
+    got = im.image_votes(pictures, masks).collect()
+    assert len(got) == 1 and got[0].eye_left
+    assert [(r.image_id, r.head_left) for r in im.heads(pictures, masks).collect()] == [("a", True)]
+    back = orient.dorsal_from_shape(table(spark, {"a": body}), im.image_votes(pictures, masks).select("image_id", "eye_top", "eye_confidence"), im.image_votes(pictures, masks).select("image_id", "fin_top", "fin_confidence"))
+    assert back.first().dorsal_up
+
+
+def test_votes_in_a_task_are_those_of_the_table(spark):
+    """head_votes and back_votes against the column expressions, on lopsided shapes."""
+    rng = np.random.default_rng(3)
+    masks, votes = {}, {}
+    for k in range(12):
+        m = ellipse(60, 140, 70, 30, 50, 15) | ellipse(60, 140, 30 + rng.integers(0, 80), 20 + rng.integers(0, 20), 8 + rng.integers(0, 14), 6 + rng.integers(0, 10))
+        masks[f"m{k}"], on = m, lambda: bool(rng.random() < 0.5) if rng.random() < 0.6 else None
+        v = {"eye_left": on(), "eye_top": on(), "fin_top": on(), "head_left_by_tail": on()}
+        eye, fin, tail = rng.random(3).round(3).tolist()
+        if v["eye_left"] is None or v["eye_top"] is None:
+            v["eye_left"] = v["eye_top"] = None
+        votes[f"m{k}"] = v | {"eye_confidence": eye if v["eye_left"] is not None else 0.0, "fin_confidence": fin if v["fin_top"] is not None else 0.0, "tail_confidence": tail if v["head_left_by_tail"] is not None else 0.0}
+    names = [c.split()[0] for c in im.VOTES.split(", ")][1:]
+    t = spark.createDataFrame([(k, *[v[n] for n in names]) for k, v in votes.items()], im.VOTES)
+    body = table(spark, masks)
+    heads = {r.image_id: r for r in orient.head_from_shape(body, t.select("image_id", "eye_left", "eye_confidence"), t.select("image_id", "head_left_by_tail", "tail_confidence")).collect()}
+    backs = {r.image_id: r for r in orient.dorsal_from_shape(body, t.select("image_id", "eye_top", "eye_confidence"), t.select("image_id", "fin_top", "fin_confidence")).collect()}
+    for k, m in masks.items():
+        edge = [e[m.any(0)].astype(float).std() for e in (m.argmax(0), m[::-1].argmax(0))]
+        if abs(edge[0] - edge[1]) < 1e-9:  # edges of one roughness: sums in another order decide
+            continue
+        head, sure = im.head_votes(m, votes[k])
+        assert head == heads[k].head_left and abs(sure - heads[k].confidence) < 1e-9, k
+        up, sure = im.back_votes(m, votes[k])
+        assert up == backs[k].dorsal_up and abs(sure - backs[k].confidence) < 1e-9, k
+
+
+def test_standardize_without_an_eye_mask():
+    """The picture's eye decides, and says so."""
+    h, w = 100, 240
+    body, eye = ellipse(h, w, 120, 50, 100, 30), ellipse(h, w, 45, 42, 10, 10)
+    gray = np.random.default_rng(0).normal(160, 12, (h, w)).astype(np.uint8)
+    gray[eye] = 10
+    _, _, meta = im.standardize_one(gray, body)
+    assert meta["head_method"] == "image_votes" and not meta["head_right"] and meta["rotated_180"]
+
+
+def test_model_input():
+    x = im.model_input(np.full((50, 30), 255, np.uint8))
+    assert x.shape == (3, 224, 224) and np.allclose(x[:, 0, 0], [(1 - m) / d for m, d in zip(im.MEAN, im.DEVIATION, strict=True)], atol=1e-5)
+    ramp = np.repeat(np.arange(224, dtype=np.uint8)[None, :, None], 224, 0).repeat(3, 2)
+    assert np.allclose(im.model_input(ramp)[0, 0], (np.arange(224) / 255 - im.MEAN[0]) / im.DEVIATION[0], atol=1e-4)
+
+
+def test_models_over_tables(spark):
+    class Mean:
+        name = "mean"
+
+        def embed(self, x):
+            return x.mean((1, 2))
+
+    class Bright:
+        def segment(self, image, prompts):
+            return {prompts[0]: [(0.9, image > 100), (0.2, image >= 0)], prompts[1]: [(0.1, image > 0)]}
+
+    picture, _ = animal()
+    pictures = spark.createDataFrame([("a", *picture.shape, 1, picture.tobytes())], PICTURE)
+    got = im.embed(pictures, Mean).first()
+    assert got.model == "mean" and len(got.embedding) == 3 and got.error is None
+    found = {r.prompt: r for r in im.segment(pictures, Bright, ["fish", "ruler"]).collect()}
+    assert found["fish"].area == int((picture > 100).sum()) and found["ruler"].area == 0
+
+
+def test_data_of_figures(spark):
+    picture, own = animal()
+    pictures = spark.createDataFrame([("a", *picture.shape, 1, picture.tobytes())], PICTURE)
+    masks = spark.createDataFrame([as_mask("a", p, m) for p, m in own.items()], MASK)
+    ticks = im.ruler_ticks(pictures, masks).orderBy("tick").collect()
+    assert len(ticks) > 15 and abs(ticks[0].pixels_per_mm - 20) <= 1 and 15 <= ticks[1].x - ticks[0].x <= 25
+    blend = {r.prompt: r for r in im.overlays(pictures, masks).collect()}["whole fish"]
+    x = im.array(blend.height, blend.width, 3, blend.data)
+    y0, x0 = 85, 200
+    assert x[y0, x0].tolist() == np.rint(picture[y0, x0] * 0.7 + np.array([0, 255, 0]) * 0.3).astype(int).tolist() and x[0, 0].tolist() == [220] * 3
+    points = spark.createDataFrame([("a", 0, 10.0, 20.0, 4.0)], "image_id string, local_idx int, x double, y double, size double")
+    assert im.scaled_points(points, 0.5).first()[2:] == (5.0, 10.0, 2.0)
+    im.check_panels({"a": 1}, {"a"})
+    with pytest.raises(ValueError, match="missing"):
+        im.check_panels({"a": 1, "c": 2}, {"a", "b"})
+
+
+def test_files_that_are_no_images(spark, tmp_path):
+    (tmp_path / "x.png").write_bytes(png.encode(np.zeros((3, 3), np.uint8)))
+    (tmp_path / "y.png").write_bytes(b"nothing")
+    assert [r.image_id for r in images.read(spark, str(tmp_path)).collect()] == ["x"]
+    assert [(r.image_id, r.error) for r in images.unreadable(spark, str(tmp_path)).collect()] == [("y", "not an image")]
+
+
+def test_process_match_and_again(spark, tmp_path):
+    """Raw images and masks to metrics, standardized images and matches; a second run finds nothing to do."""
+    from markwise.plans import cli
+
+    raw, masks = tmp_path / "raw", tmp_path / "masks"
+    raw.mkdir(), masks.mkdir()
+    for name, right in (("JAVR0001", True), ("JAVR0002", False), ("CSDD_0003L", True)):
+        picture, own = animal(right)
+        (raw / f"{name}.png").write_bytes(png.encode(picture))
+        for p, m in own.items():
+            (masks / f"{name}_{p.replace(' ', '_')}_mask.png").write_bytes(png.encode((m * 255).astype(np.uint8)))
+    (raw / "broken.png").write_bytes(b"no image")
+    folder = lambda n: str(tmp_path / n)
+    (tmp_path / "c.yaml").write_text(f"data:\n  raw_dir: {raw}\n  masks_dir: {masks}\n  metadata_dir: {folder('meta')}\n  standardized_dir: {folder('std')}\nmatching:\n  min_inliers: 3\n")
+    args = ["process", "--config", folder("c.yaml"), "--qa-dir", folder("qa")]
+    assert cli.main(args) == 0
+    read = lambda: {r.image_id: r for r in spark.read.schema(im.METRICS).json(folder("meta/metrics")).collect()}
+    first = read()
+    assert set(first) == {"JAVR0001", "JAVR0002", "CSDD_0003L", "broken"} and first["broken"].extraction_error == "not an image"
+    assert all(abs(r.pixels_per_mm - 20) <= 1 for k, r in first.items() if k != "broken")
+    made = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "std").iterdir()}
+    assert {n for n in made if n.endswith("_standardized.png")} == {f"{k}_standardized.png" for k in first if k != "broken"} and len(made) == 6
+    (raw / "broken.png").unlink()
+    assert cli.main(args) == 0
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "std").iterdir()} == made and read() == first
+    assert cli.main([*args, "--no-skip-existing"]) == 0
+    assert {p.name for p in (tmp_path / "std").iterdir()} == set(made) and any(p.stat().st_mtime_ns != made[p.name] for p in (tmp_path / "std").iterdir())
+    match = ["match", "--config", folder("c.yaml"), "--standardized-dir", folder("std"), "--features-dir", folder("features"), "--output-dir", folder("out")]
+    for _ in range(2):
+        assert cli.main(match) == 0
+    found = spark.read.parquet(folder("features"))
+    assert found.select("image_id").distinct().count() == 3 and found.groupBy("image_id", "local_idx").count().where("count > 1").count() == 0
+    assert tables.read_csv(spark, folder("out/matches.csv")).count() > 0
+    with pytest.raises(ValueError, match="no image"):
+        cli.main([*match, "--query", "nobody"])
+    assert cli.main(["rename", "--images-dir", str(raw), "--masks-dir", str(masks), "--output", folder("names")]) == 0
+    plan = {r.old_name: r.head_direction for r in spark.read.json(folder("names")).collect()}
+    assert plan == {"JAVR0001": "R", "JAVR0002": "L"}

@@ -65,6 +65,47 @@ def test_strategies_agree(spark):
     assert {(r.qid, r.global_idx) for r in knn.within(q, d, most).collect()} == pairs == {(r.qid, r.global_idx) for r in knn.within(q, d, most, 0, 8).collect()}
 
 
+def test_equal_vectors_rank_by_index(spark):
+    """200 equal vectors: neither the way nor the blocks choose among them."""
+    d = frame(spark, np.concatenate([np.ones((200, 3)), np.zeros((5, 3))]), ["x"] * 205)
+    q = queries(d).where("qid in (0, 150, 201)")
+    key = lambda df: sorted((r.qid, r["rank"], r.global_idx) for r in df.collect())
+    want = key(knn.nearest_sql(q, d, 5))
+    assert [x for x in want if x[0] == 150] == [(150, i + 1, i) for i in range(5)]
+    assert want == key(knn.nearest(q, d, 5)) == key(knn.nearest(q, d, 5, 0, 64)) == key(knn.nearest(q, d, 5, 0, 7))
+
+
+def test_ratio_test_is_that_of_the_loop(spark):
+    """The two nearest of each image, with ties, broadcast and in blocks."""
+    rng = np.random.default_rng(6)
+    v, im = rng.integers(0, 3, size=(80, 3)).astype(float), [f"i{k % 5}" for k in range(80)]
+    d = frame(spark, v, im)
+    want = set()
+    for i in range(80):
+        for name in set(im) - {im[i]}:
+            own = [j for j in range(80) if im[j] == name]
+            own.sort(key=lambda j: (((v[j] - v[i]) ** 2).sum(), j))
+            a, b = (float(np.sqrt(((v[j] - v[i]) ** 2).sum())) for j in own[:2])
+            if a < b * 0.75:
+                want.add((im[i], name, i // 5, own[0] // 5))
+    for blocks in ({}, {"broadcast_bytes": 0, "block_rows": 16}):
+        got = matching.ratio_matches(queries(d), d, **blocks).collect()
+        assert {(r.query_id, r.match_id, r.query_idx, r.train_idx) for r in got} == want and len(got) == len(want) > 5
+    plan = matching.ratio_matches(queries(d), d)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_projections_recall(spark):
+    """Second sightings at most 0.5 apart, against all pairs."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(300, 16))
+    d = frame(spark, v, ["x"] * 300)
+    again = frame(spark, v + rng.normal(size=v.shape) * 0.05, ["q"] * 300)
+    exact = {(r.qid, r.global_idx) for r in knn.within(queries(again), d, 0.25).collect()}
+    near = {(r.qid, r.global_idx) for r in knn.near_by_projections(queries(again), d, 0.5).collect()}
+    assert near <= exact and len(near) >= 0.9 * len(exact) > 200
+
+
 def test_cells_recall(spark):
     rng = np.random.default_rng(5)
     d = frame(spark, rng.normal(size=(200, 4)), ["x"] * 200)
