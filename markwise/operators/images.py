@@ -64,6 +64,20 @@ def segment(images: DataFrame, segmenter: type, prompts: list[str], confidence:
     return images.mapInPandas(run, "image_id string, prompt string, height int, width int, area long, mask binary")
 
 
+class NoAccess(PermissionError):
+    """A model's weights need a licence or a login that this environment hasn't."""
+
+    def __init__(self, model: str, reason: str = "") -> None:
+        super().__init__(f"no access to {model}{': ' + reason if reason else ''}. Accept its licence where it is published, log in, and check with the command `report`.")
+
+
+def fish_and_ruler(images: DataFrame, segmenter: type, confidence: float = 0.5) -> DataFrame:
+    """(image_id, fish, ruler, fish_area, ruler_area): both masks of each image in one row; empty ones where nothing was found."""
+    found = segment(images, segmenter, ["fish", "ruler"], confidence)
+    pick = lambda c, p: F.max_by(c, F.col("prompt") == p)
+    return found.groupBy("image_id").agg(pick("mask", "fish").alias("fish"), pick("mask", "ruler").alias("ruler"), pick("area", "fish").alias("fish_area"), pick("area", "ruler").alias("ruler_area"))
+
+
 def model_input(image: np.ndarray, size: int = 224) -> np.ndarray:
     """(3, size, size) as embedding models take it: resized bilinearly, channel by channel less the mean, over the deviation."""
     rgb = np.repeat(image[:, :, None], 3, 2) if image.ndim == 2 else image[:, :, :3]

@@ -372,6 +372,21 @@ def test_models_over_tables(spark):
     assert got.model == "mean" and len(got.embedding) == 3 and got.error is None
     found = {r.prompt: r for r in im.segment(pictures, Bright, ["fish", "ruler"]).collect()}
     assert found["fish"].area == int((picture > 100).sum()) and found["ruler"].area == 0
+    both = im.fish_and_ruler(pictures, Bright).first()
+    assert (both.fish_area, both.ruler_area, len(both.fish), any(both.ruler)) == (found["fish"].area, 0, picture.size, False)
+    assert "licence" in str(im.NoAccess("a model", "gated")) and isinstance(im.NoAccess("x"), PermissionError)
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+@pytest.mark.parametrize("kind", ["spread", "ties", "one", "none"])
+def test_exact_quantiles(spark, monkeypatch, few, kind):
+    monkeypatch.setattr(ruler, "FEW", few if kind == "spread" or few else 1)
+    rng = np.random.default_rng(1)
+    v = {"spread": rng.lognormal(size=3001), "ties": rng.integers(0, 4, 2000).astype(float), "one": np.array([7.5]), "none": np.zeros(0)}[kind]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double").repartition(3)
+    for p in (0.25, 0.5, 0.75, 0.0, 1.0):
+        got = ruler.quantile(df, "x", p).first()["quantile"]
+        assert got is None if kind == "none" else abs(got - np.percentile(v, 100 * p)) < 1e-9, (kind, p)
 
 
 def test_data_of_figures(spark):
