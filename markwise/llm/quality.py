@@ -2,7 +2,7 @@
 
 Nulls: a null text counts as an empty one, which fails the base rule. Repeated rows and ties are judged row by row,
 each alike. An empty table gives an empty result. Columns other than the text pass through only if named in `keep`.
-Memory per task is that of one text's words; nothing is shuffled.
+Memory per task is that of one text's words, also of a very long text; nothing is shuffled. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     step = step.select(*keep, "_t", words.alias("_w"), lines.alias("_l"))
     windows = F.transform(
         F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")),
+        lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)),
     )
     step = step.select(
         *keep,
@@ -82,13 +82,16 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         F.size("_l").cast("long").alias("n_text_lines"),
         F.size(F.filter("_l", lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("_l", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).cast("long").alias("n_ellipsis_lines"),
-        F.sort_array(windows).alias("_s"),
+        windows.alias("_h"),
     )
+    rest = [c for c in step.columns if c != "_h"]
+    placed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    alone = F.size(F.array_distinct("_h")) == F.size("_h")  # most texts repeat no window, so nothing needs sorting
+    step = step.select(*rest, F.when(~alone, placed).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")).alias("_s"))
     repeated = F.transform(
         "_s",
         lambda x, k: F.when((F.coalesce(F.get("_s", k - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get("_s", k + 1)["h"] == x["h"], F.lit(False))), x["i"]),
     )
-    rest = [c for c in step.columns if c != "_s"]
     step = step.select(*rest, F.sort_array(F.filter(repeated, lambda i: i.isNotNull())).alias("_r"))
     covered = F.aggregate(F.transform("_r", lambda i, k: F.least(F.lit(3), F.coalesce(F.get("_r", k + 1) - i, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return step.select(*rest, covered.cast("long").alias("n_repeat_words")).select(*keep, *MEASURES)
