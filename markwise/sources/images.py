@@ -28,11 +28,40 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPG}") -> Data
     return files.select(_stem("path").alias("image_id"), "path", "length")
 
 
-def read(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPG,png}") -> DataFrame:
-    """Decoded images, gray or RGB, turned as their orientation tag says. Files that don't decode are left out."""
-    decoded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder).select("image.*")
-    tags = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.regexp_replace("path", "^file:/+", "file:///").alias("_p"), F.substring("content", 1, 65536).alias("_head"))
-    j = decoded.withColumn("_p", F.regexp_replace("origin", "^file:/+", "file:///")).join(tags, "_p", "left")
+#: Up to so many files that are to be turned are sent to every task; beyond, decoded images are joined to them.
+TURNED = 100_000
+
+
+def _local(path: str) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def turned(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, orientation) of the files whose tag says that they aren't upright."""
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(_local("path").alias("path"), F.substring("content", 1, 65536).alias("head"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            own = part[["path"]].assign(orientation=[png.exif_orientation(x or b"") for x in part["head"]])
+            yield own[own["orientation"] > 1]
+
+    return heads.mapInPandas(run, "path string, orientation int")
+
+
+def read(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPG,png}", upright: bool = True, most_turned: int = TURNED) -> DataFrame:
+    """Decoded images, gray or RGB, turned as their orientation tag says (upright). Files that don't decode are in unreadable().
+
+    Few files are turned, so their tags are read first and go to the tasks that decode: pixels aren't shuffled.
+    """
+    decoded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder)
+    own = decoded.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    tags = turned(spark, folder, pattern) if upright else None
+    few = tags.limit(most_turned + 1).collect() if upright else []
+    known = {r["path"]: r["orientation"] for r in few} if len(few) <= most_turned else None
+    if known is None:
+        own = own.withColumn("path", _local("origin")).join(tags, "path", "left").drop("path")
+    else:
+        own = own.withColumn("orientation", F.lit(None).cast("int"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -41,11 +70,12 @@ def read(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPG,png}") ->
                 x = array(r.height, r.width, r.nChannels, r.data)
                 if x.ndim == 3:
                     x = x[:, :, 2::-1]  # the source gives BGR
-                x = np.ascontiguousarray(png.upright(x, png.exif_orientation(r.head or b"")))
+                way = known.get(re.sub("^file:/+", "file:///", r.origin), 1) if known is not None else r.orientation
+                x = np.ascontiguousarray(png.upright(x, int(way) if way and way == way else 1))
                 rows.append((re.sub(r"\.[^./]*$", "", r.origin.rsplit("/", 1)[-1]), r.origin, x.shape[0], x.shape[1], 1 if x.ndim == 2 else 3, x.tobytes()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMAGE.split(", ")])
 
-    return j.select("origin", "height", "width", "nChannels", "data", F.col("_head").alias("head")).mapInPandas(run, IMAGE)
+    return own.mapInPandas(run, IMAGE)
 
 
 #: Prompts of the method, as masks are named after them.
@@ -76,7 +106,7 @@ def mask_names(name: Column, prompts: tuple[str, ...] = PROMPTS) -> tuple[Column
 
 def read_masks(spark: SparkSession, folder: str, prompts: tuple[str, ...] = PROMPTS) -> DataFrame:
     """masks from files {image}_{prompt}_mask.png; any value above 0 is set. Spaces of a prompt are written as _."""
-    own = read(spark, folder, "*_mask.png")
+    own = read(spark, folder, "*_mask.png", upright=False)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -406,6 +406,22 @@ def test_data_of_figures(spark):
         im.check_panels({"a": 1, "c": 2}, {"a", "b"})
 
 
+@pytest.mark.parametrize("most", [10, 0])
+def test_turned_files(spark, tmp_path, most):
+    """A JPEG with an orientation tag is turned, whether its tag is sent or joined."""
+    picture = spark._jvm.java.awt.image.BufferedImage(16, 8, 5)
+    for x in range(8):
+        for y in range(8):
+            picture.setRGB(x, y, 0xFFFFFF)
+    spark._jvm.javax.imageio.ImageIO.write(picture, "jpg", spark._jvm.java.io.File(str(tmp_path / "a.jpg")))
+    plain = (tmp_path / "a.jpg").read_bytes()
+    tag = b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+    (tmp_path / "b.jpg").write_bytes(plain[:2] + b"\xff\xe1" + (len(tag) + 2).to_bytes(2, "big") + tag + plain[2:])
+    got = {r.image_id: im.array(r.height, r.width, 3, r.data) for r in images.read(spark, str(tmp_path), most_turned=most).collect()}
+    assert got["a"].shape == (8, 16, 3) and got["a"][0, 0, 0] > 250 > 5 > got["a"][0, 15, 0]
+    assert got["b"].tolist() == png.upright(got["a"], 6).tolist() and got["b"].shape == (16, 8, 3)
+
+
 def test_files_that_are_no_images(spark, tmp_path):
     (tmp_path / "x.png").write_bytes(png.encode(np.zeros((3, 3), np.uint8)))
     (tmp_path / "y.png").write_bytes(b"nothing")
