@@ -24,6 +24,8 @@ BLOCK_ROWS = 65_536
 #: Numbers of a block of distances, and pairs that are measured again at a time.
 CELLS = 1 << 22
 PAIRS = 1 << 16
+#: Rows of a cell that one task's share of it holds.
+CELL_ROWS = 50_000
 SCHEMA = "qid long, global_idx long, d2 double"
 
 
@@ -202,26 +204,46 @@ def cells(database: DataFrame, n: int | None = None, sample: int = 1_500_000, se
     return KMeans(k=max(1, n or int(4 * rows**0.5)), seed=seed, maxIter=10).fit(vectors)
 
 
-def nearest_by_cells(queries: DataFrame, database: DataFrame, k: int, model, probes: int = 4) -> DataFrame:
-    """Approximate: each query looks in its `probes` nearest cells, an equi-join on the cell."""
+def _shares(model, rows: int, cell_rows: int) -> np.ndarray:
+    """Into how many shares each cell's rows are dealt, by the sizes that the cells had in training; one where these are unknown."""
+    if not model.hasSummary:
+        return np.ones(len(model.clusterCenters()), np.int64)
+    seen = np.array(model.summary.clusterSizes, np.float64)
+    return np.maximum(1, np.ceil(seen * rows / max(1.0, seen.sum()) / cell_rows)).astype(np.int64)
+
+
+def nearest_by_cells(queries: DataFrame, database: DataFrame, k: int, model, probes: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Approximate: each query looks in its `probes` nearest cells, an equi-join on cell and share.
+
+    The rows of a cell of more than cell_rows are dealt over shares by their index, and its queries ask every share, so that a
+    cell that holds most of the database is many tasks' work. The rows found don't depend on the shares.
+    """
     centers = np.stack(model.clusterCenters())
     if centers.nbytes > BROADCAST_BYTES:
         raise ValueError(f"{len(centers)} cells are more than a broadcast of {BROADCAST_BYTES} bytes holds: fit fewer")
-    shared = queries.sparkSession.sparkContext.broadcast(centers)  # 4 sqrt(N) vectors
-
-    def place(most: int):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if len(part):
-                    r, cell, _ = _top(_matrix(part["d"]), shared.value, np.arange(len(shared.value)), most)
-                    out = part.iloc[r].copy()
-                    out["cell"] = cell
-                    yield out
-        return run
-
-    q = queries.select(F.col("qid").cast("long"), F.col("d").cast("array<double>").alias("d")).mapInPandas(place(min(probes, len(centers))), "qid long, d array<double>, cell long")
-    b = database.select(F.col("global_idx").cast("long"), F.col("d").cast("array<double>").alias("d")).mapInPandas(place(1), "global_idx long, d array<double>, cell long")
-    pairs = q.withColumnRenamed("d", "_q").join(b, "cell").select("qid", "global_idx", squared_l2("_q", "d").alias("d2"))
+    shares = _shares(model, database.count() if model.hasSummary else 0, cell_rows)
+    shared = queries.sparkSession.sparkContext.broadcast((centers, shares))  # 4 sqrt(N) vectors
+
+    def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers, shares = shared.value
+        for part in parts:
+            if len(part):
+                row, cell, _ = _top(_matrix(part["d"]), centers, np.arange(len(centers)), min(probes, len(centers)))
+                turn = np.concatenate([np.arange(n) for n in shares[cell]])
+                row, cell = np.repeat(row, shares[cell]), np.repeat(cell, shares[cell])
+                yield part.iloc[row].assign(cell=cell, share=turn)
+
+    def known(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers, shares = shared.value
+        for part in parts:
+            if len(part):
+                _, cell, _ = _top(_matrix(part["d"]), centers, np.arange(len(centers)), 1)
+                yield part.assign(cell=cell, share=part["global_idx"].to_numpy(np.int64) % shares[cell])
+
+    wide = lambda df, key: df.select(F.col(key).cast("long"), F.col("d").cast("array<double>").alias("d"))
+    q = wide(queries, "qid").mapInPandas(asked, "qid long, d array<double>, cell long, share long")
+    b = wide(database, "global_idx").mapInPandas(known, "global_idx long, d array<double>, cell long, share long")
+    pairs = q.withColumnRenamed("d", "_q").join(b, ["cell", "share"]).select("qid", "global_idx", squared_l2("_q", "d").alias("d2"))
     return pairs.withColumn("rank", F.row_number().over(W.Window.partitionBy("qid").orderBy("d2", "global_idx"))).where(F.col("rank") <= k)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from markwise.functions import geometry, names, vectors
 from markwise.operators import features, images, knn, matching, orient, progress, results, ruler, verify
 from markwise.operators import pixels as px
+from markwise.streaming import incremental
 
 from . import surrogates as s
 from .surrogates import AFFINE, WITH
@@ -410,9 +411,29 @@ def gray_levels(spark, sf):
     return rounded(s.pixels(spark, sf).select("image_id", "x", "y", geometry.gray(v * 2, v, F.lit(255) - v).alias("gray"), geometry.darkness(v).alias("darkness")), "gray", "darkness")
 
 
-@query()
+@query("WITH RECURSIVE " + WITH("pixels").removeprefix("WITH ").rstrip() + """,
+reach AS (
+    SELECT image_id, x AS x0, y AS y0, x, y FROM pixels
+    UNION SELECT r.image_id, r.x0, r.y0, p.x, p.y FROM reach r JOIN pixels p ON p.image_id = r.image_id AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1
+),
+sizes AS (SELECT image_id, x0, y0, count(*) AS n FROM reach GROUP BY ALL),
+best AS (SELECT image_id, arg_min(row(x0, y0), row(-n, y0, x0)) AS first FROM sizes GROUP BY image_id)
+SELECT r.image_id, r.x, r.y FROM reach r JOIN best b ON r.image_id = b.image_id AND row(r.x0, r.y0) = b.first""")
 def largest_component(spark, sf):
-    return images.largest_components(s.pixels(spark, sf).where("(x + y) % 3 = 0"))
+    return images.largest_components(s.pixels(spark, sf))
+
+
+@query(WITH("metrics") + "SELECT image_id, round(CASE WHEN image_id % 3 = 0 THEN ppm % 180 ELSE ppm % 180 + 180 END, 6) AS angle FROM metrics")
+def adjusted_angle(spark, sf):
+    """The axis' angle, turned by half a circle where the head is on the right."""
+    angle = geometry.facing_left(geometry.half_turn(F.col("ppm")), F.col("image_id") % 3 == 0)
+    return rounded(s.metrics(spark, sf).select("image_id", angle.alias("angle")), "angle")
+
+
+@query(WITH("descriptors", "points") + "SELECT image_id, local_idx, x * 0.25::DOUBLE AS x, y * 0.25::DOUBLE AS y, (1 + local_idx) * 0.25::DOUBLE AS size FROM points")
+def scaled_keypoints(spark, sf):
+    points = s.database_points(spark, sf).select("image_id", "local_idx", "x", "y", (F.col("local_idx") + 1).cast("double").alias("size"))
+    return images.scaled_points(points, 0.25)
 
 
 @query(WITH("pixels") + "SELECT image_id, x, y, round(48 + (x - 48) * cos(radians(30)) + (y - 30) * sin(radians(30)), 6) AS rx, round(30 - (x - 48) * sin(radians(30)) + (y - 30) * cos(radians(30)), 6) AS ry FROM pixels")
@@ -573,6 +594,19 @@ def pair_lookup(spark, sf):
     return results.pair(_flat(spark, sf), "img_1L", "img_2R")
 
 
+@query(_FLAT + """SELECT query_id, match_id,
+    printf('%s vs %s: score %.4f, %d of %d inliers (%.1f%%)', query_id, match_id, score, inliers, total_matches, inlier_ratio * 100) AS caption FROM flat""")
+def match_captions(spark, sf):
+    return results.pair_text(_flat(spark, sf)).select("query_id", "match_id", "caption")
+
+
+@query(_FLAT + "SELECT query_id, match_id, CASE WHEN total_matches = 0 THEN 0.0::DOUBLE ELSE inliers::DOUBLE END AS score FROM (SELECT * REPLACE (CASE WHEN inliers % 2 = 0 THEN 0 ELSE total_matches END AS total_matches) FROM flat)")
+def inlier_scores(spark, sf):
+    """The pairwise score; pairs of an even number of inliers count as pairs without matches."""
+    total = F.when(F.col("inliers") % 2 == 0, F.lit(0)).otherwise(F.col("total_matches"))
+    return _flat(spark, sf).select("query_id", "match_id", matching.inlier_score(F.col("inliers"), total).alias("score"))
+
+
 # Planning
 
 
@@ -621,5 +655,12 @@ def rename_plan(spark, sf):
     return progress.rename_plan(images, heads)
 
 
+@query("""SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def event_rates(spark, sf):
+    """The streaming aggregate, over a table."""
+    found = incremental.event_rates(s.table(spark, sf, "events"))
+    return rounded(found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total"), "total")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return hotspotter_ranked(spark, sf)

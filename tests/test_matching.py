@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from markwise.kernels.ransac import apply, ransac
@@ -75,6 +76,26 @@ def test_equal_vectors_rank_by_index(spark):
     assert want == key(knn.nearest(q, d, 5)) == key(knn.nearest(q, d, 5, 0, 64)) == key(knn.nearest(q, d, 5, 0, 7))
 
 
+def test_a_hot_cell_is_dealt_over_shares(spark, tmp_path):
+    """Two thirds of the rows are near one point: dealt over shares or not, the rows found are the same, also without a summary."""
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=(200, 4)) * 0.01, rng.normal(size=(100, 4)) * 20])
+    d = frame(spark, v, ["x"] * len(v))
+    q = queries(d).where("qid % 7 = 0")
+    model = knn.cells(d, 6)
+    shares = knn._shares(model, len(v), 16)
+    assert shares.max() >= 12 and shares.min() >= 1
+    key = lambda df: sorted((r.qid, r["rank"], r.global_idx) for r in df.collect())
+    want = key(knn.nearest_by_cells(q, d, 5, model, 2))
+    assert len(want) == 43 * 5 and len(set(want)) == len(want)
+    assert want == key(knn.nearest_by_cells(q, d, 5, model, 2, cell_rows=16))
+    assert key(knn.nearest_by_cells(q, d, 5, model, 6, cell_rows=16)) == key(knn.nearest(q, d, 5))
+    assert knn.nearest_by_cells(q.limit(0), d, 5, model, 2, cell_rows=16).count() == 0
+    model.save(str(tmp_path / "cells"))
+    again = KMeansModel.load(str(tmp_path / "cells"))
+    assert not again.hasSummary and want == key(knn.nearest_by_cells(q, d, 5, again, 2, cell_rows=16))
+
+
 def test_ratio_test_is_that_of_the_loop(spark):
     """The two nearest of each image, with ties, broadcast and in blocks."""
     rng = np.random.default_rng(6)
