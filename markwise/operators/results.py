@@ -50,8 +50,10 @@ def pair(matches: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pair_text(matches: DataFrame) -> DataFrame:
-    """A line of text per match, as a caption of the pair's figure."""
-    return matches.withColumn("caption", F.format_string("%s vs %s: score %.4f, %d of %d inliers (%.1f%%)", "query_id", "match_id", "score", "inliers", "total_matches", F.col("inlier_ratio") * 100))
+    """A line of text per match, as a caption of the pair's figure; numbers are rounded by their exact binary value, as printf does."""
+    shown = lambda x, pattern: F.call_function("format_number", x, F.lit(pattern))
+    score, share = shown(F.col("score"), "0.0000"), shown(F.col("inlier_ratio") * 100, "0.0")
+    return matches.withColumn("caption", F.format_string("%s vs %s: score %s, %d of %d inliers (%s%%)", "query_id", "match_id", score, "inliers", "total_matches", share))
 
 
 def first_matches(matches: DataFrame, n: int = 5) -> DataFrame:

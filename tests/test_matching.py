@@ -6,7 +6,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from markwise.kernels.ransac import apply, ransac
-from markwise.operators import knn, matching, verify
+from markwise.operators import knn, matching, results, verify
 
 
 def frame(spark, vectors, images):
@@ -177,3 +177,13 @@ def test_unknown_model(spark):
         ransac(np.zeros((5, 2)), np.zeros((5, 2)), "spline")
     with pytest.raises(ValueError):
         verify.verify(spark.createDataFrame([], "query_id string, match_id string"), "spline")
+
+
+def test_captions_round_by_the_exact_value(spark):
+    """As Python's own formatting does, nulls included."""
+    scores = [2.01185, 6.31975, 0.125, 1234.56785, 0.0]
+    rows = [("a", "b", x, 2, 4, x / 2000) for x in scores]
+    got = [r.caption for r in results.pair_text(spark.createDataFrame(rows, "query_id string, match_id string, score double, inliers long, total_matches long, inlier_ratio double")).collect()]
+    assert got == [f"a vs b: score {x:.4f}, 2 of 4 inliers ({x / 2000 * 100:.1f}%)" for x in scores]
+    (null,) = results.pair_text(spark.createDataFrame([("a", "b", None, 2, 4, None)], "query_id string, match_id string, score double, inliers long, total_matches long, inlier_ratio double")).collect()
+    assert null.caption == "a vs b: score null, 2 of 4 inliers (null%)"
