@@ -277,3 +277,35 @@ def window_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
         whole[max(0, cut - k + 1) : cut] = False
     at = np.flatnonzero(whole)
     return mix64((total[at + k] - total[at]) * down[at]), at
+
+
+def renamed(df: DataFrame, taken: list[str], results: list[str]) -> tuple[DataFrame, list[str]]:
+    """df's columns as _<name> for each name in taken and c0, c1, ... for the others, and the others' names.
+
+    Columns named like one of the results, whatever the case, are left out. Names may hold dots or clash with helping columns: they
+    come back only with the last select.
+    """
+    gone = {c.lower() for c in results}
+    rest = [c for c in df.columns if c not in taken and c.lower() not in gone]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[quoted(c).alias(f"_{c}") for c in taken], *[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]), rest
+
+
+#: Keys that dealt_join broadcasts at most, and rows of a key that shuffle in any case.
+HOT_KEYS = 100_000
+COLD_ROWS = 1000
+
+
+def dealt_join(rows: DataFrame, keyed: DataFrame, on: str, n: str, hot_keys: int = HOT_KEYS, cold_rows: int = COLD_ROWS) -> DataFrame:
+    """The inner join of rows with keyed, which has each key once and in n how many rows have it.
+
+    Keys of more than total / hot_keys rows are hot. There are fewer than hot_keys of them, however large the tables are, so they are
+    broadcast, and their rows stay where they are. The rows of the others are shuffled; none of these keys has more than that many.
+    keyed is read three times: it should be a stored table.
+    """
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    most = max(cold_rows, total // hot_keys)
+    hot, cold = keyed.where(F.col(n) > most), keyed.where(F.col(n) <= most)
+    near = rows.join(F.broadcast(hot), on)
+    far = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold.hint("shuffle_merge"), on)
+    return near.unionByName(far)

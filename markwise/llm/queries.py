@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .counts import token_counts
 from .lines import LINES_SQL, drop_lines
 from .matroska import PAYLOAD_SQL, media_digests
 from .mixing import MIX_SQL, mix
@@ -22,7 +23,7 @@ from .toxicity import toxicity
 #: The vocabulary file and end id of op5.
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
-#: The model of op10.
+#: The model of op10 and op11.
 PIECE_BPE = "piece_bpe_32k.model"
 
 
@@ -76,6 +77,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), path)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECE_BPE))
+
+
 def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can express."""
     return op3_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
