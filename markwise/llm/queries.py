@@ -13,6 +13,7 @@ from .lines import LINES_SQL, drop_lines
 from .matroska import PAYLOAD_SQL, media_digests
 from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
+from .periods import RUNS_SQL, run_digests
 from .pii import PII_COUNTS_SQL, find_pii
 from .quality import quality, quality_sql
 from .sentencepiece import piece_digests
@@ -81,6 +82,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECE_BPE))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can express."""
     return op3_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -96,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "pii_counts": PII_COUNTS_SQL}
+    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "pii_counts": PII_COUNTS_SQL, "op13_periodic_runs": RUNS_SQL}
