@@ -20,6 +20,7 @@ from .sentencepiece import piece_digests
 from .substrings import REPEATS_SQL, remove_repeats
 from .tokens import token_digests
 from .toxicity import toxicity
+from .variants import VARIANTS_SQL, count_words, variant_groups
 
 #: The vocabulary file and end id of op5.
 WORD_BPE = "word_bpe_49k.json"
@@ -82,6 +83,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(PIECE_BPE))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(table(spark, sf_dir, "documents"), typos=31).where("n >= 2")
+    return variant_groups(words, ratio=10)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "pii_counts": PII_COUNTS_SQL, "op13_periodic_runs": RUNS_SQL}
+    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "pii_counts": PII_COUNTS_SQL, "op12_spelling_variants": VARIANTS_SQL, "op13_periodic_runs": RUNS_SQL}
