@@ -6,10 +6,9 @@ its pre-tokens' counts, and no text's ids are ever made.
 
 1. Tasks read texts in blocks of about BLOCK_BYTES. A block gives one row of its distinct pre-tokens, and for each document one
    row of places among them and frequencies. Stored once, so that the blocks' numbers stand.
-2. Pre-tokens are grouped over all blocks; the library counts the pieces of each distinct one.
-3. The counts go back to (block, place) by an equi-join on the pre-token. Those in many blocks are the hot keys: by `dealt_join` they
-   are broadcast (at most 100,000, whatever the input), and the others shuffle.
-4. Documents meet their block's counts in a cogroup, which sums counts times frequencies.
+2. (pre-token, block, place) is shuffled and sorted by the pre-token, and the library counts the pieces of each distinct one, which
+   goes to all its rows. However often a pre-token occurs, it has one row a block here: that is what tames hot keys.
+3. Documents meet their block's counts in a cogroup, which sums counts times frequencies.
 
 Inside a block, pre-tokens are known by 64-bit hashes: two of a block's n share one with probability n^2 / 2^65 (2e-9 at n = 3 x 10^5).
 Between blocks they are compared whole.
@@ -31,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt_join, distinct, pieces, renamed, small_batches, span_hashes, stored, utf8, worker_state
+from .common import distinct, pieces, renamed, small_batches, span_hashes, stored, utf8, worker_state
 from .sentencepiece import Vocabulary, words_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 #: Rows of a block, so that short texts don't add up.
 BLOCK_ROWS = 50_000
 READ_BYTES = 1 << 20
 COUNTED = 20_000
+#: Counts that a task packs by block before it hands them on.
+ANSWERS = 1_000_000
 
 
 def library_model(path: str):
@@ -74,13 +75,27 @@ def frequencies(texts: list[bytes], apart: np.ndarray) -> tuple[list[bytes], lis
     for i in np.flatnonzero(hashes == 0):  # longer than what span_hashes takes
         hashes[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest(), "little")
     _, some, number = distinct(hashes)
+    order = np.argsort(-np.bincount(number, minlength=len(some)), kind="stable")  # frequent ones first, so that steps are small
+    some, place = some[order], np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    number = place[number]
     raw = data.tobytes()
     tokens = [raw[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    pairs, times = np.unique(text * max(1, len(tokens)) + number, return_counts=True)
-    cuts = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(1, len(tokens)))
-    places = pairs % max(1, len(tokens))
-    return tokens, [(planes(np.diff(places[a:b], prepend=0)), planes(times[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        places, times = np.unique(number[a:b], return_counts=True)
+        out.append((planes(np.diff(places, prepend=0)), planes(times)))
+    return tokens, out
+
+
+def packed(rows: np.ndarray) -> pa.RecordBatch:
+    """(block, steps between ascending places, counts), a row for each block; rows: blocks, places, counts."""
+    block, place, n = rows[:, np.lexsort((rows[1], rows[0]))]
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    ends = [*cuts[1:].tolist(), len(block)]
+    steps = [planes(np.diff(place[a:b], prepend=0)) for a, b in zip(cuts.tolist(), ends, strict=True)]
+    counts = [planes(n[a:b]) for a, b in zip(cuts.tolist(), ends, strict=True)]
+    return pa.record_batch([pa.array(block[cuts]), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["answered", "steps", "n"])
 
 
 def token_counts(
@@ -124,25 +139,36 @@ def token_counts(
             yield from rows_of(block, held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = library_model(path)
+        """Counts of sorted pre-tokens; what goes to one block is packed in one row."""
+        model, last, n_last, held = library_model(path), None, 0, []
         for batch in batches:
             for at in range(0, len(batch), COUNTED):
                 part = batch.slice(at, COUNTED)
-                found = model.encode([x.decode("utf-8", "replace") for x in part["token"].to_pylist()], num_threads=1)
-                yield pa.record_batch([part["token"], part["blocks"], pa.array([len(x) for x in found], pa.int64())], names=["token", "blocks", "n"])
+                coded = part["token"].dictionary_encode()
+                tokens = coded.dictionary.to_pylist()
+                new = tokens[1:] if tokens[0] == last else tokens
+                n = [n_last] * (len(tokens) - len(new)) + [len(x) for x in model.encode([x.decode("utf-8", "replace") for x in new], num_threads=1)]
+                last, n_last = tokens[-1], n[-1]
+                held.append(np.stack([part["block"].to_numpy(), part["pos"].to_numpy().astype(np.int64), np.array(n, np.int64)[coded.indices.to_numpy()]]))
+            if sum(x.shape[1] for x in held) >= ANSWERS:
+                yield packed(np.concatenate(held, axis=1))
+                held = []
+        if held:
+            yield packed(np.concatenate(held, axis=1))
 
     def total(documents: pa.Table, counted: pa.Table) -> pa.Table:
-        pieces_of = np.zeros(1 + (max(counted["pos"].to_numpy()) if len(counted) else 0), np.int64)
-        pieces_of[counted["pos"].to_numpy()] = counted["n"].to_numpy()
+        places = [np.cumsum(from_planes(x), dtype=np.int64) for x in counted["steps"].to_pylist()]
+        pieces_of = np.zeros(1 + max((x[-1] for x in places), default=0), np.int64)
+        for place, n in zip(places, counted["n"].to_pylist(), strict=True):
+            pieces_of[place] = from_planes(n)
         steps, times = documents["places"].to_pylist(), documents["times"].to_pylist()
         sums = np.array([pieces_of[np.cumsum(from_planes(p), dtype=np.int64)] @ from_planes(t).astype(np.int64) for p, t in zip(steps, times, strict=True)], np.int64)
         return pa.table([*[documents[f.name] for f in kinds], documents["size"], pa.array(sums)], names=[*[f.name for f in kinds], "size", "sum"])
 
     blocks = stored(own.mapInArrow(read, block_schema), "token-blocks")
+    # one row a block of each pre-token, rows of equal pre-tokens together
     seen = blocks.where("tokens is not null").select("block", F.posexplode("tokens").alias("pos", "token"))
-    once = seen.groupBy("token").agg(F.count("*").alias("blocks"))
-    counted = stored(once.mapInArrow(count, "token binary, blocks long, n long"), "token-counts")
-    answers = dealt_join(seen, counted, "token", "blocks").select(F.col("block").alias("answered"), "pos", "n")
+    answers = seen.repartition("token").sortWithinPartitions("token").mapInArrow(count, "answered long, steps binary, n binary")
     documents = blocks.where("size is not null").drop("tokens")
     out_schema = T.StructType([*kinds, T.StructField("size", T.LongType()), T.StructField("sum", T.LongType())])
     summed = documents.groupBy("block").cogroup(answers.groupBy("answered")).applyInArrow(total, out_schema)
