@@ -49,7 +49,7 @@ def test_sql_agrees(spark, sf, name):
     assert [x.replace("np.", "") for x in key(ours)] == [x.replace("np.", "") for x in key(theirs)]
 
 
-@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 14)])
 def test_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
