@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -21,14 +23,19 @@ def check_descriptors(descriptors: DataFrame, dim: int | None = None) -> int:
     return got["a"]
 
 
-def survivors(queries: DataFrame, database: DataFrame, k: int = 5, exclude_own: bool = True) -> DataFrame:
+def survivors(queries: DataFrame, database: DataFrame, k: int = 5, exclude_own: bool = True, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Neighbours of each query descriptor with both images; the query's own image is dropped after the ranking.
 
     queries: (qid, query_id, query_idx, d); database: (global_idx, image_id, local_idx, d). Excluding takes 5 neighbours
-    more, and all that are left count.
+    more, and all that are left count. search: another way to the nearest than the exact one, from (qid, d) and their number to
+    (qid, global_idx, image_id, local_idx, d2, rank); images that aren't in the database are then left out.
     """
-    near = nearest(queries.select("qid", "d"), database.select("global_idx", "d"), k + 1 + 5 * exclude_own)
-    named = near.join(database.select("global_idx", "image_id", "local_idx"), "global_idx").join(queries.select("qid", "query_id", "query_idx"), "qid")
+    wanted = k + 1 + 5 * exclude_own
+    if search:
+        near = search(queries.select("qid", "d"), wanted).join(database.select("image_id").distinct(), "image_id", "left_semi")
+    else:
+        near = nearest(queries.select("qid", "d"), database.select("global_idx", "d"), wanted).join(database.select("global_idx", "image_id", "local_idx"), "global_idx")
+    named = near.join(queries.select("qid", "query_id", "query_idx"), "qid")
     return named.where(F.col("image_id") != F.col("query_id")) if exclude_own else named
 
 

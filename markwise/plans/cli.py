@@ -15,7 +15,7 @@ from markwise.operators import images as im
 from markwise.operators import orient, progress, results, ruler
 from markwise.sources import images, settings, tables
 
-from .matching import one_vs_many, pairwise
+from .matching import one_vs_many, pairwise, stored_index
 
 log = logging.getLogger("markwise")
 
@@ -31,7 +31,11 @@ def _match(spark: SparkSession, a: argparse.Namespace) -> None:
     wanted = pictures.where(F.col("image_id").startswith(a.query)).orderBy("image_id").limit(1) if a.query else None
     if wanted is not None and wanted.isEmpty():
         raise ValueError(f"no image is named {a.query}")
-    found = (pairwise if (a.matching_method or own.method) == "pairwise" else one_vs_many)(features, wanted, own)
+    if (a.matching_method or own.method) == "pairwise":
+        found = pairwise(features, wanted, own)
+    else:
+        index = stored_index(features, a.index_dir or f"{a.features_dir.rstrip('/')}_index", a.force_recompute) if own.use_pq or a.index_dir else None
+        found = one_vs_many(features, wanted, own, index)
     found = found if "lnbnn_score" in found.columns else found.withColumn("lnbnn_score", F.lit(None).cast("double"))
     tables.write_results(found, f"{a.output_dir}/matches.json")
     tables.write_csv(results.flatten(results.nest(found)), f"{a.output_dir}/matches.csv")
@@ -108,6 +112,7 @@ def main(argv: list[str] | None = None) -> int:
         m.add_argument(name)
     for name in ("--standardized-dir", "--features-dir", "--output-dir"):
         m.add_argument(name, required=True)
+    m.add_argument("--index-dir", help="folder of a stored index of product codes, made or grown; the settings' use_pq puts one beside the features")
     m.add_argument("--force-recompute", action="store_true")
     q = sub.add_parser("process")
     q.add_argument("--raw-dir")

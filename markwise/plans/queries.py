@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from markwise.functions import geometry, names, vectors
-from markwise.operators import features, images, knn, matching, orient, progress, results, ruler, verify
+from markwise.operators import features, images, knn, matching, orient, pq, progress, results, ruler, verify
 from markwise.operators import pixels as px
+from markwise.sources.tables import scratch
 from markwise.streaming import incremental
 
 from . import surrogates as s
@@ -123,6 +125,30 @@ def ivf_knn(spark, sf):
     return rounded(knn.nearest_by_cells(s.as_queries(d), d, 11, knn.cells(d, 16)), "d2")
 
 
+def _pq_near(spark, sf, probes, refine):
+    """Neighbours by an index that was trained on all images, filled with some and grown by the others; named by the table's indices."""
+    d = s.descriptors(spark, sf)
+    index = pq.Index.create(d, scratch(spark, "pq"), n_cells=32)
+    index.add(d.where("image_id < 'img_7'"))
+    index.add(d)
+    found = index.search(s.as_queries(d), 11, probes, refine)
+    return found.select("qid", "image_id", "local_idx", "d2").join(d.select("image_id", "local_idx", "global_idx"), ["image_id", "local_idx"])
+
+
+@query()
+def pq_knn(spark, sf):
+    """Half of the cells are probed: approximate."""
+    return rounded(_pq_near(spark, sf, 16, 8).select("qid", "global_idx", "d2"), "d2")
+
+
+@query(WITH("descriptors", "self_near") + "SELECT qid, global_idx, round(d2, 6) AS d2, rank FROM near")
+def pq_knn_whole(spark, sf):
+    """All cells probed and all candidates measured again: what is left must be the exact neighbours."""
+    refine = -(-s.table(spark, sf, "embeddings").count() // 11)
+    own = W.Window.partitionBy("qid").orderBy("d2", "global_idx")
+    return rounded(_pq_near(spark, sf, 32, refine).select("qid", "global_idx", "d2", F.row_number().over(own).alias("rank")), "d2")
+
+
 _PAIRS = "list_sum(list_transform(list_zip(q.d, p.d), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 _RATIO = WITH("descriptors", "resight") + f""", n AS (SELECT q.query_id, q.qid, q.query_idx, p.image_id AS match_id, p.global_idx, p.local_idx, sqrt({_PAIRS}) AS distance FROM resight q JOIN descriptors p ON q.query_id <> p.image_id),
 r AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS second FROM n WINDOW w AS (PARTITION BY qid, match_id ORDER BY distance, global_idx)),

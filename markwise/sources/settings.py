@@ -20,6 +20,9 @@ class Matching:
     confidence: float = 0.99
     max_iterations: int = 2000
     geometric_model: str = "affine"
+    use_pq: bool = False
+    probes: int = 64
+    refine: int = 8
 
 
 def load(path: str) -> dict:

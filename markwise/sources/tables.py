@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,16 @@ def read_keypoints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("local_idx is not null").drop("d", "error")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, in the one that the cluster names in spark.checkpoint.dir; a temporary one only in one process (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="markwise-scratch-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
