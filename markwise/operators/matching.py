@@ -74,13 +74,16 @@ def ranked(candidates: DataFrame, counts: DataFrame, min_inliers: int = 10) -> D
     return top_candidates(j.drop("rank"), 1 << 30, "score")
 
 
-def ratio_matches(queries: DataFrame, database: DataFrame, ratio: float = 0.75, **blocks) -> DataFrame:
+def ratio_matches(queries: DataFrame, database: DataFrame, ratio: float = 0.75, near: DataFrame | None = None, **blocks) -> DataFrame:
     """Lowe's test in every pair of different images: (query_id, match_id, query_idx, train_idx, distance).
 
+    near: (qid, image_id, global_idx, d2, rank) of the two nearest in each image, found another way than exactly.
+
     The two nearest of each image come from the blocked search, so no table of all pairs of descriptors is made. Its two rows per
     query descriptor and image are still quadratic in the images: the alternative to the one-vs-many search.
     """
-    near = nearest_by_label(queries.select("qid", "d"), database.select("global_idx", "image_id", "d"), 2, "image_id", **blocks)
+    if near is None:
+        near = nearest_by_label(queries.select("qid", "d"), database.select("global_idx", "image_id", "d"), 2, "image_id", **blocks)
     best = near.groupBy("qid", F.col("image_id").alias("match_id")).agg(F.min_by("global_idx", "rank").alias("global_idx"), F.min("d2").alias("d2"), F.max("d2").alias("second"), F.count("*").alias("n"))
     best = best.withColumn("distance", F.sqrt("d2")).where((F.col("n") == 2) & (F.col("distance") < F.sqrt("second") * ratio))
     named = best.join(queries.select("qid", "query_id", "query_idx"), "qid").where(F.col("query_id") != F.col("match_id"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markwise.operators import forest
 from markwise.operators import matching as m
 from markwise.operators.pq import Index
 from markwise.operators.verify import verify
 from markwise.sources.settings import Matching
-from markwise.sources.tables import exists
+from markwise.sources.tables import exists, scratch
 
 
 def _sides(features: DataFrame, wanted: DataFrame | None, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +52,16 @@ def one_vs_many(features: DataFrame, queries: DataFrame | None = None, settings:
 
 
 def pairwise(features: DataFrame, queries: DataFrame | None = None, settings: Matching = Matching()) -> DataFrame:
-    """(query_id, match_id, score, inliers, total_matches, rank): ratio test and verification of every pair."""
+    """(query_id, match_id, score, inliers, total_matches, rank): ratio test and verification of every pair.
+
+    With flann_checks in the settings, neighbours come from a forest of k-d trees per image, so many of whose members are checked.
+    """
     own, database = _sides(features, queries)
-    points = m.with_points(m.ratio_matches(own, database, settings.ratio_threshold), database, database)
+    near = None
+    if settings.flann_checks:
+        path = scratch(features.sparkSession, "forests")
+        forest.grow(database, settings.flann_trees).write.parquet(path)
+        near = forest.nearest_in_images(own, features.sparkSession.read.parquet(path), 2, settings.flann_checks)
+    points = m.with_points(m.ratio_matches(own, database, settings.ratio_threshold, near), database, database)
     checked = verify(points, settings.geometric_model, settings.ransac_threshold, settings.confidence, settings.max_iterations).where(F.col("inliers") >= settings.min_inliers)
     return m.top_candidates(checked.withColumn("score", m.inlier_score(F.col("inliers"), F.col("total_matches"))).drop("transform"), 1 << 30, "score")

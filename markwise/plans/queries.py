@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from markwise.functions import geometry, names, vectors
-from markwise.operators import features, images, knn, matching, orient, pq, progress, results, ruler, verify
+from markwise.operators import features, forest, images, knn, matching, orient, pq, progress, results, ruler, verify
 from markwise.operators import pixels as px
 from markwise.sources.tables import scratch
 from markwise.streaming import incremental
@@ -166,6 +166,25 @@ def ratio_test_matches(spark, sf):
     return rounded(matching.ratio_matches(s.resight(spark, sf), s.descriptors(spark, sf)), "distance")
 
 
+def _forest_matches(spark, sf, checks):
+    d = s.descriptors(spark, sf)
+    q = s.resight(spark, sf)
+    near = forest.nearest_in_images(q, forest.grow(d), 2, checks)
+    return rounded(matching.ratio_matches(q, d, near=near), "distance")
+
+
+@query()
+def forest_matches(spark, sf):
+    """The ratio test on neighbours of 50 checks: approximate."""
+    return _forest_matches(spark, sf, forest.CHECKS)
+
+
+@query(_RATIO + "SELECT query_id, match_id, query_idx, train_idx, round(distance, 6) AS distance FROM m")
+def forest_matches_whole(spark, sf):
+    """Every leaf is visited: what is left must be the exact matches."""
+    return _forest_matches(spark, sf, 1 << 30)
+
+
 @query(_RATIO + "SELECT query_id, match_id, count(*) AS n FROM m GROUP BY ALL")
 def match_counts_by_pair(spark, sf):
     return matching.ratio_matches(s.resight(spark, sf), s.descriptors(spark, sf)).groupBy("query_id", "match_id").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Matching:
-    """Defaults are fixed values of the matching method."""
+    """Defaults are fixed values of the matching method, but that neighbours are exact: use_pq and flann_checks (0: all) ask for approximate ones."""
 
     method: str = "hotspotter"
     k: int = 5
@@ -20,6 +20,8 @@ class Matching:
     confidence: float = 0.99
     max_iterations: int = 2000
     geometric_model: str = "affine"
+    flann_trees: int = 5
+    flann_checks: int = 0
     use_pq: bool = False
     probes: int = 64
     refine: int = 8
