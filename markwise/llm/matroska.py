@@ -30,11 +30,13 @@ TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING, AUDIO =
 SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xB5, 0x9F, 0x6264, 0x23E383
 SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
-BLOCK_DURATION = 0x9B
+BLOCK_DURATION, REFERENCE_BLOCK = 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: A cluster of unknown size ends where one of these begins.
 _ABOVE_BLOCKS = frozenset((EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS))
 
+#: Fixed value: the format's sampling frequency where a track names none.
+DEFAULT_RATE = 8000.0
 RATE = 8000
 FRAME = 1024
 LACED = 6
@@ -222,19 +224,30 @@ def demux(data: bytes) -> Media:
                 out.clusters.append(start)
                 _cluster(data, x, y, out, number)
             elif kind == CUES:
-                for _, _, p, q in elements(data, x, y):
-                    point = {k: (u, v) for k, _, u, v in elements(data, p, q)}
-                    places = {k: number(u, v) for k, _, u, v in elements(data, *point[CUE_POSITIONS])}
-                    out.cues.append((number(*point[CUE_TIME]), places[CUE_TRACK], a + places[CUE_CLUSTER]))
+                for k, _, p, q in elements(data, x, y):
+                    if k == CUE_POINT:  # checksums and voids may stand beside them
+                        out.cues.extend(_cues(data, p, q, a, number))
     return out
 
 
+def _cues(data: bytes, p: int, q: int, segment: int, number) -> list[tuple[int, int, int]]:
+    """A cue point's (time, track, byte offset of the cluster), for each of the tracks that it has positions of."""
+    time, places = 0, []
+    for k, _, u, v in elements(data, p, q):
+        if k == CUE_TIME:
+            time = number(u, v)
+        elif k == CUE_POSITIONS:
+            places.append({kk: number(m, n) for kk, _, m, n in elements(data, u, v) if kk in (CUE_TRACK, CUE_CLUSTER)})
+    return [(time, x[CUE_TRACK], segment + x[CUE_CLUSTER]) for x in places]
+
+
 def _track(data: bytes, p: int, q: int, out: Media, number, real) -> None:
     own = {k: (u, v) for k, _, u, v in elements(data, p, q)}
     entry = {"type": number(*own[TRACK_TYPE]), "codec": data[slice(*own[CODEC_ID])].decode(), "rate": 0.0, "channels": 1, "bits": 0, "frame_ns": number(*own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0}
     if AUDIO in own:
         audio = {k: (u, v) for k, _, u, v in elements(data, *own[AUDIO])}
-        entry |= {"rate": real(*audio[SAMPLING]), "channels": number(*audio[CHANNELS]), "bits": number(*audio[BIT_DEPTH])}
+        entry["rate"] = real(*audio[SAMPLING]) if SAMPLING in audio else DEFAULT_RATE
+        entry |= {name: number(*audio[k]) for k, name in ((CHANNELS, "channels"), (BIT_DEPTH, "bits")) if k in audio}
     out.tracks[number(*own[TRACK_NUMBER])] = entry
 
 
@@ -253,11 +266,14 @@ def _cluster(data: bytes, x: int, y: int, out: Media, number) -> None:
     for k, _, p, q in elements(data, x, y):
         if k == CLUSTER_TIMESTAMP:
             base = number(p, q)
-        whole = None
+        whole, key = None, None
         if k == BLOCK_GROUP:
             inside = {kk: (u, v) for kk, _, u, v in elements(data, p, q)}
             if BLOCK_DURATION in inside:
                 whole = number(*inside[BLOCK_DURATION]) * out.tick_ns
+            if BLOCK not in inside:
+                continue
+            key = REFERENCE_BLOCK not in inside  # what refers to no other block
             p, q = inside[BLOCK]
         if k in (SIMPLE_BLOCK, BLOCK_GROUP):
             track, at = read_vint(data, p)
@@ -267,12 +283,23 @@ def _cluster(data: bytes, x: int, y: int, out: Media, number) -> None:
             passed = 0
             for size in sizes:
                 lasts = _lasts(out.tracks.get(track), size) if whole is None else whole // len(sizes)
-                out.packets.append(Packet(track, base + offset + passed // out.tick_ns, at, size, len(out.clusters) - 1, block, lacing, bool(flags & 0x80) or k == BLOCK_GROUP, lasts))
+                out.packets.append(Packet(track, base + offset + passed // out.tick_ns, at, size, len(out.clusters) - 1, block, lacing, bool(flags & 0x80) if key is None else key, lasts))
                 at += size
                 passed += lasts
             block += 1
 
 
+def media_files(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, content): each text as a Matroska file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([mux(padded(x)) for x in utf8(part.column(1))], pa.binary())], [key, "content"])
+
+    return small_batches(df).select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
+
+
 def packet_table(df: DataFrame, content: str = "content", key: str = "doc_id") -> DataFrame:
     """One row per packet: key, track, packet number, timestamp_ns, duration_ns, byte range, cluster, block, lacing, keyframe."""
     names = ["packet", "track", "timestamp_ns", "duration_ns", "byte_start", "byte_size", "cluster", "block", "lacing"]
@@ -332,6 +359,15 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return small_batches(df).select(key, df[text].alias("_text")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
+#: DuckDB's SQL for the packets of media_files over documents, as far as sizes and times follow from the payload's length.
+PACKETS_SQL = f"""
+WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS raw FROM documents),
+p AS (SELECT doc_id, CASE WHEN raw = 0 THEN 64 ELSE raw + (64 - raw % 64) % 64 END AS n FROM t)
+SELECT doc_id, i AS packet, 1::BIGINT AS track, i * {FRAME} * {TICK_NS} AS timestamp_ns, least({FRAME}, n - i * {FRAME})::BIGINT * {TICK_NS} AS duration_ns,
+  least({FRAME}, n - i * {FRAME})::BIGINT AS byte_size, i // {LACED * BLOCKS} AS cluster, i // {LACED} AS block, true AS keyframe
+FROM (SELECT doc_id, n, unnest(range((n + {FRAME - 1}) // {FRAME})) AS i FROM p)
+"""
+
 #: DuckDB's SQL for the payload's columns that it can express.
 PAYLOAD_SQL = """
 WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),

@@ -82,13 +82,15 @@ _LOOKS = "аеорсухіѕјԁԛԝһАВЕКМНОРСТУХІЅЈαορνιτ
 _LATIN = "aeopcyxisjdqwhABEKMHOPCTYXISJaopvitkABEZHIKMNOPTYX"
 #: Full-width forms and other scripts' digits follow by rule.
 HOMOGLYPHS = {ord(a): b for a, b in zip(_LOOKS, _LATIN, strict=True)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: str(unicodedata.digit(chr(c))) for lo in (0x660, 0x6F0, 0x966) for c in range(lo, lo + 10)}
+#: Mathematical letters and digits too, by their compatibility forms.
+HOMOGLYPHS |= {c: x for c in range(0x1D400, 0x1D800) if (x := unicodedata.normalize("NFKC", chr(c))).isascii()}
 _GLYPH = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + "]")
 
 # Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _NAME = "|".join(SPELLED)
 #: Digits in a row, in figures or spelled. The shortest identifier, an IP, has MIN_DIGITS; the detectors judge the rest.
-_SPELLED_RUN = re.compile(rf"\b(?:{_NAME}|[0-9]+)(?:[\x20,.-]{{1,3}}(?:{_NAME}|[0-9]+)\b)+", re.IGNORECASE)
+_SPELLED_RUN = re.compile(rf"\b(?:{_NAME}|[0-9]+)(?:[\x20,.()-]{{1,3}}(?:{_NAME}|[0-9]+)\b)+", re.IGNORECASE)
 MIN_DIGITS = 4
 _SPELLED_ONE = re.compile(rf"\b(?:{_NAME})\b", re.IGNORECASE)
 _PLUS = re.compile(r"\bplus[\x20]+(?=[0-9])", re.IGNORECASE)
@@ -96,8 +98,30 @@ _OPEN, _CLOSE = r"[\x20]?[\[({<][\x20]?", r"[\x20]?[\])}>][\x20]?"
 _AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}", re.IGNORECASE)
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.IGNORECASE)
 _AT_WORD = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.IGNORECASE)
-#: Whatever a transducer rewrites holds a match of this: a disguised at or dot, or a spelled digit next to another digit.
-_SUSPECT = re.compile(rf"[\[({{<][\x20]?(?:at|@|dot|\.)[\x20]?[\])}}>]|\x20dot\x20|{_AT_WORD.pattern}|\b(?:{_NAME})[\x20,.-]{{1,3}}(?:(?:{_NAME})\b|[0-9])|[0-9][\x20,.-]{{1,3}}(?:{_NAME})\b", re.IGNORECASE)
+#: Prose has " at " before a domain ("look at example.org"), so what stands before must look like a name: one with a dot, underscore or plus
+#: between letters, or any word but these right behind "mail" or "e-mail"; or the domain's dot is disguised as well.
+_NAMED = re.compile(
+    r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z][A-Za-z0-9]*(?:[._+][A-Za-z0-9]+)*[._+](?!(?:com|org|net|edu|gov|io|js|py|html?|php|md|txt|pdf)\Z)[A-Za-z][A-Za-z0-9]*"
+    r"|\be?-?mail(?::|\x20is|\x20to)?\x20(?!(?:me|us|it|him|her|them|you|this|that|these|those|everyone|anyone|order|orders|server|list|lists|here|there)\Z)[A-Za-z0-9._%+-]+)\Z",
+    re.IGNORECASE,
+)
+_DOMAIN_AHEAD = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Invisible characters inside a word.
+_HIDDEN = re.compile("(?<=[A-Za-z0-9@.])[\u00ad\u200b-\u200d\u2060\ufeff]+(?=[A-Za-z0-9@.])")
+_BRACKETS = re.compile(r"[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]")
+_BESIDE = re.compile(rf"\b(?:{_NAME})[\x20,.()-]{{1,3}}(?:(?:{_NAME})\b|[0-9])|[0-9][\x20,.()-]{{1,3}}(?:{_NAME})\b")
+
+
+def suspect(text: str) -> bool:
+    """Whether the text may hold what a transducer rewrites: a superset, by searches for plain strings before patterns."""
+    low = text.lower()
+    if " dot " in low or " at " in low and _AT_WORD.search(low):
+        return True
+    if any(x in low for x in "[({<") and _BRACKETS.search(low):
+        return True
+    if any(x in low for x in SPELLED) and _BESIDE.search(low):
+        return True
+    return not text.isascii() and bool(_HIDDEN.search(text))
 
 
 class Normal:
@@ -116,8 +140,8 @@ class Normal:
             return s, s + 1
         return self.source[k], self.source[k + 1] if k + 1 < len(self.source) else self.length
 
-    def rewrite(self, pattern: re.Pattern[str], put: Callable[[re.Match[str]], str], within: list[Span] | None = None) -> None:
-        """Replaces the matches; the new characters of one match stand for all of its source characters."""
+    def rewrite(self, pattern: re.Pattern[str], put: Callable[[re.Match[str]], str], within: list[Span] | None = None, when: Callable[[re.Match[str]], bool] | None = None) -> None:
+        """Replaces the matches (those for which `when` holds); the new characters of one match stand for all of its source characters."""
         parts: list[str] = []
         at, source, copied = [], [], []
         done, size = 0, 0
@@ -135,6 +159,8 @@ class Normal:
                 done = end
 
         found = [m for lo, hi in within for m in pattern.finditer(self.text, lo, hi)] if within is not None else pattern.finditer(self.text)
+        if when:
+            found = [m for m in found if when(m)]
         for m in found:
             new = put(m)
             copy(m.start())
@@ -160,15 +186,25 @@ def _spelled(run: str) -> bool:
     return n > 0 and n + len(_digits(run)) >= MIN_DIGITS
 
 
+def _is_address(text: Normal, at: re.Match[str]) -> bool:
+    """Whether the word before " at " looks like a name, or the domain behind it has a dot that was disguised."""
+    if _NAMED.search(at.string, max(0, at.start() - 80), at.start()):
+        return True
+    domain = _DOMAIN_AHEAD.match(at.string, at.end())
+    return any(c == "." and text.span(i)[1] - text.span(i)[0] > 1 for i, c in enumerate(domain[0], domain.start()))
+
+
 def normalise(text: str) -> Normal | None:
     """The rewritten text, or None if nothing in it looks disguised."""
     glyphs = not text.isascii() and _GLYPH.search(text)
-    if not glyphs and not _SUSPECT.search(text):
+    if not glyphs and not suspect(text):
         return None
     out = Normal(text.translate(HOMOGLYPHS) if glyphs else text)  # one character for one: offsets stay
+    if not text.isascii():
+        out.rewrite(_HIDDEN, lambda m: "")
     out.rewrite(_DOT, lambda m: ".")
     out.rewrite(_AT, lambda m: "@")
-    out.rewrite(_AT_WORD, lambda m: "@")
+    out.rewrite(_AT_WORD, lambda m: "@", when=lambda m: _is_address(out, m))
     if runs := [m.span() for m in _SPELLED_RUN.finditer(out.text) if _spelled(m[0])]:
         out.rewrite(_SPELLED_ONE, lambda m: SPELLED[m[0].lower()], runs)
         out.rewrite(_PLUS, lambda m: "+")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .counts import token_counts
 from .lines import LINES_SQL, drop_lines
-from .matroska import PAYLOAD_SQL, media_digests
+from .matroska import PACKETS_SQL, PAYLOAD_SQL, media_digests, media_files, packet_table
 from .mixing import MIX_SQL, mix
 from .neardup import near_duplicates
 from .periods import RUNS_SQL, run_digests
@@ -97,14 +97,20 @@ def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
+def media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of all texts' files, without what only the writer's bytes tell."""
+    files = media_files(table(spark, sf_dir, "documents"))
+    return packet_table(files).select("doc_id", "packet", "track", "timestamp_ns", "duration_ns", "byte_size", "cluster", "block", "keyframe")
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8 that SQL can express."""
     return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"media_payload": media_payload, "pii_counts": pii_counts}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {f.__name__: f for f in (media_payload, media_packets, pii_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "pii_counts": PII_COUNTS_SQL, "op12_spelling_variants": VARIANTS_SQL, "op13_periodic_runs": RUNS_SQL}
+    return {"op2_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL, "op6_substring_dedup": REPEATS_SQL, "op7_quality_rules": quality_sql(), "media_payload": PAYLOAD_SQL, "media_packets": PACKETS_SQL, "pii_counts": PII_COUNTS_SQL, "op12_spelling_variants": VARIANTS_SQL, "op13_periodic_runs": RUNS_SQL}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markwise.llm import common, counts, periods, variants
+from markwise.llm import common, counts, matroska, periods, pii, variants
 from markwise.llm.queries import PIECE_BPE, vocabulary
 
 from test_ops import ODD, docs
@@ -240,3 +240,66 @@ def test_a_long_text_of_one_word(spark):
     df = docs(spark, ["na " * 200_000])
     row = periods.periodic_runs(df).first()
     assert row.collapsed == "na" and [tuple(x) for x in row.runs] == [(0, 200_000, 1)]
+
+
+# Media files of other writers, addresses in prose
+
+
+CLEAN = """Buy it at amazon.com. | Look at example.org for more. | You can find us at example.com. | Contact us at example.com today. | Read it at docs.site.org now.
+Available at shop.example.co.uk. | The team at github.com agreed. | He works at example.com. | Sign up at example.com for free. | More at news.example.org.
+The sale at store.example.com ended. | Prices start at example.com. | Meet me at cafe.example.com. | She laughed at xkcd.com. | Version 2.0 at example.com is out.
+Get node.js at nodejs.org. | See example.com at archive.org. | Mail order at example.com. | E-mail us at example.com. | Email it at example.com, please.
+Open 24/7 at example.com. | A talk at conf.example.org. | The 3rd release at example.org. | Download the file at files.example.net. | Check the FAQ at help.example.com.
+The demo at try.example.io works. | I looked at wikipedia.org first. | We met at example.org. | Support is at example.com. | Watch live at tv.example.com.
+Someone at example.com replied. | Join at example.org. | Register at example.org by May. | Our blog at blog.example.com. | Tickets at tickets.example.com.
+Start at example.com and go on. | The shop at example.de is open. | Apply at jobs.example.com. | Donate at give.example.org. | Vote at polls.example.com.
+The code at gitlab.com compiles. | Learn at school.example.edu. | Play at games.example.com. | Stop at example.org. | The page at example.net is old.
+Anyone at example.org may know. | Search at find.example.com. | Listen at radio.example.fm. | Call in at example.com. | Users at forum.example.com said so.""".replace("\n", " | ").split(" | ")
+
+
+def test_prose_with_domains_has_no_addresses():
+    assert len(CLEAN) == 50
+    for text in [*CLEAN, " ".join(CLEAN)]:
+        assert pii.all_spans(text)[1] == [], text
+
+
+@pytest.mark.parametrize("text,found", [
+    ("write j𝗼hn@site.org now", "j𝗼hn@site.org"), ("mail jo​hn@si​te.org now", "jo​hn@si​te.org"), ("ask ann_lee at site.org now", "ann_lee at site.org"),
+    ("call +1 (four one five) 555 0199 now", "+1 (four one five) 555 0199"), ("e-mail: jo at site.org now", "jo at site.org"), ("find jo at site dot org now", "jo at site dot org"),
+])
+def test_more_disguises(text, found):
+    spans = [text[s:e] for _, s, e in pii.all_spans(text)[1]]
+    assert found in spans, spans
+
+
+def media(*children):
+    return matroska._element(matroska.SEGMENT, b"".join(children))
+
+
+CRC, VOID = b"\xbf\x84abcd", b"\xec\x83xyz"
+
+
+def test_checksums_and_voids_in_every_element():
+    u, el = matroska._uint, matroska._element
+    odd = CRC + VOID
+    block = b"\x81\x00\x00\x80ab"
+    entry = u(matroska.TRACK_NUMBER, 1) + odd + u(matroska.TRACK_TYPE, 2) + el(matroska.CODEC_ID, b"A_PCM/INT/LIT") + el(matroska.AUDIO, odd)
+    places = lambda track, at: el(matroska.CUE_POSITIONS, odd + u(matroska.CUE_TRACK, track) + u(matroska.CUE_CLUSTER, at))
+    data = media(
+        odd, el(matroska.INFO, odd + u(matroska.TIMESTAMP_SCALE, 1000)), el(matroska.TRACKS, odd + el(matroska.TRACK_ENTRY, entry)),
+        el(matroska.CLUSTER, odd + u(matroska.CLUSTER_TIMESTAMP, 7) + el(matroska.SIMPLE_BLOCK, block) + el(matroska.BLOCK_GROUP, odd)),
+        el(matroska.CUES, odd + el(matroska.CUE_POINT, odd + u(matroska.CUE_TIME, 7) + places(1, 30) + places(2, 31))),
+    )
+    m = matroska.demux(data)
+    head = len(data) - len(data[data.index(odd):])
+    assert m.cues == [(7, 1, head + 30), (7, 2, head + 31)]
+    assert [(p.timestamp, p.size, p.keyframe) for p in m.packets] == [(7, 2, True)]
+    assert m.tracks[1]["rate"] == matroska.DEFAULT_RATE and m.tracks[1]["channels"] == 1 and m.tracks[1]["bits"] == 0 and m.tick_ns == 1000
+
+
+def test_reference_blocks_are_no_key_frames():
+    u, el = matroska._uint, matroska._element
+    group = lambda more: el(matroska.BLOCK_GROUP, el(matroska.BLOCK, b"\x81\x00\x00\x00ab") + more)
+    simple = el(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x00ab")
+    data = media(el(matroska.CLUSTER, u(matroska.CLUSTER_TIMESTAMP, 0) + group(b"") + group(u(matroska.REFERENCE_BLOCK, 1)) + simple))
+    assert [p.keyframe for p in matroska.demux(data).packets] == [True, False, False]
