@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,6 +279,30 @@ def window_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return mix64((total[at + k] - total[at]) * down[at]), at
 
 
+def quote(name: str) -> Column:
+    """The column of that name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [quote(c) for c in df.columns]
+
+
+def plainly(df: DataFrame, results: list[str]) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """df with columns c0, c1, ..., their names by the old ones, and the way back from a result with these columns and the results.
+
+    On the way back the columns have their names again, and those named like a result, whatever the case, are gone: the result takes their place.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    taken = {c.lower() for c in results}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c.lower() not in taken], *[quote(c) for c in results])
+
+    return df.toDF(*inner.values()), inner, back
+
+
 def renamed(df: DataFrame, taken: list[str], results: list[str]) -> tuple[DataFrame, list[str]]:
     """df's columns as _<name> for each name in taken and c0, c1, ... for the others, and the others' names.
 
@@ -287,8 +311,7 @@ def renamed(df: DataFrame, taken: list[str], results: list[str]) -> tuple[DataFr
     """
     gone = {c.lower() for c in results}
     rest = [c for c in df.columns if c not in taken and c.lower() not in gone]
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return df.select(*[quoted(c).alias(f"_{c}") for c in taken], *[quoted(c).alias(f"c{i}") for i, c in enumerate(rest)]), rest
+    return df.select(*[quote(c).alias(f"_{c}") for c in taken], *[quote(c).alias(f"c{i}") for i, c in enumerate(rest)]), rest
 
 
 #: Keys that dealt_join broadcasts at most, and rows of a key that shuffle in any case.

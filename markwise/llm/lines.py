@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob, chunks_of, discard, fresh, integer_key, mix64, pieces, small_batches, stored, unblob, utf8
+from .common import blob, chunks_of, discard, fresh, integer_key, mix64, pieces, plainly, small_batches, stored, unblob, utf8
 
 SHARD_BITS = 1 << 20
 BITS_PER_LINE = 16
@@ -241,6 +241,11 @@ def drop_lines(
     keep_first: the first of them, by key and then place, stays.
     """
     integer_key(df, key)
+    plain, name, back = plainly(df, [n_lines, n_dropped])
+    return back(_drop(plain, name[text], name[key], least_docs, keep_first, n_lines, n_dropped, broadcast_bytes))
+
+
+def _drop(df: DataFrame, text: str, key: str, least_docs: int, keep_first: bool, n_lines: str, n_dropped: str, broadcast_bytes: int) -> DataFrame:
     lines = small_batches(df).agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
     shards = max(1, -(-int(lines) * BITS_PER_LINE // SHARD_BITS))
     filters = stored(twice_seen(df, text, shards), "lines-twice")

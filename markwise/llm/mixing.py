@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, plainly
 
 SEED = "mix-1"
 PART = 500.0
@@ -56,9 +56,18 @@ def rates(df: DataFrame, source: str, weights: DataFrame | None, budget: float |
     return out.select("_source", "_parts", F.aggregate(F.sequence(F.lit(1), last), start, add)["cdf"].alias("_cdf"))
 
 
-def mix(df: DataFrame, weights: DataFrame | None = None, budget: float | None = None, source: str = "source", key: str = "doc_id", text: str = "text", seed: str = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+def mix(
+    df: DataFrame, weights: DataFrame | None = None, budget: float | None = None, source: str = "source", key: str = "doc_id", text: str = "text", seed: str = SEED,
+    broadcast_sources: int = BROADCAST_SOURCES,
+) -> DataFrame:
     """The mix: df's columns, copy (from 0), n_copies, and mix_key, by which the rows are ordered."""
-    names = [c for c in df.columns if c not in ("copy", "n_copies", "mix_key")]
+    plain, name, back = plainly(df, ["copy", "n_copies", "mix_key"])
+    own = weights.select(F.col(source).alias(name[source]), "weight") if weights is not None else None
+    return back(_mix(plain, own, budget, name[source], name[key], name[text], seed, broadcast_sources))
+
+
+def _mix(df: DataFrame, weights: DataFrame | None, budget: float | None, source: str, key: str, text: str, seed: str, broadcast_sources: int) -> DataFrame:
+    names = df.columns
     own_id, from_, parts, cdf, share, salt, counts, part, n, i = fresh(df, "_id", "_source", "_parts", "_cdf", "_share", "_salt", "_counts", "_part", "_n", "_i")
     table = rates(df, source, weights, budget).toDF(from_, parts, cdf)
     known = table.agg(F.count("*").alias("sources"), F.coalesce(F.max(parts), F.lit(1)).alias("parts")).first()

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import plainly, quote
+
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -48,6 +50,7 @@ RULES = (
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_text_lines", "n_bullet_lines", "n_ellipsis_lines")
+_RESULTS = {*MEASURES, "base_failed", "kept"}
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:
@@ -98,7 +101,13 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 
 def quality(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """keep, the MEASURES, base_failed and kept."""
+    """keep, the MEASURES, base_failed and kept; what keep names like one of these, whatever the case, is overwritten."""
+    plain, name, back = plainly(df.select(*[quote(c) for c in dict.fromkeys([*keep, text])]), [*MEASURES, "base_failed", "kept"])
+    found = _quality(plain, name[text], tuple(name[c] for c in keep), rules)
+    return back(found if text in keep else found.withColumn(name[text], F.lit(None))).select(*[quote(c) for c in keep if c.lower() not in _RESULTS], *MEASURES, "base_failed", "kept")
+
+
+def _quality(df: DataFrame, text: str, keep: tuple[str, ...], rules: tuple[Rule, ...]) -> DataFrame:
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return measures(df, text, keep).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compiled(rules))
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob, chunks_of, distinct, gather, pieces, small_batches, span_hashes, unblob, utf8
+from .common import blob, chunks_of, distinct, gather, pieces, plainly, small_batches, span_hashes, unblob, utf8
 
 SPACE = "▁"
 CHUNK_BYTES = 64 << 20
@@ -202,8 +202,16 @@ def _strings(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(gather(data, begin, length)))])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None, finish: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
-    """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text.
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", check: str | None = None) -> DataFrame:
+    """df and the piece ids of each whole text; check: a column that says whether the ids decode to the text."""
+    plain, name, back = plainly(df, [ids, check] if check else [ids])
+    return back(_encode(plain, path, name[text], ids, check))
+
+
+def _encode(
+    df: DataFrame, path: str, text: str, ids: str, check: str | None = None, finish: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None
+) -> DataFrame:
+    """encode() of columns with plain names.
 
     finish: what a task makes of its coded rows, some at a time, and the schema of that.
     """
@@ -329,7 +337,8 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def decode(df: DataFrame, path: str, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """df and the text of each row's ids; ids that give no valid UTF-8 decode with replacement characters, null to null."""
     shared = small_batches(df).sparkSession.sparkContext.broadcast(Vocabulary(path).spelled)
-    names = [c for c in df.columns if c != text]
+    taken = text.lower()
+    names = [c for c in df.columns if c.lower() != taken]
     schema = T.StructType([df.schema[c] for c in names]).add(text, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,4 +368,4 @@ def piece_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
         ]
         return pa.table([table[key], *out], names=names)
 
-    return encode(df.select(key, text), path, text, "piece_ids", finish=(digests, schema))
+    return _encode(df.select(key, text), path, text, "piece_ids", finish=(digests, schema))

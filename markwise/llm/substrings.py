@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import integer_key, small_batches, text_bytes, utf8, window_hashes, word_hashes
+from .common import integer_key, quote, small_batches, text_bytes, utf8, window_hashes, word_hashes
 
 CHUNK_BYTES = 8 << 20
 
@@ -83,12 +83,13 @@ def remove_repeats(
     integer_key(df, key)
     chunks = max(1, -(-text_bytes(small_batches(df), text) // chunk_bytes))
     edges = _edges(chunks)
-    names = [c for c in df.columns if c not in (n_words, n_removed, removed)]
+    taken = {c.lower() for c in (n_words, n_removed, removed)}
+    names = [c for c in df.columns if c.lower() not in taken]
     rest = [c for c in names if c != text]
     place = F.coalesce(integer_key(df, key), F.lit(-(1 << 63)))
     hash_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     # helping columns come first, and by place: whatever names the others have, they travel as c0, c1, ...
-    marked = df.select(chunk_number(place, hash_.bitwiseXOR(F.lit(-(1 << 63))), key_bounds(df, place, chunks)).cast("int").alias("_chunk"), place.alias("_key"), hash_.alias("_hash"), F.col(text).alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    marked = df.select(chunk_number(place, hash_.bitwiseXOR(F.lit(-(1 << 63))), key_bounds(df, place, chunks)).cast("int").alias("_chunk"), place.alias("_key"), hash_.alias("_hash"), F.col(text).alias("_text"), *[quote(c).alias(f"c{i}") for i, c in enumerate(rest)])
     spans = T.ArrayType(T.StructType().add("start", T.LongType()).add("stop", T.LongType()))
     schema = T.StructType([T.StructField(text, T.StringType()) if c == text else df.schema[c] for c in names]).add(n_words, T.LongType()).add(n_removed, T.LongType()).add(removed, spans)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE_BASE, _BYTE_CODE, _LOWER, discard, mix64, pieces, powers, small_batches, stored, utf8
+from .common import _BYTE_BASE, _BYTE_CODE, _LOWER, discard, mix64, pieces, plainly, powers, small_batches, stored, utf8
 
 #: Bounds of the labelled sample: keys, and bytes of their distinct terms (4 a term).
 SAMPLE_ROWS = 12_000
@@ -165,8 +165,8 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seed: int = 7
 
 
 def held_out(key: str) -> Column:
-    """Rows that are never learnt from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Rows that are never learnt from; those without a key aren't among them, though no label finds them either."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> FactorizationMachine:
@@ -199,6 +199,11 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def with_scores(df: DataFrame, fm: FactorizationMachine, text: str = "text", score: str = "score") -> DataFrame:
     """df and the score of each row's whole text."""
+    plain, name, back = plainly(df, [score])
+    return back(_with_scores(plain, fm, name[text], score))
+
+
+def _with_scores(df: DataFrame, fm: FactorizationMachine, text: str, score: str) -> DataFrame:
     shared = small_batches(df).sparkSession.sparkContext.broadcast((fm.kept, fm.bias, fm.linear, fm.factors))  # TERMS x (FACTORS + 2) numbers
     names = [c for c in df.columns if c != score]
     schema = T.StructType([df.schema[c] for c in names]).add(score, T.DoubleType())

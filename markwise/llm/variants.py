@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, pieces, renamed, small_batches, stored, utf8
+from .common import dealt_join, pieces, quote, renamed, small_batches, stored, utf8
 
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 200_000
@@ -43,7 +43,7 @@ def count_words(df: DataFrame, text: str = "text", key: str = "doc_id", least: i
 
     typos: one in so many pairs of a row's key and a run, by the crc32 of `<key>:<run>`, loses one code point before it is counted.
     """
-    own, _ = renamed(small_batches(df).select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key")), ["text", "key"], [])
+    own, _ = renamed(small_batches(df).select(quote(text).alias("text"), quote(key).alias("key")), ["text", "key"], [])
 
     def hand_on(counts: Counter) -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(counts.keys()), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markwise.llm import common, counts, matroska, periods, pii, variants
+import corpus_pipeline
+from markwise.llm import common, counts, lines, matroska, mixing, neardup, periods, pii, quality, sentencepiece, substrings, tokens, toxicity, variants
 from markwise.llm.queries import PIECE_BPE, vocabulary
 
 from test_ops import ODD, docs
@@ -303,3 +304,60 @@ def test_reference_blocks_are_no_key_frames():
     simple = el(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x00ab")
     data = media(el(matroska.CLUSTER, u(matroska.CLUSTER_TIMESTAMP, 0) + group(b"") + group(u(matroska.REFERENCE_BLOCK, 1)) + simple))
     assert [p.keyframe for p in matroska.demux(data).packets] == [True, False, False]
+
+
+# Names of columns
+
+
+NAMES = ["a.b", "N_WORDS", "Kept", "_t", "c0", "_source", "SCORE", "n_Lines", "Copy", "Piece_Ids", "`q`.x", "text2"]
+OPERATORS = {
+    "with_scores": (lambda d: toxicity.with_scores(d, toxicity.fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))), ["score"]),
+    "mix": (mixing.mix, ["copy", "n_copies", "mix_key"]),
+    "drop_lines": (lambda d: lines.drop_lines(d, least_docs=2), ["n_lines", "n_dropped"]),
+    "drop_lines_joined": (lambda d: lines.drop_lines(d, least_docs=2, broadcast_bytes=0), ["n_lines", "n_dropped"]),
+    "remove_repeats": (lambda d: substrings.remove_repeats(d, window=2), ["n_words", "n_removed", "removed"]),
+    "quality": (lambda d: quality.quality(d, keep=tuple(d.columns)), [*quality.MEASURES, "base_failed", "kept"]),
+    "encode": (lambda d: sentencepiece.encode(d, vocabulary(PIECE_BPE), check="same"), ["piece_ids", "same"]),
+    "token_counts": (lambda d: counts.token_counts(d, vocabulary(PIECE_BPE)), ["n_bytes", "n_tokens", "over_limit"]),
+    "periodic_runs": (periods.periodic_runs, ["runs", "collapsed"]),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_any_names_of_columns_pass_through(spark, name):
+    operator, results = OPERATORS[name]
+    df = docs(spark, ["one two three\nfour", "one two three\nfive", None, ""])
+    for i, c in enumerate(NAMES):
+        df = df.withColumn(c, F.lit(i))
+    out = operator(df)
+    low = {c.lower() for c in results}
+    gone = {"text"} if name in ("token_counts", "periodic_runs") else set()
+    assert out.columns[-len(results):] == results or name == "quality"
+    assert [c for c in out.columns if c not in results] == [c for c in df.columns if c.lower() not in low and c not in gone]
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    for r in out.collect():
+        assert all(r[c] == i for i, c in enumerate(NAMES) if c.lower() not in low)
+
+
+@pytest.mark.parametrize("name", ["key_only", "pii", "near", "media", "tokens"])
+def test_odd_names_beside_key_and_text(spark, name):
+    df = docs(spark, ["one two three four five six", "one two three four five six seven", None])
+    for i, c in enumerate(NAMES):
+        df = df.withColumn(c, F.lit(i))
+    run = {
+        "key_only": lambda: toxicity.toxicity(df, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")),
+        "pii": lambda: pii.find_pii(df), "near": lambda: neardup.near_duplicates(df), "media": lambda: matroska.media_digests(df),
+        "tokens": lambda: tokens.token_digests(df, vocabulary("word_bpe_49k.json"), 2),
+    }
+    assert run[name]().count() == 3
+
+
+@pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES])
+def test_stages_keep_any_names(spark, tmp_path, stage):
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df = docs(spark, [" ".join(f"w{i}{j}" for j in range(12)) for i in range(6)])
+    for i, c in enumerate(NAMES):
+        df = df.withColumn(c, F.lit(i))
+    out = dict(corpus_pipeline.STAGES)[stage](spark, df, str(tmp_path))
+    want = [c for c in df.columns if stage != "sentencepiece" or c != "Piece_Ids"]
+    assert out.columns[: len(want)] == want and all(r["a.b"] == 0 for r in out.collect())
