@@ -1,6 +1,7 @@
 """Token counts, spelling variants and periodic runs against brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -361,3 +362,38 @@ def test_stages_keep_any_names(spark, tmp_path, stage):
     out = dict(corpus_pipeline.STAGES)[stage](spark, df, str(tmp_path))
     want = [c for c in df.columns if stage != "sentencepiece" or c != "Piece_Ids"]
     assert out.columns[: len(want)] == want and all(r["a.b"] == 0 for r in out.collect())
+
+
+# Pairs that no single term gives away
+
+
+@pytest.mark.parametrize("rule", ["one of them", "both or neither"])
+def test_toxicity_learns_what_only_pairs_tell(rule):
+    """Neither word says anything alone: a linear model can't tell the label, so without its factors the machine can't."""
+    r = random.Random(1)
+    texts, y = [], []
+    for _ in range(2400):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        text = [f"w{r.randrange(400)}" for _ in range(12)] + ["insult"] * a + ["group"] * b
+        r.shuffle(text)
+        texts.append(" ".join(text).encode())
+        y.append(float((a != b) == (rule == "one of them")))
+    y, n = np.array(y), 1800
+    rows, buckets = toxicity._distinct(*toxicity.term_buckets(texts), toxicity.BUCKETS)
+    fm = toxicity.fit(rows[rows < n], buckets[rows < n], y[:n])
+    at = fm.places()[buckets]
+    right = lambda m: ((m.score(rows[at >= 0], at[at >= 0], len(y)) >= 0.5) == (y > 0))[n:].mean()
+    assert right(fm) > 0.95
+    assert right(toxicity.FactorizationMachine(fm.kept, fm.bias, fm.linear, np.zeros_like(fm.factors))) < 0.6
+    # the best linear model of the same terms, by least squares
+    x = np.zeros((len(y), len(fm.kept) + 1))
+    x[rows[at >= 0], at[at >= 0]] = 1
+    x[:, -1] = 1
+    weights = np.linalg.lstsq(x[:n], y[:n], rcond=None)[0]
+    assert ((x[n:] @ weights >= 0.5) == (y[n:] > 0)).mean() < 0.6
+
+
+def test_no_key_is_not_held_out(spark):
+    d = docs(spark, ["a", "b"], ids=[None, 1])
+    got = toxicity.toxicity(d, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect()
+    assert {(r.doc_id, r.held_out) for r in got} == {(None, False), (1, zlib.crc32(b"1") % 5 == 0)}
