@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from markwise.functions import geometry, names, vectors
-from markwise.operators import features, forest, images, knn, matching, orient, pq, progress, results, ruler, verify
+from markwise.operators import features, forest, images, knn, matching, orient, outline, peaks, pq, progress, results, ruler, verify
 from markwise.operators import pixels as px
 from markwise.sources.tables import scratch
 from markwise.streaming import incremental
@@ -456,18 +456,75 @@ def gray_levels(spark, sf):
     return rounded(s.pixels(spark, sf).select("image_id", "x", "y", geometry.gray(v * 2, v, F.lit(255) - v).alias("gray"), geometry.darkness(v).alias("darkness")), "gray", "darkness")
 
 
-@query("WITH RECURSIVE " + WITH("pixels").removeprefix("WITH ").rstrip() + """,
+_LARGEST = "WITH RECURSIVE " + WITH("pixels").removeprefix("WITH ").rstrip() + """,
 reach AS (
     SELECT image_id, x AS x0, y AS y0, x, y FROM pixels
     UNION SELECT r.image_id, r.x0, r.y0, p.x, p.y FROM reach r JOIN pixels p ON p.image_id = r.image_id AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1
 ),
 sizes AS (SELECT image_id, x0, y0, count(*) AS n FROM reach GROUP BY ALL),
 best AS (SELECT image_id, arg_min(row(x0, y0), row(-n, y0, x0)) AS first FROM sizes GROUP BY image_id)
-SELECT r.image_id, r.x, r.y FROM reach r JOIN best b ON r.image_id = b.image_id AND row(r.x0, r.y0) = b.first""")
+SELECT r.image_id, r.x, r.y FROM reach r JOIN best b ON r.image_id = b.image_id AND row(r.x0, r.y0) = b.first"""
+
+
+@query(_LARGEST)
 def largest_component(spark, sf):
     return images.largest_components(s.pixels(spark, sf))
 
 
+@query(_LARGEST)
+def largest_component_runs(spark, sf):
+    """The same pixels by components of runs, cut into tiles of 16 columns."""
+    return outline.largest(s.pixels(spark, sf), 16)
+
+
+@query(WITH("pixels")[:-1] + """, p AS (SELECT a.image_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND (a.x, a.y) <= (b.x, b.y))
+SELECT image_id, best.ax::DOUBLE AS ax, best.ay::DOUBLE AS ay, best.bx::DOUBLE AS bx, best.by_::DOUBLE AS by, round(sqrt(best.d2), 6) AS distance
+FROM (SELECT image_id, arg_min({'ax': ax, 'ay': ay, 'bx': bx, 'by_': by_, 'd2': d2}, (-d2, ax, ay, bx, by_)) AS best FROM p GROUP BY image_id)""")
+def farthest_pair(spark, sf):
+    return rounded(outline.farthest_pair(s.pixels(spark, sf)), "distance")
+
+
+@query()
+def fitted_ellipse(spark, sf):
+    return rounded(outline.fitted_ellipse(s.strips(spark, sf)), "cx", "cy", "major", "minor", "angle")
+
+
+_CONTOUR = "WITH RECURSIVE " + WITH("pixels", "strips").removeprefix("WITH ").rstrip() + """,
+around AS (SELECT a.image_id, a.x, a.y, w, b.x AS nx, b.y AS ny FROM strips a, (SELECT unnest(range(8))::INT AS w, unnest([1, 1, 0, -1, -1, -1, 0, 1]) AS dx, unnest([0, -1, -1, -1, 0, 1, 1, 1]) AS dy) o
+  JOIN strips b ON b.image_id = a.image_id AND b.x = a.x + dx AND b.y = a.y + dy),
+ways AS (SELECT image_id, x, y, list(w) AS ws FROM around GROUP BY ALL),
+steps AS (SELECT a.image_id, a.x, a.y, a.w, a.nx, a.ny, list_min(list_transform(ws, lambda v: (v - a.w + 11) % 8 * 8 + v)) % 8 AS next FROM around a JOIN ways n ON n.image_id = a.image_id AND n.x = a.nx AND n.y = a.ny),
+first AS (SELECT image_id, arg_min({'x': x, 'y': y}, (y, x)) AS p FROM strips GROUP BY image_id),
+start AS (SELECT w.image_id, w.x, w.y, list_min(list_transform(ws, lambda v: (v + 4) % 8 * 8 + v)) % 8 AS w FROM ways w JOIN first f ON w.image_id = f.image_id AND w.x = f.p.x AND w.y = f.p.y),
+walk AS (SELECT image_id, 0 AS i, x, y, w FROM start UNION ALL SELECT s.image_id, k.i + 1, s.nx, s.ny, s.next FROM walk k JOIN steps s ON s.image_id = k.image_id AND s.x = k.x AND s.y = k.y AND s.w = k.w
+  JOIN start z ON z.image_id = s.image_id WHERE NOT (s.nx = z.x AND s.ny = z.y AND s.next = z.w)),
+turns AS (SELECT *, coalesce(lag(w) OVER o, last_value(w) OVER (PARTITION BY image_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before FROM walk WINDOW o AS (PARTITION BY image_id ORDER BY i)),
+corners AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY i) - 1 AS place, x, y FROM turns WHERE w <> before
+  UNION ALL SELECT f.image_id, 0, f.p.x, f.p.y FROM first f ANTI JOIN start s ON f.image_id = s.image_id)"""
+
+
+@query(_CONTOUR + " SELECT image_id, place::BIGINT AS place, x, y FROM corners")
+def contour_corners(spark, sf):
+    """Corners in walking order, by list ranking."""
+    return outline.contour(s.strips(spark, sf))
+
+
+@query(_CONTOUR + """, sized AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS len FROM corners), ends AS (SELECT image_id, greatest(5, len // 7) AS n, place, len, x::DOUBLE AS x, y::DOUBLE AS y FROM sized WHERE len > 10),
+sides AS (SELECT image_id, n, 'first' AS side, place AS i, x, y FROM ends WHERE place < n UNION ALL SELECT image_id, n, 'last', place - len + n, x, y FROM ends WHERE place >= len - n),
+near AS (SELECT *, (x - avg(x) OVER e) * (x - avg(x) OVER e) + (y - avg(y) OVER e) * (y - avg(y) OVER e) AS far,
+  coalesce(lag(x, 2) OVER o, first_value(x) OVER o) - x AS ux, coalesce(lag(y, 2) OVER o, first_value(y) OVER o) - y AS uy, coalesce(lead(x, 2) OVER o, last_value(x) OVER e) - x AS vx, coalesce(lead(y, 2) OVER o, last_value(y) OVER e) - y AS vy,
+  x - lag(x) OVER o AS px, y - lag(y) OVER o AS py, lead(x) OVER o - x AS qx, lead(y) OVER o - y AS qy
+  FROM sides WINDOW o AS (PARTITION BY image_id, side ORDER BY i), e AS (PARTITION BY image_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+angles AS (SELECT *, CASE WHEN (ux <> 0 OR uy <> 0) AND (vx <> 0 OR vy <> 0) THEN degrees(acos(greatest(-1, least(1, (ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)))))) END AS tip,
+  CASE WHEN (px <> 0 OR py <> 0) AND (qx <> 0 OR qy <> 0) THEN acos(greatest(-1, least(1, (px * qx + py * qy) / (sqrt(px * px + py * py) * sqrt(qx * qx + qy * qy))))) END AS turn FROM near),
+found AS (SELECT image_id, side, n, arg_max({'i': i, 'tip': tip}, (far, -i)) AS t, coalesce(avg(turn), 0) AS mean_turn FROM angles GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN t.i > 0 AND t.i < n - 1 THEN coalesce(t.tip, 180) ELSE 180 END AS a, t.i > 0 AND t.i < n - 1 AND t.tip IS NOT NULL AS inside FROM found)
+SELECT image_id, side, n, round(a, 6) AS tip_angle, a < 90 AS sharp, round(CASE WHEN NOT inside THEN 0 WHEN a < 60 THEN 1 - a / 60 WHEN a > 120 THEN (a - 120) / 60 ELSE 0.5 END, 6) AS sure, round(mean_turn, 6) AS mean_turn FROM judged""")
+def contour_ends(spark, sf):
+    """How sharp and how curved the first and last seventh of a contour are."""
+    return rounded(outline.contour_ends(outline.contour(s.strips(spark, sf))), "tip_angle", "sure", "mean_turn")
+
+
 @query(WITH("metrics") + "SELECT image_id, round(CASE WHEN image_id % 3 = 0 THEN ppm % 180 ELSE ppm % 180 + 180 END, 6) AS angle FROM metrics")
 def adjusted_angle(spark, sf):
     """The axis' angle, turned by half a circle where the head is on the right."""
@@ -539,6 +596,25 @@ def local_maxima(spark, sf):
     return ruler.local_maxima(s.signal(spark, sf))
 
 
+_HIGHER = """higher AS (SELECT k.series, k.t, k.v, (SELECT max(l.t) FROM levels l WHERE l.series = k.series AND l.t < k.t AND l.v > k.v) AS before, (SELECT min(l.t) FROM levels l WHERE l.series = k.series AND l.t > k.t AND l.v > k.v) AS after FROM {0} k),
+judged AS (SELECT h.series, h.t, h.v, h.v - greatest(min(l.v) FILTER (l.t <= h.t AND l.t >= coalesce(before, 0)), min(l.v) FILTER (l.t >= h.t AND l.t <= coalesce(after, 1000000000))) AS prominence FROM higher h JOIN levels l ON l.series = h.series GROUP BY h.series, h.t, h.v)"""
+
+
+@query("WITH RECURSIVE " + WITH("levels", "plateaus")[5:-1] + ", " + """high AS (SELECT t.* FROM tops t JOIN (SELECT series, quantile_cont(v, 0.5) AS least FROM levels GROUP BY series) m ON t.series = m.series AND v >= least),
+turns AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY v DESC, t DESC) AS r FROM high),
+kept AS (SELECT series, 1::BIGINT AS r, [t] AS places FROM turns WHERE r = 1
+  UNION ALL SELECT n.series, n.r, CASE WHEN len(list_filter(places, lambda p: abs(p - n.t) < 12)) > 0 THEN places ELSE list_append(places, n.t) END FROM kept k JOIN turns n ON n.series = k.series AND n.r = k.r + 1),
+chosen AS (SELECT h.* FROM high h JOIN (SELECT series, arg_max(places, r) AS places FROM kept GROUP BY series) k ON h.series = k.series AND list_contains(places, h.t)), """ + _HIGHER.format("chosen") + " SELECT series, t, v, prominence FROM judged")
+def peaks_distance(spark, sf):
+    """Peaks at least as high as the median, 12 places apart."""
+    return peaks.peaks(s.levels(spark, sf), percentile=0.5, distance=12)
+
+
+@query(WITH("levels", "plateaus")[:-1] + ", " + _HIGHER.format("tops") + " SELECT series, t, v, prominence FROM judged WHERE prominence >= 5")
+def peaks_prominence(spark, sf):
+    return peaks.peaks(s.levels(spark, sf), prominence=5.0)
+
+
 @query(WITH("signal", "ticks") + """, d AS (SELECT series, (t - lag(t) OVER (PARTITION BY series ORDER BY t))::DOUBLE AS d FROM ticks), q AS (SELECT series, count(*) AS n_ticks, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.75) AS q3 FROM d GROUP BY series),
 f AS (SELECT d.*, d BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM d JOIN q USING (series) WHERE d IS NOT NULL), g AS (SELECT *, bool_or(ok) OVER (PARTITION BY series) AS any_ok FROM f)
 SELECT q.series, n_ticks, round(coalesce(quantile_cont(d, 0.5) FILTER ((ok OR NOT any_ok) AND d BETWEEN 15 AND 150), 0), 6) AS spacing FROM q LEFT JOIN g USING (series) GROUP BY ALL""")

@@ -59,11 +59,23 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % 97).cast("int").alias("x"), (F.col("l_orderkey") % 61).cast("int").alias("y")).agg(F.min("l_quantity").alias("v"))
 
 
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks without holes, seven rows high: between its least and its greatest y each column is filled."""
+    ends = pixels(spark, sf_dir).groupBy("image_id", "x").agg(F.min(F.col("y") % 7).alias("a"), F.max(F.col("y") % 7).alias("b"))
+    return ends.select("image_id", "x", F.explode(F.sequence("a", "b")).alias("y"))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.row_number().over(own).cast("long").alias("t"), F.col("value").alias("v"))
 
 
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long series of small whole numbers, with plateaus and ties."""
+    own = W.Window.partitionBy(F.col("user_id") % 20).orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("series"), F.row_number().over(own).cast("long").alias("t"), F.pmod(F.floor("value"), F.lit(9)).cast("double").alias("v"))
+
+
 def short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of 1 to 12 values."""
     return signal(spark, sf_dir).where("t <= 1 + series % 12")
@@ -97,12 +109,15 @@ SQL = {
     "flat": "flat AS (SELECT replace(query_id, '_standardized', '') AS query_id, nullif(regexp_extract(query_id, '([LR])', 1), '') AS query_side, replace(match_id, '_standardized', '') AS match_id, nullif(regexp_extract(match_id, '([LR])', 1), '') AS match_side, round(score, 6) AS score, inliers, total_matches, round(inliers::DOUBLE / total_matches, 6) AS inlier_ratio, round(lnbnn_score, 6) AS lnbnn_score FROM matches)",
     "points": "points AS (SELECT image_id, local_idx, (global_idx % 97)::DOUBLE AS x, (global_idx * 37 % 61)::DOUBLE AS y FROM descriptors)",
     "pixels": "pixels AS (SELECT l_suppkey AS image_id, (l_partkey % 97)::INT AS x, (l_orderkey % 61)::INT AS y, min(l_quantity) AS v FROM lineitem GROUP BY ALL)",
+    "strips": "strips AS (SELECT image_id, x, unnest(range(min(y % 7), max(y % 7) + 1))::INT AS y FROM pixels GROUP BY image_id, x)",
     "columns": "columns_ AS (SELECT image_id, x, count(*) AS c FROM pixels GROUP BY ALL), dense AS (SELECT e.image_id, e.x, coalesce(c, 0) AS n, row_number() OVER (PARTITION BY e.image_id ORDER BY e.x) AS rn, count(*) OVER (PARTITION BY e.image_id) AS len FROM (SELECT image_id, unnest(range(min(x), max(x) + 1)) AS x FROM columns_ GROUP BY image_id) e LEFT JOIN columns_ k ON e.image_id = k.image_id AND e.x = k.x)",
     "rows": "rows_ AS (SELECT image_id, y, count(*) AS c FROM pixels GROUP BY ALL), tall AS (SELECT e.image_id, e.y, coalesce(c, 0) AS n, row_number() OVER (PARTITION BY e.image_id ORDER BY e.y) AS rn, count(*) OVER (PARTITION BY e.image_id) AS len FROM (SELECT image_id, unnest(range(min(y), max(y) + 1)) AS y FROM rows_ GROUP BY image_id) e LEFT JOIN rows_ k ON e.image_id = k.image_id AND e.y = k.y)",
     "edges": "edges AS (SELECT image_id, x, min(y) AS top, max(y) AS bottom FROM pixels GROUP BY ALL)",
     "eye": "eye AS (SELECT * FROM pixels WHERE y < 5)",
     "fin": "fin AS (SELECT * FROM pixels WHERE y > 55 AND image_id % 3 = 0)",
     "signal": "signal AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS v FROM events)",
+    "levels": "levels AS (SELECT user_id % 20 AS series, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS t, ((floor(value)::BIGINT % 9 + 9) % 9)::DOUBLE AS v FROM events)",
+    "plateaus": "grouped AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY t) AS g FROM (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY series ORDER BY t) THEN 1 ELSE 0 END AS new FROM levels)), flats AS (SELECT series, g, min(t) AS a, max(t) AS b, any_value(v) AS v FROM grouped GROUP BY series, g), tops AS (SELECT series, (a + b) // 2 AS t, v FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM flats WINDOW w AS (PARTITION BY series ORDER BY g)) WHERE v > before AND v > after)",
     "short": "short AS (SELECT * FROM signal WHERE t <= 1 + series % 12)",
     "verified": f"verified AS (SELECT query_id, image_id AS match_id, count(*) AS total_matches, count(*) FILTER (NOT {OUTLIER.format('qid')}) AS inliers FROM votes GROUP BY ALL)",
     "ticks": "ticks AS (SELECT series, sum(floor(abs(v)) + 1) OVER (PARTITION BY series ORDER BY t)::BIGINT AS t FROM signal)",
