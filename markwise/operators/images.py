@@ -162,7 +162,7 @@ def largest_components(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "x", "y").groupBy("image_id").applyInPandas(run, f"image_id {kind}, x int, y int")
 
 
-def _measure(r, method: str) -> tuple:
+def _measure(r, method: str, margin: int = 10) -> tuple:
     image, fish, ruler = array(r.height, r.width, r.n_channels, r.data), r.fish, r.ruler
     none = (0.0, 0.0, 0.0, None, None, None, None, None)
     if ruler is None or not any(ruler):
@@ -171,7 +171,7 @@ def _measure(r, method: str) -> tuple:
         return (r.image_id, *none, True, "dimension_mismatch")
     m = np.frombuffer(ruler, np.uint8).reshape(r.height, r.width) > 0
     ys, xs = np.nonzero(m)
-    x0, y0, x1, y1 = max(0, xs.min() - 10), max(0, ys.min() - 10), min(r.width, xs.max() + 10), min(r.height, ys.max() + 10)
+    x0, y0, x1, y1 = max(0, xs.min() - margin), max(0, ys.min() - margin), min(r.width, xs.max() + margin), min(r.height, ys.max() + margin)
     roi = to_gray(image)[y0:y1, x0:x1]
     if not roi.size:
         return (r.image_id, *none, True, "roi_extraction_failed")
@@ -184,8 +184,11 @@ def _measure(r, method: str) -> tuple:
     return (r.image_id, per_mm, length, length / per_mm, *box, method, True, None)
 
 
-def measure(images: DataFrame, masks: DataFrame, method: str = "major_axis", fish: tuple[str, ...] = ("whole fish", "fish"), ruler: str = "ruler") -> DataFrame:
-    """Scale and length of each image; method: medial_axis, bounding_box or major_axis. The first prompt of fish counts."""
+def measure(images: DataFrame, masks: DataFrame, method: str = "major_axis", fish: tuple[str, ...] = ("whole fish", "fish"), ruler: str = "ruler", margin: int = 10) -> DataFrame:
+    """Scale and length of each image; method: medial_axis, bounding_box or major_axis. The first prompt of fish counts.
+
+    margin: pixels around the ruler's mask that are looked at with it.
+    """
     if method not in ("medial_axis", "bounding_box", "major_axis"):
         raise ValueError(f"unknown method {method!r}")
     order = F.array_position(F.lit(list(fish)), F.col("prompt"))
@@ -199,7 +202,7 @@ def measure(images: DataFrame, masks: DataFrame, method: str = "major_axis", fis
             rows = []
             for r in part.itertuples():
                 try:
-                    rows.append(_measure(r, method))
+                    rows.append(_measure(r, method, margin))
                 except Exception as e:
                     rows.append((r.image_id, 0.0, 0.0, 0.0, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=names)
@@ -210,7 +213,7 @@ def measure(images: DataFrame, masks: DataFrame, method: str = "major_axis", fis
 STANDARD = "image_id string, height int, width int, n_channels int, data binary, mask binary, angle double, curvature_mse double, straight boolean, head_method string, head_right boolean, head_confidence double, rotated_180 boolean, dorsal_method string, dorsal_up boolean, dorsal_confidence double, flipped boolean, valid boolean, score double, error string"
 
 
-def _head(m: np.ndarray, eye: np.ndarray | None, gray: np.ndarray) -> tuple[str, bool, float]:
+def _head(m: np.ndarray, eye: np.ndarray | None, gray: np.ndarray | None) -> tuple[str, bool, float]:
     """By the eye's mask; without one by the votes of the picture and the shape."""
     if eye is not None and eye.sum() > 10:
         d = np.nonzero(eye)[1].mean() - np.nonzero(m)[1].mean()
@@ -287,8 +290,12 @@ def _tilt(body: np.ndarray) -> float:
     return float(np.degrees(0.5 * np.arctan2(2 * mxy, mxx - myy)) % 180) if myy else 0.0
 
 
-def standardize_one(image: np.ndarray, body: np.ndarray, eye: np.ndarray | None = None, fin: np.ndarray | None = None, margin: float = 0.1, background: float = 0.0, fill: bool = True) -> tuple[np.ndarray, np.ndarray, dict]:
-    """The animal level, head right, back up, cropped, on a plain background; its mask; and how that was decided."""
+def standardize_one(image: np.ndarray, body: np.ndarray, eye: np.ndarray | None = None, fin: np.ndarray | None = None, margin: float = 0.1, background: tuple[int, ...] = (0, 0, 0), fill: bool = True, head_right: bool = True, use_picture: bool = True) -> tuple[np.ndarray, np.ndarray, dict]:
+    """The animal level, head right (unless that isn't wanted), back up, cropped, on a plain background; its mask; and how that was decided.
+
+    use_picture: whether eyes and fins are looked for in the picture where no mask shows them.
+    """
+    plain = np.array(background[: image.shape[2]] if image.ndim == 3 else round(sum(background) / len(background)), np.uint8)
     body = shapes.largest_component(body)
     ys, xs = np.nonzero(body)
     if not len(xs):
@@ -300,18 +307,19 @@ def standardize_one(image: np.ndarray, body: np.ndarray, eye: np.ndarray | None
         mse = float(vy - (c * c / vx if vx else 0.0))
     angle = _tilt(body)
     turn = lambda m: shapes.rotate(m.astype(np.uint8), angle, 0, smooth=False).astype(bool) if m is not None else None
-    image, body, eye, fin = shapes.rotate(image, angle, background), turn(body), turn(eye), turn(fin)
-    head, right, head_sure = _head(body, eye, to_gray(image))
-    if not right:
+    image, body, eye, fin = shapes.rotate(image, angle, 0.0), turn(body), turn(eye), turn(fin)
+    head, right, head_sure = _head(body, eye, to_gray(image) if use_picture else None)
+    turned = head_right and not right
+    if turned:
         image, body, eye, fin = (None if x is None else np.rot90(x, 2) for x in (image, body, eye, fin))
-    back, up, back_sure = _dorsal(body, eye, fin, to_gray(image))
+    back, up, back_sure = _dorsal(body, eye, fin, to_gray(image) if use_picture else None)
     if not up:
         image, body = image[::-1], body[::-1]
     x0, y0, x1, y1 = shapes.crop_box(body, margin)
     if x1 > x0 and y1 > y0:
         image, body = image[y0:y1, x0:x1], body[y0:y1, x0:x1]
     if fill:
-        image = np.where(body[..., None] if image.ndim == 3 else body, image, np.uint8(background))
+        image = np.where(body[..., None] if image.ndim == 3 else body, image, plain)
     wide = body.sum(0)
     wide = wide[np.flatnonzero(wide)[0] : np.flatnonzero(wide)[-1] + 1] if wide.any() else wide
     half = len(wide) // 2
@@ -321,10 +329,11 @@ def standardize_one(image: np.ndarray, body: np.ndarray, eye: np.ndarray | None
         score, valid = 0.3, False
     else:
         valid = score > 0.6
-    return np.ascontiguousarray(image), np.ascontiguousarray(body), {"angle": angle, "curvature_mse": mse, "straight": mse < 50, "head_method": head, "head_right": right, "head_confidence": float(head_sure), "rotated_180": not right, "dorsal_method": back, "dorsal_up": up, "dorsal_confidence": float(back_sure), "flipped": not up, "valid": bool(valid), "score": float(score), "error": None}
+    return np.ascontiguousarray(image), np.ascontiguousarray(body), {"angle": angle, "curvature_mse": mse, "straight": mse < 50, "head_method": head, "head_right": right, "head_confidence": float(head_sure), "rotated_180": turned, "dorsal_method": back, "dorsal_up": up, "dorsal_confidence": float(back_sure), "flipped": not up, "valid": bool(valid), "score": float(score), "error": None}
 
 
-def standardize(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("whole fish", "fish"), eye: str = "fish eye", fin: str = "dorsal fin", margin: float = 0.1) -> DataFrame:
+def standardize(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("whole fish", "fish"), eye: str = "fish eye", fin: str = "dorsal fin", margin: float = 0.1, **options) -> DataFrame:
+    """Each image as standardize_one() leaves it, with its options; where that fails, a row with the error."""
     order = F.array_position(F.lit(list(fish)), F.col("prompt"))
     one = lambda p, name: masks.where(F.col("prompt") == p).groupBy("image_id").agg(F.first("mask").alias(name))
     body = masks.where(F.col("prompt").isin(list(fish))).groupBy("image_id").agg(F.min_by("mask", order).alias("body"))
@@ -340,7 +349,7 @@ def standardize(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("w
                     m = [None if x is None else np.frombuffer(x, np.uint8).reshape(r.height, r.width) > 0 for x in (r.body, r.eye, r.fin)]
                     if m[0] is None:
                         raise ValueError("no mask of the animal")
-                    out, mask, meta = standardize_one(array(r.height, r.width, r.n_channels, r.data), *m, margin)
+                    out, mask, meta = standardize_one(array(r.height, r.width, r.n_channels, r.data), *m, margin, **options)
                     own |= meta | {"height": out.shape[0], "width": out.shape[1], "n_channels": r.n_channels, "data": out.tobytes(), "mask": mask.astype(np.uint8).tobytes()}
                 except Exception as e:
                     own["error"] = str(e)
@@ -353,18 +362,18 @@ def standardize(images: DataFrame, masks: DataFrame, fish: tuple[str, ...] = ("w
 VOTES = "image_id string, eye_left boolean, eye_top boolean, eye_confidence double, fin_top boolean, fin_confidence double, head_left_by_tail boolean, tail_confidence double"
 
 
-def votes_of(gray: np.ndarray, body: np.ndarray) -> dict:
+def votes_of(gray: np.ndarray | None, body: np.ndarray) -> dict:
     """What the picture of a level animal says: eyes in the head's part and their half, the fin's half, and the forked end.
 
-    Eyes count with a confidence over 0.3. Unknown votes are None, with confidence 0.
+    Eyes count with a confidence over 0.3. Unknown votes are None, with confidence 0. Without a picture only the outline votes.
     """
     out = {"eye_left": None, "eye_top": None, "eye_confidence": 0.0, "fin_top": None, "fin_confidence": 0.0}
     ys, xs = np.nonzero(body)
-    found, sure = signals.eyes(gray, body)
+    found, sure = signals.eyes(gray, body) if gray is not None else ([], 0.0)
     if len(xs) and found and sure > 0.3:
         left = sum(x < xs.min() + 0.3 * (xs.max() - xs.min()) for x, _ in found)
         out |= {"eye_left": bool(left > len(found) / 2), "eye_top": bool(np.mean([y for _, y in found]) < (ys.min() + ys.max()) / 2), "eye_confidence": sure}
-    place, sure = signals.dorsal_fin(body)
+    place, sure = signals.dorsal_fin(body) if gray is not None else (None, 0.0)
     if place is not None:
         out |= {"fin_top": bool(place[1] < ys.mean()), "fin_confidence": sure}
     out["head_left_by_tail"], out["tail_confidence"] = shapes.tail_shape(body)

@@ -7,8 +7,9 @@ import importlib
 import json
 import logging
 import os
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from markwise.operators import images as im
@@ -20,21 +21,32 @@ from .matching import one_vs_many, pairwise, stored_index
 log = logging.getLogger("markwise")
 
 
+def _settings(a: argparse.Namespace) -> dict:
+    given = settings.load(a.config) if a.config else {}
+    settings.check_sections(given)
+    return given
+
+
 def _match(spark: SparkSession, a: argparse.Namespace) -> None:
-    own = settings.matching(settings.load(a.config) if a.config else {})
+    given = _settings(a)
+    own, options = settings.matching(given), asdict(settings.features(given))
     pictures = images.read(spark, a.standardized_dir, "*_standardized.png")
-    if a.force_recompute or not tables.exists(spark, a.features_dir):
-        tables.write_features(im.extract_features(pictures), a.features_dir)
+    noted = f"{a.features_dir.rstrip('/')}_options"
+    same = tables.recovered(spark, noted) and spark.read.json(noted).first().asDict() == options
+    anew = a.force_recompute or not tables.exists(spark, a.features_dir) or not same
+    if anew:
+        tables.write_features(im.extract_features(pictures, **options), a.features_dir)
+        tables.replace_json(spark.createDataFrame([Row(**options)]).coalesce(1), noted)
     else:
-        im.extract_features(im.uncached(pictures, spark.read.parquet(a.features_dir))).write.mode("append").parquet(a.features_dir)
-    features = im.cached_features(pictures, spark.read.parquet(a.features_dir))
+        im.extract_features(im.uncached(pictures, spark.read.parquet(a.features_dir)), **options).write.mode("append").parquet(a.features_dir)
+    features = im.cached_features(pictures, spark.read.parquet(a.features_dir), **options)
     wanted = pictures.where(F.col("image_id").startswith(a.query)).orderBy("image_id").limit(1) if a.query else None
     if wanted is not None and wanted.isEmpty():
         raise ValueError(f"no image is named {a.query}")
     if (a.matching_method or own.method) == "pairwise":
         found = pairwise(features, wanted, own)
     else:
-        index = stored_index(features, a.index_dir or f"{a.features_dir.rstrip('/')}_index", a.force_recompute) if own.use_pq or a.index_dir else None
+        index = stored_index(features, a.index_dir or f"{a.features_dir.rstrip('/')}_index", anew) if own.use_pq or a.index_dir else None
         found = one_vs_many(features, wanted, own, index)
     found = found if "lnbnn_score" in found.columns else found.withColumn("lnbnn_score", F.lit(None).cast("double"))
     tables.write_results(found, f"{a.output_dir}/matches.json")
@@ -64,8 +76,9 @@ def _segmenter(name: str) -> type:
 
 def _process(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Runs the steps that are left, and returns their summary."""
+    given = _settings(a)
     path = f"{a.metadata_dir}/metrics"
-    before = tables.exists(spark, path)
+    before = tables.recovered(spark, path)
     old = spark.read.schema(im.METRICS).json(path) if before else spark.createDataFrame([], im.METRICS)
     raw = images.read(spark, a.raw_dir)
     state = progress.progress(images.scan(spark, a.raw_dir, "*.{jpg,JPG,png}"), _artifacts(spark, a), old.select("image_id", "pixels_per_mm"))
@@ -74,16 +87,25 @@ def _process(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     log.info("%s", summary.first().asDict())
     todo = lambda step: raw.join(steps.where(f"need_{step}").select("image_id"), "image_id", "left_semi")
     if a.segmenter and not steps.where("need_segmentation").isEmpty():
-        found = im.segment(todo("segmentation"), _segmenter(a.segmenter), list(images.PROMPTS))
+        cut = settings.segmentation(given)
+        found = im.segment(todo("segmentation"), _segmenter(a.segmenter), list(cut.prompts), cut.confidence)
         images.export(images.mask_files(found.where("area > 0")), a.masks_dir)
     masks = images.read_masks(spark, a.masks_dir)
     if not a.no_metrics and not steps.where("need_metrics").isEmpty():
         kinds = [f.dataType for f in old.schema.fields]
         bad = images.unreadable(spark, a.raw_dir).select("image_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(old.columns[1:-1], kinds[1:-1], strict=True)], F.col("error").alias("extraction_error"))
-        tables.replace_json(progress.upsert(old, im.measure(todo("metrics"), masks).unionByName(bad), "image_id"), path)
+        tables.replace_json(progress.upsert(old, im.measure(todo("metrics"), masks, **asdict(settings.metrics(given))).unionByName(bad), "image_id"), path)
         tables.write_json(ruler.scale_stats(spark.read.schema(im.METRICS).json(path), "pixels_per_mm"), f"{a.metadata_dir}/scale_distribution")
     if not a.no_standardize and not steps.where("need_standardization").isEmpty():
-        out = im.standardize(todo("standardization"), masks).where(F.col("error").isNull())
+        scratch, results_path = tables.scratch(spark, "standardized"), f"{a.metadata_dir}/standardization"
+        im.standardize(todo("standardization"), masks, **asdict(settings.standardization(given))).write.parquet(scratch)
+        tried = spark.read.parquet(scratch)
+        said = tried.drop("data", "mask")
+        earlier = spark.read.schema(said.schema).json(results_path) if tables.recovered(spark, results_path) else spark.createDataFrame([], said.schema)
+        tables.replace_json(progress.upsert(earlier, said, "image_id"), results_path)
+        for r in said.where("error is not null").select("image_id", "error").limit(20).collect():
+            log.warning("%s was not standardized: %s", r["image_id"], r["error"])
+        out = tried.where(F.col("error").isNull())
         named = lambda ending, data, n: out.select(F.concat("image_id", F.lit(ending)).alias("image_id"), "height", "width", n.alias("n_channels"), data.alias("data"))
         both = named("_standardized_mask", F.unhex(F.regexp_replace(F.hex("mask"), "01", "FF")), F.lit(1)).union(named("_standardized", F.col("data"), F.col("n_channels")))
         images.export(images.png_files(both), a.standardized_dir)
@@ -129,12 +151,12 @@ def main(argv: list[str] | None = None) -> int:
     for x in (m, q, r):
         x.add_argument("--config")
         x.add_argument("--verbose", "-v", action="store_true")
-    sub.add_parser("report")
+    sub.add_parser("report").add_argument("--segmenter", help="module:Class of a model of masks, to be tried")
     a = p.parse_args(argv)
     if a.command == "report":
-        found = settings.environment_report()
+        found = settings.environment_report(a.segmenter)
         print(json.dumps(found))
-        return 0 if all(found.values()) else 1
+        return 1 if any(x.startswith("fail") for x in found.values()) else 0
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO)
     if a.command != "match":
         data = settings.load(a.config).get("data", {}) if a.config else {}

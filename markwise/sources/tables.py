@@ -1,4 +1,4 @@
-"""Metrics, results and renames as JSON, CSV and Parquet; Spark's commit protocol makes each write atomic."""
+"""Metrics, results and renames as JSON, CSV and Parquet; what is replaced in place is there, old or new, whenever a write dies (recovered())."""
 
 from __future__ import annotations
 
@@ -38,14 +38,36 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _beside(spark: SparkSession, path: str) -> tuple:
+    """The file system, the path, and where its next and its last contents lie while it is replaced."""
+    jvm = spark._jvm
+    place, new, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".new", ".old"))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place, new, old
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at the path, after a replacement that died halfway is finished: the new contents if they are whole, else the old ones."""
+    fs, place, new, old = _beside(spark, path)
+    if not fs.exists(place):
+        whole = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS"))
+        if whole or fs.exists(old):
+            fs.rename(new if whole else old, place)
+    if fs.exists(place) and fs.exists(old):
+        fs.delete(old, True)
+    return fs.exists(place)
+
+
 def replace_json(df: DataFrame, path: str) -> None:
-    """Writes beside the path, which df may read, and then takes its place."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.new")
+    """Writes beside the path, which df may read, moves the old contents away and the new ones in. Whenever it dies, recovered() finds one of them whole."""
+    spark = df.sparkSession
+    fs, place, new, old = _beside(spark, path)
     df.write.mode("overwrite").json(new.toString())
-    fs = old.getFileSystem(conf)
+    if fs.exists(old):
+        fs.delete(old, True)
+    if fs.exists(place):
+        fs.rename(place, old)
+    fs.rename(new, place)
     fs.delete(old, True)
-    fs.rename(new, old)
 
 
 def read_metrics(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
