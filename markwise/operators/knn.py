@@ -112,12 +112,13 @@ def nearest_sql(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
 def _met(queries: DataFrame, database: DataFrame, pair, broadcast_bytes: int, block_rows: int, label: str | None = None) -> DataFrame | None:
     """pair(left, d, ids[, labels]) over all queries and blocks of the database; None for an empty database.
 
-    pair gets a frame (qid, d) and a block's arrays and returns a frame of SCHEMA. One block, if the database is at most
+    pair gets a frame (qid, d) and a block's arrays and returns a frame of SCHEMA, with the label behind it if there is one. One block, if the database is at most
     broadcast_bytes; else every block of queries meets every block of the database in a task of its own.
     """
     more = [label] if label else []
     arrays = lambda t: (_matrix(t["d"]), t["global_idx"].to_numpy(np.int64), *(t[c].to_numpy() for c in more))
     size = database.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("d")), F.lit(0)).alias("dim")).first()
+    schema = SCHEMA + (f", {label} {database.schema[label].dataType.simpleString()}" if label else "")
     queries, database = queries.select(F.col("qid").cast("long"), "d"), database.select(F.col("global_idx").cast("long"), "d", *more)
     if not size["n"]:
         return None
@@ -129,7 +130,7 @@ def _met(queries: DataFrame, database: DataFrame, pair, broadcast_bytes: int, bl
                 if len(part):
                     yield pair(part, *shared.value)
 
-        return queries.mapInPandas(scan, SCHEMA)
+        return queries.mapInPandas(scan, schema)
     n_db = -(-size["n"] // block_rows)
     n_q = max(1, -(-queries.count() // block_rows))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_db - 1).cast("long"))))
@@ -137,10 +138,10 @@ def _met(queries: DataFrame, database: DataFrame, pair, broadcast_bytes: int, bl
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "global_idx": [], "d2": []}).astype({"qid": "int64", "global_idx": "int64", "d2": "float64"})
+            return pd.DataFrame({"qid": [], "global_idx": [], "d2": []} | {c: [] for c in more}).astype({"qid": "int64", "global_idx": "int64", "d2": "float64"})
         return pair(left, *arrays(right))
 
-    return q.groupBy("qb", "db").cogroup(b.groupBy("qb", "db")).applyInPandas(block, SCHEMA)
+    return q.groupBy("qb", "db").cogroup(b.groupBy("qb", "db")).applyInPandas(block, schema)
 
 
 def nearest(queries: DataFrame, database: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -161,14 +162,14 @@ def nearest_by_label(queries: DataFrame, database: DataFrame, k: int, label: str
 
     def pair(left: pd.DataFrame, d: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
         r, i, x = _top_by_label(_matrix(left["d"]), d, ids, labels, k)
-        return pd.DataFrame({"qid": left["qid"].to_numpy()[r], "global_idx": i, "d2": x})
+        order = np.argsort(ids, kind="stable")
+        return pd.DataFrame({"qid": left["qid"].to_numpy()[r], "global_idx": i, "d2": x, label: labels[order[np.searchsorted(ids, i, sorter=order)]]})
 
     found = _met(queries, database, pair, broadcast_bytes, block_rows, label)
     if found is None:
-        found = queries.sparkSession.createDataFrame([], SCHEMA)
-    named = found.join(database.select(F.col("global_idx").cast("long"), label), "global_idx")
+        found = queries.sparkSession.createDataFrame([], f"{SCHEMA}, {label} {database.schema[label].dataType.simpleString()}")
     own = W.Window.partitionBy("qid", label).orderBy("d2", "global_idx")
-    return named.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("qid", label, "global_idx", "d2", "rank")
+    return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("qid", label, "global_idx", "d2", "rank")
 
 
 def within(queries: DataFrame, database: DataFrame, most: float, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from markwise.operators import images as im
 from markwise.operators import orient, progress, results, ruler
-from markwise.sources import images, settings, tables
+from markwise.sources import files, images, settings, tables
 
 from .matching import one_vs_many, pairwise, stored_index
 
@@ -77,6 +77,8 @@ def _segmenter(name: str) -> type:
 def _process(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Runs the steps that are left, and returns their summary."""
     given = _settings(a)
+    for folder in (a.masks_dir, a.standardized_dir):
+        files.recover(folder)
     path = f"{a.metadata_dir}/metrics"
     before = tables.recovered(spark, path)
     old = spark.read.schema(im.METRICS).json(path) if before else spark.createDataFrame([], im.METRICS)

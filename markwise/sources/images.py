@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ from pyspark.sql import functions as F
 from markwise.kernels import png
 from markwise.operators.images import array
 
+from . import files
+
 IMAGE = "image_id string, path string, height int, width int, n_channels int, data binary"
 
 
@@ -130,36 +130,9 @@ def png_files(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, "image_id string, content binary")
 
 
-def export(files: DataFrame, folder: str, suffix: str = ".png") -> int:
-    """Writes (image_id, content) as single files and counts them.
-
-    Tasks write to a folder of a file system that all executors have mounted, each file under another name first, so a task
-    that runs twice does no harm. Into any other store the driver writes, through Hadoop, for modest numbers.
-    """
-    spark = files.sparkSession
-    if re.match(r"(file:)?/", folder):
-        place = re.sub(r"^file:/+", "/", folder)
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            os.makedirs(place, exist_ok=True)
-            for part in parts:
-                for name, content in zip(part["image_id"], part["content"], strict=True):
-                    own = f"{place}/.{uuid.uuid4().hex}"
-                    with open(own, "wb") as out:
-                        out.write(content)
-                    os.replace(own, f"{place}/{name}{suffix}")
-                yield pd.DataFrame({"n": [len(part)]})
-
-        return files.select("image_id", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    jvm, n = spark._jvm, 0
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in files.toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(target, f"{r['image_id']}{suffix}"), True)
-        out.write(bytearray(r["content"]))
-        out.close()
-        n += 1
-    return n
+def export(images: DataFrame, folder: str, suffix: str = ".png") -> None:
+    """Writes (image_id, content) as single files, all of them or none (sources.files)."""
+    files.export(images, folder, suffix)
 
 
 def mask_files(masks: DataFrame) -> DataFrame:
