@@ -13,6 +13,7 @@ from markwise.operators import features, forest, images, knn, matching, orient,
 from markwise.operators import pixels as px
 from markwise.sources.tables import scratch
 from markwise.streaming import incremental
+from markwise.streaming import steps as stream_of_steps
 
 from . import surrogates as s
 from .surrogates import AFFINE, WITH
@@ -748,6 +749,23 @@ def required_steps(spark, sf):
     return progress.required_steps(_progress(spark, sf))
 
 
+@query(WITH("names", "progress", "steps") + "SELECT * FROM steps")
+def stream_steps(spark, sf):
+    """The same steps, by a stream with state over the images and their artifacts in two micro-batches."""
+    n = s.names(spark, sf)
+    j = n.join(s.table(spark, sf, "labels"), "doc_id")
+    at = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id"))
+    event = lambda kind, value=None: F.struct(F.lit(kind).alias("kind"), (F.lit(value) if value is None else value).cast("double").alias("value"))
+    made = F.array(event("fish"), event("ruler"), event("metrics", F.col("quality")), F.when(F.col("toxic") == 1, event("image")), F.when(F.col("toxic") == 1, event("mask")))
+    rows = j.select("image_id", F.explode(F.array_compact(made)).alias("e"), at.alias("ts")).select("image_id", "e.*", "ts")
+    source, target = scratch(spark, "events"), scratch(spark, "steps")
+    rows.write.parquet(source)
+    n.select("image_id", F.lit("raw").alias("kind"), F.lit(None).cast("double").alias("value"), at.alias("ts")).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(stream_of_steps.EVENTS).option("maxFilesPerTrigger", 16).parquet(source)
+    stream_of_steps.keep_steps(stream, target, scratch(spark, "checkpoint")).awaitTermination()
+    return stream_of_steps.steps_now(spark, target).drop("stuck")
+
+
 @query(WITH("names", "progress", "steps") + "SELECT image_id FROM steps WHERE need_segmentation OR need_metrics OR need_standardization")
 def work_queue(spark, sf):
     return progress.work_queue(progress.required_steps(_progress(spark, sf))).select("image_id")
