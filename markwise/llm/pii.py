@@ -84,7 +84,9 @@ _LATIN = "aeopcyxisjdqwhABEKMHOPCTYXISJaopvitkABEZHIKMNOPTYX"
 HOMOGLYPHS = {ord(a): b for a, b in zip(_LOOKS, _LATIN, strict=True)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: str(unicodedata.digit(chr(c))) for lo in (0x660, 0x6F0, 0x966) for c in range(lo, lo + 10)}
 #: Mathematical letters and digits too, by their compatibility forms.
 HOMOGLYPHS |= {c: x for c in range(0x1D400, 0x1D800) if (x := unicodedata.normalize("NFKC", chr(c))).isascii()}
-_GLYPH = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + "]")
+#: Two classes: one with characters of more than 16 bits among others would be searched item by item.
+_GLYPH = re.compile("[" + re.escape("".join(chr(c) for c in HOMOGLYPHS if c < 1 << 16)) + "]")
+_GLYPH_WIDE = re.compile("[\U0001d400-\U0001d7ff]")
 
 # Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -107,6 +109,7 @@ _NAMED = re.compile(
 )
 _DOMAIN_AHEAD = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Invisible characters inside a word.
+_HIDDEN_ANY = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _HIDDEN = re.compile("(?<=[A-Za-z0-9@.])[\u00ad\u200b-\u200d\u2060\ufeff]+(?=[A-Za-z0-9@.])")
 _BRACKETS = re.compile(r"[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]")
 _BESIDE = re.compile(rf"\b(?:{_NAME})[\x20,.()-]{{1,3}}(?:(?:{_NAME})\b|[0-9])|[0-9][\x20,.()-]{{1,3}}(?:{_NAME})\b")
@@ -121,7 +124,7 @@ def suspect(text: str) -> bool:
         return True
     if any(x in low for x in SPELLED) and _BESIDE.search(low):
         return True
-    return not text.isascii() and bool(_HIDDEN.search(text))
+    return not text.isascii() and bool(_HIDDEN_ANY.search(text))
 
 
 class Normal:
@@ -196,11 +199,11 @@ def _is_address(text: Normal, at: re.Match[str]) -> bool:
 
 def normalise(text: str) -> Normal | None:
     """The rewritten text, or None if nothing in it looks disguised."""
-    glyphs = not text.isascii() and _GLYPH.search(text)
+    glyphs = not text.isascii() and (_GLYPH.search(text) or _GLYPH_WIDE.search(text))
     if not glyphs and not suspect(text):
         return None
     out = Normal(text.translate(HOMOGLYPHS) if glyphs else text)  # one character for one: offsets stay
-    if not text.isascii():
+    if not text.isascii() and _HIDDEN_ANY.search(text):
         out.rewrite(_HIDDEN, lambda m: "")
     out.rewrite(_DOT, lambda m: ".")
     out.rewrite(_AT, lambda m: "@")
