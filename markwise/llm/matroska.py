@@ -262,7 +262,7 @@ def _lasts(track: dict | None, size: int) -> int:
 
 
 def _cluster(data: bytes, x: int, y: int, out: Media, number) -> None:
-    base, block = 0, 0
+    base, block = 0, out.packets[-1].block + 1 if out.packets else 0
     for k, _, p, q in elements(data, x, y):
         if k == CLUSTER_TIMESTAMP:
             base = number(p, q)
@@ -301,7 +301,7 @@ def media_files(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 
 def packet_table(df: DataFrame, content: str = "content", key: str = "doc_id") -> DataFrame:
-    """One row per packet: key, track, packet number, timestamp_ns, duration_ns, byte range, cluster, block, lacing, keyframe."""
+    """One row per packet: key, track, packet number, timestamp_ns, duration_ns, byte range, cluster, block (numbered through the file), lacing, keyframe."""
     names = ["packet", "track", "timestamp_ns", "duration_ns", "byte_start", "byte_size", "cluster", "block", "lacing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,12 @@ def test_clusters_of_unknown_size():
     assert [(data[p.start : p.start + p.size], p.timestamp, p.cluster) for p in m.packets] == [(b"ab", 0, 0), (b"cde", 9, 1), (b"f", 20, 2)]
 
 
+def test_blocks_are_numbered_through_the_file():
+    per_cluster = matroska.LACED * matroska.BLOCKS
+    packets = matroska.demux(matroska.mux(bytes(matroska.FRAME * (2 * per_cluster + 1)))).packets
+    assert [(p.cluster, p.block) for p in packets] == [(i // per_cluster, i // matroska.LACED) for i in range(2 * per_cluster + 1)]
+
+
 def test_durations():
     """A track's default, a block's own, and what samples of another width last."""
     frames = [b"abcd", b"efgh"]
