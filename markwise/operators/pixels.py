@@ -52,18 +52,41 @@ def _placed(table: DataFrame, axis: str) -> DataFrame:
     return table.withColumn("rn", F.row_number().over(own.orderBy(axis))).withColumn("len", F.count("*").over(own))
 
 
+def _deviation(values: Column) -> Column:
+    """The population deviation of an array, summed up in its order: equal arrays, and those that SQL reads in this order, compare alike whatever the partitions. Null if empty."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, v: Column) -> Column:
+        mean = s["mean"] + (v - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["squares"] + (v - mean) * (v - s["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, step, lambda s: F.sqrt(F.try_divide(s["squares"], s["n"])))
+
+
+def _in_order(place: Column | str, value: Column | str) -> Column:
+    """A group's values in order of their places, as an array of (place, value)."""
+    at = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.sort_array(F.collect_list(F.struct(at(place).alias("at"), at(value).cast("double").alias("v"))))
+
+
 def half_profile_stats(pixels: DataFrame, axis: str) -> DataFrame:
     """Means and population deviations of the profile's halves, cut at half its length rounded down."""
     p = _placed(profile(pixels, axis), axis).withColumn("first", F.col("rn") <= F.floor(F.col("len") / 2))
     of = lambda f, side: F.coalesce(f(F.when(F.col("first") == side, F.col("n").cast("double"))), F.lit(0.0))
-    return p.groupBy("image_id").agg(
-        of(F.avg, True).alias("mean_first"), of(F.avg, False).alias("mean_second"), of(F.stddev_pop, True).alias("std_first"), of(F.stddev_pop, False).alias("std_second"),
+    stats = p.groupBy("image_id").agg(
+        of(F.avg, True).alias("mean_first"), of(F.avg, False).alias("mean_second"), _in_order("rn", "n").alias("_own"),
         F.max("len").alias("len"), F.min_by("rn", F.struct(-F.col("n"), F.col("rn"))).alias("widest"),
     )
+    half = lambda first: F.transform(F.filter("_own", lambda x: (x["at"] <= F.floor(F.col("len") / 2)) == first), lambda x: x["v"])
+    spread = lambda first: F.coalesce(_deviation(half(first)), F.lit(0.0))
+    return stats.select("image_id", "mean_first", "mean_second", spread(True).alias("std_first"), spread(False).alias("std_second"), "len", "widest")
 
 
 def edge_roughness(pixels: DataFrame) -> DataFrame:
-    return edge_profile(pixels).groupBy("image_id").agg(F.stddev_pop("top").alias("top_roughness"), F.stddev_pop("bottom").alias("bottom_roughness"))
+    """Population deviations of the edges, summed up from column to column."""
+    rows = edge_profile(pixels).groupBy("image_id").agg(_in_order("x", "top").alias("top"), _in_order("x", "bottom").alias("bottom"))
+    values = lambda c: F.transform(c, lambda x: x["v"])
+    return rows.select("image_id", _deviation(values("top")).alias("top_roughness"), _deviation(values("bottom")).alias("bottom_roughness"))
 
 
 def convexity(pixels: DataFrame) -> DataFrame:

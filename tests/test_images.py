@@ -468,3 +468,21 @@ def test_process_match_and_again(spark, tmp_path):
     assert cli.main(["rename", "--images-dir", str(raw), "--masks-dir", str(masks), "--output", folder("names")]) == 0
     plan = {r.old_name: r.head_direction for r in spark.read.json(folder("names")).collect()}
     assert plan == {"JAVR0001": "R", "JAVR0002": "L"}
+
+
+def test_deviations_are_summed_up_in_order_whatever_the_partitions(spark):
+    """Edges of equal deviation decide by the last bit, which must be that of one fold in order of x."""
+    r = np.random.default_rng(4)
+    edges = {k: (r.integers(0, 9, 40), r.integers(20, 61, 40)) for k in range(30)}
+    rows = [(k, x, int(y)) for k, pair in edges.items() for edge in pair for x, y in enumerate(edge)]
+    r.shuffle(rows)
+
+    def literal(values):
+        n, mean, squares = 0.0, 0.0, 0.0
+        for v in map(float, values):
+            n, new = n + 1, mean + (v - mean) / (n + 1)
+            mean, squares = new, squares + (v - new) * (v - mean)
+        return (squares / n) ** 0.5
+
+    got = px.edge_roughness(spark.createDataFrame([tuple(map(int, x)) for x in rows], "image_id long, x int, y int").repartition(7)).collect()
+    assert {(x.image_id, x.top_roughness, x.bottom_roughness) for x in got} == {(k, literal(a), literal(b)) for k, (a, b) in edges.items()}
