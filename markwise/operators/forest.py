@@ -4,8 +4,8 @@ grow() makes a table with a row per image: the split planes of its trees, the le
 taken at random from the five of largest variance; the seed is a hash of the image and the tree, so a lost task's work comes out the same. A row is as
 large as its image, whatever the database holds.
 
-nearest_in_images() packs queries in blocks. Every block meets every image (which is what comparing in pairs means) in a join on a block of images, and
-the pair is searched in arrays: a leaf's bound for a query is the sum of squared distances to the planes that part them; a query visits leaves of all
+nearest_in_images() packs queries in blocks, dealt over shares. Every share meets every image (which is what comparing in pairs means) in a cogroup on (images, share), and
+a block and an image are searched in arrays: a leaf's bound for a query is the sum of squared distances to the planes that part them; a query visits leaves of all
 trees in order of their bounds, until it has met `checks` members (one that several trees give counts each time), and these alone are measured.
 """
 
@@ -16,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .knn import _exact, _first
+from markwise.sources.tables import scratch
+
+from .knn import _exact, _first, _top
 
 TREES = 5
 CHECKS = 50
@@ -28,9 +31,11 @@ CHECKS = 50
 LEAF = 4
 #: Fixed value: among how many dimensions of largest variance a plane's is taken.
 WIDEST = 5
-#: Queries of a block, and images of a block.
+#: Queries of a block, blocks that meet an image in one task, and images of a task; images of more than LARGE members on average are a task's each.
 QUERIES = 512
+BLOCKS = 16
 IMAGES = 16
+LARGE = 1024
 
 FOREST = "image_id string, ids binary, vectors binary, nodes binary, cuts binary, leaves binary, members binary"
 _FOUND = "qid long, image_id string, global_idx long, d2 double"
@@ -108,15 +113,20 @@ def _search(q: np.ndarray, row: dict, k: int, checks: int) -> tuple[np.ndarray,
     first = numbers[1 : 1 + 2 * numbers[0]].reshape(-1, 2)
     nodes, cuts = numbers[1 + 2 * numbers[0] :].reshape(-1, 3), np.frombuffer(row["cuts"], "<f8")
     sizes, members = np.frombuffer(row["leaves"], "<i4").astype(np.int64), np.frombuffer(row["members"], "<i4")
+    if checks >= sizes.sum():  # every leaf is visited
+        return _top(q, x, ids, k)
     each, at = [], 0
     for n_nodes, n_leaves in first:
         each.append(bounds(q, nodes[at : at + n_nodes], cuts[at : at + n_nodes], n_leaves))
         at += n_nodes
     queue = np.concatenate(each, axis=1)
-    order = np.argsort(queue, axis=1, kind="stable")
-    met = np.cumsum(sizes[order], axis=1)
-    i, place = np.nonzero(met - sizes[order] < checks)
-    leaf = order[i, place]
+    most = min(checks, queue.shape[1])  # a leaf holds a member at least, so no more leaves are visited
+    i, leaf = np.nonzero(queue <= np.partition(queue, most - 1, axis=1)[:, most - 1 : most])
+    order = np.lexsort((leaf, queue[i, leaf], i))
+    i, leaf = i[order], leaf[order]
+    met = np.cumsum(sizes[leaf]) - sizes[leaf]
+    near = met - met[np.searchsorted(i, i)] < checks
+    i, leaf = i[near], leaf[near]
     i, begin, n = np.repeat(i, sizes[leaf]), np.cumsum(sizes) - sizes, sizes[leaf]
     j = members[np.repeat(begin[leaf] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     pairs = np.unique(i * len(ids) + j)
@@ -128,25 +138,38 @@ def _search(q: np.ndarray, row: dict, k: int, checks: int) -> tuple[np.ndarray,
 
 def nearest_in_images(queries: DataFrame, forests: DataFrame, k: int, checks: int = CHECKS) -> DataFrame:
     """Approximate: (qid, image_id, global_idx, d2, rank) of the k nearest in each image of the forests for each of queries(qid, d)."""
-    n_db = max(1, -(-forests.count() // IMAGES))
+    spark, path = queries.sparkSession, scratch(queries.sparkSession, "forest")
+    forests.write.parquet(path)
+    forests = spark.read.schema(forests.schema).parquet(path)
+    size = forests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0)).alias("rows")).first()
+    n_db = max(1, -(-size["n"] // IMAGES))
+    part = F.xxhash64("image_id") if size["rows"] > size["n"] * LARGE else F.pmod(F.xxhash64("image_id"), F.lit(n_db))
+    forests = forests.withColumn("part", part)
+    n_q = max(1, -(-queries.count() // (QUERIES * BLOCKS)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), QUERIES):
-                part = batch.slice(at, QUERIES)
-                x = part["d"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.record_batch([pa.array([part["qid"].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["qids", "q"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                qid = np.frombuffer(row["qids"], "<i8")
-                i, idx, d2 = _search(np.frombuffer(row["q"], "<f8").reshape(len(qid), -1), row, k, checks)
-                yield pa.record_batch([pa.array(qid[i]), pa.array([row["image_id"]] * len(i)), pa.array(idx), pa.array(d2)], names=["qid", "image_id", "global_idx", "d2"])
-
-    blocks = queries.select(F.col("qid").cast("long"), F.col("d").cast("array<double>").alias("d")).mapInArrow(pack, "qids binary, q binary")
-    asked = blocks.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_db - 1).cast("long"))))
-    pairs = asked.join(forests.withColumn("db", F.pmod(F.xxhash64("image_id"), F.lit(n_db))), "db").drop("db")
-    found = pairs.mapInArrow(search, _FOUND)
+            for share in np.unique(batch["share"].to_numpy()):
+                own = batch.filter(pc.equal(batch["share"], pa.scalar(int(share), pa.int64())))
+                for at in range(0, len(own), QUERIES):
+                    part = own.slice(at, QUERIES)
+                    x = part["d"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    yield pa.record_batch([pa.array([int(share)], pa.int64()), pa.array([part["qid"].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["share", "qids", "q"])
+
+    def search(blocks: pa.Table, images: pa.Table) -> pa.Table:
+        out = []
+        for block in blocks.select(["qids", "q"]).to_pylist() if images.num_rows else []:
+            qid = np.frombuffer(block["qids"], "<i8")
+            x = np.frombuffer(block["q"], "<f8").reshape(len(qid), -1)
+            for row in images.to_pylist():
+                i, idx, d2 = _search(x, row, k, checks)
+                out.append(pa.table([pa.array(qid[i], pa.int64()), pa.array([row["image_id"]] * len(i), pa.string()), pa.array(idx, pa.int64()), pa.array(d2, pa.float64())], names=["qid", "image_id", "global_idx", "d2"]))
+        return pa.concat_tables(out) if out else pa.table({"qid": pa.array([], pa.int64()), "image_id": pa.array([], pa.string()), "global_idx": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
+
+    wide = queries.select(F.col("qid").cast("long"), F.col("d").cast("array<double>").alias("d"), F.pmod(F.xxhash64("qid"), F.lit(n_q)).alias("share"))
+    blocks = wide.repartition(n_q, "share").mapInArrow(pack, "share long, qids binary, q binary")
+    asked = blocks.join(F.broadcast(forests.select(F.col("part").alias("at")).distinct()))
+    shares = forests.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    found = asked.groupBy("at", "share").cogroup(shares.groupBy("part", "share")).applyInArrow(search, _FOUND)
     own = W.Window.partitionBy("qid", "image_id").orderBy("d2", "global_idx")
     return found.withColumn("rank", F.row_number().over(own))

@@ -72,3 +72,18 @@ def test_pairwise_by_forests(spark, checks):
     found = pairwise(features, None, Matching(flann_checks=checks)).where("rank = 1").collect()
     assert {(m.query_id, m.match_id) for m in found} == {(f"a{k}_{s}", f"a{k}_{1 - s}") for k in range(3) for s in range(2)}
     assert min(m.inliers for m in found) >= 36
+
+
+def test_large_images_meet_shares_of_the_queries_in_tasks_of_their_own(spark, sf, monkeypatch):
+    """Few images are no longer one block's, and so one task's, work; the rows are the same."""
+    from markwise.plans import surrogates
+
+    d = surrogates.descriptors(spark, sf)
+    q = surrogates.resight(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(forest.nearest_in_images(q, forest.grow(d), 2))
+    monkeypatch.setattr(forest, "QUERIES", 16)
+    monkeypatch.setattr(forest, "BLOCKS", 2)
+    monkeypatch.setattr(forest, "LARGE", 1)
+    found = forest.nearest_in_images(q, forest.grow(d), 2)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString() and rows(found) == whole
