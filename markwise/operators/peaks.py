@@ -1,74 +1,82 @@
-"""Peaks of series signal(series, t, v) with a least height, a least distance and a least prominence, as folds over each series' sorted values.
+"""Peaks of series signal(series, t, v) with a least height, a least distance and a least prominence.
 
 A peak is a value, or the middle of equal values (rounded down), that is higher than what stands on both sides; the first and last values
 are none. Heights are judged first, then distances (the higher peak suppresses the lower; of equal ones the later the earlier), then prominences. A group holds one
-series, as long as a picture is wide; nulls in t or v are left out.
+series, of which each pass takes time in proportion to the length; nulls in t or v are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-_PEAKS = "array<struct<i: int, v: double>>"
-
-
-def _plateaus(values: Column) -> Column:
-    """(i, v) of all peaks: what rose to a plateau and falls from it."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("first"), F.lit(False).alias("rose"), F.array().cast(_PEAKS).alias("found"))
+import math
 
-    def step(s: Column, v: Column) -> Column:
-        rises, falls = v > s["last"], v < s["last"]
-        middle = F.floor((s["first"] + s["i"] - 1) / 2).cast("int")
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            v.alias("last"),
-            F.when(rises, s["i"]).otherwise(s["first"]).alias("first"),
-            F.coalesce(rises | (~falls & s["rose"]), F.lit(False)).alias("rose"),
-            F.when(falls & s["rose"], F.concat(s["found"], F.array(F.struct(middle.alias("i"), s["last"].alias("v"))))).otherwise(s["found"]).alias("found"),
-        )
-
-    return F.aggregate(values, start, step)["found"]
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def _apart(found: Column, distance: int) -> Column:
-    """The peaks that no higher one nearer than the distance suppresses."""
-    order = F.reverse(F.sort_array(F.transform(found, lambda p: F.struct(p["v"].alias("v"), p["i"].alias("i")))))
-    keep = lambda kept, p: F.when(F.exists(kept, lambda k: F.abs(k["i"] - p["i"]) < distance), kept).otherwise(F.concat(kept, F.array(F.struct(p["i"].alias("i"), p["v"].alias("v")))))
-    return F.sort_array(F.aggregate(order, F.array().cast(_PEAKS), keep))
+def _apart(place: np.ndarray, v: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the peaks no higher one nearer than the distance suppresses."""
+    at, out = place.tolist(), [True] * len(place)
+    for i in np.lexsort((place, v))[::-1].tolist():
+        if out[i]:
+            for way in (-1, 1):
+                j = i + way
+                while 0 <= j < len(at) and abs(at[j] - at[i]) < distance:
+                    out[j] = False
+                    j += way
+    return np.array(out, bool)
 
 
-def _lowest(values: Column) -> Column:
+def _lowest(values: list[float]) -> list[float]:
     """For each value the lowest one since the last higher one, itself included, or since the start.
 
-    The fold keeps a stack of values that fall from its bottom to its top, each with the lowest one since the value below it: a
-    new value takes the place of all that aren't higher, and of what they knew.
+    The stack's values fall from its bottom to its top, each with the lowest one since the value below it: a new value takes the
+    place of all that aren't higher, and of what they knew.
     """
-    kind = "array<struct<v: double, low: double>>"
-    start = F.struct(F.array().cast(kind).alias("stack"), F.array().cast("array<double>").alias("lows"))
-
-    def step(s: Column, v: Column) -> Column:
-        passed = F.transform(F.filter(s["stack"], lambda x: x["v"] <= v), lambda x: x["low"])
-        low = F.coalesce(F.least(v, F.array_min(passed)), v)
-        stack = F.concat(F.filter(s["stack"], lambda x: x["v"] > v), F.array(F.struct(v.alias("v"), low.alias("low"))))
-        return F.struct(stack.alias("stack"), F.concat(s["lows"], F.array(low)).alias("lows"))
-
-    return F.aggregate(values, start, step)["lows"]
+    stack: list[tuple[float, float]] = []
+    out = []
+    for v in values:
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        stack.append((v, low))
+        out.append(low)
+    return out
 
 
 def peaks(signal: DataFrame, height: float | None = None, distance: int = 1, prominence: float | None = None, percentile: float | None = None) -> DataFrame:
     """(series, t, v, prominence) of the peaks; percentile: the least height is that percentile (0 to 1) of the series' values."""
-    known = signal.where("t is not null and v is not null")
-    sorted_ = F.sort_array(F.collect_list(F.struct("t", F.col("v").cast("double").alias("v"))))
-    least = F.percentile("v", percentile) if percentile is not None else F.lit(height).cast("double")
-    rows = known.groupBy("series").agg(sorted_.alias("own"), least.alias("least")).withColumn("values", F.transform("own", lambda x: x["v"]))
-    found = rows.withColumn("found", _plateaus(F.col("values")))
-    found = found.withColumn("found", F.filter("found", lambda p: F.col("least").isNull() | (p["v"] >= F.col("least"))))
-    if distance > 1:
-        found = found.withColumn("found", _apart(F.col("found"), distance))
-    found = found.where(F.size("found") > 0)
-    found = found.withColumn("left", _lowest(F.col("values"))).withColumn("right", F.reverse(_lowest(F.reverse("values"))))
-    each = found.select("series", "own", "left", "right", F.explode("found").alias("p"))
-    at = lambda c: F.get(c, F.col("p.i"))
-    out = each.select("series", at("own")["t"].alias("t"), F.col("p.v").alias("v"), (F.col("p.v") - F.greatest(at("left"), at("right"))).alias("prominence"))
-    return out if prominence is None else out.where(F.col("prominence") >= prominence)
+    kind, t_kind = (signal.schema[c].dataType.simpleString() for c in ("series", "t"))
+
+    def least_height(v: np.ndarray) -> float:
+        if percentile is None:
+            return -math.inf if height is None else height
+        ranked, place = np.sort(v), (len(v) - 1) * percentile
+        low, high = math.floor(place), math.ceil(place)
+        return float(ranked[low] if low == high or ranked[low] == ranked[high] else (high - place) * ranked[low] + (place - low) * ranked[high])
+
+    def find(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("t", "ascending"), ("v", "ascending")])
+        v = rows["v"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))  # of each run of equal values
+        last, own = np.append(first[1:], len(v)) - 1, v[first]
+        top = np.flatnonzero((own[1:-1] > own[:-2]) & (own[1:-1] > own[2:])) + 1
+        top = top[own[top] >= least_height(v)]
+        place = (first[top] + last[top]) // 2
+        if distance > 1:
+            keep = _apart(place, own[top], distance)
+            top, place = top[keep], place[keep]
+        if len(top):
+            left, right = np.array(_lowest(own.tolist())), np.array(_lowest(own[::-1].tolist()))[::-1]
+            high = own[top] - np.maximum(left[top], right[top])
+        else:
+            high = np.zeros(0)
+        if prominence is not None:
+            keep = high >= prominence
+            place, high = place[keep], high[keep]
+        out = rows.take(pa.array(place, pa.int64()))
+        return pa.table([out["series"], out["t"], out["v"], pa.array(high, pa.float64())], names=["series", "t", "v", "prominence"])
+
+    known = signal.where("t is not null and v is not null").select("series", "t", F.col("v").cast("double").alias("v"))
+    return known.groupBy("series").applyInArrow(find, f"series {kind}, t {t_kind}, v double, prominence double")

@@ -37,3 +37,14 @@ def test_heights_by_percentile_and_no_series(spark):
     assert sorted(x.t for x in peaks.peaks(signal, percentile=0.75).collect()) == [3, 5, 7]
     assert sorted(x.t for x in peaks.peaks(signal).collect()) == [1, 3, 5, 7]
     assert peaks.peaks(signal.limit(0), percentile=0.5, distance=3).count() == 0
+
+
+def test_long_series_take_time_in_proportion(spark):
+    """A falling series keeps every value on the stack, and one with a peak at every other place has as many peaks."""
+    import time
+
+    n = 200_000
+    signal = spark.range(n).selectExpr("1L as series", "id as t", f"cast({n} - id + 3 * (id % 2) as double) as v")
+    began = time.monotonic()
+    got = peaks.peaks(signal, distance=2, prominence=2.0).collect()
+    assert len(got) == n // 2 - 1 and {x.prominence for x in got} == {2.0} and time.monotonic() - began < 60
