@@ -304,6 +304,8 @@ class Index:
                         yield pa.record_batch([pa.array(qid[at + i]), pa.array(idx[j]), pa.array(rough[i, j])], names=["qid", "global_idx", "rough"])
 
         q = queries.select(F.col("qid").cast("long"), F.col("d").cast("array<float>").alias("d"))
+        if wanted >= self.rows():
+            return self._measured_cells(q.mapInArrow(ask, "cell int, share int, qids binary, q binary"), k)
         blocks = q.mapInArrow(ask, "cell int, share int, qids binary, q binary").join(self.codes().hint("merge"), ["cell", "share"])
         found = blocks.select("cell", "qids", "q", "ids", "codes").mapInArrow(look, _FOUND)
         best = W.Window.partitionBy("qid").orderBy("rough", "global_idx")
@@ -314,6 +316,38 @@ class Index:
         return measured.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
+    def _measured_cells(self, asked: DataFrame, k: int) -> DataFrame:
+        """search() where every member of a probed cell is a candidate: codes can leave none out, so a cell's queries and whole vectors meet in blocks.
+
+        Only the k first of a pair of blocks leave it, instead of a row with two vectors for each candidate.
+        """
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                for cell, share, ids in zip(*(part[c].to_pylist() for c in ("cell", "share", "ids")), strict=True):
+                    idx = np.frombuffer(ids, "<i8")
+                    yield pa.record_batch([pa.array(np.full(len(idx), cell, np.int32)), pa.array(np.full(len(idx), share, np.int32)), pa.array(idx)], names=["cell", "share", "global_idx"])
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if right.num_rows:
+                d, ids = _matrix(right["d"]).astype(np.float64), right["global_idx"].to_numpy()
+                for qids, q in zip(left["qids"].to_pylist(), left["q"].to_pylist(), strict=True):
+                    qid = np.frombuffer(qids, "<i8")
+                    i, idx, d2 = _top(np.frombuffer(q, np.float32).reshape(len(qid), -1).astype(np.float64), d, ids, k)
+                    out.append((qid[i], idx, d2))
+            return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["qid", "global_idx", "d2"])
+
+        members = self.codes().select("cell", "share", "ids").mapInArrow(spread, "cell int, share int, global_idx long").join(self.vectors().select("global_idx", "d"), "global_idx")
+        turns = F.lit(max(1, -(-self.rows() // (len(self.model.centers) * BLOCK_ROWS))))
+        dealt = members.select(F.col("cell").alias("c"), F.col("share").alias("s"), F.pmod(F.xxhash64("global_idx"), turns).alias("turn"), "global_idx", "d")
+        asked = asked.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), turns.cast("long") - 1)))
+        found = asked.groupBy("cell", "share", "turn").cogroup(dealt.groupBy("c", "s", "turn")).applyInArrow(meet, "qid long, global_idx long, d2 double")
+        own = W.Window.partitionBy("qid").orderBy("d2", "global_idx")
+        first = found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+        return first.join(self.vectors().select("global_idx", "image_id", "local_idx"), "global_idx").select("qid", "global_idx", "image_id", "local_idx", "d2", "rank")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[int], list[bytes]]]:
     """Rows (cell, share, global_idx, code) in order of (cell, share), at most some blocks of one key at a time."""
     key, ids, codes = None, [], []

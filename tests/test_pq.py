@@ -179,3 +179,13 @@ def test_fewer_points_than_codes():
     assert len(pq.lloyd(np.array([[1.0], [1.0], [2.0]]), 5)) == 2
     x = np.concatenate([np.zeros((50, 2)), np.ones((50, 2)), np.full((3, 2), 9.0)])
     assert sorted(map(tuple, pq.lloyd(x + np.arange(103)[:, None] * 1e-9, 3, rounds=40).round().tolist())) == [(0, 0), (1, 1), (9, 9)]
+
+
+def test_candidates_that_codes_cannot_narrow_meet_in_blocks(spark, grown):
+    """With every row a candidate, no row per query and row of the index is shuffled, and the rows are the exact ones."""
+    _, x, index = grown
+    q = clustered(60, seed=9)
+    found = index.search(as_queries(q, spark), 5, probes=24, refine=index.rows())
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    own = exact(x[: index.rows()], q, 5)
+    assert {r[:3] for r in named(found)} == own
