@@ -209,3 +209,15 @@ def test_projections_meet_in_blocks(spark, sf):
     found = knn.near_by_projections(q, d, 0.9, block_rows=64)
     got = rows(found)
     assert got == rows(knn.near_by_projections(q, d, 0.9)) and len({r[:2] for r in got}) == len(got) >= 250
+
+
+def test_cosines_meet_in_blocks(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(40, 6))
+    x[3] = 0
+    d = spark.createDataFrame([("a" if i < 25 else "b", i, v.tolist()) for i, v in enumerate(x)], "image_id string, global_idx long, d array<double>")
+    for rows in (4, 2048):
+        got = {(p.a, p.b): p.similarity for p in knn.cosines(d, "image_id", rows).collect()}
+        assert set(got) == {(i, j) for j in range(40) for i in range(j) if (i < 25) == (j < 25)}
+        for (i, j), c in got.items():
+            assert abs(c - (0 if 3 in (i, j) else x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]))) < 1e-12
