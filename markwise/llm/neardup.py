@@ -3,9 +3,9 @@
 Equal shingle sets collapse into a class first, so copies cost nothing further. Classes get MinHash coordinates. Each of
 several independent trees branches the classes by one coordinate, its token of least hash, and nodes with more than
 LEAF members by the next, DEPTH times at most. Nodes of LEAF members or fewer are compared exhaustively by sketches. A
-larger node at full depth, whose members share DEPTH minwise tokens, is compared with its first member; those that are then not in
-that one's component meet all members, block by block on both sides and on full sets, and a block gives one link at most for
-a member and a component. So nodes of any size are spread over tasks, and a node of near copies costs one comparison each. Other candidates are
+larger node at full depth, whose members share DEPTH minwise tokens, is compared with its first member; of those that are then not in
+the node's most common component, a block first and then all meet all members, block by block on both sides and on full sets. A pair of blocks
+gives a spanning forest of its links. So nodes of any size are spread over tasks, and a node of near copies costs about BLOCK comparisons of sketches each. Other candidates are
 confirmed on full shingle sets, in two rounds: first those with a node's first member, then those that join different components.
 
 A pair of similarity s meets in a tree with probability s^DEPTH at least. The number of trees and the sketches' bound follow
@@ -34,6 +34,8 @@ from .common import discard, integer_key, mix64, pieces, small_batches, stored,
 DEPTH = 4
 LEAF = 32
 BLOCK = 256
+#: So many full sets are compared with one at a time.
+CHUNK = 64
 SKETCH = 64
 #: Text bytes that are hashed at a time.
 PIECE_BYTES = 2 << 20
@@ -190,30 +192,30 @@ def first_pairs(full: DataFrame) -> DataFrame:
     return full.where(F.col("fp") != F.col("first")).select(F.col("first").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("round"), share.alias("salt"))
 
 
-def apart(full: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links from members of full-depth nodes that are not in the first member's component to other components.
+def apart(full: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, sampled: bool = False) -> DataFrame:
+    """(a, b): links from members of full-depth nodes that are not in their node's most common component to other components.
 
-    Blocks of about BLOCK of those members meet blocks of all members; for one member and component, a pair of blocks gives one
-    link at most. Sizes and sketches must allow the similarity before full sets are compared.
+    Blocks of about BLOCK of those members (sampled: one such block a node) meet blocks of all members; a pair of blocks gives a
+    spanning forest of what it links, so fewer links than members. Sizes and sketches must allow the similarity before full sets are compared.
     """
     least, agree = percent / 100, least_agreeing(percent / 100)
     own = labels.select(F.col("node").alias("fp"), "root")
-    first = full.select("node", "first").distinct().join(labels.select(F.col("node").alias("first"), F.col("root").alias("root_first")), "first", "left")
-    firsts = first.select("node", F.coalesce("root_first", "first").alias("root_first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = full.join(own, "fp", "left").select("node", "n", "fp", F.coalesce("root", "fp").alias("root"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
-    members = salted.join(firsts, ["node", "salt"]).select("node", "fp", "root", "n", (F.col("root") != F.col("root_first")).alias("apart"))
-    members = stored(members, "near-members")
-    nodes = members.where("apart").groupBy("node").agg(F.count("*").alias("n_apart"))
+    rooted = stored(full.join(own, "fp", "left").select("node", "n", "fp", F.coalesce("root", "fp").alias("root")), "near-members")
+    tally = rooted.groupBy("node", "root").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("node").agg(F.max(F.struct("c", "root")).alias("most"), F.first("n").alias("n"))
+    nodes = stored(tally.select("node", F.col("most.root").alias("common"), (F.col("n") - F.col("most.c")).alias("n_apart")).where("n_apart > 0"), "near-counts")
     if nodes.isEmpty():
-        discard(members)
+        discard(rooted, nodes)
         return classes.sparkSession.createDataFrame([], "a binary, b binary")
-    spread = nodes.select("node", "n_apart", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    asked = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["node", "salt"])
+    spread = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["node", "salt"]).withColumn("apart", F.col("root") != F.col("common"))
     known = asked.join(classes.select("fp", "n_shingles", "sketch"), "fp").join(sets, "fp")
     rows, queries = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_apart") / BLOCK)
     columns = ("fp", "root", "n_shingles", "sketch", "shingles")
     dealt = lambda df, one, other, block, every: df.select(F.col("node").alias("node"), F.pmod(F.xxhash64("fp"), one).alias(block), F.explode(F.sequence(F.lit(0).cast("long"), other - 1)).alias(every), *[F.col(c).alias(c) for c in columns])
-    left, right = dealt(known.where("apart"), queries, rows, "q", "r"), dealt(known, rows, queries, "r", "q")
+    asking = known.where("apart")
+    if sampled:
+        asking, queries = asking.where(F.pmod(F.xxhash64("fp", F.lit(1)), queries) == 0), F.lit(1).cast("long")
+    left, right = dealt(asking, queries, rows, "q", "r"), dealt(known, rows, queries, "r", "q")
 
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple[bytes, bytes]] = []
@@ -221,22 +223,31 @@ def apart(full: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFram
             q, r = (t["fp"].to_pylist() for t in (queries, rows))
             sketch = [_sketches(t["sketch"].to_pylist()) for t in (queries, rows)]
             sizes = [t["n_shingles"].to_numpy().astype(float) for t in (queries, rows)]
-            roots = rows["root"].to_pylist()
-            for i, root in enumerate(queries["root"].to_pylist()):
-                fit = ((sketch[1] == sketch[0][i]).sum(1) >= agree) & (np.minimum(sizes[1], sizes[0][i]) >= least * np.maximum(sizes[1], sizes[0][i]) - 1e-9)
-                joined = {root}
-                one = queries["shingles"][i].values.to_numpy()
-                for j in np.flatnonzero(fit):
-                    if roots[j] not in joined:
-                        other = rows["shingles"][int(j)].values.to_numpy()
-                        both = len(np.intersect1d(one, other, assume_unique=True))
-                        if both * 100 >= (len(one) + len(other) - both) * percent:
-                            joined.add(roots[j])
+            names, at = np.unique(np.array([x.hex() for t in (queries, rows) for x in t["root"].to_pylist()]), return_inverse=True)
+            here = np.arange(len(names))  # the component, in this pair of blocks, of each root
+            sets = [[x.values.to_numpy() for x in t["shingles"]] for t in (queries, rows)]
+            for i in range(len(q)):
+                same = (sketch[1] == sketch[0][i]).sum(1)
+                fit = (same >= agree) & (np.minimum(sizes[1], sizes[0][i]) >= least * np.maximum(sizes[1], sizes[0][i]) - 1e-9)
+                fit &= here[at[len(q) :]] != here[at[i]]
+                one = np.sort(sets[0][i])
+                likely = np.flatnonzero(fit)
+                likely = likely[np.argsort(-same[likely], kind="stable")]
+                while len(likely):
+                    some, likely = likely[:CHUNK], likely[CHUNK:]
+                    lengths = np.array([len(sets[1][j]) for j in some])
+                    others = np.concatenate([sets[1][j] for j in some])
+                    hits = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+                    both = np.add.reduceat(hits.astype(np.int64), np.cumsum(lengths) - lengths)
+                    for j in some[both * 100 >= (len(one) + lengths - both) * percent]:
+                        if here[at[len(q) + j]] != here[at[i]]:
+                            here[here == here[at[len(q) + j]]] = here[at[i]]
                             out.append((q[i], r[j]))
+                    likely = likely[here[at[len(q) + likely]] != here[at[i]]]
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
     found = stored(left.groupBy("node", "q", "r").cogroup(right.groupBy("node", "q", "r")).applyInArrow(meet, "a binary, b binary").distinct(), "near-apart")
-    discard(members)
+    discard(rooted, nodes)
     return found
 
 
@@ -294,27 +305,40 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", k: i
     leaves, full, tables = tree_nodes(classes, trees)
     found = leaf_pairs(leaves, classes, percent / 100).unionByName(first_pairs(full))
     pairs = stored(found.groupBy("a", "b").agg(F.min("round").alias("round"), F.max("salt").alias("salt")), "near-pairs")
+    discard(*[t for t in tables if t is not full])
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "key"), "fp")
     wanted = stored(wanted, "near-wanted")
     sets = stored(full_sets(df, text, key, k, wanted).dropDuplicates(["fp"]), "near-sets")
+    discard(wanted)
     links = stored(confirmed(pairs.where("round = 1"), sets, percent), "near-links")
     labels = components(links)
     at = lambda side: labels.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = pairs.where("round = 2").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.where(F.col("root_a").isNull() | F.col("root_b").isNull() | (F.col("root_a") != F.col("root_b"))).select("a", "b", "salt")
-    more = confirmed(rest, sets, percent)
-    if not full.isEmpty():
-        more = more.union(apart(full, classes, labels, sets, percent)).distinct()
-    more = stored(more, "near-links")
-    discard(pairs, wanted, sets, *tables)
-    if not more.isEmpty():
+    more = stored(confirmed(rest, sets, percent), "near-links")
+    discard(pairs)
+    deep, hot = not full.isEmpty(), full.where(F.col("n") > BLOCK)
+    if deep:
+        found = apart(full, classes, labels, sets, percent, sampled=True)
+        links = links.union(found)
+        hot = None if hot.isEmpty() else stored(hot, "near-full")
+        deep_sets = hot and stored(sets.join(hot.select("fp").distinct(), "fp", "left_semi"), "near-sets")
+        discard(*[t for t in tables if t is full])
+    discard(sets)
+    if not more.isEmpty() or deep:
         discard(labels)
         labels = components(links.union(more))
+    if deep and hot:  # smaller nodes' members have all been asked for
+        found = apart(hot, classes, labels, deep_sets, percent)
+        discard(hot, deep_sets)
+        if not found.isEmpty():
+            discard(labels)
+            labels = components(links.union(more).union(found))
     least = labels.join(classes.select(F.col("fp").alias("node"), "key"), "node").groupBy("root").agg(F.min("key").alias("least"))
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     ends = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select(F.col("node").alias("fp"), "least")
     classed = stored(classes.select("fp", "key").join(ends, "fp", "left").select("fp", F.coalesce("least", "key").alias("component_id")), "near-ends")
-    discard(classes, labels, links, more)
+    discard(classes, labels, more)
     alone = own.where(F.col("fp").isNull()).select("key", "n_shingles", F.col("key").alias("component_id"))
     result = own.where(F.col("fp").isNotNull()).select("key", "n_shingles", "fp").join(classed, "fp").select("key", "n_shingles", "component_id").union(alone)
     return result.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

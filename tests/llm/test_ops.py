@@ -605,6 +605,30 @@ def components_by_shingles(texts, percent):
     return [top(i) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("sampled", [False, True])
+def test_near_duplicates_links_grow_with_members(spark, monkeypatch, sampled):
+    """Members of a node that are all alike, while none is linked yet: all are joined by fewer than members links a pair of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    n = 300
+    rows = [(7, n, bytes([0]), i.to_bytes(2, "big"), [*range(100), 1000 + i]) for i in range(n)]
+    full = spark.createDataFrame([r[:4] for r in rows], "node long, n long, first binary, fp binary")
+    sets = spark.createDataFrame([r[3:] for r in rows], "fp binary, shingles array<long>")
+    classes = spark.createDataFrame([(r[3], 101, bytes(neardup.SKETCH)) for r in rows], "fp binary, n_shingles long, sketch binary")
+    nobody = spark.createDataFrame([], "node binary, root binary")
+    links = [(r.a, r.b) for r in neardup.apart(full, classes, nobody, sets, 85, *([True] if sampled else [])).collect()]
+    assert len(links) < 25 * 2 * 100
+    near = {r[3]: r[3] for r in rows}
+
+    def top(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for a, b in links:
+        near[top(a)] = top(b)
+    assert len({top(x) for x in near}) == 1
+
+
 def test_near_duplicates_passage_in_many(spark, monkeypatch):
     """Nodes at full depth whose members share a passage but aren't near duplicates, with families among them."""
     monkeypatch.setattr(neardup, "LEAF", 4)
