@@ -81,6 +81,9 @@ def largest(pixels: DataFrame, tile: int | None = None) -> DataFrame:
 
 # Hulls
 
+#: So few points of an image in a batch are left to the merge of its hull.
+FEW = 32
+
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise with y upwards, from the least (x, y); points on its sides are none."""
@@ -119,7 +122,7 @@ def farthest(corners: np.ndarray) -> tuple[float, tuple, tuple]:
 
 
 def hull_points(points: DataFrame) -> DataFrame:
-    """(image_id, x, y): corners of the hulls of each batch's points of an image; the corners of their union's hull are among them."""
+    """(image_id, x, y): ends of rows, and of FEW or more of an image in a batch only the corners of their hull; the corners of all points' hull are among them."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,18 +130,22 @@ def hull_points(points: DataFrame) -> DataFrame:
             code, xy = image.indices.to_numpy(), np.stack([batch["x"].to_numpy(), batch["y"].to_numpy()], axis=1)
             order = np.argsort(code, kind="stable")
             cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
-            found = [(code[order[a]], hull(xy[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True)]
-            at = np.repeat([c for c, _ in found], [len(h) for _, h in found])
-            flat = np.concatenate([h for _, h in found]) if found else np.zeros((0, 2))
+            sizes = np.diff(cuts, append=len(code))
+            few = order[np.repeat(sizes < FEW, sizes)]
+            found = [(code[order[a]], hull(xy[order[a : a + n]])) for a, n in zip(cuts[sizes >= FEW], sizes[sizes >= FEW], strict=True)]
+            at = np.concatenate([code[few], np.repeat([c for c, _ in found], [len(h) for _, h in found]).astype(code.dtype)])
+            flat = np.concatenate([xy[few], *[h for _, h in found]])
             yield pa.record_batch([image.dictionary.take(pa.array(at, pa.int32())), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["image_id", "x", "y"])
 
     kind = points.schema["image_id"].dataType.simpleString()
     own = points.where("image_id is not null and x is not null and y is not null").select("image_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return own.mapInArrow(partial, f"image_id {kind}, x double, y double")
+    ends = own.groupBy("image_id", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    both = F.when(F.col("x0") == F.col("x1"), F.array("x0")).otherwise(F.array("x0", "x1"))
+    return ends.select("image_id", F.explode(both).alias("x"), "y").mapInArrow(partial, f"image_id {kind}, x double, y double")
 
 
 def convex_hull(points: DataFrame) -> DataFrame:
-    """(image_id, place, x, y): hull corners in order. Only corners of partial hulls are shuffled."""
+    """(image_id, place, x, y): hull corners in order. Images meet in their rows' ends or corners of partial hulls only."""
 
     def merge(rows: pa.Table) -> pa.Table:
         corners = hull(np.stack([rows["x"].to_numpy(), rows["y"].to_numpy()], axis=1))

@@ -91,6 +91,13 @@ def test_only_hull_points_are_shuffled(spark):
     assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange") < plan.index("MapInArrow partial")
 
 
+def test_hull_points_of_scattered_pixels(spark):
+    """However an image's pixels are dealt, two a row at most are left."""
+    points = table(spark, {"a": np.ones((60, 60), bool)}).repartition(40, "x", "y")
+    assert outline.hull_points(points).count() <= 120
+    assert outline.convex_hull(points).count() == 4
+
+
 def test_ellipses_within_a_pixel(spark):
     masks = {f"e{a}": ellipse(a) for a in range(0, 180, 25)} | {"disc": ellipse(0, 30, 30), "row": np.ones((1, 9), bool), "one": np.eye(1, dtype=bool)}
     got = {r.image_id: r for r in outline.fitted_ellipse(table(spark, masks)).collect()}
