@@ -1,7 +1,7 @@
 """Outlines of masks pixels(image_id, x, y): components, hulls, fitted ellipses and ordered contours, as joins and aggregates over pixels.
 
 No operator holds an image's pixels in a group: components move runs of pixels, hulls move hull points, ellipses move 15 sums and contours move
-border steps.
+pixels to tiles, and pieces of walks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from markwise.kernels.ellipse import POWERS, axes_of, conic
 from markwise.sources.tables import scratch
 
 
+#: Rows and columns of a tile, whose pixels are looked at together.
+TILE = 128
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: rounds of joins don't grow one plan."""
     path = scratch(df.sparkSession, name)
@@ -226,54 +230,122 @@ def fitted_ellipse(pixels: DataFrame) -> DataFrame:
 AROUND = ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))
 
 
-def border_steps(pixels: DataFrame) -> DataFrame:
-    """(image_id, x, y, way, nx, ny, next): from a border pixel in one of eight ways to a set neighbour, and in which way the walk around the mask goes on there.
+#: NEXT[neighbours, way]: in which way a walk that arrives by way goes on at a pixel with these neighbours set, as bits; it looks around from five ways further on.
+NEXT = [[next((v for v in ((way + 5 + turn) % 8 for turn in range(8)) if bits >> v & 1), 8) for way in range(8)] for bits in range(256)]
+
 
-    On arriving, the walk looks around from five ways further on, and takes the first set neighbour.
+def _tile_walks(x: np.ndarray, y: np.ndarray, inside: np.ndarray) -> list[tuple]:
+    """Pieces of walks around a tile's pixels; inside: which of the pixels are its own, the others lie two around it at most.
+
+    Each is (first pixel or None, at, to, changes, last), at being below 0 for a first pixel without neighbours: a piece starts where walks enter the tile, where they meet, or at its first pixel, and leads to the start of
+    another piece, or of itself; changes are the (x, y, way) where its way changes, the first one always; last is its last way.
     """
-    own = pixels.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
-    ways = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for w, (dx, dy) in enumerate(AROUND)])
-    asked = own.withColumn("s", F.explode(ways)).select("image_id", "x", "y", F.col("s.w").alias("w"), (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"))
-    near = asked.join(own.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny")), ["image_id", "nx", "ny"])
-    around = _kept(near.groupBy("image_id", "x", "y").agg(F.sort_array(F.collect_list("w")).alias("ways")).where("size(ways) < 8"), "around")  # eight at most
-    step = around.select("image_id", "x", "y", F.explode("ways").alias("way"))
-    dx, dy = (F.element_at(F.array(*[F.lit(a[k]) for a in AROUND]), F.col("way") + 1) for k in range(2))
-    to = step.withColumn("nx", F.col("x") + dx).withColumn("ny", F.col("y") + dy)
-    first = F.array_min(F.transform("there", lambda w: F.struct(F.pmod(w - F.col("way") - 5, F.lit(8)).alias("turn"), w.alias("w"))))["w"]
-    there = around.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("ways").alias("there"))
-    return to.join(there, ["image_id", "nx", "ny"]).select("image_id", "x", "y", "way", "nx", "ny", first.alias("next"))
-
-
-def contour(pixels: DataFrame) -> DataFrame:
+    x0, y0 = int(x.min()) - 2, int(y.min()) - 2
+    width, height = int(x.max()) - x0 + 3, int(y.max()) - y0 + 3
+    cell = (y - y0) * width + (x - x0)
+    grid, own = np.zeros(width * height, np.uint8), np.zeros(width * height, bool)
+    grid[cell], own[cell[inside]] = 1, True
+    steps = [dy * width + dx for dx, dy in AROUND]
+    bits = np.zeros(width * height, np.uint8)
+    middle = slice(width + 1, len(grid) - width - 1)
+    for w, step in enumerate(steps):
+        bits[middle] |= grid[width + 1 + step : len(grid) - width - 1 + step] << w
+    first = int(cell[inside].min())
+    corner = (x0 + first % width, y0 + first // width)
+    if not bits[first]:
+        alone = -1 - (corner[1] * (1 << 24) + corner[0])
+        out, heads = [(corner, alone, alone, [(*corner, 8)], 8)], set()
+    else:
+        out, heads = [], {first * 8 + NEXT[bits[first]][7]}
+    start = next(iter(heads), None)
+    if not inside.all():
+        edge = np.flatnonzero(own & (bits > 0) & (bits < 255))
+        for w, step in enumerate(steps):
+            for c in edge[(grid[edge - step] > 0) & ~own[edge - step]].tolist():
+                heads.add(c * 8 + NEXT[bits[c]][w])
+    around, held = bits.tolist(), own.tolist()
+
+    def after(s: int) -> int:
+        n = (s >> 3) + steps[s & 7]
+        return n * 8 + NEXT[around[n]][s & 7]
+
+    stops, seen = set(heads), set()
+    for s in heads:
+        while held[s >> 3] and s not in seen:
+            seen.add(s)
+            s = after(s)
+        if held[s >> 3]:
+            stops.add(s)
+    place = lambda s: (x0 + (s >> 3) % width, y0 + (s >> 3) // width, s & 7)
+    code = lambda s: ((y0 + (s >> 3) // width) * (1 << 24) + x0 + (s >> 3) % width) * 8 + (s & 7)
+    for head in sorted(stops):
+        changes, way, s = [place(head)], head & 7, after(head)
+        while held[s >> 3] and s not in stops:
+            if s & 7 != way:
+                changes.append(place(s))
+            way, s = s & 7, after(s)
+        out.append((corner if head == start else None, code(head), code(s), changes, way))
+    return out
+
+
+def contour_pieces(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """(image_id, first, at, to, xs, ys, ways, last): the walks around the masks, cut into pieces at tiles of so many rows and columns; see _tile_walks().
+
+    A group holds one tile's pixels, however large the image is.
+    """
+
+    def walks(key: tuple, rows: pa.Table) -> pa.Table:
+        x, y = rows["x"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64)
+        inside = (x // tile == key[1].as_py()) & (y // tile == key[2].as_py())
+        found = _tile_walks(x, y, inside) if inside.any() else []
+        columns = list(zip(*[(f and {"y": f[1], "x": f[0]}, a, t, *[list(v) for v in zip(*c, strict=True)], w) for f, a, t, c, w in found], strict=True)) or [()] * 7
+        image = pa.chunked_array([rows["image_id"].combine_chunks().take(pa.array([0] * len(found), pa.int32()))])
+        return pa.table([image, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+
+    several = pa.list_(pa.int32())
+    kinds = (pa.struct([("y", pa.int32()), ("x", pa.int32())]), pa.int64(), pa.int64(), several, several, several, pa.int32())
+    names = ["image_id", "first", "at", "to", "xs", "ys", "ways", "last"]
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    tiles = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - 2, F.lit(0)) / tile), F.floor((F.col(c) + 2) / tile)))
+    own = pixels.where("image_id is not null and x is not null and y is not null").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    dealt = own.withColumn("_i", tiles("x")).withColumn("_j", tiles("y"))
+    schema = f"image_id {kind}, first struct<y: int, x: int>, at long, to long, xs array<int>, ys array<int>, ways array<int>, last int"
+    return dealt.groupBy("image_id", "_i", "_j").applyInArrow(walks, schema)
+
+
+def contour(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """(image_id, place, x, y): corners of the border of the component that holds an image's first pixel by (y, x), in walking order, from that pixel, downwards first.
 
-    Steps are ranked by pointer doubling: a round knows where 2^k steps lead from everywhere and the first 2^k steps of each walk, and joins
-    twice for the double. A walk of n steps takes log2(n) rounds. Coordinates are from 0 to 2^24 - 1.
+    Each tile walks by itself. Only where a walk leaves its tile its pieces are ranked by pointer doubling: a round knows where 2^k pieces lead from everywhere and the
+    first 2^k pieces of each walk, and joins twice for the double. A walk of n pieces takes log2(n) rounds. Coordinates are from 0 to 2^24 - 1.
     """
-    steps = border_steps(pixels)
-    at = lambda x, y, way: ((F.col(y).cast("long") * (1 << 24) + F.col(x)) * 8 + F.col(way)).alias("at")
-    jump = _kept(steps.select("image_id", at("x", "y", "way"), at("nx", "ny", "next").alias("to")), "contour-jump")
-    corner = pixels.groupBy("image_id").agg(F.min(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))).alias("p"))
-    turned = F.struct(F.pmod(F.col("way") - 4, F.lit(8)).alias("turn"), "way")
-    start = steps.join(corner.select("image_id", "p.x", "p.y"), ["image_id", "x", "y"]).groupBy("image_id", "x", "y").agg(F.min(turned)["way"].alias("way"))
-    known = _kept(start.select("image_id", at("x", "y", "way"), F.lit(0).cast("long").alias("place")), "contour-places")
-    reach, found = 1, known.count()
-    while found:
-        far = known.join(jump, ["image_id", "at"]).select("image_id", F.col("to").alias("at"), (F.col("place") + reach).alias("place"))
-        known = _kept(known.union(far).groupBy("image_id", "at").agg(F.min("place").alias("place")), "contour-places")
-        n = known.count()
-        if n == found:
-            break
-        found, reach = n, 2 * reach
-        on = jump.select("image_id", F.col("at").alias("to"), F.col("to").alias("further"))
-        jump = _kept(jump.join(on, ["image_id", "to"]).select("image_id", "at", F.col("further").alias("to")), "contour-jump")
-    own = W.Window.partitionBy("image_id").orderBy("place")
-    way = F.pmod("at", F.lit(8)).cast("int")
-    xy = known.select("image_id", "place", way.alias("way"), F.pmod(F.floor(F.col("at") / 8), F.lit(1 << 24)).cast("int").alias("x"), F.floor(F.col("at") / (8 << 24)).cast("int").alias("y"))
-    last = F.last("way").over(own.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing))
-    turning = xy.withColumn("_before", F.coalesce(F.lag("way").over(own), last)).where(F.col("way") != F.col("_before"))
-    alone = corner.join(start.select("image_id"), "image_id", "left_anti").select("image_id", F.lit(0).cast("long").alias("place"), "p.x", "p.y")
-    return turning.select("image_id", (F.row_number().over(own) - 1).cast("long").alias("place"), "x", "y").unionByName(alone)
+    pieces = _kept(contour_pieces(pixels, tile), "contour-pieces")
+    starts = pieces.where("first is not null").groupBy("image_id").agg(F.min(F.struct("first", "at", "to")).alias("s")).select("image_id", "s.*")
+    places = starts.select("image_id", "at", F.lit(0).cast("long").alias("place"))
+    open_ = _kept(starts.where("at <> to").select("image_id", "at", F.lit(0).cast("long").alias("place")), "contour-places")
+    reach, found = 1, open_.count()
+    if found:
+        jump = _kept(pieces.join(open_.select("image_id"), "image_id", "left_semi").select("image_id", "at", "to"), "contour-jump")
+        known = open_
+        while True:
+            far = known.join(jump, ["image_id", "at"]).select("image_id", F.col("to").alias("at"), (F.col("place") + reach).alias("place"))
+            known = _kept(known.union(far).groupBy("image_id", "at").agg(F.min("place").alias("place")), "contour-places")
+            n = known.count()
+            if n == found:
+                break
+            found, reach = n, 2 * reach
+            on = jump.select("image_id", F.col("at").alias("to"), F.col("to").alias("further"))
+            jump = _kept(jump.join(on, ["image_id", "to"]).select("image_id", "at", F.col("further").alias("to")), "contour-jump")
+        places = starts.where("at = to").select("image_id", "at", F.lit(0).cast("long").alias("place")).union(known)
+    walked = pieces.drop("first", "to").join(places, ["image_id", "at"])
+    whole = W.Window.partitionBy("image_id")
+    own = whole.orderBy("place")
+    every = own.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
+    # a piece's first step is a corner if it turns from the last one of the piece before, which of the first piece is the last
+    walked = walked.withColumn("_skip", F.when((F.col("at") >= 0) & (F.get("ways", F.lit(0)) == F.coalesce(F.lag("last").over(own), F.last("last").over(every))), 1).otherwise(0))
+    walked = walked.withColumn("_from", F.coalesce(F.sum(F.size("ways") - F.col("_skip")).over(own.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
+    corners = walked.select("image_id", "_skip", "_from", F.posexplode(F.arrays_zip("xs", "ys")).alias("_i", "c")).where("_i >= _skip")
+    return corners.select("image_id", (F.col("_from") + F.col("_i") - F.col("_skip")).cast("long").alias("place"), F.col("c.xs").alias("x"), F.col("c.ys").alias("y"))
 
 
 def contour_ends(corners: DataFrame) -> DataFrame:

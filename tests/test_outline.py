@@ -129,3 +129,23 @@ def test_contours_are_the_kernels(spark):
             r = ends[name, side]
             assert r.n == n and r.sharp == sharp and abs(r.tip_angle - angle) < 1e-6 and abs(r.sure - sure) < 1e-9
             assert abs(r.mean_turn - shapes.mean_turn(own)) < 1e-9
+
+
+@pytest.mark.parametrize("tile", [1, 5, 16])
+def test_contours_over_tiles(spark, tile):
+    """Walks that leave their tiles and come back; where first pixels of tiles, and of images, stand alone."""
+    masks = {f"m{k}": blobs(50 + k, (27, 31), s) for k, s in enumerate((0.02, 0.2, 0.4, 0.6, 0.97))} | {"s": spiral(), "one": np.eye(1, dtype=bool), "row": np.ones((1, 26), bool)}
+    rows = outline.contour(table(spark, masks), tile).collect()
+    for name, m in masks.items():
+        named, _ = shapes.components(m)
+        y, x = np.argwhere(m)[0]
+        got = [(r.x, r.y) for r in sorted((r for r in rows if r.image_id == name), key=lambda r: r.place)]
+        assert got == [tuple(p) for p in shapes.outline(named == named[y, x]).tolist()], name
+
+
+def test_contours_inside_tiles_need_no_rounds(spark, monkeypatch):
+    """However long a walk is, it is written once where it stays in its tile."""
+    kept, write = [], outline._kept
+    monkeypatch.setattr(outline, "_kept", lambda df, name: kept.append(name) or write(df, name))
+    assert outline.contour(table(spark, {"s": spiral(), "full": np.ones((9, 9), bool)})).count() > 4
+    assert len(kept) <= 2
