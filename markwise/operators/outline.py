@@ -33,14 +33,6 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 # Components
 
 
-def runs(pixels: DataFrame, tile: int | None = None) -> DataFrame:
-    """(image_id, y, x0, x1): the runs of neighbouring pixels of each row; no run crosses a multiple of tile."""
-    cut = F.floor(F.col("x") / tile).cast("int") if tile else F.lit(0)
-    own = W.Window.partitionBy("image_id", "y", "_tile").orderBy("x")
-    island = pixels.select("image_id", "y", "x").distinct().withColumn("_tile", cut).withColumn("_island", F.col("x") - F.row_number().over(own))
-    return island.groupBy("image_id", "y", "_tile", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).select("image_id", "y", "x0", "x1")
-
-
 def touching(found: DataFrame, diagonal: bool = True) -> DataFrame:
     """(image_id, a, b): pairs of numbered runs (run, y, x0, x1) that touch, in the next row or, where a tile cuts them, in the same one."""
     reach = 1 if diagonal else 0
@@ -52,17 +44,69 @@ def touching(found: DataFrame, diagonal: bool = True) -> DataFrame:
     return j.where(below | beside).select("image_id", "a", "b")
 
 
+def _tile_runs(x: np.ndarray, y: np.ndarray, cut: np.ndarray, diagonal: bool) -> tuple[np.ndarray, ...]:
+    """(y, x0, x1, place of the component's least run) of the runs of a tile's pixels, in order of (y, x0); a run ends where cut changes."""
+    order = np.lexsort((x, y))
+    order = order[np.append(True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))]  # a pixel counts once
+    x, y, cut = x[order], y[order], cut[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1) | (cut[1:] != cut[:-1])
+    at = np.flatnonzero(new)
+    ends = np.append(at[1:], len(x)) - 1
+    row, x0, x1 = y[at], x[at], x[ends]
+    # the runs of the next row that touch each run, and where a cut parts a row's runs
+    low, reach = x.min(), 1 if diagonal else 0
+    width = x.max() - low + 4
+    key = lambda rows, xs: rows * width + (xs - low + 1)
+    lo = np.searchsorted(key(row, x1), key(row + 1, x0 - reach))
+    n = np.maximum(np.searchsorted(key(row, x0), key(row + 1, x1 + reach), side="right") - lo, 0)
+    beside = np.flatnonzero((row[1:] == row[:-1]) & (x0[1:] == x1[:-1] + 1))
+    i = np.concatenate([np.repeat(np.arange(len(at)), n), beside])
+    j = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), beside + 1])
+    name = np.arange(len(at))
+    while len(i):
+        least = np.minimum(name[i], name[j])
+        low_ = name.copy()
+        for k in (i, j, name[i], name[j]):
+            np.minimum.at(low_, k, least)
+        low_ = low_[low_]
+        if (low_ == name).all():
+            break
+        name = low_
+    return row, x0, x1, name
+
+
+def tile_runs(pixels: DataFrame, tile: int | None = None, diagonal: bool = True) -> DataFrame:
+    """(image_id, y, x0, x1, name): runs that no multiple of tile, nor the border of a group's tile, is inside of, named by the least run (y * 2^32 + x0) that touches them inside the group's tile."""
+    width = tile * max(1, TILE // tile) if tile else TILE
+
+    def name(rows: pa.Table) -> pa.Table:
+        x, y = rows["x"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64)
+        row, x0, x1, place = _tile_runs(x, y, x // (tile or width), diagonal)
+        image = pa.chunked_array([rows["image_id"].combine_chunks().take(pa.array(np.zeros(len(row), np.int32)))])
+        return pa.table([image, pa.array(row, pa.int32()), pa.array(x0, pa.int32()), pa.array(x1, pa.int32()), pa.array((row * (1 << 32) + x0)[place])], names=["image_id", "y", "x0", "x1", "name"])
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    own = pixels.where("image_id is not null and x is not null and y is not null").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    dealt = own.groupBy("image_id", F.floor(F.col("x") / width), F.floor(F.col("y") / TILE))
+    return dealt.applyInArrow(name, f"image_id {kind}, y int, x0 int, x1 int, name long")
+
+
 def components(pixels: DataFrame, tile: int | None = None, diagonal: bool = True) -> DataFrame:
-    """(image_id, y, x0, x1, component): runs with their component, named by its least run.
+    """(image_id, y, x0, x1, component): runs with their component, named by its least run; no run crosses a multiple of tile.
 
-    Runs hear the least name of their neighbours and of what they are named after, and names jump along their own names, until nothing
-    changes: some log(length) rounds, each a few joins of runs.
+    Groups name the runs of tiles by themselves. Then only runs at tiles' borders meet: names hear the least of the names that touch them and of what they are named
+    after, and jump along their own names, until nothing changes: some log(tiles) rounds, each a few joins of the names that cross a border.
     """
-    found = _kept(runs(pixels, tile).select("image_id", "y", "x0", "x1", (F.col("y").cast("long") * (1 << 32) + F.col("x0")).alias("run")), "runs")
-    links = touching(found, diagonal)
+    width = tile * max(1, TILE // tile) if tile else TILE
+    found = _kept(tile_runs(pixels, tile, diagonal), "runs")
+    inner = lambda c, size: F.pmod(F.col(c), F.lit(size))
+    edge = inner("y", TILE).isin(0, TILE - 1) | (inner("x0", width) == 0) | (inner("x1", width) == width - 1)
+    links = touching(found.where(edge).select("image_id", "y", "x0", "x1", F.col("name").alias("run")), diagonal).where("a <> b").distinct()
     both = _kept(links.union(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))), "touching")
-    named = found.select("image_id", "run", F.col("run").alias("name"))
-    while True:
+    named = both.select("image_id", F.col("a").alias("run"), F.col("a").alias("name")).distinct()
+    crossing = not both.isEmpty()
+    while crossing:
         heard = both.join(named.select("image_id", F.col("run").alias("b"), "name"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("run")).agg(F.min("name").alias("heard"))
         least = named.join(heard, ["image_id", "run"], "left").select("image_id", "run", "name", F.least("name", F.coalesce("heard", "name")).alias("low"))
         # whoever bears a name learns the least that any bearer heard, and names jump
@@ -71,8 +115,18 @@ def components(pixels: DataFrame, tile: int | None = None, diagonal: bool = True
         jump = step.select("image_id", F.col("run").alias("next"), F.col("next").alias("further"))
         new = _kept(step.join(jump, ["image_id", "next"], "left").select("image_id", "run", "name", F.least("next", F.coalesce("further", "next")).alias("new")), "names")
         named = new.select("image_id", "run", F.col("new").alias("name"))
-        if new.where("new <> name").isEmpty():
-            return found.join(named, ["image_id", "run"]).select("image_id", "y", "x0", "x1", F.col("name").alias("component"))
+        crossing = not new.where("new <> name").isEmpty()
+        if not crossing:
+            found = found.join(named.select("image_id", F.col("run").alias("name"), F.col("name").alias("least")), ["image_id", "name"], "left").withColumn("name", F.coalesce("least", "name"))
+    own = found.select("image_id", "y", "x0", "x1", F.col("name").alias("component"))
+    return own if tile else _joined(own)
+
+
+def _joined(named: DataFrame) -> DataFrame:
+    """Runs that go on where another one of their row ends are one."""
+    own = W.Window.partitionBy("image_id", "y").orderBy("x0")
+    islands = named.withColumn("_island", F.col("x0") - F.coalesce(F.sum(F.col("x1") - F.col("x0") + 1).over(own.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
+    return islands.groupBy("image_id", "y", "_island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("component").alias("component")).drop("_island")
 
 
 def largest(pixels: DataFrame, tile: int | None = None) -> DataFrame:

@@ -149,3 +149,28 @@ def test_contours_inside_tiles_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(outline, "_kept", lambda df, name: kept.append(name) or write(df, name))
     assert outline.contour(table(spark, {"s": spiral(), "full": np.ones((9, 9), bool)})).count() > 4
     assert len(kept) <= 2
+
+
+@pytest.mark.parametrize(("tile", "size"), [(None, 7), (4, 7), (1, 3), (None, 128)])
+def test_components_over_tiles(spark, monkeypatch, tile, size):
+    """Components that lie in many tiles, at negative places too: every run as one scan of the mask finds it."""
+    monkeypatch.setattr(outline, "TILE", size)
+    masks = {f"m{k}": blobs(70 + k, (23, 29), s) for k, s in enumerate((0.1, 0.4, 0.6, 0.95))} | {"s": spiral()}
+    pixels = table(spark, masks).selectExpr("image_id", "x - 5 as x", "y - 9 as y")
+    rows = outline.components(pixels.union(pixels), tile).collect()
+    for name, m in masks.items():
+        label, n = shapes.components(m)
+        own = [r for r in rows if r.image_id == name]
+        got = {(x + 5, r.y + 9): r.component for r in own for x in range(r.x0, r.x1 + 1)}
+        assert len(got) == m.sum() == sum(r.x1 - r.x0 + 1 for r in own)
+        first = {int(k): (int(y) - 9) * (1 << 32) + int(x) - 5 for y, x in reversed(np.argwhere(m).tolist()) for k in [label[y, x]]}
+        assert got == {(int(x), int(y)): first[int(label[y, x])] for y, x in np.argwhere(m).tolist()}
+        if tile is None:
+            assert len(own) == sum(len(shapes._runs(r)) for r in m)
+
+
+def test_components_inside_tiles_need_no_rounds(spark, monkeypatch):
+    kept, write = [], outline._kept
+    monkeypatch.setattr(outline, "_kept", lambda df, name: kept.append(name) or write(df, name))
+    assert outline.components(table(spark, {"s": spiral(), "m": blobs(3)}), 16).count() > 100
+    assert kept == ["runs", "touching"]
