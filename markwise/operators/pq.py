@@ -14,8 +14,8 @@ add() codes new images with the stored cells and code words; written files stay
 ids follow all earlier ones.
 
 search() packs the queries of a task by the cells that they probe. These blocks meet the blocks of codes by an equi-join on (cell, share):
-only queries are shuffled, as the codes lie in buckets. A pair of blocks looks its distances up in a table of each query's
-distances to the code words, and keeps k * refine candidates a query. The best of these over all cells are measured again on the whole vectors, a
+only queries are shuffled, as the codes lie in buckets; from TURN_QUERIES queries on they come in turns, and a copy of the codes goes to each turn. A pair
+of blocks takes a matrix product of the queries' and the codes' residuals, and keeps k * refine candidates a query. The best of these over all cells are measured again on the whole vectors, a
 join on their buckets, and ranked by (distance, index). A cell expected to hold more than SHARE_ROWS rows is dealt over shares, so that a
 cell that holds a large part of the database is many tasks' work; no task holds more than a pair of blocks.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import window as W
 
 from markwise.functions.vectors import squared_l2
 
-from .knn import BROADCAST_BYTES, CELLS, _first, _top, cells
+from .knn import BROADCAST_BYTES, CELLS, _bound, _first, _top, cells
 from .matching import offsets
 
 CODES = 256
@@ -44,6 +44,8 @@ BLOCK_ROWS = 16_384
 SHARE_ROWS = 262_144
 #: Queries that a task packs together.
 PACKED = 16_384
+#: Queries beyond which a search is cut into turns, and how many queries a turn has.
+TURN_QUERIES = 32_768
 #: Bytes of codes or vectors that a bucket should hold.
 BUCKET_BYTES = 64 << 20
 
@@ -110,12 +112,22 @@ class Model:
 
     def rough(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances (queries x codes) of a cell's codes, looked up."""
-        rest = (queries - self.centers[cell]).reshape(len(queries), len(self.books), 1, -1)
-        table = ((rest - self.books[None]) ** 2).sum(-1)
-        out = np.zeros((len(queries), len(codes)), np.float32)
-        for s in range(len(self.books)):
-            out += table[:, s, codes[:, s]]
-        return out
+        rest, words = self.rests(queries, cell), self.words(codes)
+        return self.apart(rest, words, (words * words).sum(1))
+
+    def rests(self, queries: np.ndarray, cell: int) -> np.ndarray:
+        return queries.astype(np.float64) - self.centers[cell]
+
+    def words(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1).astype(np.float64)
+
+    def apart(self, rests: np.ndarray, words: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """Squared distances, by a matrix product; rounded, so that equal codes are equally far."""
+        out = (-2 * rests) @ words.T
+        out += square
+        out += (rests * rests).sum(1)[:, None]
+        return out.astype(np.float32)
 
 
 def train(database: DataFrame, subspaces: int = 16, n_cells: int | None = None, sample: int = 1_500_000, seed: int = 1) -> Model:
@@ -295,10 +307,11 @@ class Index:
                     qid, idx = np.frombuffer(qids, "<i8"), np.frombuffer(ids, "<i8")
                     x, c = np.frombuffer(q, np.float32).reshape(len(qid), -1), np.frombuffer(codes, np.uint8).reshape(len(idx), -1)
                     step = max(1, min(256, CELLS // len(idx)))
+                    words = model.words(c)
+                    square = (words * words).sum(1)
                     for at in range(0, len(qid), step):
-                        rough = model.rough(x[at : at + step], cell, c)
-                        kth = np.partition(rough, min(wanted, len(idx)) - 1, axis=1)[:, min(wanted, len(idx)) - 1]
-                        i, j = np.nonzero(rough <= kth[:, None])
+                        rough = model.apart(model.rests(x[at : at + step], cell), words, square)
+                        i, j = np.nonzero(rough <= _bound(rough, min(wanted, len(idx)))[:, None])
                         keep = _first(i, rough[i, j], idx[j], wanted)
                         i, j = i[keep], j[keep]
                         yield pa.record_batch([pa.array(qid[at + i]), pa.array(idx[j]), pa.array(rough[i, j])], names=["qid", "global_idx", "rough"])
@@ -306,7 +319,15 @@ class Index:
         q = queries.select(F.col("qid").cast("long"), F.col("d").cast("array<float>").alias("d"))
         if wanted >= self.rows():
             return self._measured_cells(q.mapInArrow(ask, "cell int, share int, qids binary, q binary"), k)
-        blocks = q.mapInArrow(ask, "cell int, share int, qids binary, q binary").join(self.codes().hint("merge"), ["cell", "share"])
+        asked_, codes = q.mapInArrow(ask, "cell int, share int, qids binary, q binary"), self.codes()
+        turns = -(-q.count() // TURN_QUERIES)
+        if turns > 1:  # many queries: each turn of them meets a copy of the codes, by cell, so that tasks grow in number and not in length
+            by, tasks = ("cell", "share", "turn"), turns * len(model.centers)
+            asked_ = asked_.withColumn("turn", F.pmod(F.xxhash64("qids"), F.lit(turns))).repartition(tasks, *by)
+            codes = codes.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long")))).repartition(tasks, *by)
+            blocks = asked_.join(codes.hint("merge"), list(by))
+        else:
+            blocks = asked_.join(codes.hint("merge"), ["cell", "share"])
         found = blocks.select("cell", "qids", "q", "ids", "codes").mapInArrow(look, _FOUND)
         best = W.Window.partitionBy("qid").orderBy("rough", "global_idx")
         short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= wanted).select("qid", "global_idx")

@@ -189,3 +189,16 @@ def test_candidates_that_codes_cannot_narrow_meet_in_blocks(spark, grown):
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
     own = exact(x[: index.rows()], q, 5)
     assert {r[:3] for r in named(found)} == own
+
+
+def test_many_queries_come_in_turns(spark, grown, monkeypatch):
+    """A cell's queries are dealt over tasks, and the rows are those of one turn."""
+    _, x, index = grown
+    q = as_queries(x[:300], spark)
+    once = sorted(map(tuple, index.search(q, 5, 4, 4).collect()))
+    monkeypatch.setattr(pq, "TURN_QUERIES", 100)
+    monkeypatch.setattr(pq, "PACKED", 50)
+    found = index.search(q, 5, 4, 4)
+    plan = found._jdf.queryExecution().toString()
+    assert "turn" in plan
+    assert sorted(map(tuple, found.collect())) == once
