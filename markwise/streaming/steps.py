@@ -41,8 +41,13 @@ class Steps(StatefulProcessor):
         row = (image, (has["fish"] or has["whole_fish"]) and has["ruler"], has["metrics"], has["image"] and has["mask"], has["qa_ticks"] or has["qa_standardized"], stuck, version)
         return pd.DataFrame([row], columns=[c.split()[0] for c in PROGRESS.split(", ")])
 
+    def _done(self, flags: list) -> bool:
+        has = dict(zip(KINDS, flags, strict=True))
+        return (has["fish"] or has["whole_fish"]) and has["ruler"] and has["metrics"] and has["image"] and has["mask"]
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        *before, version = self.state.get() if self.state.exists() else (*[False] * len(KINDS), 0)
+        known = self.state.get()
+        *before, version = known or (*[False] * len(KINDS), 0)
         flags, last = list(before), 0
         for part in rows:
             for kind, value, ts in zip(part["kind"], part["value"], part["ts"], strict=True):
@@ -52,18 +57,17 @@ class Steps(StatefulProcessor):
         if flags != before:
             version += 1
             self.state.update((*flags, version))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if known else ():  # a new image has none
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(last + self.patience_ms)
+        if not self._done(flags):  # what an image has stays, so one that is done cannot be stuck
+            self.handle.registerTimer(last + self.patience_ms)
         if flags[0] and flags != before:
             yield self._row(key[0], tuple(flags), version, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if self.state.exists():
             *flags, version = self.state.get()
-            has = dict(zip(KINDS, flags, strict=True))
-            done = (has["fish"] or has["whole_fish"]) and has["ruler"] and has["metrics"] and has["image"] and has["mask"]
-            if has["raw"] and not done:
+            if flags[0] and not self._done(flags):
                 self.state.update((*flags, version + 1))
                 yield self._row(key[0], tuple(flags), version + 1, True)
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from markwise.operators import progress
@@ -59,3 +60,43 @@ def test_stuck_images(spark, tmp_path):
     batch(spark, folder, [("slow", "fish", None, START + dt.timedelta(hours=4))])
     run(spark, folder, target, checkpoint, **options)
     assert stuck()["slow"] is False
+
+
+def test_new_and_done_images_ask_little_of_the_state():
+    """Each call to the state store is a message: a new image asks for its flags once, and for no timers; one that is done gets none."""
+
+    class Store:
+        def __init__(self):
+            self.calls, self.value, self.timers = [], None, []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def listTimers(self):  # noqa: N802
+            self.calls.append("list")
+            return list(self.timers)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls.append("register")
+            self.timers.append(at)
+
+    store, images = Store(), steps.Steps(1000)
+    images.init(store)
+    give = lambda *kinds: list(images.handleInputRows(("a",), iter([pd.DataFrame([(k, 2.0, pd.Timestamp(START)) for k in kinds], columns=["kind", "value", "ts"])]), None))
+    assert len(give("raw", "fish")) == 1 and store.calls == ["get", "update", "register"]
+    assert len(give("ruler", "metrics", "image", "mask")) == 1 and store.timers == []
