@@ -12,6 +12,9 @@ from pyspark.sql import window as W
 
 from markwise.functions.geometry import half_turn
 
+#: How many rows dealt() gives a task: some 120 bytes each in every hash table of the task.
+TASK_ROWS = 500_000
+
 
 def moments(pixels: DataFrame) -> DataFrame:
     """Area, centroid, bounding box and its center, and the principal axis, in one aggregation.
@@ -28,6 +31,15 @@ def moments(pixels: DataFrame) -> DataFrame:
     )
 
 
+def dealt(pixels: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows by whole pixels over tasks of about TASK_ROWS each, whatever number of partitions the session has set; rows: how many there are, counted if not given.
+
+    What groups or joins by pixels after it, and the union of tables dealt alike, moves nothing more.
+    """
+    n = pixels.count() if rows is None else rows
+    return pixels.repartition(max(pixels.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), "image_id", "x", "y")
+
+
 def with_empty(images: DataFrame, found: DataFrame) -> DataFrame:
     """Images without a pixel have area 0 and centroid and box center (0, 0)."""
     zero = {c: 0 for c in ("area", "cx", "cy", "box_x", "box_y") if c in found.columns}
@@ -157,11 +169,14 @@ def fill_background(image: DataFrame, mask: DataFrame, value: float) -> DataFram
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of large masks, both should be dealt() alike: Spark leaves out the shuffle of the union where its sides are grouped by pixel, so that a task holds both sides and their union."""
     return a.select("image_id", "x", "y").union(b.select("image_id", "x", "y")).distinct()
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("image_id", "x", "y").intersect(b.select("image_id", "x", "y"))
+    """Pixels of both, in one group per pixel; nulls are alike. Sides that are dealt() alike stay where they are."""
+    both = a.select("image_id", "x", "y", F.lit(1).alias("_in")).union(b.select("image_id", "x", "y", F.lit(2).alias("_in")))
+    return both.groupBy("image_id", "x", "y").agg(F.bit_or("_in").alias("_in")).where("_in = 3").drop("_in")
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:

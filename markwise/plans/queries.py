@@ -425,12 +425,12 @@ def roi_crop(spark, sf):
 
 @query(WITH("pixels") + "SELECT image_id, x, y, CASE WHEN (x + y) % 2 = 0 THEN v ELSE 255 END AS v FROM pixels")
 def background_fill(spark, sf):
-    p = s.pixels(spark, sf)
+    p = s.dealt_pixels(spark, sf)
     return px.fill_background(p, p.where("(x + y) % 2 = 0"), 255)
 
 
 for _name, _op, _word in (("mask_union", px.union, "UNION"), ("mask_intersect", px.intersect, "INTERSECT"), ("mask_except", px.subtract, "EXCEPT")):
-    QUERIES[_name] = lambda spark, sf, op=_op: op(s.pixels(spark, sf).where("x < 60"), s.pixels(spark, sf).where("x > 30"))
+    QUERIES[_name] = lambda spark, sf, op=_op: op(s.dealt_pixels(spark, sf).where("x < 60"), s.dealt_pixels(spark, sf).where("x > 30"))
     ORACLE[_name] = WITH("pixels") + f"SELECT image_id, x, y FROM pixels WHERE x < 60 {_word} SELECT image_id, x, y FROM pixels WHERE x > 30"
 
 
