@@ -267,3 +267,23 @@ def test_blocks_of_distances_are_few_and_small():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 60e6 and (found.reshape(300, 11)[0] == np.sort(ids[500:900])[:11]).all()
+
+
+def test_copies_for_cosines_grow_no_faster_than_rows(spark):
+    """Large labels are cut into few blocks, however small the blocks asked for."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2000, 64)).astype(np.float32)
+    d = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "image_id string, global_idx long, d array<float>")
+    whole = knn.cosines(d, "image_id", 16).agg(F.count("*"), F.sum("similarity"))
+    n, total = whole.collect()[0]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert n == 2000 * 1999 // 2 and abs(total - ((unit.sum(0) ** 2).sum() - 2000) / 2) < 1e-6
+
+    def moved(plan) -> int:
+        name, below = plan.getClass().getSimpleName(), plan.children()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            return moved(plan.executedPlan() if name[0] == "A" else plan.plan())
+        own = plan.metrics().get("shuffleBytesWritten").get().value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(moved(below.apply(i)) for i in range(below.size()))
+
+    assert 0 < moved(whole._jdf.queryExecution().executedPlan()) < 20 * x.nbytes
